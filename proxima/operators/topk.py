@@ -20,19 +20,27 @@ def check_k(k: int) -> int:
     return k
 
 
-def top_k(candidates: DataFrame, k: int) -> DataFrame:
-    """The k nearest candidates of each test row, with ``rank`` 1..k.
+def top_k(candidates: DataFrame, k: int, max_distance: float | None = None) -> DataFrame:
+    """The k nearest admissible candidates of each test row, with ``rank`` 1..k.
 
     ``row_number() <= k`` over a window partitioned by ``test_id`` is planned with a partial
     ``WindowGroupLimit`` before the exchange (k up to
     ``spark.sql.optimizer.windowGroupLimitThreshold``), so no task ships more than k rows per
     test row; the candidate list of a row is never gathered whole.
+
+    Admissibility (distance strictly below ``max_distance``, default +Infinity) is applied
+    after ranking: inadmissible distances (NULL, NaN, too far) sort after every admissible one,
+    so they can only take ranks past the admissible candidates and are then dropped.  Filtering
+    first would let Catalyst push the predicate into a nested-loop join condition and compute
+    every distance twice.
     """
     check_k(k)
-    w = Window.partitionBy("test_id").orderBy(F.col("distance").asc(), F.col("train_id").asc())
+    bound = float("inf") if max_distance is None else float(max_distance)
+    w = Window.partitionBy("test_id").orderBy(F.col("distance").asc_nulls_last(),
+                                              F.col("train_id").asc())
     return (candidates
             .withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k)
+            .where((F.col("rank") <= k) & (F.col("distance") < F.lit(bound)))
             .select("test_id", "rank", "train_id", "distance", "label"))
 
 

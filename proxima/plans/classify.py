@@ -138,8 +138,7 @@ def neighbours_for(tr: DataFrame, te: DataFrame, k: int, plan: Plan,
                                                partitions=plan.partitions)
         return V.neighbours_blocks(te, tr, k, dim, plan.test_blocks, plan.train_blocks,
                                    max_distance, plan.block_partitions)
-    cands = candidate_pairs(tr, te, plan)
-    return top_k(C.admissible(cands, max_distance), k)
+    return top_k(candidate_pairs(tr, te, plan), k, max_distance)
 
 
 def candidate_pairs(tr: DataFrame, te: DataFrame, plan: Plan) -> DataFrame:

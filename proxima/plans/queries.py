@@ -232,7 +232,7 @@ def q_stage_counts(spark, sf_dir):
 
 
 def _docs(spark, sf_dir, target="quality"):
-    return T.document_train(spark, sf_dir, target), T.document_test(spark, sf_dir)
+    return T.split_labelled(T.document_vectors(spark, sf_dir, target))
 
 
 def q_classify_documents_quality(spark, sf_dir):

@@ -31,30 +31,65 @@ def embedding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def feature_array(text: str = "text", n_chars: str = "n_chars"):
+    """[n_chars, number of ' '-separated tokens, number of digits] as ``ARRAY<DOUBLE>``."""
+    return F.array(
+        F.col(n_chars).cast("double"),
+        F.size(F.split(F.col(text), " ")).cast("double"),
+        # digits counted as matches: the same number as the length after deleting every
+        # non-digit, without rewriting the whole text
+        F.regexp_count(F.col(text), F.lit("[0-9]")).cast("double"),
+    ).alias("features")
+
+
 def document_features(docs: DataFrame) -> DataFrame:
-    """``doc_id, features``: [n_chars, number of ' '-separated tokens, number of digits]."""
-    return docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.array(
-            F.col("n_chars").cast("double"),
-            F.size(F.split(F.col("text"), " ")).cast("double"),
-            F.length(F.regexp_replace(F.col("text"), "[^0-9]", "")).cast("double"),
-        ).alias("features"),
-    )
+    """``doc_id, features`` for every document."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), feature_array())
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "n_chars", "text")
+
+
+def document_vectors(spark: SparkSession, sf_dir: str, target: str = "quality") -> DataFrame:
+    """``row_id, features, label, labelled`` for every document, computed in one pass.
+
+    The text is read once; the result (three numbers per document) is checkpointed to the
+    shared checkpoint folder, so the train side, the test side and the size checks all read
+    that small table instead of the text again.
+    """
+    from proxima.session import scratch_root
+    scratch_root(spark)
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col(target).cast("double").alias("label"),
+        F.lit(True).alias("labelled"))
+    docs = _documents(spark, sf_dir).join(labels, "doc_id", "left")
+    return docs.select(F.col("doc_id").alias("row_id"), feature_array(), "label",
+                       F.coalesce(F.col("labelled"), F.lit(False)).alias("labelled")
+                       ).checkpoint(eager=True)
+
+
+def split_labelled(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(train, test) from ``document_vectors``: labelled documents, and all the others."""
+    train = vectors.where(F.col("labelled")).select("row_id", "features", "label")
+    test = vectors.where(~F.col("labelled")).select("row_id", "features")
+    return train, test
 
 
 def document_train(spark: SparkSession, sf_dir: str, target: str = "quality") -> DataFrame:
-    """Labelled documents: ``row_id, features, label`` with ``label`` = ``labels.<target>``."""
-    docs = document_features(table(spark, sf_dir, "documents"))
+    """Labelled documents: ``row_id, features, label`` with ``label`` = ``labels.<target>``.
+
+    The join comes first, so the text features are computed for labelled documents only.
+    """
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col(target).cast("double").alias("label"))
-    return (docs.join(labels, "doc_id", "inner")
-            .select(F.col("doc_id").alias("row_id"), "features", "label"))
+    docs = _documents(spark, sf_dir).join(labels, "doc_id", "inner")
+    return docs.select(F.col("doc_id").alias("row_id"), feature_array(), "label")
 
 
 def document_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without a label row: ``row_id, features``."""
-    docs = document_features(table(spark, sf_dir, "documents"))
+    """Documents without a label row: ``row_id, features`` (an anti-join, then the features)."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("bigint").alias("doc_id"))
-    return (docs.join(labels, "doc_id", "left_anti")
-            .select(F.col("doc_id").alias("row_id"), "features"))
+    docs = _documents(spark, sf_dir).join(labels, "doc_id", "left_anti")
+    return docs.select(F.col("doc_id").alias("row_id"), feature_array())
