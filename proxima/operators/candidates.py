@@ -56,13 +56,18 @@ def _with_distance(pairs: DataFrame, dim: int | None) -> DataFrame:
 
 def pairs_broadcast_train(test: DataFrame, train: DataFrame, dim: int | None,
                           partitions: int) -> DataFrame:
-    """Train broadcast, test hash-partitioned on ``test_id`` into ``partitions`` tasks.
-
-    The explicit partition count keeps a CPU-bound stage from being coalesced into a few tasks
-    and spreads a test table that arrives as a single split.
+    """Train broadcast against the test side.
+
+    A test side that arrives in at least ``partitions`` splits is read in place: each task
+    cuts its candidates to k per test row (partial window group limit) and only those are
+    shuffled.  A test side in fewer splits must be spread anyway, so it is hash-partitioned
+    on ``test_id``: the candidates of a row are then born in one task and the window needs no
+    further exchange.  The explicit count also keeps adaptive execution from folding the
+    CPU-bound stage into a few tasks.
     """
-    t = test.repartition(partitions, TEST_ID)
-    return _with_distance(t.crossJoin(F.broadcast(train)), dim)
+    if test.rdd.getNumPartitions() < partitions:
+        test = test.repartition(partitions, TEST_ID)
+    return _with_distance(test.crossJoin(F.broadcast(train)), dim)
 
 
 def spread(df: DataFrame, partitions: int | None) -> DataFrame:

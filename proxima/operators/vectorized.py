@@ -85,19 +85,24 @@ def rank_cut(qi: np.ndarray, d: np.ndarray, rid: np.ndarray, k: int):
 
 
 def block_topk(q: np.ndarray, r: np.ndarray, r_ids: np.ndarray, k: int, bound: float):
-    """Per row of ``q``, the candidates of ``r`` that can be among its k nearest.
+    """Per row of ``q``, its k nearest rows of ``r`` by (distance, train id).
 
-    Returns (query index, train index, distance) for every admissible candidate whose distance
-    is at most the row's k-th smallest, so ties at the boundary are all kept for the exact
-    (distance, id) cut that follows.  Inadmissible distances (NaN, infinite, >= bound) are
-    never returned.
+    Returns (query index, train index, distance), at most k entries per query row, unordered.
+    Inadmissible distances (NaN, infinite, >= bound) are never returned.
+
+    Ties are cut exactly without gathering them: every candidate strictly closer than the row's
+    k-th smallest distance is kept, and of those at exactly that distance only the lowest ids
+    needed to reach k (the block is scanned in id order).  A block where a third of the rows
+    are copies of one vector therefore still yields k entries per row, not a third of the
+    block.
     """
     m, n = q.shape[0], r.shape[0]
     qs, rs, ds = [], [], []
     if m == 0 or n == 0:
         e = np.empty(0, dtype=np.int64)
         return e, e.copy(), np.empty(0)
-    r_t = np.ascontiguousarray(r.T)
+    by_id = np.argsort(r_ids, kind="stable")
+    r_t = np.ascontiguousarray(r[by_id].T)
     step = max(1, min(m, CHUNK_CELLS // n))
     out = np.empty((step, n))
     tmp = np.empty((step, n))
@@ -108,12 +113,15 @@ def block_topk(q: np.ndarray, r: np.ndarray, r_ids: np.ndarray, k: int, bound: f
         dist = np.where(ok, dist, np.inf)
         if n > k:
             kth = np.partition(dist, k - 1, axis=1)[:, k - 1:k]
-            mask = (dist <= kth) & ok
+            mask = dist < kth
+            need = k - mask.sum(axis=1, keepdims=True)
+            tie = (dist == kth) & ok
+            mask |= tie & (np.cumsum(tie, axis=1) <= need)
         else:
             mask = ok
         qi, ri = np.nonzero(mask)
         qs.append(qi + s)
-        rs.append(ri)
+        rs.append(by_id[ri])
         ds.append(dist[qi, ri])
     return np.concatenate(qs), np.concatenate(rs), np.concatenate(ds)
 
