@@ -33,8 +33,8 @@ from proxima.operators.vote import check_vote, vote as vote_op
 STRATEGIES = ("auto", "broadcast_train", "broadcast_test", "block", "cartesian")
 KERNELS = ("numpy", "sql")
 
-DEFAULT_BROADCAST_LIMIT = 64 << 20   # bytes of feature data a broadcast side may hold
-DEFAULT_BLOCK_BYTES = 32 << 20       # bytes of feature data per block of the block join
+DEFAULT_BROADCAST_LIMIT = 128 << 20  # bytes of feature data a broadcast side may hold
+DEFAULT_BLOCK_BYTES = 64 << 20       # bytes of feature data per block of the block join
 ROW_OVERHEAD = 32                    # id, label and array header per row, in bytes
 
 

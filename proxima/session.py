@@ -65,3 +65,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     root = scratch_root(spark)
     sep = "" if root.endswith("/") else "/"
     return f"{root}{sep}{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df, name: str = ""):
+    """Cut the lineage of ``df`` with a reliable checkpoint computed a single time.
+
+    An eager checkpoint of an uncached frame computes it twice (once to count, once to write
+    the checkpoint files); persisting first makes the write read the computed partitions.  The
+    cache is dropped once the checkpoint files exist, and the returned frame reads only those
+    files (under ``spark.checkpoint.dir``), so it survives lost executors.
+    """
+    from pyspark import StorageLevel
+    scratch_root(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proxima.operators.candidates import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -55,19 +57,20 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_vectors(spark: SparkSession, sf_dir: str, target: str = "quality") -> DataFrame:
     """``row_id, features, label, labelled`` for every document, computed in one pass.
 
-    The text is read once; the result (three numbers per document) is checkpointed to the
-    shared checkpoint folder, so the train side, the test side and the size checks all read
-    that small table instead of the text again.
+    The text is read once; the result (three numbers per document) is written as a table in
+    the shared checkpoint folder, so the train side, the test side and the size checks all
+    read that small table instead of the text again.
     """
-    from proxima.session import scratch_root
-    scratch_root(spark)
+    from proxima.session import materialize
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col(target).cast("double").alias("label"),
         F.lit(True).alias("labelled"))
-    docs = _documents(spark, sf_dir).join(labels, "doc_id", "left")
-    return docs.select(F.col("doc_id").alias("row_id"), feature_array(), "label",
-                       F.coalesce(F.col("labelled"), F.lit(False)).alias("labelled")
-                       ).checkpoint(eager=True)
+    # a table stored as few row groups is spread first, so the text work uses every core
+    docs = spread(_documents(spark, sf_dir), 2 * spark.sparkContext.defaultParallelism)
+    docs = docs.join(labels, "doc_id", "left")
+    out = docs.select(F.col("doc_id").alias("row_id"), feature_array(), "label",
+                       F.coalesce(F.col("labelled"), F.lit(False)).alias("labelled"))
+    return materialize(out, "document-vectors")
 
 
 def split_labelled(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:

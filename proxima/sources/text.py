@@ -27,7 +27,7 @@ ON_ERROR = ("FAILFAST", "DROPMALFORMED", "PERMISSIVE")
 
 # Largest number of file splits whose offsets are broadcast to the line scan
 # (one small row per split: path, start, offset).
-MAX_BROADCAST_SPLITS = 2_000_000
+MAX_BROADCAST_SPLITS = 1_000_000
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -48,19 +48,17 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def with_row_ordinal(lines: DataFrame) -> DataFrame:
     """Add ``row_id``: 0-based position in (file path, split start, line) order.
 
-    The per-split counts are checkpointed (one row per split) so the count and the offsets
-    are computed once; the offsets are broadcast after checking how many splits there are.
+    The per-split offsets (one row per split) are written once as a table in the shared
+    scratch folder, so the count and the join read them instead of rescanning the lines; they
+    are broadcast after checking how many splits there are.
     """
-    spark = lines.sparkSession
-    from proxima.session import scratch_root
-    scratch_root(spark)
+    from proxima.session import materialize
     splits = (lines.groupBy("_file", "_block")
               .agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first")))
     # one row per file split: a global window over this small table is cheap
     w = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = (splits.withColumn("_offset", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-              .select("_file", "_block", "_first", "_offset")
-              .checkpoint(eager=True))
+    splits = materialize(splits.withColumn("_offset", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+                         .select("_file", "_block", "_first", "_offset"), "split-offsets")
     n_splits = splits.count()
     if n_splits <= MAX_BROADCAST_SPLITS:
         splits = F.broadcast(splits)
