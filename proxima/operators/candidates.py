@@ -55,35 +55,33 @@ def _with_distance(pairs: DataFrame, dim: int | None) -> DataFrame:
 
 
 def pairs_broadcast_train(test: DataFrame, train: DataFrame, dim: int | None,
-                          partitions: int) -> DataFrame:
+                          partitions: int | None = None) -> DataFrame:
     """Train broadcast against the test side.
 
-    A test side that arrives in at least ``partitions`` splits is read in place: each task
-    cuts its candidates to k per test row (partial window group limit) and only those are
-    shuffled.  A test side in fewer splits must be spread anyway, so it is hash-partitioned
-    on ``test_id``: the candidates of a row are then born in one task and the window needs no
-    further exchange.  The explicit count also keeps adaptive execution from folding the
-    CPU-bound stage into a few tasks.
+    With ``partitions`` (the plan's choice for a test side small enough to move cheaply) the
+    test side is hash-partitioned on ``test_id``: the candidates of a row are then born in one
+    task and the window needs no further exchange, and the explicit count keeps adaptive
+    execution from folding the CPU-bound stage into a few tasks.  Without it the test side is
+    read where it lies: each task cuts its candidates to k per test row (partial window group
+    limit) and only those are shuffled.
     """
-    if test.rdd.getNumPartitions() < partitions:
+    if partitions is not None:
         test = test.repartition(partitions, TEST_ID)
     return _with_distance(test.crossJoin(F.broadcast(train)), dim)
 
 
 def spread(df: DataFrame, partitions: int | None) -> DataFrame:
-    """Round-robin a frame that arrives in fewer input splits than ``partitions``.
+    """Round-robin ``df`` over ``partitions`` tasks, or leave it where it lies (``None``).
 
-    A large input already has many splits and is left alone (no shuffle); a small one that is
-    one parquet row group would otherwise put a CPU-bound stage on one core.
+    The plan passes a count only for a side small enough to move cheaply: such a side may
+    arrive as a single parquet row group, which would put a CPU-bound stage on one core.
     """
-    if partitions is not None and df.rdd.getNumPartitions() < partitions:
-        return df.repartition(partitions)
-    return df
+    return df if partitions is None else df.repartition(partitions)
 
 
 def pairs_broadcast_test(test: DataFrame, train: DataFrame, dim: int | None,
                          partitions: int | None = None) -> DataFrame:
-    """Test broadcast against a train side that is read where it lies."""
+    """Test broadcast against the train side (spread over ``partitions`` tasks when given)."""
     return _with_distance(spread(train, partitions).crossJoin(F.broadcast(test)), dim)
 
 

@@ -1,4 +1,8 @@
-"""Diagnostics over candidate pairs: per-row statistics and per-stage row counts.
+"""Diagnostics over candidate frames: per-row statistics and per-stage row counts.
+
+For statistics over *all* pairs of large inputs use ``vectorized.pair_stats``, which computes
+them block by block without turning pairs into rows; the functions here aggregate a candidate
+frame the caller already has.
 
 All are bounded aggregations (partial on the map side, final after one exchange); no
 candidate list is ever gathered into one group.  The original's dense "distance row" (every

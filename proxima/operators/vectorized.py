@@ -277,3 +277,84 @@ def neighbours_blocks(test: DataFrame, train: DataFrame, k: int, dim: int,
 _NEIGHBOUR_ARROW = pa.schema([("test_id", pa.int64()), ("rank", pa.int32()),
                               ("train_id", pa.int64()), ("distance", pa.float64()),
                               ("label", pa.float64())])
+
+
+# --------------------------------------------------------------------------- pair statistics
+
+STATS_SCHEMA = ("test_id bigint, n bigint, min_d double, max_d double, first_id bigint, "
+                "first_d double, last_id bigint, last_d double, n_admissible bigint")
+
+
+def block_stats(q_ids: np.ndarray, q: np.ndarray, r_ids: np.ndarray, r: np.ndarray,
+                bound: float) -> pa.Table:
+    """Per query row, statistics of its distances to every row of ``r`` -- no pair rows.
+
+    ``n`` pairs, ``min_d``/``max_d`` (NaN ignored by the minimum and propagated by the maximum,
+    as Spark orders NaN above every number), the distances to the lowest and highest train id
+    (the first and last cells of the row's distance row), and how many are below ``bound``.
+    """
+    m, n = q.shape[0], r.shape[0]
+    lo, hi = int(np.argmin(r_ids)), int(np.argmax(r_ids))
+    r_t = np.ascontiguousarray(r.T)
+    step = max(1, min(m, CHUNK_CELLS // max(n, 1)))
+    out, tmp = np.empty((step, n)), np.empty((step, n))
+    mins, maxs, firsts, lasts, adm = [], [], [], [], []
+    for s in range(0, m, step):
+        e = min(m, s + step)
+        dist = distance_block(q[s:e], r_t, out[: e - s], tmp[: e - s])
+        nan = np.isnan(dist)
+        mins.append(np.where(nan.all(axis=1), np.nan, np.nanmin(np.where(nan, np.inf, dist), axis=1)))
+        maxs.append(np.max(dist, axis=1))
+        firsts.append(dist[:, lo].copy())
+        lasts.append(dist[:, hi].copy())
+        adm.append((dist < bound).sum(axis=1))
+    cat = np.concatenate
+    return pa.table({
+        "test_id": pa.array(q_ids, pa.int64()),
+        "n": pa.array(np.full(m, n), pa.int64()),
+        "min_d": pa.array(cat(mins), pa.float64()),
+        "max_d": pa.array(cat(maxs), pa.float64()),
+        "first_id": pa.array(np.full(m, r_ids[lo]), pa.int64()),
+        "first_d": pa.array(cat(firsts), pa.float64()),
+        "last_id": pa.array(np.full(m, r_ids[hi]), pa.int64()),
+        "last_d": pa.array(cat(lasts), pa.float64()),
+        "n_admissible": pa.array(cat(adm), pa.int64()),
+    })
+
+
+def pair_stats(test: DataFrame, train: DataFrame, dim: int, test_blocks: int, train_blocks: int,
+               max_distance: float | None = None, partitions: int | None = None) -> DataFrame:
+    """``test_id, n, min_d, max_d, first_d, last_d, n_admissible`` over all pairs of a row.
+
+    The statistics of a test row's whole distance row, computed block by block (same block
+    grid as ``neighbours_blocks``): each block pair emits one row per test row, and one
+    partial-then-final aggregation merges the train blocks.  No pair is ever a row.
+    """
+    bound = float("inf") if max_distance is None else float(max_distance)
+    n = partitions or test_blocks * train_blocks
+    t = (block_rows(test.select(TEST_ID, TEST_F), TEST_ID, test_blocks, train_blocks, "tb", "rb")
+         .repartition(n, "tb", "rb"))
+    r = (block_rows(train.select(TRAIN_ID, TRAIN_F), TRAIN_ID, train_blocks, test_blocks,
+                    "rb", "tb").repartition(n, "tb", "rb"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        q_ids = left.column(TEST_ID).to_numpy().astype(np.int64)
+        r_ids = right.column(TRAIN_ID).to_numpy().astype(np.int64)
+        if q_ids.size == 0 or r_ids.size == 0:
+            return pa.Table.from_batches([], schema=_STATS_ARROW)
+        return block_stats(q_ids, matrix(left.column(TEST_F), dim), r_ids,
+                           matrix(right.column(TRAIN_F), dim), bound)
+
+    per_block = (t.groupBy("tb", "rb").cogroup(r.groupBy("tb", "rb"))
+                 .applyInArrow(run, STATS_SCHEMA))
+    return per_block.groupBy("test_id").agg(
+        F.sum("n").alias("n"), F.min("min_d").alias("min_d"), F.max("max_d").alias("max_d"),
+        F.min_by("first_d", "first_id").alias("first_d"),
+        F.max_by("last_d", "last_id").alias("last_d"),
+        F.sum("n_admissible").alias("n_admissible"))
+
+
+_STATS_ARROW = pa.schema([("test_id", pa.int64()), ("n", pa.int64()), ("min_d", pa.float64()),
+                          ("max_d", pa.float64()), ("first_id", pa.int64()),
+                          ("first_d", pa.float64()), ("last_id", pa.int64()),
+                          ("last_d", pa.float64()), ("n_admissible", pa.int64())])

@@ -49,6 +49,17 @@ class Plan:
     partitions: int
     test_blocks: int = 1
     train_blocks: int = 1
+    spread_test: bool = False
+    spread_train: bool = False
+
+    @property
+    def test_spread(self) -> int | None:
+        """Partition count to spread the test side over, or None to read it in place."""
+        return self.partitions if self.spread_test else None
+
+    @property
+    def train_spread(self) -> int | None:
+        return self.partitions if self.spread_train else None
 
     @property
     def block_partitions(self) -> int:
@@ -81,6 +92,15 @@ def infer_dim(df: DataFrame, features: str) -> int:
     return int(row["n"])
 
 
+def count_sides(train: DataFrame, test: DataFrame) -> tuple[int, int]:
+    """Row counts of both sides in one job (column pruning leaves only what a count needs)."""
+    one = F.count(F.lit(1)).alias("n")
+    rows = (train.agg(one).select(F.lit(0).alias("side"), "n")
+            .unionByName(test.agg(one).select(F.lit(1).alias("side"), "n"))).collect()
+    n = {r["side"]: int(r["n"]) for r in rows}
+    return n[0], n[1]
+
+
 def choose_plan(train: DataFrame, test: DataFrame, dim: int, strategy: str = "auto",
                 kernel: str = "numpy", broadcast_limit: int | None = None,
                 block_bytes: int | None = None) -> Plan:
@@ -92,7 +112,7 @@ def choose_plan(train: DataFrame, test: DataFrame, dim: int, strategy: str = "au
     spark = train.sparkSession
     limit = broadcast_limit or _conf_int(spark, "proxima.broadcastLimitBytes", DEFAULT_BROADCAST_LIMIT)
     block = block_bytes or _conf_int(spark, "proxima.blockBytes", DEFAULT_BLOCK_BYTES)
-    n_train, n_test = train.count(), test.count()
+    n_train, n_test = count_sides(train, test)
     b_train, b_test = side_bytes(n_train, dim), side_bytes(n_test, dim)
     parallelism = spark.sparkContext.defaultParallelism
     if strategy == "auto":
@@ -107,6 +127,10 @@ def choose_plan(train: DataFrame, test: DataFrame, dim: int, strategy: str = "au
     if strategy == "broadcast_test" and b_test > limit:
         raise ValueError(f"test side is about {b_test} bytes, over the broadcast limit {limit}")
     partitions = max(2 * parallelism, math.ceil(b_test / block))
+    # a side read in place keeps its input splits; a side small enough to move cheaply is
+    # spread over every core, since each of its rows costs a pass over the other side
+    movable = partitions * block
+    spread_test, spread_train = b_test <= movable, b_train <= movable
     tb = rb = 1
     if strategy == "block":
         tb = max(1, math.ceil(b_test / block))
@@ -114,7 +138,8 @@ def choose_plan(train: DataFrame, test: DataFrame, dim: int, strategy: str = "au
         # enough block pairs to keep every core busy: split the test side further
         while tb * rb < 2 * parallelism and tb < max(n_test, 1):
             tb *= 2
-    return Plan(strategy, kernel, dim, n_train, n_test, partitions, tb, rb)
+    return Plan(strategy, kernel, dim, n_train, n_test, partitions, tb, rb,
+                spread_test, spread_train)
 
 
 def _prepare(train, test, features, label, train_id, test_id, test_features, dim):
@@ -132,10 +157,10 @@ def neighbours_for(tr: DataFrame, te: DataFrame, k: int, plan: Plan,
     if plan.kernel == "numpy" and plan.strategy != "cartesian":
         if plan.strategy == "broadcast_train":
             return V.neighbours_broadcast_train(te, tr, k, dim, max_distance,
-                                                partitions=plan.partitions)
+                                                partitions=plan.test_spread)
         if plan.strategy == "broadcast_test":
             return V.neighbours_broadcast_test(te, tr, k, dim, max_distance,
-                                               partitions=plan.partitions)
+                                               partitions=plan.train_spread)
         return V.neighbours_blocks(te, tr, k, dim, plan.test_blocks, plan.train_blocks,
                                    max_distance, plan.block_partitions)
     return top_k(candidate_pairs(tr, te, plan), k, max_distance)
@@ -144,9 +169,9 @@ def neighbours_for(tr: DataFrame, te: DataFrame, k: int, plan: Plan,
 def candidate_pairs(tr: DataFrame, te: DataFrame, plan: Plan) -> DataFrame:
     """All (test, train, distance, label) rows under a plan's join shape (SQL kernel)."""
     if plan.strategy == "broadcast_train":
-        return C.pairs_broadcast_train(te, tr, plan.dim, plan.partitions)
+        return C.pairs_broadcast_train(te, tr, plan.dim, plan.test_spread)
     if plan.strategy == "broadcast_test":
-        return C.pairs_broadcast_test(te, tr, plan.dim, plan.partitions)
+        return C.pairs_broadcast_test(te, tr, plan.dim, plan.train_spread)
     if plan.strategy == "block":
         return C.pairs_block(te, tr, plan.dim, plan.test_blocks, plan.train_blocks,
                              plan.block_partitions)
@@ -194,6 +219,6 @@ def classify_for(tr: DataFrame, te: DataFrame, k: int, plan: Plan, vote: str,
     if plan.kernel == "numpy" and plan.strategy == "broadcast_train":
         # map-only: the task that finds a row's neighbours also votes
         return V.neighbours_broadcast_train(te, tr, k, plan.dim, max_distance, vote=vote,
-                                            partitions=plan.partitions)
+                                            partitions=plan.test_spread)
     neigh = neighbours_for(tr, te, k, plan, max_distance)
     return vote_op(neigh, vote, te.select("test_id"))

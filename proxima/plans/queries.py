@@ -28,6 +28,7 @@ from proxima.operators.vote import vote as vote_op
 from proxima.plans.classify import (candidate_pairs, choose_plan, classify_for, knn_classify,
                                     knn_neighbors, neighbours_for)
 from proxima.operators import candidates as C
+from proxima.operators import vectorized as V
 from proxima.session import scratch_path
 from proxima.sources import tables as T
 from proxima.sources.sinks import write_predictions
@@ -132,17 +133,25 @@ def q_pairwise_distance_hof(spark, sf_dir):
         "test_id", "train_id", "distance")
 
 
+def _emb_pair_stats(spark, sf_dir, max_distance=None):
+    """Statistics of every test row's distances to all train rows, without pair rows."""
+    tr, te = _emb_prepared(spark, sf_dir)
+    plan = choose_plan(tr, te, 64, "block", "numpy")
+    return V.pair_stats(te, tr, 64, plan.test_blocks, plan.train_blocks, max_distance,
+                        plan.block_partitions)
+
+
 def q_admissible_candidates(spark, sf_dir):
-    _, te = _emb_prepared(spark, sf_dir)
-    return D.admissible_counts(_emb_pairs(spark, sf_dir), te, MAX_DISTANCE)
+    return _emb_pair_stats(spark, sf_dir, MAX_DISTANCE).select(
+        "test_id", F.col("n_admissible").alias("n_candidates"))
 
 
 def q_candidate_group_stats(spark, sf_dir):
-    return D.candidate_stats(_emb_pairs(spark, sf_dir, "broadcast_test"))
+    return _emb_pair_stats(spark, sf_dir).select("test_id", "n", "min_d", "max_d")
 
 
 def q_distance_row(spark, sf_dir):
-    return D.distance_row_stats(_emb_pairs(spark, sf_dir))
+    return _emb_pair_stats(spark, sf_dir).select("test_id", "n", "first_d", "last_d", "min_d")
 
 
 def q_knn_topk(spark, sf_dir):
@@ -222,13 +231,17 @@ def q_prediction_sink_rows(spark, sf_dir):
 
 def q_stage_counts(spark, sf_dir):
     tr, te = _emb_prepared(spark, sf_dir)
-    plan = choose_plan(tr, te, 64, "broadcast_train", "sql")
-    pairs = candidate_pairs(tr, te, plan)
+    plan = choose_plan(tr, te, 64, "auto", "numpy")
     neigh = neighbours_for(tr, te, K, plan)
     pred = classify_for(tr, te, K, plan, "nonzero_majority")
-    return D.stage_counts({"train": tr, "test": te, "pairs": pairs,
-                           "admissible": C.admissible(pairs, MAX_DISTANCE),
-                           "neighbours": neigh, "predictions": pred})
+    # pair counts come from the per-row statistics: no pair is materialised to be counted
+    pairs = _emb_pair_stats(spark, sf_dir, MAX_DISTANCE).agg(
+        F.sum("n").cast("bigint").alias("pairs"),
+        F.sum("n_admissible").cast("bigint").alias("admissible"))
+    counts = D.stage_counts({"train": tr, "test": te, "neighbours": neigh, "predictions": pred})
+    return counts.unionByName(pairs.select(F.lit("pairs").alias("stage"), F.col("pairs").alias("rows"))
+                              ).unionByName(pairs.select(F.lit("admissible").alias("stage"),
+                                                         F.col("admissible").alias("rows")))
 
 
 def _docs(spark, sf_dir, target="quality"):

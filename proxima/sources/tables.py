@@ -66,7 +66,10 @@ def document_vectors(spark: SparkSession, sf_dir: str, target: str = "quality")
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col(target).cast("double").alias("label"),
         F.lit(True).alias("labelled"))
     # a table stored as few row groups is spread first, so the text work uses every core
-    docs = spread(_documents(spark, sf_dir), 2 * spark.sparkContext.defaultParallelism)
+    docs = _documents(spark, sf_dir)
+    parallelism = 2 * spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < parallelism:  # a plain file scan: no job is run
+        docs = spread(docs, parallelism)
     docs = docs.join(labels, "doc_id", "left")
     out = docs.select(F.col("doc_id").alias("row_id"), feature_array(), "label",
                        F.coalesce(F.col("labelled"), F.lit(False)).alias("labelled"))

@@ -6,6 +6,8 @@ import contextlib
 import io
 import re
 
+from dataclasses import replace
+
 import pytest
 
 from conftest import frame
@@ -60,12 +62,22 @@ def test_block_sql_join_on_block_pair(sides):
 
 def test_numpy_broadcast_train_classify_is_map_only(sides, spark):
     tr, te = sides
-    te = te.repartition(16)  # enough input splits: no spreading needed
     plan = choose_plan(tr, te, 2, "broadcast_train", "numpy")
+    assert plan.spread_test  # a small test side is spread over every core ...
     text = plan_text(classify_for(tr, te, 5, plan, "nonzero_majority"))
-    assert "MapInArrow" in text
-    # the only exchange is the test-side repartition above; none after the kNN step
-    assert text.count("Exchange") == 1
+    assert "MapInArrow" in text and text.count("Exchange") == 1
+    # ... a large one is read in place: no exchange at all
+    text = plan_text(classify_for(tr, te, 5, replace(plan, spread_test=False), "nonzero_majority"))
+    assert "MapInArrow" in text and "Exchange" not in text
+
+
+def test_sql_broadcast_train_in_place_cuts_before_exchange(sides):
+    tr, te = sides
+    plan = replace(choose_plan(tr, te, 2, "broadcast_train", "sql"), spread_test=False)
+    lines = plan_text(neighbours_for(tr, te, 5, plan)).splitlines()
+    partial = [i for i, ln in enumerate(lines) if "WindowGroupLimit" in ln and "Partial" in ln]
+    exch = [i for i, ln in enumerate(lines) if "Exchange hashpartitioning(test_id" in ln]
+    assert partial and exch and exch[0] < partial[0]
 
 
 def test_auto_respects_broadcast_limit(sides):
