@@ -163,6 +163,12 @@ def neighbours_for(tr: DataFrame, te: DataFrame, k: int, plan: Plan,
                                                partitions=plan.train_spread)
         return V.neighbours_blocks(te, tr, k, dim, plan.test_blocks, plan.train_blocks,
                                    max_distance, plan.block_partitions)
+    limit = int(tr.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if k > limit:
+        # beyond the threshold no partial group limit is planned and every candidate row
+        # would be shuffled; the NumPy kernel cuts to k inside the task for any k
+        raise ValueError(f"k={k} exceeds spark.sql.optimizer.windowGroupLimitThreshold={limit} "
+                         "for kernel='sql'; use kernel='numpy' or raise the threshold")
     return top_k(candidate_pairs(tr, te, plan), k, max_distance)
 
 

@@ -54,25 +54,31 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"), "n_chars", "text")
 
 
+def _document_feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, features`` computed from the text before any join, so whatever join follows
+    moves three numbers per document, never the text."""
+    docs = _documents(spark, sf_dir)
+    parallelism = 2 * spark.sparkContext.defaultParallelism
+    # a table stored as few row groups is spread first, so the text work uses every core
+    if docs.rdd.getNumPartitions() < parallelism:  # a plain file scan: no job is run
+        docs = spread(docs, parallelism)
+    return docs.select("doc_id", feature_array())
+
+
 def document_vectors(spark: SparkSession, sf_dir: str, target: str = "quality") -> DataFrame:
     """``row_id, features, label, labelled`` for every document, computed in one pass.
 
-    The text is read once; the result (three numbers per document) is written as a table in
-    the shared checkpoint folder, so the train side, the test side and the size checks all
-    read that small table instead of the text again.
+    The text is read once; the result (three numbers per document) is checkpointed into the
+    shared checkpoint folder, so the train side, the test side and the size checks all read
+    that small table instead of the text again.
     """
     from proxima.session import materialize
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col(target).cast("double").alias("label"),
         F.lit(True).alias("labelled"))
-    # a table stored as few row groups is spread first, so the text work uses every core
-    docs = _documents(spark, sf_dir)
-    parallelism = 2 * spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < parallelism:  # a plain file scan: no job is run
-        docs = spread(docs, parallelism)
-    docs = docs.join(labels, "doc_id", "left")
-    out = docs.select(F.col("doc_id").alias("row_id"), feature_array(), "label",
-                       F.coalesce(F.col("labelled"), F.lit(False)).alias("labelled"))
+    out = _document_feature_rows(spark, sf_dir).join(labels, "doc_id", "left").select(
+        F.col("doc_id").alias("row_id"), "features", "label",
+        F.coalesce(F.col("labelled"), F.lit(False)).alias("labelled"))
     return materialize(out, "document-vectors")
 
 
@@ -84,18 +90,15 @@ def split_labelled(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def document_train(spark: SparkSession, sf_dir: str, target: str = "quality") -> DataFrame:
-    """Labelled documents: ``row_id, features, label`` with ``label`` = ``labels.<target>``.
-
-    The join comes first, so the text features are computed for labelled documents only.
-    """
+    """Labelled documents: ``row_id, features, label`` with ``label`` = ``labels.<target>``."""
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col(target).cast("double").alias("label"))
-    docs = _documents(spark, sf_dir).join(labels, "doc_id", "inner")
-    return docs.select(F.col("doc_id").alias("row_id"), feature_array(), "label")
+    return (_document_feature_rows(spark, sf_dir).join(labels, "doc_id", "inner")
+            .select(F.col("doc_id").alias("row_id"), "features", "label"))
 
 
 def document_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without a label row: ``row_id, features`` (an anti-join, then the features)."""
+    """Documents without a label row: ``row_id, features`` (an anti-join on the feature rows)."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("bigint").alias("doc_id"))
-    docs = _documents(spark, sf_dir).join(labels, "doc_id", "left_anti")
-    return docs.select(F.col("doc_id").alias("row_id"), feature_array())
+    return (_document_feature_rows(spark, sf_dir).join(labels, "doc_id", "left_anti")
+            .select(F.col("doc_id").alias("row_id"), "features"))

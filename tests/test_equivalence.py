@@ -70,3 +70,34 @@ def test_predictions_agree_across_shapes(spark, case):
                                 block_bytes=block).collect()
             results.add(tuple(sorted((r.test_id, r.prediction) for r in rows)))
         assert len(results) == 1, vote
+
+
+@pytest.mark.parametrize("blocks", [(1, 1), (2, 3)])
+def test_pair_stats_match_candidate_aggregates(spark, blocks):
+    from proxima.operators import candidates as C
+    from proxima.operators import vectorized as V
+    from proxima.operators.diagnostics import admissible_counts, candidate_stats, distance_row_stats
+
+    train, test = dataset(5, 30, 6, 3)
+    train[3] = (train[3][0], [float("nan")] + train[3][1][1:], train[3][2])
+    tr = C.prepare_train(frame(spark, train), dim=3)
+    te = C.prepare_test(frame(spark, test, labelled=False), dim=3)
+    got = {r.test_id: r for r in V.pair_stats(te, tr, 3, *blocks, max_distance=2.5).collect()}
+    pairs = C.pairs_cartesian(te, tr, 3)
+    stats = {r.test_id: r for r in candidate_stats(pairs).collect()}
+    rows = {r.test_id: r for r in distance_row_stats(pairs).collect()}
+    adm = {r.test_id: r.n_candidates for r in admissible_counts(pairs, te, 2.5).collect()}
+    assert sorted(got) == sorted(stats)
+    for t, g in got.items():
+        assert (g.n, g.min_d, g.first_d, g.n_admissible) == (
+            stats[t].n, stats[t].min_d, rows[t].first_d, adm[t])
+        assert np.isnan(g.max_d) and np.isnan(stats[t].max_d)  # NaN orders above every number
+        assert g.last_d == rows[t].last_d or (np.isnan(g.last_d) and np.isnan(rows[t].last_d))
+
+
+def test_sql_kernel_refuses_k_beyond_group_limit(spark):
+    tr = frame(spark, [(0, [0.0], 1.0)])
+    te = frame(spark, [(0, [0.0])], labelled=False)
+    with pytest.raises(ValueError):
+        knn_neighbors(tr, te, 1001, kernel="sql")
+    assert len(knn_neighbors(tr, te, 1001, kernel="numpy").collect()) == 1
