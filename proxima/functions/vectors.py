@@ -79,7 +79,3 @@ def label_part(values, dim: int | None = None) -> Column:
     if dim is not None:
         return F.element_at(v, dim)
     return F.element_at(v, -1)
-
-
-def as_double_array(c) -> Column:
-    return _col(c).cast("array<double>")

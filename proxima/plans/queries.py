@@ -41,11 +41,6 @@ MAX_DISTANCE = 1.25  # admissibility bound for the embedding self-join (about th
 # --------------------------------------------------------------------------- Spark side
 
 
-def _emb(spark, sf_dir):
-    e = T.embedding_vectors(spark, sf_dir)
-    return e, e.select("row_id", "features")
-
-
 def _emb_prepared(spark, sf_dir, dim=64, label="label"):
     e = T.embedding_vectors(spark, sf_dir)
     tr = C.prepare_train(e, "features", label, "row_id", dim)
