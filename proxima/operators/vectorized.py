@@ -256,6 +256,15 @@ def neighbours_blocks(test: DataFrame, train: DataFrame, k: int, dim: int,
     r = (block_rows(train.select(TRAIN_ID, TRAIN_F, "label"), TRAIN_ID, train_blocks, test_blocks,
                     "rb", "tb").repartition(n, "tb", "rb"))
 
+    per_block = (t.groupBy("tb", "rb").cogroup(r.groupBy("tb", "rb"))
+                 .applyInArrow(block_kernel(k, dim, bound), NEIGHBOUR_SCHEMA))
+    if train_blocks == 1:
+        return per_block
+    return top_k(per_block.drop("rank"), k)
+
+
+def block_kernel(k: int, dim: int, bound: float):
+    """The per-group function of a cogrouped block pair: test block x train block -> top-k."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         q_ids = left.column(TEST_ID).to_numpy().astype(np.int64)
         r_ids = right.column(TRAIN_ID).to_numpy().astype(np.int64)
@@ -267,11 +276,7 @@ def neighbours_blocks(test: DataFrame, train: DataFrame, k: int, dim: int,
         qi, ri, d = block_topk(q, x, r_ids, k, bound)
         return neighbours_table(q_ids, r_ids, labels, qi, ri, d, k)
 
-    per_block = (t.groupBy("tb", "rb").cogroup(r.groupBy("tb", "rb"))
-                 .applyInArrow(run, NEIGHBOUR_SCHEMA))
-    if train_blocks == 1:
-        return per_block
-    return top_k(per_block.drop("rank"), k)
+    return run
 
 
 _NEIGHBOUR_ARROW = pa.schema([("test_id", pa.int64()), ("rank", pa.int32()),

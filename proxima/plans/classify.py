@@ -9,8 +9,9 @@ bound the bytes a broadcast would ship, so nothing is broadcast without a checke
 
 1. train fits under ``broadcast_limit`` -> train broadcast, test read in place (map-only);
 2. else test fits                      -> test broadcast, train read in place, one merge window;
-3. else                                 -> block nested-loop join, blocks sized to
-   ``block_bytes`` so one group of two blocks fits in a task's memory.
+3. else                                 -> pivot-partitioned join with triangle-inequality
+   pruning (NumPy kernel; ``operators/pivot.py``), or the block nested-loop join (SQL
+   kernel), blocks sized to ``block_bytes`` so one group of two blocks fits in a task.
 
 ``kernel='numpy'`` computes a block of distances in a task with NumPy and emits only the
 winners; ``kernel='sql'`` materialises candidate rows with a codegen'd column expression and
@@ -20,17 +21,18 @@ cuts them with a window group limit.  Both give bit-identical distances.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proxima.operators import candidates as C
 from proxima.operators import vectorized as V
+from proxima.operators.pivot import neighbours_pivot
 from proxima.operators.topk import check_k, top_k
 from proxima.operators.vote import check_vote, vote as vote_op
 
-STRATEGIES = ("auto", "broadcast_train", "broadcast_test", "block", "cartesian")
+STRATEGIES = ("auto", "broadcast_train", "broadcast_test", "pivot", "block", "cartesian")
 KERNELS = ("numpy", "sql")
 
 DEFAULT_BROADCAST_LIMIT = 128 << 20  # bytes of feature data a broadcast side may hold
@@ -51,6 +53,7 @@ class Plan:
     train_blocks: int = 1
     spread_test: bool = False
     spread_train: bool = False
+    block_bytes: int = DEFAULT_BLOCK_BYTES
 
     @property
     def test_spread(self) -> int | None:
@@ -121,7 +124,9 @@ def choose_plan(train: DataFrame, test: DataFrame, dim: int, strategy: str = "au
         elif b_test <= limit:
             strategy = "broadcast_test"
         else:
-            strategy = "block"
+            strategy = "pivot" if kernel == "numpy" else "block"
+    if strategy == "pivot" and kernel != "numpy":
+        raise ValueError("strategy='pivot' runs on the NumPy kernel only")
     if strategy == "broadcast_train" and b_train > limit:
         raise ValueError(f"train side is about {b_train} bytes, over the broadcast limit {limit}")
     if strategy == "broadcast_test" and b_test > limit:
@@ -131,15 +136,19 @@ def choose_plan(train: DataFrame, test: DataFrame, dim: int, strategy: str = "au
     # spread over every core, since each of its rows costs a pass over the other side
     movable = partitions * block
     spread_test, spread_train = b_test <= movable, b_train <= movable
-    tb = rb = 1
-    if strategy == "block":
-        tb = max(1, math.ceil(b_test / block))
-        rb = max(1, math.ceil(b_train / block))
-        # enough block pairs to keep every core busy: split the test side further
-        while tb * rb < 2 * parallelism and tb < max(n_test, 1):
-            tb *= 2
-    return Plan(strategy, kernel, dim, n_train, n_test, partitions, tb, rb,
-                spread_test, spread_train)
+    plan = Plan(strategy, kernel, dim, n_train, n_test, partitions, 1, 1,
+                spread_test, spread_train, block)
+    return block_grid(plan) if strategy == "block" else plan
+
+
+def block_grid(plan: Plan) -> Plan:
+    """The plan with the block grid of the block join: blocks of at most ``block_bytes`` of
+    features, and enough block pairs to keep every core busy (the test side is split further)."""
+    tb = max(1, math.ceil(plan.test_bytes / plan.block_bytes))
+    rb = max(1, math.ceil(plan.train_bytes / plan.block_bytes))
+    while tb * rb < plan.partitions and tb < max(plan.test_rows, 1):
+        tb *= 2
+    return replace(plan, test_blocks=tb, train_blocks=rb)
 
 
 def _prepare(train, test, features, label, train_id, test_id, test_features, dim):
@@ -161,6 +170,13 @@ def neighbours_for(tr: DataFrame, te: DataFrame, k: int, plan: Plan,
         if plan.strategy == "broadcast_test":
             return V.neighbours_broadcast_test(te, tr, k, dim, max_distance,
                                                partitions=plan.train_spread)
+        if plan.strategy == "pivot":
+            blocks = block_grid(plan)
+            return neighbours_pivot(
+                te, tr, k, dim, plan.train_rows, plan.block_bytes, plan.partitions, max_distance,
+                fallback=lambda: V.neighbours_blocks(te, tr, k, dim, blocks.test_blocks,
+                                                     blocks.train_blocks, max_distance,
+                                                     blocks.block_partitions))
         return V.neighbours_blocks(te, tr, k, dim, plan.test_blocks, plan.train_blocks,
                                    max_distance, plan.block_partitions)
     limit = int(tr.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))

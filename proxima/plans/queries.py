@@ -259,6 +259,13 @@ def q_knn_documents(spark, sf_dir):
         "test_id", "rank", "train_id", "distance", "label")
 
 
+def q_knn_documents_pivot(spark, sf_dir):
+    """The same neighbours through the pivot-partitioned join, which prunes on these features."""
+    tr, te = _docs(spark, sf_dir)
+    return knn_neighbors(tr, te, K, dim=3, strategy="pivot").select(
+        "test_id", "rank", "train_id", "distance", "label")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vector_parse_strict": q_vector_parse_strict,
     "vector_parse_lenient": q_vector_parse_lenient,
@@ -289,6 +296,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "classify_documents_quality": q_classify_documents_quality,
     "classify_documents_toxic": q_classify_documents_toxic,
     "knn_documents": q_knn_documents,
+    "knn_documents_pivot": q_knn_documents_pivot,
 }
 
 # --------------------------------------------------------------------------- DuckDB oracle
@@ -400,3 +408,4 @@ ORACLE_SQL: dict[str, str] = {
     "knn_documents": (f"WITH {_DOCS.format(target='quality')} SELECT test_id, rank, train_id, "
                       f"distance, label FROM ranked WHERE rank <= {K}"),
 }
+ORACLE_SQL["knn_documents_pivot"] = ORACLE_SQL["knn_documents"]

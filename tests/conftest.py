@@ -15,6 +15,8 @@ SHAPES = [
     ("broadcast_test", "numpy", None),
     ("block", "numpy", None),
     ("block", "numpy", 64),
+    ("pivot", "numpy", None),
+    ("pivot", "numpy", 64),
     ("broadcast_train", "sql", None),
     ("broadcast_test", "sql", None),
     ("block", "sql", None),

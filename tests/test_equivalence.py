@@ -101,3 +101,40 @@ def test_sql_kernel_refuses_k_beyond_group_limit(spark):
     with pytest.raises(ValueError):
         knn_neighbors(tr, te, 1001, kernel="sql")
     assert len(knn_neighbors(tr, te, 1001, kernel="numpy").collect()) == 1
+
+
+def test_pivot_falls_back_when_nothing_is_pruned(spark, monkeypatch):
+    """High-dimensional uniform data: the pivot plan hands over to the block join, same rows."""
+    from proxima.operators import pivot as PV
+    rng = np.random.default_rng(11)
+    train = [(i, [float(x) for x in rng.normal(size=16)], float(i % 2)) for i in range(60)]
+    test = [(100 + i, [float(x) for x in rng.normal(size=16)]) for i in range(10)]
+    tr, te = frame(spark, train), frame(spark, test, labelled=False)
+    used = []
+    original = PV.FALLBACK_SHARE
+    for share in (original, 10.0):  # 10.0: never fall back
+        monkeypatch.setattr(PV, "FALLBACK_SHARE", share)
+        rows = knn_neighbors(tr, te, 3, strategy="pivot", block_bytes=256).collect()
+        used.append(sorted((r.test_id, r.rank, r.train_id, r.distance) for r in rows))
+    assert used[0] == used[1]
+    want = brute_force(train, test, 3)
+    assert used[0] == sorted((t, i + 1, rid, d) for t, lst in want.items()
+                             for i, (rid, d, _) in enumerate(lst))
+
+
+@pytest.mark.parametrize("shape", SHAPES, ids=shape_id)
+def test_max_distance_matches_brute_force(spark, shape):
+    strategy, kernel, block = shape
+    train, test = dataset(4, 40, 7, 2)
+    bound = 2.0
+    want = {t: [c for c in lst if c[1] < bound] for t, lst in brute_force(train, test, 4).items()}
+    got = knn_neighbors(frame(spark, train), frame(spark, test, labelled=False), 4,
+                        strategy=strategy, kernel=kernel, block_bytes=block,
+                        max_distance=bound).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.test_id, []).append(r)
+    assert {t for t, lst in want.items() if lst} == set(by)
+    for t, rows in by.items():
+        rows.sort(key=lambda r: r.rank)
+        assert [(r.train_id, r.distance, r.label) for r in rows] == want[t]

@@ -85,6 +85,8 @@ def test_auto_respects_broadcast_limit(sides):
     assert choose_plan(tr, te, 2).strategy == "broadcast_train"
     assert choose_plan(tr, te, 2, broadcast_limit=50 * 48).strategy == "broadcast_test"
     p = choose_plan(tr, te, 2, broadcast_limit=100, block_bytes=1024)
+    assert p.strategy == "pivot"  # neither side fits: pruned pivot join on the NumPy kernel
+    p = choose_plan(tr, te, 2, kernel="sql", broadcast_limit=100, block_bytes=1024)
     assert p.strategy == "block" and p.train_blocks > 1
     with pytest.raises(ValueError):
         choose_plan(tr, te, 2, "broadcast_train", broadcast_limit=100)
