@@ -71,3 +71,28 @@ def test_vote_arrays_rules_and_null():
     ls = vote_arrays(q_ids, qi, labels, "label_sum").to_pydict()
     assert nz["prediction"] == [1, 0, None]
     assert ls["prediction"] == [0, 1, None]
+
+
+try:
+    from hypothesis import given, settings, strategies as st
+except ImportError:  # pragma: no cover - hypothesis is optional
+    given = None
+
+if given is not None:
+    small = st.sampled_from([-2.0, -1.0, 0.0, 0.5, 1.0, 2.0, float("nan")])
+
+    @settings(max_examples=150, derandomize=True, deadline=None)
+    @given(st.integers(1, 4).flatmap(lambda d: st.tuples(
+        st.lists(st.lists(small, min_size=d, max_size=d), min_size=1, max_size=25),
+        st.lists(st.lists(small.filter(lambda v: v == v), min_size=d, max_size=d),
+                 min_size=1, max_size=6),
+        st.integers(1, 6), st.sampled_from([float("inf"), 1.5]))))
+    def test_block_topk_property(case):
+        train, test, k, bound = case
+        r = np.array(train, float)
+        q = np.array(test, float)
+        ids = (np.arange(len(train), dtype=np.int64) * 7919) % 10007  # unique, not in row order
+        qi, ri, dd = block_topk(q, r, ids, k, bound)
+        order, rank = rank_cut(qi, dd, ids[ri], k)
+        got = sorted(zip(qi[order].tolist(), ids[ri[order]].tolist(), dd[order].tolist()))
+        assert got == brute(q, r, ids, k, bound)
