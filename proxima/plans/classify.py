@@ -131,7 +131,10 @@ def choose_plan(train: DataFrame, test: DataFrame, dim: int, strategy: str = "au
         raise ValueError(f"train side is about {b_train} bytes, over the broadcast limit {limit}")
     if strategy == "broadcast_test" and b_test > limit:
         raise ValueError(f"test side is about {b_test} bytes, over the broadcast limit {limit}")
-    partitions = max(2 * parallelism, math.ceil(b_test / block))
+    # one task per block of test data, at least two per core and at most fifty per core:
+    # several block groups may share a task (groups are processed one at a time), so the cap
+    # bounds the shuffle's reducer count without growing any group
+    partitions = max(2 * parallelism, min(math.ceil(b_test / block), 50 * parallelism))
     # a side read in place keeps its input splits; a side small enough to move cheaply is
     # spread over every core, since each of its rows costs a pass over the other side
     movable = partitions * block
