@@ -95,6 +95,11 @@ def infer_dim(df: DataFrame, features: str) -> int:
     return int(row["n"])
 
 
+def partial_rows(n_test: int, train_bytes: int, block: int, k: int) -> int:
+    """Rows a test broadcast ships to its merge: k per test row from each train task."""
+    return max(1, math.ceil(train_bytes / block)) * n_test * k
+
+
 def count_sides(train: DataFrame, test: DataFrame) -> tuple[int, int]:
     """Row counts of both sides in one job (column pruning leaves only what a count needs)."""
     one = F.count(F.lit(1)).alias("n")
@@ -106,8 +111,13 @@ def count_sides(train: DataFrame, test: DataFrame) -> tuple[int, int]:
 
 def choose_plan(train: DataFrame, test: DataFrame, dim: int, strategy: str = "auto",
                 kernel: str = "numpy", broadcast_limit: int | None = None,
-                block_bytes: int | None = None) -> Plan:
-    """Count both sides (prepared frames) and pick the plan shape and its partitioning."""
+                block_bytes: int | None = None, k: int | None = None) -> Plan:
+    """Count both sides (prepared frames) and pick the plan shape and its partitioning.
+
+    With ``k``, a test broadcast is only chosen while its partial output -- up to k rows per
+    test row from every train task -- stays below the train side itself; past that (a large
+    test side against low-dimensional rows) the pruned pivot join moves less.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}, got {strategy!r}")
     if kernel not in KERNELS:
@@ -121,7 +131,7 @@ def choose_plan(train: DataFrame, test: DataFrame, dim: int, strategy: str = "au
     if strategy == "auto":
         if b_train <= limit:
             strategy = "broadcast_train"
-        elif b_test <= limit:
+        elif b_test <= limit and (k is None or partial_rows(n_test, b_train, block, k) <= n_train):
             strategy = "broadcast_test"
         else:
             strategy = "pivot" if kernel == "numpy" else "block"
@@ -216,7 +226,7 @@ def knn_neighbors(train: DataFrame, test: DataFrame, k: int, *, features: str =
     """
     check_k(k)
     tr, te, dim = _prepare(train, test, features, label, train_id, test_id, test_features, dim)
-    plan = choose_plan(tr, te, dim, strategy, kernel, broadcast_limit, block_bytes)
+    plan = choose_plan(tr, te, dim, strategy, kernel, broadcast_limit, block_bytes, k)
     return neighbours_for(tr, te, k, plan, max_distance)
 
 
@@ -235,7 +245,7 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int, *, features: str = "
     check_k(k)
     check_vote(vote)
     tr, te, dim = _prepare(train, test, features, label, train_id, test_id, test_features, dim)
-    plan = choose_plan(tr, te, dim, strategy, kernel, broadcast_limit, block_bytes)
+    plan = choose_plan(tr, te, dim, strategy, kernel, broadcast_limit, block_bytes, k)
     return classify_for(tr, te, k, plan, vote, max_distance)
 
 

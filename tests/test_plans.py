@@ -92,6 +92,14 @@ def test_auto_respects_broadcast_limit(sides):
         choose_plan(tr, te, 2, "broadcast_train", broadcast_limit=100)
 
 
+def test_auto_avoids_test_broadcast_whose_partial_output_outgrows_train(sides):
+    tr, te = sides  # 200 train rows, 50 test rows of 2 values (48 bytes each)
+    limit = 50 * 48
+    assert choose_plan(tr, te, 2, broadcast_limit=limit, k=3).strategy == "broadcast_test"
+    # 8 train tasks x 50 test rows x 3 > 200 train rows: the pruned join moves less
+    assert choose_plan(tr, te, 2, broadcast_limit=limit, block_bytes=1200, k=3).strategy == "pivot"
+
+
 def test_no_scan_reads_unused_columns(spark):
     from proxima.plans.queries import QUERIES
     text = plan_text(QUERIES["feature_label_split"](spark, "/root/testdata/sf0.001"))
