@@ -192,3 +192,18 @@ def test_snk_layouts_and_no_clobber(spark, tmp_path):
         write_predictions(pred, p1, "pairs")
     p3 = write_predictions(pred, str(tmp_path / "pq"), "parquet")
     assert spark.read.parquet(p3).count() == 3
+
+
+@pytest.mark.parametrize("shape", SHAPES, ids=shape_id)
+def test_empty_sides(spark, shape):
+    strategy, kernel, block = shape
+    kw = dict(strategy=strategy, kernel=kernel, block_bytes=block, dim=2)
+    empty_tr = spark.createDataFrame([], "row_id bigint, features array<double>, label double")
+    empty_te = spark.createDataFrame([], "row_id bigint, features array<double>")
+    tr = frame(spark, [(0, [0.0, 0.0], 1.0), (1, [1.0, 1.0], 0.0)])
+    te = frame(spark, [(5, [0.0, 1.0])], labelled=False)
+    got = knn_classify(empty_tr, te, 3, **kw).collect()
+    assert [(r.test_id, r.prediction) for r in got] == [(5, None)]
+    assert knn_neighbors(empty_tr, te, 3, **kw).collect() == []
+    assert knn_classify(tr, empty_te, 3, **kw).collect() == []
+    assert knn_neighbors(tr, empty_te, 3, **kw).collect() == []
