@@ -57,7 +57,7 @@ def _emb_pairs(spark, sf_dir, strategy="broadcast_train", dim=64):
     return candidate_pairs(tr, te, plan)
 
 
-def _emb_neighbours(spark, sf_dir, k, kernel="sql", strategy="broadcast_train", label="label"):
+def _emb_neighbours(spark, sf_dir, k, kernel="numpy", strategy="auto", label="label"):
     tr, te = _emb_prepared(spark, sf_dir, label=label)
     plan = choose_plan(tr, te, 64, strategy, kernel)
     return neighbours_for(tr, te, k, plan)
@@ -150,7 +150,9 @@ def q_distance_row(spark, sf_dir):
 
 
 def q_knn_topk(spark, sf_dir):
-    return _emb_neighbours(spark, sf_dir, K, "sql").select("test_id", "rank", "train_id", "distance")
+    """TOP-1 as the window operator itself: SQL kernel, train broadcast."""
+    return _emb_neighbours(spark, sf_dir, K, "sql", "broadcast_train").select(
+        "test_id", "rank", "train_id", "distance")
 
 
 def q_knn_topk_vectorized(spark, sf_dir):
@@ -164,7 +166,7 @@ def q_neighbor_list(spark, sf_dir):
 
 
 def q_neighbor_labels(spark, sf_dir):
-    neigh = _emb_neighbours(spark, sf_dir, K, "sql", "broadcast_test")
+    neigh = _emb_neighbours(spark, sf_dir, K, "numpy", "broadcast_test")
     e = T.embedding_vectors(spark, sf_dir)
     return attach_labels(neigh, e, "row_id", "raw_label").select("test_id", "rank", "label")
 
@@ -250,7 +252,7 @@ def q_classify_documents_quality(spark, sf_dir):
 
 def q_classify_documents_toxic(spark, sf_dir):
     tr, te = _docs(spark, sf_dir, "toxic")
-    return knn_classify(tr, te, K, dim=3, vote="label_sum", strategy="block", kernel="sql")
+    return knn_classify(tr, te, K, dim=3, vote="label_sum", strategy="pivot")
 
 
 def q_knn_documents(spark, sf_dir):
