@@ -87,6 +87,21 @@ def _conf_int(spark, key: str, default: int) -> int:
     return int(v) if v else default
 
 
+def _bytes_conf(spark, key: str, default: int) -> int:
+    """A size conf such as ``134217728``, ``128m`` or ``128MB``, in bytes."""
+    try:
+        raw = spark.conf.get(key)  # the effective value, Spark's own default included
+    except Exception:  # an unregistered key that was never set
+        raw = None
+    v = (raw or "").strip().lower().rstrip("b")
+    if not v:
+        return default
+    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    if v[-1] in scale:
+        return int(float(v[:-1]) * scale[v[-1]])
+    return int(v)
+
+
 def infer_dim(df: DataFrame, features: str) -> int:
     """Width of the first vector (one row is read); every row is then checked against it."""
     row = df.select(F.size(F.col(features)).alias("n")).where(F.col("n") >= 0).first()
@@ -145,10 +160,13 @@ def choose_plan(train: DataFrame, test: DataFrame, dim: int, strategy: str = "au
     # several block groups may share a task (groups are processed one at a time), so the cap
     # bounds the shuffle's reducer count without growing any group
     partitions = max(2 * parallelism, min(math.ceil(b_test / block), 50 * parallelism))
-    # a side read in place keeps its input splits; a side small enough to move cheaply is
-    # spread over every core, since each of its rows costs a pass over the other side
-    movable = partitions * block
-    spread_test, spread_train = b_test <= movable, b_train <= movable
+    # kNN is CPU-bound: a side read in place should bring at least two input splits per core.
+    # One whose estimated split count (bytes / maxPartitionBytes) falls short is spread over
+    # ``partitions`` tasks -- each of its rows costs a pass over the other side, which dwarfs
+    # moving the row; a side with enough splits is read where it lies
+    split = _bytes_conf(spark, "spark.sql.files.maxPartitionBytes", 128 << 20)
+    spread_test = math.ceil(b_test / split) < 2 * parallelism
+    spread_train = math.ceil(b_train / split) < 2 * parallelism
     plan = Plan(strategy, kernel, dim, n_train, n_test, partitions, 1, 1,
                 spread_test, spread_train, block)
     return block_grid(plan) if strategy == "block" else plan

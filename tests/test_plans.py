@@ -104,3 +104,18 @@ def test_no_scan_reads_unused_columns(spark):
     from proxima.plans.queries import QUERIES
     text = plan_text(QUERIES["feature_label_split"](spark, "/root/testdata/sf0.001"))
     assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>,label:int>" in text
+
+
+def test_spread_follows_estimated_input_splits(sides, spark):
+    """A side is spread only when its bytes would arrive in fewer splits than two per core."""
+    tr, te = sides  # 9600 and 2400 bytes of rows
+    cores = spark.sparkContext.defaultParallelism
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        plan = choose_plan(tr, te, 2)
+        assert plan.spread_test and plan.spread_train  # one split each: spread
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(9600 // (2 * cores)))
+        plan = choose_plan(tr, te, 2)
+        assert not plan.spread_train and plan.spread_test  # train now brings 2 splits per core
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
