@@ -4,11 +4,12 @@ One function replaces the three argument orders of the original programs; the pl
 parameter.  Every shape returns the same rows, because every one orders neighbours by
 ``(distance, train_id)``.
 
-Shape choice (``strategy='auto'``) counts both sides first -- two cheap actions; the counts
+Shape choice (``strategy='auto'``) counts both sides first -- one cheap job; the counts
 bound the bytes a broadcast would ship, so nothing is broadcast without a checked size:
 
 1. train fits under ``broadcast_limit`` -> train broadcast, test read in place (map-only);
-2. else test fits                      -> test broadcast, train read in place, one merge window;
+2. else test fits, and its partial output (k rows per test row from every train task) stays
+   below the train side               -> test broadcast, train read in place, one merge window;
 3. else                                 -> pivot-partitioned join with triangle-inequality
    pruning (NumPy kernel; ``operators/pivot.py``), or the block nested-loop join (SQL
    kernel), blocks sized to ``block_bytes`` so one group of two blocks fits in a task.
