@@ -116,7 +116,7 @@ def block_topk(q: np.ndarray, r: np.ndarray, r_ids: np.ndarray, k: int, bound: f
             mask = dist < kth
             need = k - mask.sum(axis=1, keepdims=True)
             tie = (dist == kth) & ok
-            mask |= tie & (np.cumsum(tie, axis=1) <= need)
+            mask |= tie & (np.cumsum(tie, axis=1, dtype=np.int32) <= need)
         else:
             mask = ok
         qi, ri = np.nonzero(mask)
