@@ -126,7 +126,16 @@ def block_topk(q: np.ndarray, r: np.ndarray, r_ids: np.ndarray, k: int, bound: f
     return np.concatenate(qs), np.concatenate(rs), np.concatenate(ds)
 
 
-def neighbours_table(q_ids, r_ids, r_labels, qi, ri, d, k) -> pa.Table:
+def label_arrays(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels as float64 plus a validity mask: NULL stays missing, apart from a NaN label."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    values = col.cast(pa.float64()).to_numpy(zero_copy_only=False).astype(np.float64)
+    valid = np.asarray(col.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
+    return values, valid
+
+
+def neighbours_table(q_ids, r_ids, r_labels, qi, ri, d, k, r_valid=None) -> pa.Table:
     order, rank = rank_cut(qi, d, r_ids[ri], k)
     qi, ri = qi[order], ri[order]
     return pa.table({
@@ -134,13 +143,21 @@ def neighbours_table(q_ids, r_ids, r_labels, qi, ri, d, k) -> pa.Table:
         "rank": pa.array(rank, pa.int32()),
         "train_id": pa.array(r_ids[ri], pa.int64()),
         "distance": pa.array(d[order], pa.float64()),
-        "label": pa.array(r_labels[ri], pa.float64()),
+        "label": pa.array(r_labels[ri], pa.float64(),
+                          mask=None if r_valid is None else ~r_valid[ri]),
     })
 
 
-def vote_arrays(q_ids: np.ndarray, qi: np.ndarray, labels: np.ndarray, vote: str) -> pa.Table:
-    """Predictions for every query row from its kept neighbours (NULL when it has none)."""
+def vote_arrays(q_ids: np.ndarray, qi: np.ndarray, labels: np.ndarray, vote: str,
+                valid: np.ndarray | None = None) -> pa.Table:
+    """Predictions for every query row from its kept neighbours (NULL when it has none).
+
+    Neighbours with a NULL label (``valid`` False) do not vote, as ``count(label)`` skips them
+    in the SQL form; a NaN label counts as non-zero there and here.
+    """
     m = q_ids.size
+    if valid is not None:
+        qi, labels = qi[valid], labels[valid]
     n = np.bincount(qi, minlength=m)
     if vote == "nonzero_majority":
         zeros = np.bincount(qi, weights=(labels == 0).astype(np.float64), minlength=m)
@@ -164,7 +181,7 @@ def collect_side(df: DataFrame, id_col: str, feat_col: str, dim: int, label: str
     x = matrix(tbl.column(feat_col), dim)
     out = {"ids": ids, "x": x}
     if label:
-        out["labels"] = tbl.column(label).to_numpy(zero_copy_only=False).astype(np.float64)
+        out["labels"], out["valid"] = label_arrays(tbl.column(label))
     return out
 
 
@@ -190,10 +207,11 @@ def neighbours_broadcast_train(test: DataFrame, train: DataFrame, k: int, dim: i
             q = matrix(batch.column(1), dim)
             qi, ri, d = block_topk(q, tr["x"], tr["ids"], k, bound)
             if vote is None:
-                tbl = neighbours_table(q_ids, tr["ids"], tr["labels"], qi, ri, d, k)
+                tbl = neighbours_table(q_ids, tr["ids"], tr["labels"], qi, ri, d, k, tr["valid"])
             else:
                 order, _ = rank_cut(qi, d, tr["ids"][ri], k)
-                tbl = vote_arrays(q_ids, qi[order], tr["labels"][ri[order]], vote)
+                tbl = vote_arrays(q_ids, qi[order], tr["labels"][ri[order]], vote,
+                                  tr["valid"][ri[order]])
             yield from tbl.to_batches()
 
     return t.mapInArrow(run, PREDICTION_SCHEMA if vote else NEIGHBOUR_SCHEMA)
@@ -214,13 +232,13 @@ def neighbours_broadcast_test(test: DataFrame, train: DataFrame, k: int, dim: in
     def run(batches):
         ts = bc.value
         q_ids, q = ts["ids"], ts["x"]
-        best = None  # (qi, train ids, distances, labels) of the running top-k
+        best = None  # (qi, train ids, distances, labels, label valid) of the running top-k
         for batch in batches:
             r_ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             x = matrix(batch.column(1), dim)
-            labels = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+            labels, valid = label_arrays(batch.column(2))
             qi, ri, d = block_topk(q, x, r_ids, k, bound)
-            cand = (qi, r_ids[ri], d, labels[ri])
+            cand = (qi, r_ids[ri], d, labels[ri], valid[ri])
             if best is not None:
                 cand = tuple(np.concatenate([a, b]) for a, b in zip(best, cand))
             order, _ = rank_cut(cand[0], cand[2], cand[1], k)
@@ -231,7 +249,7 @@ def neighbours_broadcast_test(test: DataFrame, train: DataFrame, k: int, dim: in
                 "test_id": pa.array(q_ids[best[0][order]], pa.int64()),
                 "train_id": pa.array(best[1][order], pa.int64()),
                 "distance": pa.array(best[2][order], pa.float64()),
-                "label": pa.array(best[3][order], pa.float64()),
+                "label": pa.array(best[3][order], pa.float64(), mask=~best[4][order]),
             })
 
     partial = r.mapInArrow(run, "test_id bigint, train_id bigint, distance double, label double")
@@ -272,9 +290,9 @@ def block_kernel(k: int, dim: int, bound: float):
             return pa.Table.from_batches([], schema=_NEIGHBOUR_ARROW)
         q = matrix(left.column(TEST_F), dim)
         x = matrix(right.column(TRAIN_F), dim)
-        labels = right.column("label").to_numpy(zero_copy_only=False).astype(np.float64)
+        labels, valid = label_arrays(right.column("label"))
         qi, ri, d = block_topk(q, x, r_ids, k, bound)
-        return neighbours_table(q_ids, r_ids, labels, qi, ri, d, k)
+        return neighbours_table(q_ids, r_ids, labels, qi, ri, d, k, valid)
 
     return run
 

@@ -207,3 +207,20 @@ def test_empty_sides(spark, shape):
     assert knn_neighbors(empty_tr, te, 3, **kw).collect() == []
     assert knn_classify(tr, empty_te, 3, **kw).collect() == []
     assert knn_neighbors(tr, empty_te, 3, **kw).collect() == []
+
+
+@pytest.mark.parametrize("shape", SHAPES, ids=shape_id)
+def test_null_label_does_not_vote(spark, shape):
+    """A neighbour without a label is reported with a NULL label and left out of the vote."""
+    strategy, kernel, block = shape
+    tr = spark.createDataFrame([(0, [0.0, 0.0], None), (1, [1.0, 0.0], 0.0), (2, [0.0, 2.0], 1.0),
+                                (3, [9.0, 9.0], 1.0)],
+                               "row_id bigint, features array<double>, label double")
+    te = frame(spark, [(0, [0.0, 0.0])], labelled=False)
+    kw = dict(strategy=strategy, kernel=kernel, block_bytes=block)
+    neigh = sorted(knn_neighbors(tr, te, 2, **kw).collect(), key=lambda r: r.rank)
+    assert [(r.train_id, r.label) for r in neigh] == [(0, None), (1, 0.0)]
+    # votes over the labelled neighbour only: one 0 -> nonzero 0, label_sum 0
+    assert knn_classify(tr, te, 2, vote="nonzero_majority", **kw).collect()[0].prediction == 0
+    # k = 3: labels None, 0, 1 -> one each: nonzero tie -> 1
+    assert knn_classify(tr, te, 3, vote="nonzero_majority", **kw).collect()[0].prediction == 1
