@@ -47,12 +47,18 @@ TRAIN_LINES = ["0 0 0", "0 1 0", "3 4 1", "4 3 1", "5 5 1", "0 -1 1"]
 TEST_LINES = ["0 0 0", "4 4 1", "0 2 0"]
 
 
-@pytest.fixture()
-def hand(spark, tmp_path):
-    """The hand fixture of FIXTURES.md: (train, test) frames read from text files."""
+@pytest.fixture(scope="module")
+def hand(spark, tmp_path_factory):
+    """The hand fixture of FIXTURES.md: (train, test) frames read from text files.
+
+    Read once per module and checkpointed, so the many plan shapes tested against it do not
+    re-read the files (the text reader itself is tested in ``test_edges``).
+    """
+    from proxima.session import materialize
     from proxima.sources.text import read_vectors
-    tr = read_vectors(spark, write_lines(tmp_path / "train.txt", TRAIN_LINES))
-    te = read_vectors(spark, write_lines(tmp_path / "test.txt", TEST_LINES)).drop("label")
+    d = tmp_path_factory.mktemp("hand")
+    tr = materialize(read_vectors(spark, write_lines(d / "train.txt", TRAIN_LINES)))
+    te = materialize(read_vectors(spark, write_lines(d / "test.txt", TEST_LINES)).drop("label"))
     return tr, te
 
 
