@@ -10,10 +10,12 @@ coordinates propose candidates: a pair of similarity 0.8 shares no band with pro
 Work is kept linear in hot groups:
 
 * documents with equal sets form one class (128-bit set hash) and only the smallest id goes on;
-* round 1 links each class to one centre, the smallest id of the bucket it shares most often, and
-  confirms that single link; components of these links are computed;
-* round 2 takes, inside each bucket, pairs of *different* components only, drops those whose sizes
-  or 128 one-bit coordinates rule out the threshold, and confirms the rest.
+* round 1 compares each class with one centre, the best connected member of the buckets it is in,
+  and confirms that single link; components of these links are computed;
+* round 2 takes, inside each bucket, pairs of *different* components only and drops those that cannot
+  reach the threshold: by their sizes, by 128 one-bit coordinates, or because two sets with the same
+  centre share no more than the smaller of what each has in common with it, plus what they share
+  besides (bounded by a bitmap of the shingles the centre lacks).  The rest is confirmed.
 
 Every confirmed link has ``100 * |A & B| >= 100 * threshold * |A | B|`` on the full sets.
 
@@ -39,6 +41,7 @@ SKETCH_BITS = 128
 #: One-bit coordinates that may differ: at similarity s a bit differs with probability (1-s)/2,
 #: so 128 bits at s = 0.8 differ in 12.8 on average (deviation 3.4); 40 lies eight deviations off.
 SKETCH_SLACK_SIGMAS = 8.0
+EXTRA_BITS = 1024
 
 _SIG_SCHEMA = ("doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, s1 bigint, s2 bigint, bands array<bigint>")
 
@@ -114,30 +117,62 @@ def _sets(size: int):
     return run
 
 
+def _common(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.intersect1d(p, q, assume_unique=True)
+
+
+def _linked(same, n, m, percent: int):
+    """100 * |A & B| >= percent * |A | B|, from the sizes; for numbers or columns."""
+    return same * (100 + percent) >= percent * (n + m)
+
+
 def _confirm(percent: int):
     def run(batches):
         for batch in batches:
             a, b, x, y = (batch.column(i) for i in range(4))
             keep = []
             for p, q in zip(x, y):
-                p, q = np.frombuffer(p.as_py(), U64), np.frombuffer(q.as_py(), U64)
-                same = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * same >= percent * (len(p) + len(q) - same))
+                p, q = np.frombuffer(p.as_buffer(), U64), np.frombuffer(q.as_buffer(), U64)
+                keep.append(_linked(len(_common(p, q)), len(p), len(q), percent))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full shingle sets reach the threshold.  Sets are made only for
-    documents on a pair and travel once per pair."""
+_FACTS = "a bigint, b bigint, linked boolean, common bigint, spare bigint, extra array<bigint>"
+
+
+def _against_centre(percent: int):
+    """What a set (b) has in common with its centre (a), and a bitmap of what it has besides; ``spare``
+    is how many of those the bitmap hides by putting two in one place."""
+    def run(batches):
+        for batch in batches:
+            cols = [batch.column(0), batch.column(1), [], [], [], []]
+            for p, q in zip(batch.column(2), batch.column(3)):
+                p, q = np.frombuffer(p.as_buffer(), U64), np.frombuffer(q.as_buffer(), U64)
+                same = len(_common(p, q))
+                own = np.setdiff1d(q, p, assume_unique=True)
+                bits = np.zeros(EXTRA_BITS, np.uint8)
+                bits[(mix(own) % U64(EXTRA_BITS)).astype(np.int64)] = 1
+                cols[2].append(_linked(same, len(p), len(q), percent))
+                cols[3].append(same)
+                cols[4].append(len(own) - int(bits.sum()))
+                cols[5].append(np.packbits(bits).view(np.int64))
+            types = [None, None, pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([c if t is None else pa.array(c, t) for c, t in zip(cols, types)],
+                                             names=[x.split()[0] for x in _FACTS.split(", ")])
+    return run
+
+
+def _with_sets(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``a, b`` and their full shingle sets.  Sets are made only for documents on a pair and travel
+    once per pair."""
     pairs = written(pairs, "pairs")
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
     sets = joined_if_small(docs, ids, "doc_id", "left_semi").mapInArrow(_sets(size), "id bigint, shingles binary")
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    return both.mapInArrow(_confirm(percent), "a bigint, b bigint")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
@@ -151,35 +186,58 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         F.min_by(F.struct("n_shingles", "s1", "s2", "bands"), "doc_id").alias("x")
     ).select("h1", "h2", "rep", "x.*"), "classes")
 
-    # bucket members, only of buckets with company
+    # bucket members, only of buckets with company; the centre of a bucket is its member that meets
+    # the most others over all its buckets, the smallest id among equals
     rows = classes.select("rep", F.explode("bands").alias("key"))
-    crowd = rows.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    crowd = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(rows.join(crowd, "key"), "members")
+    met = members.groupBy("rep").agg(F.sum("n").alias("met"))
+    ranked = members.select("key", "rep").join(met, "rep")
+    centres = ranked.groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("c"))).alias("m")).select(
+        "key", (-F.col("m.c")).alias("centre"))
 
-    # round 1: one centre per class
-    best = (members.where("rep <> centre").groupBy("rep", "centre").agg(F.count(F.lit(1)).alias("n"))
+    # round 1: each class against one centre, the one it shares most buckets with
+    best = (members.join(centres, "key").where("rep <> centre").groupBy("rep", "centre").agg(F.count(F.lit(1)).alias("n"))
             .groupBy("rep").agg(F.max(F.struct("n", (-F.col("centre")).alias("c"))).alias("m"))
             .select((-F.col("m.c")).alias("a"), F.col("rep").alias("b")))
-    links = written(confirmed(best, docs, shingle_words, percent), "links")
-    comp1 = written(connected_components(links), "components")
+    facts = written(_with_sets(best, docs, shingle_words).mapInArrow(_against_centre(percent), _FACTS).groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("n"), F.max("linked").alias("linked"), F.first("common").alias("common"),
+        F.first("spare").alias("spare"), F.first("extra").alias("extra")), "facts")
+    links = facts.where("linked").select("a", "b")
+    comp1 = connected_components(links)
 
     # round 2: pairs of different components inside a bucket
+    c = F.col
     placed = (members.select("key", "rep").join(comp1.withColumnRenamed("id", "rep"), "rep", "left")
               .select("key", "rep", F.coalesce("component_id", "rep").alias("comp")))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    facts = classes.select("rep", "n_shingles", "s1", "s2")
-    m = written(placed.join(mixed, "key").join(facts, "rep"), "mixed-members")
+    # a repeated id has more than one set: no bound is used for it
+    told = facts.where("n = 1").select(c("b").alias("rep"), c("a").alias("centre"), "common", "spare",
+                        *(c("extra")[i].alias(f"e{i}") for i in range(EXTRA_BITS // 64)))
+    known = classes.select("rep", "n_shingles", "s1", "s2").join(told, "rep", "left")
+    m = written(placed.join(mixed, "key").join(known, "rep"), "mixed-members")
     share = percent / 100
     bits = SKETCH_BITS * (1 - share) / 2
     slack = int(bits + SKETCH_SLACK_SIGMAS * (bits * (1 + share) / 2) ** 0.5)
     x, y = m.alias("x"), m.alias("y")
-    c = F.col
+
+    def both(name, f):
+        return f(c(f"x.{name}"), c(f"y.{name}"))
+
+    def shared_bits(names):
+        return sum((F.bit_count(c(f"x.{n}").bitwiseAND(c(f"y.{n}"))) for n in names), F.lit(0))
+    n, k = c("x.n_shingles"), c("y.n_shingles")
+    differ = both("s1", lambda a, b: F.bit_count(a.bitwiseXOR(b))) + both("s2", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    # the intersection is at most what both share with their common centre and what the bitmaps allow
+    most = both("common", F.least) + shared_bits([f"e{i}" for i in range(EXTRA_BITS // 64)]) + both("spare", F.least)
+    one_centre = F.coalesce(c("x.centre") == c("y.centre"), F.lit(False))
+    tested = F.coalesce(c("x.centre") == c("y.rep"), F.lit(False)) | F.coalesce(c("y.centre") == c("x.rep"), F.lit(False))
     pairs = (x.join(y, (c("x.key") == c("y.key")) & (c("x.comp") < c("y.comp"))
-                    & (100 * F.least(c("x.n_shingles"), c("y.n_shingles")) >= percent * F.greatest(c("x.n_shingles"), c("y.n_shingles")))
-                    & (F.bit_count(c("x.s1").bitwiseXOR(c("y.s1"))) + F.bit_count(c("x.s2").bitwiseXOR(c("y.s2"))) <= slack))
+                    & (100 * F.least(n, k) >= percent * F.greatest(n, k)) & (differ <= slack)
+                    & ~tested & (~one_centre | _linked(most, n, k, percent)))
              .select(c("x.rep").alias("a"), c("y.rep").alias("b")).distinct())
-    more = confirmed(pairs, docs, shingle_words, percent)
-    comp = written(connected_components(links.union(more)), "components").withColumnRenamed("id", "rep")
+    more = _with_sets(pairs, docs, shingle_words).mapInArrow(_confirm(percent), "a bigint, b bigint")
+    comp = connected_components(links.union(more)).withColumnRenamed("id", "rep")
 
     by_class = classes.select("h1", "h2", "rep").join(comp, "rep", "left").select(
         "h1", "h2", F.coalesce("component_id", "rep").alias("component_id"))
