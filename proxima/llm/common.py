@@ -41,7 +41,7 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate (for a file scan: the bytes of the files). Layout choices only."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def joined_if_small(big: DataFrame, small: DataFrame, on: str, how: str, max_rows: int = 1_000_000) -> DataFrame:

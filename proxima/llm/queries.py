@@ -10,8 +10,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from proxima.llm.bpe import encode_digests
 from proxima.llm.common import table
+from proxima.llm.counts import token_counts
+from proxima.llm.embeddings import near_duplicate_vectors
+from proxima.llm.extract import extract_main_text
+from proxima.llm.fingerprints import edited_pairs
+from proxima.llm.langid import identify_languages
 from proxima.llm.minhash import near_duplicates
+from proxima.llm.packing import pack_report
+from proxima.llm.substrings import substring_report
+from proxima.llm.warc import capture_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,7 +33,67 @@ def register(fn, sql: str | None = None):
     return fn
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public tokenizer file: the only one the queries use; operators take any path."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 @register
 def op1_minhash_near_dedup(spark, sf_dir):
     """Components of documents linked at similarity 0.8 on two-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
+@register
+def op2_substring_dedup(spark, sf_dir):
+    """Words covered by 50-word windows that also start in an earlier document."""
+    return substring_report(table(spark, sf_dir, "documents"))
+
+
+@register
+def op3_html_extraction(spark, sf_dir):
+    """Main text of every page."""
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@register
+def op4_document_fingerprints(spark, sf_dir):
+    """Fingerprints of every text and its edited text, with their likeness."""
+    return edited_pairs(table(spark, sf_dir, "documents"))
+
+
+@register
+def op5_packing(spark, sf_dir):
+    """Length bucket and batch of every document."""
+    return pack_report(table(spark, sf_dir, "documents"))
+
+
+@register
+def op6_warc(spark, sf_dir):
+    """Pages written as WARC archives, read back and merged into one capture index."""
+    return capture_report(table(spark, sf_dir, "pages"))
+
+
+@register
+def op7_embedding_near_dedup(spark, sf_dir):
+    """Links and components of vectors at cosine 0.95."""
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op8_bpe(spark, sf_dir):
+    """Digests of the ids and of the decoded text of every document."""
+    return encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@register
+def op9_token_counts(spark, sf_dir):
+    """Bytes and tokens of every document."""
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@register
+def op10_language_id(spark, sf_dir):
+    """Predicted language of every document, trained on four fifths of the labelled ones."""
+    return identify_languages(table(spark, sf_dir, "documents"))
