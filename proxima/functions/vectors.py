@@ -49,17 +49,18 @@ def euclidean(a, b, dim: int | None = None) -> Column:
     return F.sqrt(squared_distance(a, b, dim))
 
 
-def checked_dim(features, dim: int, what: str = "vector") -> Column:
-    """``features`` unchanged, or a runtime error naming the row's size when it is not ``dim``.
+def checked_dim(features, dim: int, what: str = "vector", row_id=None) -> Column:
+    """``features`` unchanged, or a runtime error naming the row and its size when it is not ``dim``.
 
     The check is a lazy per-row expression, so it costs no extra pass over the data and both
     distance forms see only vectors of the declared width.
     """
     f = _col(features)
+    row = F.lit("") if row_id is None else F.concat(
+        F.lit(" of row "), F.coalesce(_col(row_id).cast("string"), F.lit("NULL")))
+    size = F.when(f.isNull(), F.lit("no")).otherwise(F.size(f).cast("string"))
     return F.when(F.size(f) == F.lit(dim), f).otherwise(
-        F.raise_error(F.concat(
-            F.lit(f"{what} has "), F.size(f).cast("string"),
-            F.lit(f" values where {dim} were declared"))))
+        F.raise_error(F.concat(F.lit(what), row, F.lit(" has "), size, F.lit(f" values where {dim} were declared"))))
 
 
 def feature_part(values, dim: int | None = None) -> Column:

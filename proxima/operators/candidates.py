@@ -1,34 +1,29 @@
-"""Candidate pairs: every (test row, train row) with its distance, as a lazy DataFrame.
+"""Frames of the kNN operators and how their rows are dealt to tasks.
 
 Frames flowing between operators use fixed column names:
 
 * train      ``train_id BIGINT, train_features ARRAY<DOUBLE>, label DOUBLE``
 * test       ``test_id BIGINT, test_features ARRAY<DOUBLE>``
-* candidates ``test_id, train_id, distance DOUBLE, label``
+* candidates ``test_id, train_id, distance DOUBLE, label``: at most k winners per test row and task
 
-Four join shapes produce the same candidates; they differ only in what moves:
-
-* ``pairs_broadcast_train`` -- test hash-partitioned on ``test_id``, train broadcast; the
-  candidates of a test row are born in one task, so the later top-k window needs no exchange.
-* ``pairs_broadcast_test``  -- train stays where it is, test broadcast; the top-k window gets
-  a partial group limit before its exchange, so at most k rows per test row leave a task.
-* ``pairs_block``           -- neither side fits in memory: both are hashed into blocks,
-  replicated over the block grid and equi-joined on the block pair (block nested-loop join).
-* ``pairs_cartesian``       -- the plain cross product; Spark picks the physical join.
-
-Broadcasting is only done by callers that have checked the size of the broadcast side.
+Row ids are never NULL (a NULL id raises) and unique on each side (``plans/classify.py`` checks it).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proxima.functions.vectors import checked_dim, euclidean
+from proxima.functions.vectors import checked_dim
 
 TEST_ID, TRAIN_ID = "test_id", "train_id"
 TEST_F, TRAIN_F = "test_features", "train_features"
-CANDIDATE_COLUMNS = [TEST_ID, TRAIN_ID, "distance", "label"]
+
+
+def checked_id(row_id: str, what: str) -> Column:
+    """The row id as BIGINT; a NULL one raises when the row is read."""
+    c = F.col(row_id).cast("bigint")
+    return F.coalesce(c, F.raise_error(F.lit(f"{what} row with a NULL {row_id}")).cast("bigint"))
 
 
 def prepare_train(df: DataFrame, features: str = "features", label: str = "label",
@@ -36,8 +31,8 @@ def prepare_train(df: DataFrame, features: str = "features", label: str = "label
     """Rename a labelled frame to the train contract; with ``dim``, check every row's width."""
     f = F.col(features).cast("array<double>")
     if dim is not None:
-        f = checked_dim(f, dim, "train vector")
-    return df.select(F.col(row_id).cast("bigint").alias(TRAIN_ID), f.alias(TRAIN_F),
+        f = checked_dim(f, dim, "train vector", row_id)
+    return df.select(checked_id(row_id, "train").alias(TRAIN_ID), f.alias(TRAIN_F),
                      F.col(label).cast("double").alias("label"))
 
 
@@ -46,28 +41,8 @@ def prepare_test(df: DataFrame, features: str = "features", row_id: str = "row_i
     """Rename an unlabelled frame to the test contract; with ``dim``, check every row's width."""
     f = F.col(features).cast("array<double>")
     if dim is not None:
-        f = checked_dim(f, dim, "test vector")
-    return df.select(F.col(row_id).cast("bigint").alias(TEST_ID), f.alias(TEST_F))
-
-
-def _with_distance(pairs: DataFrame, dim: int | None) -> DataFrame:
-    return pairs.select(TEST_ID, TRAIN_ID, euclidean(TEST_F, TRAIN_F, dim).alias("distance"), "label")
-
-
-def pairs_broadcast_train(test: DataFrame, train: DataFrame, dim: int | None,
-                          partitions: int | None = None) -> DataFrame:
-    """Train broadcast against the test side.
-
-    With ``partitions`` (the plan's choice for a test side small enough to move cheaply) the
-    test side is hash-partitioned on ``test_id``: the candidates of a row are then born in one
-    task and the window needs no further exchange, and the explicit count keeps adaptive
-    execution from folding the CPU-bound stage into a few tasks.  Without it the test side is
-    read where it lies: each task cuts its candidates to k per test row (partial window group
-    limit) and only those are shuffled.
-    """
-    if partitions is not None:
-        test = test.repartition(partitions, TEST_ID)
-    return _with_distance(test.crossJoin(F.broadcast(train)), dim)
+        f = checked_dim(f, dim, "test vector", row_id)
+    return df.select(checked_id(row_id, "test").alias(TEST_ID), f.alias(TEST_F))
 
 
 def spread(df: DataFrame, partitions: int | None) -> DataFrame:
@@ -79,12 +54,6 @@ def spread(df: DataFrame, partitions: int | None) -> DataFrame:
     return df if partitions is None else df.repartition(partitions)
 
 
-def pairs_broadcast_test(test: DataFrame, train: DataFrame, dim: int | None,
-                         partitions: int | None = None) -> DataFrame:
-    """Test broadcast against the train side (spread over ``partitions`` tasks when given)."""
-    return _with_distance(spread(train, partitions).crossJoin(F.broadcast(test)), dim)
-
-
 def block_of(id_col: str, blocks: int):
     return F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks).cast("bigint"))
 
@@ -94,41 +63,8 @@ def replicate(blocks: int):
     return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
 
 
-def pairs_block(test: DataFrame, train: DataFrame, dim: int | None,
-                test_blocks: int, train_blocks: int, partitions: int | None = None) -> DataFrame:
-    """Block nested-loop join for two sides too large to broadcast.
-
-    A test row goes to block ``tb = hash(test_id) mod test_blocks`` and is copied to every
-    train block; a train row the other way round.  Each ``(tb, rb)`` group then holds exactly
-    one block of each side, so every pair is produced once, and the group size is bounded by
-    the block sizes whatever the key distribution (ids are unique and hashed).  Both sides are
-    hash-partitioned on the block pair into ``partitions`` tasks (default: one per pair), so
-    the join reuses that partitioning and adaptive execution cannot fold the CPU-bound pairs
-    into a few tasks.
-    """
-    n = partitions or test_blocks * train_blocks
-    t = block_rows(test, TEST_ID, test_blocks, train_blocks, "tb", "rb").repartition(n, "tb", "rb")
-    r = block_rows(train, TRAIN_ID, train_blocks, test_blocks, "rb", "tb").repartition(n, "tb", "rb")
-    return _with_distance(t.join(r, ["tb", "rb"]), dim)
-
-
 def block_rows(df: DataFrame, id_col: str, own_blocks: int, other_blocks: int,
                own: str, other: str) -> DataFrame:
     """Rows tagged with their own block and copied once per block of the other side."""
     return df.select("*", block_of(id_col, own_blocks).alias(own),
                      replicate(other_blocks).alias(other))
-
-
-def pairs_cartesian(test: DataFrame, train: DataFrame, dim: int | None) -> DataFrame:
-    """The unconditioned cross product of the two sides (the original cartesian program)."""
-    return _with_distance(test.crossJoin(train), dim)
-
-
-def admissible(candidates: DataFrame, max_distance: float | None = None) -> DataFrame:
-    """Candidates that may become neighbours: distance strictly below the bound.
-
-    The default bound is +Infinity, which drops NULL, NaN (``NaN < Infinity`` is false in
-    Spark) and infinite distances, as the original selection loops never pick them.
-    """
-    bound = float("inf") if max_distance is None else float(max_distance)
-    return candidates.where(F.col("distance") < F.lit(bound))

@@ -1,14 +1,7 @@
-"""Diagnostics over candidate frames: per-row statistics and per-stage row counts.
+"""Row counts per stage without a pass per stage.
 
-For statistics over *all* pairs of large inputs use ``vectorized.pair_stats``, which computes
-them block by block without turning pairs into rows; the functions here aggregate a candidate
-frame the caller already has.
-
-All are bounded aggregations (partial on the map side, final after one exchange); no
-candidate list is ever gathered into one group.  The original's dense "distance row" (every
-distance of a test row, in train order) is summarised by its length, its first and last
-entries and its minimum instead of being materialised: a row of |train| values per test row
-does not fit a task once the train side is large.
+For statistics over all pairs of a row use ``vectorized.pair_stats``, which computes them block by
+block without turning pairs into rows.
 """
 
 from __future__ import annotations
@@ -17,47 +10,22 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-def candidate_stats(candidates: DataFrame) -> DataFrame:
-    """``test_id, n, min_d, max_d`` per test row (the grouping of candidates by test row)."""
-    return candidates.groupBy("test_id").agg(
-        F.count(F.lit(1)).cast("bigint").alias("n"),
-        F.min("distance").alias("min_d"),
-        F.max("distance").alias("max_d"),
-    )
-
+def stage_counts(stats: DataFrame, train_rows: int, k: int) -> DataFrame:
+    """``stage, rows`` for the stages of a classification, from one pass of the pair statistics.
 
-def distance_row_stats(candidates: DataFrame) -> DataFrame:
-    """``test_id, n, first_d, last_d, min_d``: the distance row of each test row, summarised.
-
-    ``first_d``/``last_d`` are the distances to the lowest/highest train id -- the first and last
-    cells of the row in train order.
+    ``stats`` has a row per test row: ``n`` pairs, ``n_admissible`` of them below the bound asked for
+    and ``n_finite`` that can be neighbours.  A test row keeps ``least(k, n_finite)`` neighbours and
+    gets one prediction, so every count is a sum over those rows.
     """
-    return candidates.groupBy("test_id").agg(
-        F.count(F.lit(1)).cast("bigint").alias("n"),
-        F.min_by("distance", "train_id").alias("first_d"),
-        F.max_by("distance", "train_id").alias("last_d"),
-        F.min("distance").alias("min_d"),
-    )
-
-
-def admissible_counts(candidates: DataFrame, test_ids: DataFrame,
-                      max_distance: float | None = None) -> DataFrame:
-    """``test_id, n_candidates``: admissible candidates per test row, 0 when there are none."""
-    bound = float("inf") if max_distance is None else float(max_distance)
-    ok = (F.col("distance") < F.lit(bound))
-    rows = candidates.select("test_id", ok.alias("ok")).unionByName(
-        test_ids.select(F.col("test_id").cast("bigint"), F.lit(False).alias("ok")))
-    return rows.groupBy("test_id").agg(F.count_if(F.col("ok")).cast("bigint").alias("n_candidates"))
-
-
-def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
-    """``stage, rows``: the row count of each named frame, as one result."""
-    parts = [df.agg(F.count(F.lit(1)).cast("bigint").alias("rows"))
-             .select(F.lit(name).alias("stage"), "rows") for name, df in stages.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    totals = stats.agg(
+        F.lit(train_rows).cast("bigint").alias("train"), F.count(F.lit(1)).alias("test"),
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("pairs"),
+        F.coalesce(F.sum("n_admissible"), F.lit(0)).cast("bigint").alias("admissible"),
+        F.coalesce(F.sum(F.least(F.lit(k), "n_finite")), F.lit(0)).cast("bigint").alias("neighbours"),
+        F.count(F.lit(1)).alias("predictions"))
+    stages = ["train", "test", "pairs", "admissible", "neighbours", "predictions"]
+    pairs = F.array(*(F.struct(F.lit(s).alias("stage"), F.col(s).alias("rows")) for s in stages))
+    return totals.select(F.inline(pairs))
 
 
 def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:

@@ -6,23 +6,24 @@ Lu, Shen, Chen, Ooi, VLDB 2012):
 
 1. ``P`` pivots are taken from the train side (the rows with the smallest id hashes; a bounded
    ``orderBy().limit()``, planned as a per-partition top-P).
-2. Every test row goes to the part of its nearest pivot; per part the count and the radius
-   ``T_i`` (largest distance of a member to its pivot) are aggregated -- one row per part.
+2. Every test row goes to the part of its nearest pivot, and inside the part to a *ring* of distances
+   to it.  The distances are computed once and written; rings are cut at quantiles of the part,
+   so a few far rows widen only their own ring.
 3. The k train rows nearest to each pivot bound the answer: for a test row q of part i,
-   ``d(q, r) <= d(q, p_i) + d(p_i, r)``, so q has k train rows within
-   ``theta_i = T_i + kth_i``.
-4. A train row r is sent to part i only if it may beat that bound:
-   ``d(q, r) >= d(r, p_i) - d(q, p_i) >= d(r, p_i) - T_i``, so r is needed only when
-   ``d(r, p_i) <= T_i + theta_i``.  A small relative slack covers rounding in the bound
-   (it can only add candidates).  Rows with NaN features are never neighbours and are dropped.
-5. Each part is split into test sub-blocks x train sub-blocks of bounded size (a part holding a
+   ``d(q, r) <= d(q, p_i) + d(p_i, r)``, so every q of a ring with distances in [lo, hi] has k train
+   rows within ``theta = hi + kth_i``.
+4. A train row r is sent to a ring only if it may beat that bound: ``d(q, r)`` is at least
+   ``|d(r, p_i) - d(q, p_i)|``, so r is needed only when ``lo - theta <= d(r, p_i) <= hi + theta``.  A
+   small relative slack covers rounding (it can only add candidates).  The rows sent are written
+   once.  Rows without a finite distance are never neighbours and are dropped; a test row that is
+   not finite meets none.
+5. Each ring is split into test sub-blocks x train sub-blocks of bounded size (a ring holding a
    third of the rows is split like any other), the block kernel keeps k per test row and
    sub-block, and a window merges the train sub-blocks.
 
-Every step is a Spark job over the whole data; only the pivots (P vectors), the per-part
-statistics (P rows) and the per-pivot bounds (P x k rows) reach the driver.  With poorly
-separable data (high dimension) pruning weakens and the plan degrades towards the block join
-plus a pass over the pivots; it never loses a neighbour.
+Only the pivots, one row of statistics per ring and ``P x k`` bounds reach the driver; their number is
+bounded by ``PIVOT_BYTES``.  Whether pruning pays is judged beforehand on two bounded samples, and
+the block join takes over if not: that decides the plan, never the rows.
 """
 
 from __future__ import annotations
@@ -38,27 +39,31 @@ from proxima.operators.candidates import TEST_F, TEST_ID, TRAIN_F, TRAIN_ID
 from proxima.operators.topk import check_k, top_k
 from proxima.operators.vectorized import (CHUNK_CELLS, NEIGHBOUR_SCHEMA, block_kernel,
                                           distance_block, matrix, neighbours_broadcast_test)
+from proxima.session import send, written
 
-SLACK = 1e-9  # relative widening of the pruning radius, far above double rounding error
+SLACK = 1e-9  # relative widening of the pruning bounds, far above double rounding error
 
-
-# Fall back to the block join when the pruned plan would still compare more than this share
-# of all pairs (high-dimensional data separates poorly around pivots).
+# Fall back to the block join when the sample says that the pruned plan would still compare more
+# than this share of all pairs (high-dimensional data separates poorly around pivots).
 FALLBACK_SHARE = 0.5
+SAMPLE_ROWS = 2000
+PIVOT_BYTES = 8 << 20                # of pivot vectors that are broadcast
+RING_QUANTILES = (0.5, 0.9, 0.99)    # a part's rings: near half, and three shells around it
+RINGS = len(RING_QUANTILES) + 1
 
 
-def pivot_count(n_train: int) -> int:
-    """About 2 sqrt(n) pivots, at least 2 and at most 1024 (the bounds reach the driver)."""
-    return int(min(n_train, max(2, min(1024, math.ceil(2 * math.sqrt(max(n_train, 1)))))))
+def pivot_count(n_train: int, dim: int = 1) -> int:
+    """About 2 sqrt(n) pivots, at least 2, as long as their vectors stay within PIVOT_BYTES."""
+    room = max(2, PIVOT_BYTES // (8 * max(dim, 1)))
+    return int(min(n_train, max(2, min(room, math.ceil(2 * math.sqrt(max(n_train, 1)))))))
 
 
-def choose_pivots(train: DataFrame, dim: int, count: int) -> np.ndarray:
-    """``count`` train vectors without NaN, chosen by the smallest ``xxhash64(train_id)``."""
-    finite = ~F.exists(F.col(TRAIN_F), lambda x: x.isNull() | F.isnan(x))
-    rows = (train.where(F.col(TRAIN_F).isNotNull() & finite)
-            .orderBy(F.xxhash64(TRAIN_ID), TRAIN_ID).limit(count)
-            .select(TRAIN_F).toArrow())
-    return matrix(rows.column(TRAIN_F), dim)
+def _first_by_hash(df: DataFrame, id_col: str, feat_col: str, dim: int, count: int) -> np.ndarray:
+    """``count`` finite vectors, chosen by the smallest hash of their id."""
+    finite = ~F.exists(F.col(feat_col), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = (df.where(F.col(feat_col).isNotNull() & finite)
+            .orderBy(F.xxhash64(id_col), id_col).limit(count).select(feat_col).toArrow())
+    return matrix(rows.column(feat_col), dim)
 
 
 def pivot_distances(x: np.ndarray, pivots_t: np.ndarray) -> np.ndarray:
@@ -73,127 +78,147 @@ def pivot_distances(x: np.ndarray, pivots_t: np.ndarray) -> np.ndarray:
     return out
 
 
-def assign_test(test: DataFrame, pivots_bc, dim: int) -> DataFrame:
-    """``test_id, test_features, part, dq``: nearest pivot and the distance to it.
+def _nearest(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest pivot of every row and the distance; part -1 for a row without a finite one."""
+    if not d.size:
+        return np.empty(0, np.int32), np.empty(0)
+    part = np.argmin(np.where(np.isnan(d), np.inf, d), axis=1)
+    dq = d[np.arange(len(part)), part]
+    bad = ~np.isfinite(dq) | np.isnan(d).any(axis=1)
+    return np.where(bad, -1, part).astype(np.int32), np.where(bad, 0.0, dq)
 
-    Rows with a NaN distance (a NaN or NULL feature) get ``part = -1``: no train row is ever
-    admissible for them, so they meet none.
-    """
+
+def assign_test(test: DataFrame, pivots_bc, dim: int) -> DataFrame:
+    """``test_id, test_features, part, dq``: nearest pivot and the distance to it."""
     def run(batches):
-        pt = bc_t(pivots_bc)
+        pt = np.ascontiguousarray(pivots_bc.value.T)
         for batch in batches:
-            x = matrix(batch.column(1), dim)
-            d = pivot_distances(x, pt)
-            part = np.argmin(np.where(np.isnan(d), np.inf, d), axis=1) if d.size else np.empty(0, int)
-            dq = d[np.arange(len(part)), part] if d.size else np.empty(0)
-            bad = np.isnan(dq) | np.isnan(d).any(axis=1)
-            yield pa.record_batch({
-                TEST_ID: batch.column(0), TEST_F: batch.column(1),
-                "part": pa.array(np.where(bad, -1, part), pa.int32()),
-                "dq": pa.array(np.where(bad, 0.0, dq), pa.float64()),
-            })
+            part, dq = _nearest(pivot_distances(matrix(batch.column(1), dim), pt))
+            yield pa.record_batch({TEST_ID: batch.column(0), TEST_F: batch.column(1),
+                                   "part": pa.array(part, pa.int32()), "dq": pa.array(dq, pa.float64())})
 
     return test.select(TEST_ID, TEST_F).mapInArrow(
         run, f"{TEST_ID} bigint, {TEST_F} array<double>, part int, dq double")
 
 
-def replicate_train(train: DataFrame, pivots_bc, reach_bc, dim: int) -> DataFrame:
-    """``train_id, train_features, label, part`` once per part the row may serve."""
+def send_train(train: DataFrame, pivots_bc, reach_bc, dim: int) -> DataFrame:
+    """``train_id, train_features, label, cell`` once per ring the row may serve.
+
+    ``reach``: per ring (row) and pivot (column), the least and the largest distance to the pivot
+    that may matter; an empty interval for a ring without test rows.
+    """
     def run(batches):
-        pt = bc_t(pivots_bc)
-        reach = reach_bc.value
+        pt = np.ascontiguousarray(pivots_bc.value.T)
+        lo, hi = reach_bc.value
         for batch in batches:
-            x = matrix(batch.column(1), dim)
-            d = pivot_distances(x, pt)
-            rows, parts = np.nonzero(d <= reach[None, :])  # False for NaN: never a neighbour
-            idx = pa.array(rows, pa.int64())
+            d = pivot_distances(matrix(batch.column(1), dim), pt)
+            found = [np.nonzero((d >= lo[ring]) & (d <= hi[ring])) for ring in range(RINGS)]  # False for NaN
+            idx = pa.array(np.concatenate([f[0] for f in found]), pa.int64())
+            cell = np.concatenate([f[1] * RINGS + ring for ring, f in enumerate(found)])
             yield pa.record_batch({
                 TRAIN_ID: batch.column(0).take(idx), TRAIN_F: batch.column(1).take(idx),
-                "label": batch.column(2).take(idx), "part": pa.array(parts, pa.int32()),
-            })
+                "label": batch.column(2).take(idx), "cell": pa.array(cell, pa.int32())})
 
     return train.select(TRAIN_ID, TRAIN_F, "label").mapInArrow(
-        run, f"{TRAIN_ID} bigint, {TRAIN_F} array<double>, label double, part int")
-
-
-def bc_t(pivots_bc) -> np.ndarray:
-    return np.ascontiguousarray(pivots_bc.value.T)
-
-
-def _part_map(values: dict[int, int]):
-    """A literal map part -> value (at most P entries), looked up per row without a join."""
-    kv = []
-    for key, v in sorted(values.items()):
-        kv += [F.lit(int(key)), F.lit(int(v)).cast("bigint")]
-    return F.create_map(*kv) if kv else F.create_map().cast("map<int,bigint>")
-
-
-def neighbours_pivot(test: DataFrame, train: DataFrame, k: int, dim: int, n_train: int,
+        run, f"{TRAIN_ID} bigint, {TRAIN_F} array<double>, label double, cell int")
+
+
+def _bounds(stats: dict[int, tuple[float, float]], kth: dict[int, float], n_piv: int, limit: float):
+    """Least and largest useful distance of a train row to each pivot, per ring."""
+    lo, hi = np.full((RINGS, n_piv), np.inf), np.full((RINGS, n_piv), -np.inf)
+    for cell, (near, far) in stats.items():
+        part, ring = divmod(cell, RINGS)
+        theta = min(far + kth.get(part, float("inf")), limit)
+        lo[ring, part] = (near - theta) * (1 - math.copysign(SLACK, near - theta)) - SLACK
+        hi[ring, part] = (far + theta) * (1 + SLACK) + SLACK
+    return lo, hi
+
+
+def _ring_of(dq: np.ndarray, part: np.ndarray) -> np.ndarray:
+    ring = np.zeros(len(dq), np.int64)
+    for p in np.unique(part):
+        at = part == p
+        ring[at] = np.searchsorted(np.quantile(dq[at], RING_QUANTILES), dq[at], "left")
+    return ring
+
+
+def sampled_share(test_x: np.ndarray, train_x: np.ndarray, pivots: np.ndarray, k: int,
+                  n_train: int, limit: float) -> float:
+    """Estimated share of all pairs that the pruned plan would compare, from two samples."""
+    if not len(test_x) or not len(train_x):
+        return 0.0
+    pt = np.ascontiguousarray(pivots.T)
+    part, dq = _nearest(pivot_distances(test_x, pt))
+    d = pivot_distances(train_x, pt)
+    rank = min(len(train_x) - 1, max(0, math.ceil(k * len(train_x) / max(n_train, 1)) - 1))
+    kth = {p: float(v) for p, v in enumerate(np.partition(d, rank, axis=0)[rank])}
+    cell = part * RINGS + _ring_of(dq, part)
+    stats = {int(c): (float(dq[cell == c].min()), float(dq[cell == c].max())) for c in np.unique(cell[part >= 0])}
+    lo, hi = _bounds(stats, kth, len(pivots), limit)
+    pairs = sum(int((cell == c).sum()) * int(((d[:, c // RINGS] >= lo[c % RINGS, c // RINGS])
+                                              & (d[:, c // RINGS] <= hi[c % RINGS, c // RINGS])).sum()) for c in stats)
+    return pairs / (len(test_x) * len(train_x))
+
+
+def neighbours_pivot(test: DataFrame, train: DataFrame, k: int, dim: int, n_train: int, n_test: int,
                      block_bytes: int, partitions: int,
                      max_distance: float | None = None, fallback=None) -> DataFrame:
     """Neighbours of every test row (``test_id, rank, train_id, distance, label``), exactly.
 
-    ``fallback`` (a function returning the block-join plan) is used instead when the pruned
-    plan would compare more than ``FALLBACK_SHARE`` of all pairs; the estimate comes from the
-    per-part counts, which are computed anyway.
+    ``fallback`` (a function returning the block-join plan) is used instead when two samples say that
+    the pruned plan would compare more than ``FALLBACK_SHARE`` of all pairs.
     """
     check_k(k)
     spark = test.sparkSession
     row_bytes = 8 * dim + 32
-    pivots = choose_pivots(train, dim, pivot_count(n_train))
-    if pivots.shape[0] == 0:  # no train row without NaN: nobody has a neighbour
+    limit = float("inf") if max_distance is None else float(max_distance)
+    pivots = _first_by_hash(train, TRAIN_ID, TRAIN_F, dim, pivot_count(n_train, dim))
+    if pivots.shape[0] == 0:  # no finite train row: nobody has a neighbour
         return spark.createDataFrame([], NEIGHBOUR_SCHEMA)
     n_piv = pivots.shape[0]
-    pivots_bc = spark.sparkContext.broadcast(pivots)
-
-    assigned = assign_test(test, pivots_bc, dim)
-    stats = {r["part"]: (int(r["n"]), float(r["radius"])) for r in assigned.groupBy("part").agg(
-        F.count(F.lit(1)).alias("n"), F.max("dq").alias("radius")).collect()}
-
-    # k-th nearest train distance of every pivot (pivots are a tiny broadcast test side)
+    if fallback is not None:
+        share = sampled_share(_first_by_hash(test, TEST_ID, TEST_F, dim, SAMPLE_ROWS),
+                              _first_by_hash(train, TRAIN_ID, TRAIN_F, dim, SAMPLE_ROWS), pivots, k, n_train, limit)
+        if share > FALLBACK_SHARE:
+            return fallback()
+    pivots_bc = send(spark, pivots)
+
+    # one row per part (its ring bounds), joined back to cut the rings
+    assigned = written(assign_test(test, pivots_bc, dim), "pivot-test").where("part >= 0")
+    quantiles = assigned.groupBy("part").agg(F.percentile_approx("dq", list(RING_QUANTILES), 10_000).alias("q"))
+    ringed = (assigned.join(F.broadcast(quantiles), "part")  # at most P rows
+              .withColumn("cell", (F.col("part") * RINGS + F.size(F.filter("q", lambda b: b < F.col("dq")))).cast("int")))
+    stats = {r["cell"]: (int(r["n"]), float(r["lo"]), float(r["hi"])) for r in ringed.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("dq").alias("lo"), F.max("dq").alias("hi")).collect()}
+
+    # k-th nearest train distance of every pivot (the pivots are a size-bounded test side)
     piv_df = spark.createDataFrame(
         [(i, [float(v) for v in pivots[i]]) for i in range(n_piv)], f"{TEST_ID} bigint, {TEST_F} array<double>")
     kth = {r[TEST_ID]: float(r["distance"]) for r in neighbours_broadcast_test(
         piv_df, train, k, dim).where(F.col("rank") == k).collect()}
 
-    limit = float("inf") if max_distance is None else float(max_distance)
-    reach = np.full(n_piv, -np.inf)  # parts without test rows receive nothing
-    for part, (_, radius) in stats.items():
-        if part < 0:
-            continue
-        theta = min(radius + kth.get(part, float("inf")), limit)
-        reach[part] = (radius + theta) * (1 + SLACK) + SLACK
-    reach_bc = spark.sparkContext.broadcast(reach)
-    replicated = replicate_train(train, pivots_bc, reach_bc, dim)
-    train_counts = {r["part"]: int(r["n"]) for r in replicated.groupBy("part").agg(
-        F.count(F.lit(1)).alias("n")).collect()}
-
-    pairs = sum(n * train_counts.get(p, 0) for p, (n, _) in stats.items() if p >= 0)
-    n_test = sum(n for n, _ in stats.values())
-    if fallback is not None and pairs > FALLBACK_SHARE * n_test * n_train:
-        return fallback()
-
-    # split every part into bounded sub-blocks on both sides
-    s_blocks = {p: max(1, math.ceil(n * row_bytes / block_bytes)) for p, (n, _) in stats.items() if p >= 0}
-    r_blocks = {p: max(1, math.ceil(n * row_bytes / block_bytes)) for p, n in train_counts.items()}
-    s_of, r_of = _part_map(s_blocks), _part_map(r_blocks)
-    t = (assigned.where(F.col("part") >= 0)
-         .withColumn("_s", F.coalesce(F.try_element_at(s_of, F.col("part")), F.lit(1).cast("bigint")))
-         .withColumn("_r", F.coalesce(F.try_element_at(r_of, F.col("part")), F.lit(1).cast("bigint")))
-         .select(TEST_ID, TEST_F, "part", F.pmod(F.xxhash64(TEST_ID), F.col("_s")).alias("sb"),
+    reach_bc = send(spark, _bounds({c: v[1:] for c, v in stats.items()}, kth, n_piv, limit))
+    sent = written(send_train(train, pivots_bc, reach_bc, dim), "pivot-train")
+    counts = {r["cell"]: int(r["n"]) for r in sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    # split every ring into bounded sub-blocks on both sides
+    def blocks(n):
+        return max(1, math.ceil(n * row_bytes / block_bytes))
+    grid = [(c, blocks(n), blocks(counts.get(c, 0))) for c, (n, _, _) in stats.items()]
+    sizes = F.broadcast(spark.createDataFrame(grid, "cell int, _s bigint, _r bigint"))  # one row per ring
+    t = (ringed.join(sizes, "cell")
+         .select(TEST_ID, TEST_F, "cell", F.pmod(F.xxhash64(TEST_ID), F.col("_s")).alias("sb"),
                  F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_r") - 1)).alias("rb")))
-    r = (replicated
-         .withColumn("_s", F.coalesce(F.try_element_at(s_of, F.col("part")), F.lit(1).cast("bigint")))
-         .withColumn("_r", F.coalesce(F.try_element_at(r_of, F.col("part")), F.lit(1).cast("bigint")))
-         .select(TRAIN_ID, TRAIN_F, "label", "part", F.pmod(F.xxhash64(TRAIN_ID), F.col("_r")).alias("rb"),
+    r = (sent.join(sizes, "cell")
+         .select(TRAIN_ID, TRAIN_F, "label", "cell", F.pmod(F.xxhash64(TRAIN_ID), F.col("_r")).alias("rb"),
                  F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_s") - 1)).alias("sb")))
-    keys = ["part", "sb", "rb"]
-    n_groups = sum(s_blocks[p] * r_blocks.get(p, 1) for p in s_blocks)
-    n = max(1, min(partitions, n_groups))
-    bound = float("inf") if max_distance is None else float(max_distance)
+    keys = ["cell", "sb", "rb"]
+    # bytes that move decide the number of tasks: about two blocks each
+    moved = row_bytes * sum(stats[c][0] * rb + counts.get(c, 0) * sb for c, sb, rb in grid)
+    n = max(1, min(sum(sb * rb for _, sb, rb in grid), max(partitions, math.ceil(moved / (2 * block_bytes)))))
     per_block = (t.repartition(n, *keys).groupBy(*keys)
                  .cogroup(r.repartition(n, *keys).groupBy(*keys))
-                 .applyInArrow(block_kernel(k, dim, bound), NEIGHBOUR_SCHEMA))
-    if max(r_blocks.values(), default=1) == 1:
+                 .applyInArrow(block_kernel(k, dim, limit), NEIGHBOUR_SCHEMA))
+    if all(rb == 1 for _, _, rb in grid):
         return per_block  # every test row met all its candidates in one group
     return top_k(per_block.drop("rank"), k)

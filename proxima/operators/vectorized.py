@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from proxima.operators.candidates import TEST_F, TEST_ID, TRAIN_F, TRAIN_ID, block_rows, spread
 from proxima.operators.topk import check_k, top_k
+from proxima.session import send
 
 NEIGHBOUR_SCHEMA = "test_id bigint, rank int, train_id bigint, distance double, label double"
 PREDICTION_SCHEMA = "test_id bigint, prediction int"
@@ -50,6 +51,13 @@ def matrix(col: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.asarray(flat, dtype=np.float64).reshape(n, dim)
 
 
+def int_ids(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Row ids as int64, never through floating point (a NULL id raised before it came here)."""
+    if col.null_count:
+        raise ValueError("a row id is NULL")
+    return col.cast(pa.int64()).to_numpy()
+
+
 def distance_block(q: np.ndarray, r_t: np.ndarray, out: np.ndarray, tmp: np.ndarray) -> np.ndarray:
     """Euclidean distances between rows of ``q`` (m, d) and columns of ``r_t`` (d, n).
 
@@ -177,7 +185,7 @@ def collect_side(df: DataFrame, id_col: str, feat_col: str, dim: int, label: str
     """Arrays of a side that the caller has size-checked, for a broadcast variable."""
     cols = [id_col, feat_col] + ([label] if label else [])
     tbl = df.select(*cols).toArrow()
-    ids = tbl.column(id_col).to_numpy().astype(np.int64)
+    ids = int_ids(tbl.column(id_col))
     x = matrix(tbl.column(feat_col), dim)
     out = {"ids": ids, "x": x}
     if label:
@@ -196,14 +204,14 @@ def neighbours_broadcast_train(test: DataFrame, train: DataFrame, k: int, dim: i
     check_k(k)
     spark = test.sparkSession
     side = collect_side(train, TRAIN_ID, TRAIN_F, dim, "label")
-    bc = spark.sparkContext.broadcast(side)
+    bc = send(spark, side)
     bound = float("inf") if max_distance is None else float(max_distance)
     t = spread(test.select(TEST_ID, TEST_F), partitions)
 
     def run(batches):
         tr = bc.value
         for batch in batches:
-            q_ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            q_ids = int_ids(batch.column(0))
             q = matrix(batch.column(1), dim)
             qi, ri, d = block_topk(q, tr["x"], tr["ids"], k, bound)
             if vote is None:
@@ -225,7 +233,7 @@ def neighbours_broadcast_test(test: DataFrame, train: DataFrame, k: int, dim: in
     check_k(k)
     spark = test.sparkSession
     side = collect_side(test, TEST_ID, TEST_F, dim)
-    bc = spark.sparkContext.broadcast(side)
+    bc = send(spark, side)
     bound = float("inf") if max_distance is None else float(max_distance)
     r = spread(train.select(TRAIN_ID, TRAIN_F, "label"), partitions)
 
@@ -234,7 +242,7 @@ def neighbours_broadcast_test(test: DataFrame, train: DataFrame, k: int, dim: in
         q_ids, q = ts["ids"], ts["x"]
         best = None  # (qi, train ids, distances, labels, label valid) of the running top-k
         for batch in batches:
-            r_ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            r_ids = int_ids(batch.column(0))
             x = matrix(batch.column(1), dim)
             labels, valid = label_arrays(batch.column(2))
             qi, ri, d = block_topk(q, x, r_ids, k, bound)
@@ -283,9 +291,9 @@ def neighbours_blocks(test: DataFrame, train: DataFrame, k: int, dim: int,
 
 def block_kernel(k: int, dim: int, bound: float):
     """The per-group function of a cogrouped block pair: test block x train block -> top-k."""
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        q_ids = left.column(TEST_ID).to_numpy().astype(np.int64)
-        r_ids = right.column(TRAIN_ID).to_numpy().astype(np.int64)
+    def run(left, right):
+        q_ids = int_ids(left.column(TEST_ID))
+        r_ids = int_ids(right.column(TRAIN_ID))
         if q_ids.size == 0 or r_ids.size == 0:
             return pa.Table.from_batches([], schema=_NEIGHBOUR_ARROW)
         q = matrix(left.column(TEST_F), dim)
@@ -305,7 +313,7 @@ _NEIGHBOUR_ARROW = pa.schema([("test_id", pa.int64()), ("rank", pa.int32()),
 # --------------------------------------------------------------------------- pair statistics
 
 STATS_SCHEMA = ("test_id bigint, n bigint, min_d double, max_d double, first_id bigint, "
-                "first_d double, last_id bigint, last_d double, n_admissible bigint")
+                "first_d double, last_id bigint, last_d double, n_admissible bigint, n_finite bigint")
 
 
 def block_stats(q_ids: np.ndarray, q: np.ndarray, r_ids: np.ndarray, r: np.ndarray,
@@ -314,14 +322,15 @@ def block_stats(q_ids: np.ndarray, q: np.ndarray, r_ids: np.ndarray, r: np.ndarr
 
     ``n`` pairs, ``min_d``/``max_d`` (NaN ignored by the minimum and propagated by the maximum,
     as Spark orders NaN above every number), the distances to the lowest and highest train id
-    (the first and last cells of the row's distance row), and how many are below ``bound``.
+    (the first and last cells of the row's distance row), how many are below ``bound`` and how many
+    below infinity (those that can be neighbours at all).
     """
     m, n = q.shape[0], r.shape[0]
     lo, hi = int(np.argmin(r_ids)), int(np.argmax(r_ids))
     r_t = np.ascontiguousarray(r.T)
     step = max(1, min(m, CHUNK_CELLS // max(n, 1)))
     out, tmp = np.empty((step, n)), np.empty((step, n))
-    mins, maxs, firsts, lasts, adm = [], [], [], [], []
+    mins, maxs, firsts, lasts, adm, fin = [], [], [], [], [], []
     for s in range(0, m, step):
         e = min(m, s + step)
         dist = distance_block(q[s:e], r_t, out[: e - s], tmp[: e - s])
@@ -331,6 +340,7 @@ def block_stats(q_ids: np.ndarray, q: np.ndarray, r_ids: np.ndarray, r: np.ndarr
         firsts.append(dist[:, lo].copy())
         lasts.append(dist[:, hi].copy())
         adm.append((dist < bound).sum(axis=1))
+        fin.append((dist < np.inf).sum(axis=1))
     cat = np.concatenate
     return pa.table({
         "test_id": pa.array(q_ids, pa.int64()),
@@ -342,12 +352,13 @@ def block_stats(q_ids: np.ndarray, q: np.ndarray, r_ids: np.ndarray, r: np.ndarr
         "last_id": pa.array(np.full(m, r_ids[hi]), pa.int64()),
         "last_d": pa.array(cat(lasts), pa.float64()),
         "n_admissible": pa.array(cat(adm), pa.int64()),
+        "n_finite": pa.array(cat(fin), pa.int64()),
     })
 
 
 def pair_stats(test: DataFrame, train: DataFrame, dim: int, test_blocks: int, train_blocks: int,
                max_distance: float | None = None, partitions: int | None = None) -> DataFrame:
-    """``test_id, n, min_d, max_d, first_d, last_d, n_admissible`` over all pairs of a row.
+    """``test_id, n, min_d, max_d, first_d, last_d, n_admissible, n_finite`` over all pairs of a row.
 
     The statistics of a test row's whole distance row, computed block by block (same block
     grid as ``neighbours_blocks``): each block pair emits one row per test row, and one
@@ -360,9 +371,8 @@ def pair_stats(test: DataFrame, train: DataFrame, dim: int, test_blocks: int, tr
     r = (block_rows(train.select(TRAIN_ID, TRAIN_F), TRAIN_ID, train_blocks, test_blocks,
                     "rb", "tb").repartition(n, "tb", "rb"))
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        q_ids = left.column(TEST_ID).to_numpy().astype(np.int64)
-        r_ids = right.column(TRAIN_ID).to_numpy().astype(np.int64)
+    def run(left, right):
+        q_ids, r_ids = int_ids(left.column(TEST_ID)), int_ids(right.column(TRAIN_ID))
         if q_ids.size == 0 or r_ids.size == 0:
             return pa.Table.from_batches([], schema=_STATS_ARROW)
         return block_stats(q_ids, matrix(left.column(TEST_F), dim), r_ids,
@@ -374,10 +384,30 @@ def pair_stats(test: DataFrame, train: DataFrame, dim: int, test_blocks: int, tr
         F.sum("n").alias("n"), F.min("min_d").alias("min_d"), F.max("max_d").alias("max_d"),
         F.min_by("first_d", "first_id").alias("first_d"),
         F.max_by("last_d", "last_id").alias("last_d"),
-        F.sum("n_admissible").alias("n_admissible"))
+        F.sum("n_admissible").alias("n_admissible"), F.sum("n_finite").alias("n_finite"))
+
+
+def pair_stats_broadcast_train(test: DataFrame, train: DataFrame, dim: int,
+                               max_distance: float | None = None,
+                               partitions: int | None = None) -> DataFrame:
+    """``pair_stats`` with the size-checked train side broadcast: map-only, test rows stay in place."""
+    side = collect_side(train, TRAIN_ID, TRAIN_F, dim)
+    bc = send(test.sparkSession, side)
+    bound = float("inf") if max_distance is None else float(max_distance)
+
+    def run(batches):
+        tr = bc.value
+        for batch in batches:
+            if tr["ids"].size:
+                yield from block_stats(int_ids(batch.column(0)), matrix(batch.column(1), dim),
+                                       tr["ids"], tr["x"], bound).to_batches()
+
+    out = spread(test.select(TEST_ID, TEST_F), partitions).mapInArrow(run, STATS_SCHEMA)
+    return out.drop("first_id", "last_id")
 
 
 _STATS_ARROW = pa.schema([("test_id", pa.int64()), ("n", pa.int64()), ("min_d", pa.float64()),
                           ("max_d", pa.float64()), ("first_id", pa.int64()),
                           ("first_d", pa.float64()), ("last_id", pa.int64()),
-                          ("last_d", pa.float64()), ("n_admissible", pa.int64())])
+                          ("last_d", pa.float64()), ("n_admissible", pa.int64()),
+                          ("n_finite", pa.int64())])

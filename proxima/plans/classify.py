@@ -4,19 +4,20 @@ One function replaces the three argument orders of the original programs; the pl
 parameter.  Every shape returns the same rows, because every one orders neighbours by
 ``(distance, train_id)``.
 
-Shape choice (``strategy='auto'``) counts both sides first -- one cheap job; the counts
-bound the bytes a broadcast would ship, so nothing is broadcast without a checked size:
+Shape choice (``strategy='auto'``) counts both sides first, ids only -- one job, which also
+checks that ids are unique and not NULL; the counts bound the bytes a broadcast would ship, so
+nothing is broadcast without a checked size:
 
 1. train fits under ``broadcast_limit`` -> train broadcast, test read in place (map-only);
 2. else test fits, and its partial output (k rows per test row from every train task) stays
    below the train side               -> test broadcast, train read in place, one merge window;
 3. else                                 -> pivot-partitioned join with triangle-inequality
-   pruning (NumPy kernel; ``operators/pivot.py``), or the block nested-loop join (SQL
-   kernel), blocks sized to ``block_bytes`` so one group of two blocks fits in a task.
+   pruning (``operators/pivot.py``); ``strategy='block'`` is the block nested-loop join, which the
+   pivot join hands over to when a sample shows that nothing would be pruned.
 
-``kernel='numpy'`` computes a block of distances in a task with NumPy and emits only the
-winners; ``kernel='sql'`` materialises candidate rows with a codegen'd column expression and
-cuts them with a window group limit.  Both give bit-identical distances.
+No shape forms pairs as rows: a task computes a block of distances with NumPy and emits at most k
+winners per test row.  ``kernel='numpy'`` also votes in the task where it can; ``kernel='sql'``
+always leaves the last cut to the window of ``top_k`` and the vote to SQL.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from proxima.operators.pivot import neighbours_pivot
 from proxima.operators.topk import check_k, top_k
 from proxima.operators.vote import check_vote, vote as vote_op
 
-STRATEGIES = ("auto", "broadcast_train", "broadcast_test", "pivot", "block", "cartesian")
+STRATEGIES = ("auto", "broadcast_train", "broadcast_test", "pivot", "block")
 KERNELS = ("numpy", "sql")
 
 DEFAULT_BROADCAST_LIMIT = 128 << 20  # bytes of feature data a broadcast side may hold
@@ -55,6 +56,7 @@ class Plan:
     spread_test: bool = False
     spread_train: bool = False
     block_bytes: int = DEFAULT_BLOCK_BYTES
+    cores: int = 1
 
     @property
     def test_spread(self) -> int | None:
@@ -65,10 +67,17 @@ class Plan:
     def train_spread(self) -> int | None:
         return self.partitions if self.spread_train else None
 
+    @property
+    def block_bytes_moved(self) -> int:
+        """Bytes the block join ships: each side once per block of the other."""
+        return self.test_bytes * self.train_blocks + self.train_bytes * self.test_blocks
+
     @property
     def block_partitions(self) -> int:
-        """Tasks of the block join: one per block pair, capped by the shuffle partition budget."""
-        return max(1, min(self.test_blocks * self.train_blocks, self.partitions))
+        """Tasks of the block join: enough that a task reads about two blocks, several groups each,
+        so that hashing the groups to tasks comes out even."""
+        want = max(self.partitions, math.ceil(self.block_bytes_moved / (2 * self.block_bytes)))
+        return max(1, min(self.test_blocks * self.train_blocks, want))
 
     @property
     def train_bytes(self) -> int:
@@ -117,12 +126,19 @@ def partial_rows(n_test: int, train_bytes: int, block: int, k: int) -> int:
 
 
 def count_sides(train: DataFrame, test: DataFrame) -> tuple[int, int]:
-    """Row counts of both sides in one job (column pruning leaves only what a count needs)."""
-    one = F.count(F.lit(1)).alias("n")
-    rows = (train.agg(one).select(F.lit(0).alias("side"), "n")
-            .unionByName(test.agg(one).select(F.lit(1).alias("side"), "n"))).collect()
-    n = {r["side"]: int(r["n"]) for r in rows}
-    return n[0], n[1]
+    """Row counts of both sides in one job that reads only the ids.
+
+    An id that is NULL or repeated on its side raises, whatever shape follows: ids break distance
+    ties and key the vote, so the shapes would disagree about repeated ones.
+    """
+    def ids(df, side, col):
+        return df.groupBy(col).agg(F.count(F.lit(1)).alias("c")).agg(
+            F.lit(side).alias("side"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("d"))
+    rows = {r["side"]: r for r in ids(train, "train", C.TRAIN_ID).unionByName(ids(test, "test", C.TEST_ID)).collect()}
+    for side, r in rows.items():
+        if r["n"] != r["d"]:
+            raise ValueError(f"{r['n'] - r['d']} {side} rows repeat a row id; row ids must be unique")
+    return int(rows["train"]["n"]), int(rows["test"]["n"])
 
 
 def choose_plan(train: DataFrame, test: DataFrame, dim: int, strategy: str = "auto",
@@ -139,28 +155,27 @@ def choose_plan(train: DataFrame, test: DataFrame, dim: int, strategy: str = "au
     if kernel not in KERNELS:
         raise ValueError(f"kernel must be one of {KERNELS}, got {kernel!r}")
     spark = train.sparkSession
-    limit = broadcast_limit or _conf_int(spark, "proxima.broadcastLimitBytes", DEFAULT_BROADCAST_LIMIT)
-    block = block_bytes or _conf_int(spark, "proxima.blockBytes", DEFAULT_BLOCK_BYTES)
+    limit = (_conf_int(spark, "proxima.broadcastLimitBytes", DEFAULT_BROADCAST_LIMIT)
+             if broadcast_limit is None else broadcast_limit)        # 0 turns broadcasts off
+    block = _conf_int(spark, "proxima.blockBytes", DEFAULT_BLOCK_BYTES) if block_bytes is None else block_bytes
+    if limit < 0 or block < 1:
+        raise ValueError(f"broadcast_limit must be at least 0 and block_bytes at least 1, got {limit} and {block}")
     n_train, n_test = count_sides(train, test)
     b_train, b_test = side_bytes(n_train, dim), side_bytes(n_test, dim)
     parallelism = spark.sparkContext.defaultParallelism
     if strategy == "auto":
-        if b_train <= limit:
+        if limit and b_train <= limit:
             strategy = "broadcast_train"
-        elif b_test <= limit and (k is None or partial_rows(n_test, b_train, block, k) <= n_train):
+        elif limit and b_test <= limit and (k is None or partial_rows(n_test, b_train, block, k) <= n_train):
             strategy = "broadcast_test"
         else:
-            strategy = "pivot" if kernel == "numpy" else "block"
-    if strategy == "pivot" and kernel != "numpy":
-        raise ValueError("strategy='pivot' runs on the NumPy kernel only")
+            strategy = "pivot"
     if strategy == "broadcast_train" and b_train > limit:
         raise ValueError(f"train side is about {b_train} bytes, over the broadcast limit {limit}")
     if strategy == "broadcast_test" and b_test > limit:
         raise ValueError(f"test side is about {b_test} bytes, over the broadcast limit {limit}")
-    # one task per block of test data, at least two per core and at most fifty per core:
-    # several block groups may share a task (groups are processed one at a time), so the cap
-    # bounds the shuffle's reducer count without growing any group
-    partitions = max(2 * parallelism, min(math.ceil(b_test / block), 50 * parallelism))
+    # one task per block of test data, at least two per core
+    partitions = max(2 * parallelism, math.ceil(b_test / block))
     # kNN is CPU-bound: a side read in place should bring at least two input splits per core.
     # One whose estimated split count (bytes / maxPartitionBytes) falls short is spread over
     # ``partitions`` tasks -- each of its rows costs a pass over the other side, which dwarfs
@@ -169,17 +184,23 @@ def choose_plan(train: DataFrame, test: DataFrame, dim: int, strategy: str = "au
     spread_test = math.ceil(b_test / split) < 2 * parallelism
     spread_train = math.ceil(b_train / split) < 2 * parallelism
     plan = Plan(strategy, kernel, dim, n_train, n_test, partitions, 1, 1,
-                spread_test, spread_train, block)
+                spread_test, spread_train, block, parallelism)
     return block_grid(plan) if strategy == "block" else plan
 
 
 def block_grid(plan: Plan) -> Plan:
-    """The plan with the block grid of the block join: blocks of at most ``block_bytes`` of
-    features, and enough block pairs to keep every core busy (the test side is split further)."""
+    """The plan with the grid of the block join: blocks of at most ``block_bytes`` of features, then
+    split further, each time where it adds fewer bytes to move, until there are four groups for
+    each task that the cores call for."""
     tb = max(1, math.ceil(plan.test_bytes / plan.block_bytes))
     rb = max(1, math.ceil(plan.train_bytes / plan.block_bytes))
-    while tb * rb < plan.partitions and tb < max(plan.test_rows, 1):
-        tb *= 2
+    parallel = 4 * plan.cores
+    while tb * rb < parallel and (tb < plan.test_rows or rb < plan.train_rows):
+        cheap_test = tb * plan.train_bytes <= rb * plan.test_bytes
+        if rb >= plan.train_rows or (cheap_test and tb < plan.test_rows):
+            tb *= 2
+        else:
+            rb *= 2
     return replace(plan, test_blocks=tb, train_blocks=rb)
 
 
@@ -195,41 +216,30 @@ def neighbours_for(tr: DataFrame, te: DataFrame, k: int, plan: Plan,
                    max_distance: float | None = None) -> DataFrame:
     """Neighbours (``test_id, rank, train_id, distance, label``) of prepared frames under a plan."""
     dim = plan.dim
-    if plan.kernel == "numpy" and plan.strategy != "cartesian":
-        if plan.strategy == "broadcast_train":
-            return V.neighbours_broadcast_train(te, tr, k, dim, max_distance,
-                                                partitions=plan.test_spread)
-        if plan.strategy == "broadcast_test":
-            return V.neighbours_broadcast_test(te, tr, k, dim, max_distance,
-                                               partitions=plan.train_spread)
+    if plan.strategy == "broadcast_train":
+        out = V.neighbours_broadcast_train(te, tr, k, dim, max_distance, partitions=plan.test_spread)
+    elif plan.strategy == "broadcast_test":
+        return V.neighbours_broadcast_test(te, tr, k, dim, max_distance, partitions=plan.train_spread)
+    else:
+        blocks = block_grid(plan)
+
+        def by_blocks():
+            return V.neighbours_blocks(te, tr, k, dim, blocks.test_blocks, blocks.train_blocks,
+                                       max_distance, blocks.block_partitions)
         if plan.strategy == "pivot":
-            blocks = block_grid(plan)
-            return neighbours_pivot(
-                te, tr, k, dim, plan.train_rows, plan.block_bytes, plan.partitions, max_distance,
-                fallback=lambda: V.neighbours_blocks(te, tr, k, dim, blocks.test_blocks,
-                                                     blocks.train_blocks, max_distance,
-                                                     blocks.block_partitions))
-        return V.neighbours_blocks(te, tr, k, dim, plan.test_blocks, plan.train_blocks,
-                                   max_distance, plan.block_partitions)
-    limit = int(tr.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if k > limit:
-        # beyond the threshold no partial group limit is planned and every candidate row
-        # would be shuffled; the NumPy kernel cuts to k inside the task for any k
-        raise ValueError(f"k={k} exceeds spark.sql.optimizer.windowGroupLimitThreshold={limit} "
-                         "for kernel='sql'; use kernel='numpy' or raise the threshold")
-    return top_k(candidate_pairs(tr, te, plan), k, max_distance)
-
-
-def candidate_pairs(tr: DataFrame, te: DataFrame, plan: Plan) -> DataFrame:
-    """All (test, train, distance, label) rows under a plan's join shape (SQL kernel)."""
+            return neighbours_pivot(te, tr, k, dim, plan.train_rows, plan.test_rows, plan.block_bytes,
+                                    plan.partitions, max_distance, fallback=by_blocks)
+        out = by_blocks()
+    # the window is planned for the sql kernel also where one task already holds all winners of a row
+    return top_k(out.drop("rank"), k) if plan.kernel == "sql" else out
+
+
+def pair_stats_for(tr: DataFrame, te: DataFrame, plan: Plan, max_distance: float | None = None) -> DataFrame:
+    """Statistics of every test row's distances: train broadcast if it fits, else block by block."""
     if plan.strategy == "broadcast_train":
-        return C.pairs_broadcast_train(te, tr, plan.dim, plan.test_spread)
-    if plan.strategy == "broadcast_test":
-        return C.pairs_broadcast_test(te, tr, plan.dim, plan.train_spread)
-    if plan.strategy == "block":
-        return C.pairs_block(te, tr, plan.dim, plan.test_blocks, plan.train_blocks,
-                             plan.block_partitions)
-    return C.pairs_cartesian(te, tr, plan.dim)
+        return V.pair_stats_broadcast_train(te, tr, plan.dim, max_distance, plan.test_spread)
+    grid = block_grid(plan)
+    return V.pair_stats(te, tr, plan.dim, grid.test_blocks, grid.train_blocks, max_distance, grid.block_partitions)
 
 
 def knn_neighbors(train: DataFrame, test: DataFrame, k: int, *, features: str = "features",

@@ -18,17 +18,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from proxima.functions.vectors import feature_part, label_part
+from proxima.functions.vectors import euclidean, feature_part, label_part
 from proxima.operators import diagnostics as D
 from proxima.operators.labels import attach_labels
 from proxima.operators.topk import neighbor_list
 from proxima.operators.vote import vote as vote_op
-from proxima.plans.classify import (candidate_pairs, choose_plan, classify_for, knn_classify,
-                                    knn_neighbors, neighbours_for)
+from proxima.plans.classify import (choose_plan, classify_for, knn_classify, knn_neighbors,
+                                    neighbours_for, pair_stats_for)
 from proxima.operators import candidates as C
-from proxima.operators import vectorized as V
 from proxima.session import scratch_path
 from proxima.sources import tables as T
 from proxima.sources.sinks import write_predictions
@@ -48,24 +48,15 @@ def _emb_prepared(spark, sf_dir, dim=64, label="label"):
     return tr, te
 
 
-def _emb_pairs(spark, sf_dir, strategy="broadcast_train", dim=64):
-    tr, te = _emb_prepared(spark, sf_dir, dim if dim else 64)
-    plan = choose_plan(tr, te, 64, strategy, "sql")
-    if dim is None:  # the higher-order-function form of the distance
-        from dataclasses import replace
-        plan = replace(plan, dim=None)
-    return candidate_pairs(tr, te, plan)
-
-
 def _emb_neighbours(spark, sf_dir, k, kernel="numpy", strategy="auto", label="label"):
     tr, te = _emb_prepared(spark, sf_dir, label=label)
     plan = choose_plan(tr, te, 64, strategy, kernel)
     return neighbours_for(tr, te, k, plan)
 
 
-def _emb_classify(spark, sf_dir, k, vote, strategy, kernel, label="label"):
+def _emb_classify(spark, sf_dir, k, vote, strategy, kernel, label="label", broadcast_limit=None):
     tr, te = _emb_prepared(spark, sf_dir, label=label)
-    plan = choose_plan(tr, te, 64, strategy, kernel)
+    plan = choose_plan(tr, te, 64, strategy, kernel, broadcast_limit)
     return classify_for(tr, te, k, plan, vote)
 
 
@@ -99,11 +90,17 @@ def q_vector_parse_lenient(spark, sf_dir):
     return _values_long(read_vectors(spark, path, mode="lenient"))
 
 
+def q_vector_parse_declared(spark, sf_dir):
+    """The matrix reader's declared row count, checked against the lines read."""
+    path = _supplier_file(spark, sf_dir, "lenient")
+    n = T.table(spark, sf_dir, "supplier").count()
+    return _values_long(read_vectors(spark, path, mode="lenient", expected_rows=n))
+
+
 def q_dense_row_ordinal(spark, sf_dir):
     e = T.table(spark, sf_dir, "embeddings").select("vec_id", "label")
     path = scratch_path(spark, "embedding-lines")
-    (vector_lines(e.repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id"),
-                  ["vec_id", "label"]).write.text(path))
+    vector_lines(e.orderBy("vec_id"), ["vec_id", "label"]).write.text(path)
     v = read_vectors(spark, path, mode="strict")
     return v.select("row_id", F.col("features")[0].cast("bigint").alias("vec_id"))
 
@@ -119,21 +116,36 @@ def q_feature_label_split(spark, sf_dir):
                        label_part("values").alias("label"))
 
 
+def q_feature_label_declared(spark, sf_dir):
+    """A declared width below the line's: the label is the value at that place, the rest is unread."""
+    dim = 17
+    rows = T.embedding_vectors(spark, sf_dir).select(F.col("row_id").alias("vec_id"), F.col("features").alias("values"))
+    f = feature_part("values", dim)
+    return rows.select("vec_id", F.size(f).cast("int").alias("n_features"),
+                       F.element_at(f, -1).alias("last_feature"), label_part("values", dim).alias("label"))
+
+
+def _neighbour_distances(spark, sf_dir, dim):
+    """The distance of every kept pair, computed anew from both feature tables by column expression:
+    with ``dim`` unrolled into generated code, without it by higher-order functions."""
+    tr, te = _emb_prepared(spark, sf_dir)
+    kept = neighbours_for(tr, te, K, choose_plan(tr, te, 64)).select("test_id", "train_id")
+    pairs = kept.join(te, "test_id").join(tr, "train_id")
+    return pairs.select("test_id", "train_id", euclidean(C.TEST_F, C.TRAIN_F, dim).alias("distance"))
+
+
 def q_pairwise_distance(spark, sf_dir):
-    return _emb_pairs(spark, sf_dir, "block").select("test_id", "train_id", "distance")
+    return _neighbour_distances(spark, sf_dir, 64)
 
 
 def q_pairwise_distance_hof(spark, sf_dir):
-    return _emb_pairs(spark, sf_dir, "broadcast_test", dim=None).select(
-        "test_id", "train_id", "distance")
+    return _neighbour_distances(spark, sf_dir, None)
 
 
 def _emb_pair_stats(spark, sf_dir, max_distance=None):
     """Statistics of every test row's distances to all train rows, without pair rows."""
     tr, te = _emb_prepared(spark, sf_dir)
-    plan = choose_plan(tr, te, 64, "block", "numpy")
-    return V.pair_stats(te, tr, 64, plan.test_blocks, plan.train_blocks, max_distance,
-                        plan.block_partitions)
+    return pair_stats_for(tr, te, choose_plan(tr, te, 64), max_distance)
 
 
 def q_admissible_candidates(spark, sf_dir):
@@ -150,8 +162,8 @@ def q_distance_row(spark, sf_dir):
 
 
 def q_knn_topk(spark, sf_dir):
-    """TOP-1 as the window operator itself: SQL kernel, train broadcast."""
-    return _emb_neighbours(spark, sf_dir, K, "sql", "broadcast_train").select(
+    """TOP-1 as the window operator itself: the winners of every task cut by a ranked window."""
+    return _emb_neighbours(spark, sf_dir, K, "sql", "broadcast_test").select(
         "test_id", "rank", "train_id", "distance")
 
 
@@ -197,7 +209,9 @@ def q_classify_broadcast_test(spark, sf_dir):
 
 
 def q_classify_cartesian(spark, sf_dir):
-    return _emb_classify(spark, sf_dir, K, "nonzero_majority", "cartesian", "sql")
+    """The program that joined everything with everything: broadcasts off, the chooser takes the
+    pivot join or, where a sample says that nothing is pruned, the block join.  No product is formed."""
+    return _emb_classify(spark, sf_dir, K, "nonzero_majority", "auto", "sql", broadcast_limit=0)
 
 
 def q_classify_vectorized(spark, sf_dir):
@@ -227,18 +241,38 @@ def q_prediction_sink_rows(spark, sf_dir):
 
 
 def q_stage_counts(spark, sf_dir):
+    """Every stage's count from one pass of the pair kernel."""
     tr, te = _emb_prepared(spark, sf_dir)
-    plan = choose_plan(tr, te, 64, "auto", "numpy")
-    neigh = neighbours_for(tr, te, K, plan)
-    pred = classify_for(tr, te, K, plan, "nonzero_majority")
-    # pair counts come from the per-row statistics: no pair is materialised to be counted
-    pairs = _emb_pair_stats(spark, sf_dir, MAX_DISTANCE).agg(
-        F.sum("n").cast("bigint").alias("pairs"),
-        F.sum("n_admissible").cast("bigint").alias("admissible"))
-    counts = D.stage_counts({"train": tr, "test": te, "neighbours": neigh, "predictions": pred})
-    return counts.unionByName(pairs.select(F.lit("pairs").alias("stage"), F.col("pairs").alias("rows"))
-                              ).unionByName(pairs.select(F.lit("admissible").alias("stage"),
-                                                         F.col("admissible").alias("rows")))
+    plan = choose_plan(tr, te, 64)
+    return D.stage_counts(pair_stats_for(tr, te, plan, MAX_DISTANCE), plan.train_rows, K)
+
+
+def q_text_to_text(spark, sf_dir):
+    """A whole program: vector text in, classification, prediction text out, parameters in the path."""
+    def vectors(df, name):
+        width = len(df.columns)
+        path = scratch_path(spark, f"vectors-{name}")
+        vector_lines(df, df.columns).write.text(path)
+        return read_vectors(spark, path, mode="strict", dim=width)
+    s = T.table(spark, sf_dir, "supplier").select(
+        "s_suppkey", "s_nationkey", "s_acctbal", (F.col("s_suppkey") % 2).alias("label")).orderBy("s_suppkey")
+    train = vectors(s, "train")
+    pred = knn_classify(train, train.drop("label"), K, dim=3, vote="nonzero_majority")
+    root = write_predictions(pred, scratch_path(spark, "text-to-text"), "rows", params={"k": K, "dim": 3})
+    return spark.read.text(root).select(F.col("value").alias("line"), "k", "dim")
+
+
+def q_sink_refuses_overwrite(spark, sf_dir):
+    """SNK-3: parameters name the output; a second write to it is refused and changes nothing."""
+    pred = _emb_classify(spark, sf_dir, K, "nonzero_majority", "auto", "numpy")
+    path = scratch_path(spark, "predictions-once")
+    write_predictions(pred, path, "parquet", params={"k": K})
+    refused = False
+    try:
+        write_predictions(pred.limit(1), path, "parquet", params={"k": K})
+    except AnalysisException:
+        refused = True
+    return spark.read.parquet(path).select("test_id", "prediction", "k", F.lit(refused).alias("refused"))
 
 
 def _docs(spark, sf_dir, target="quality"):
@@ -271,8 +305,10 @@ def q_knn_documents_pivot(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vector_parse_strict": q_vector_parse_strict,
     "vector_parse_lenient": q_vector_parse_lenient,
+    "vector_parse_declared": q_vector_parse_declared,
     "dense_row_ordinal": q_dense_row_ordinal,
     "feature_label_split": q_feature_label_split,
+    "feature_label_declared": q_feature_label_declared,
     "pairwise_distance": q_pairwise_distance,
     "pairwise_distance_hof": q_pairwise_distance_hof,
     "admissible_candidates": q_admissible_candidates,
@@ -294,6 +330,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "classify_vectorized_broadcast_test": q_classify_vectorized_broadcast_test,
     "prediction_sink_pairs": q_prediction_sink_pairs,
     "prediction_sink_rows": q_prediction_sink_rows,
+    "sink_refuses_overwrite": q_sink_refuses_overwrite,
+    "text_to_text": q_text_to_text,
     "stage_counts": q_stage_counts,
     "classify_documents_quality": q_classify_documents_quality,
     "classify_documents_toxic": q_classify_documents_toxic,
@@ -356,13 +394,17 @@ def _docs_vote_sql(target: str, rule: str, k: int = K) -> str:
 ORACLE_SQL: dict[str, str] = {
     "vector_parse_strict": _SUPPLIER_LONG,
     "vector_parse_lenient": _SUPPLIER_LONG,
+    "vector_parse_declared": _SUPPLIER_LONG,
     "dense_row_ordinal": ("SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS row_id, "
                           "CAST(vec_id AS BIGINT) AS vec_id FROM embeddings"),
     "feature_label_split": (
         f"WITH {_EMB} SELECT row_id AS vec_id, CAST(len(f) AS INTEGER) AS n_features, "
         "f[1] AS first_feature, f[len(f)] AS last_feature, label FROM e"),
-    "pairwise_distance": f"WITH {_EMB}, {_PAIRS} SELECT test_id, train_id, distance FROM pairs",
-    "pairwise_distance_hof": f"WITH {_EMB}, {_PAIRS} SELECT test_id, train_id, distance FROM pairs",
+    "feature_label_declared": (
+        f"WITH {_EMB} SELECT row_id AS vec_id, CAST(16 AS INTEGER) AS n_features, "
+        "f[16] AS last_feature, f[17] AS label FROM e"),
+    "pairwise_distance": f"{_EMB_KNN} SELECT test_id, train_id, distance FROM ranked WHERE rank <= {K}",
+    "pairwise_distance_hof": f"{_EMB_KNN} SELECT test_id, train_id, distance FROM ranked WHERE rank <= {K}",
     "admissible_candidates": (
         f"WITH {_EMB}, {_PAIRS} SELECT test_id, "
         f"CAST(count(*) FILTER (WHERE distance < {MAX_DISTANCE}) AS BIGINT) AS n_candidates "
@@ -398,6 +440,16 @@ ORACLE_SQL: dict[str, str] = {
     "prediction_sink_rows": (
         f"WITH v AS ({_vote_sql(K, _NONZERO)}) SELECT CAST(test_id AS VARCHAR) || ' ' "
         "|| CAST(prediction AS VARCHAR) AS line FROM v"),
+    "sink_refuses_overwrite": (
+        f"WITH v AS ({_vote_sql(K, _NONZERO)}) SELECT test_id, prediction, CAST({K} AS INTEGER) AS k, "
+        "true AS refused FROM v"),
+    "text_to_text": (
+        "WITH e AS (SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS BIGINT) AS row_id, "
+        "[CAST(s_suppkey AS DOUBLE), CAST(s_nationkey AS DOUBLE), CAST(s_acctbal AS DOUBLE)] AS f, "
+        "CAST(s_suppkey % 2 AS DOUBLE) AS label, 0.0 AS raw_label FROM supplier), "
+        f"{_PAIRS}, {_RANKED}, v AS (SELECT test_id, {_NONZERO} AS prediction FROM ranked "
+        f"WHERE rank <= {K} GROUP BY test_id) SELECT CAST(test_id AS VARCHAR) || ' ' || "
+        f"CAST(prediction AS VARCHAR) AS line, CAST({K} AS INTEGER) AS k, CAST(3 AS INTEGER) AS dim FROM v"),
     "stage_counts": (
         f"{_EMB_KNN} SELECT 'train' AS stage, CAST(count(*) AS BIGINT) AS rows FROM e "
         "UNION ALL SELECT 'test', CAST(count(*) AS BIGINT) FROM e "

@@ -9,13 +9,18 @@ path.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from contextvars import ContextVar
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+# what the innermost ``released`` block has sent or written so far
+_HELD: ContextVar[list | None] = ContextVar("proxima-held", default=None)
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "proxima",
                   event_log_dir: str | None = None) -> SparkSession:
@@ -30,7 +35,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "6g")
     )
     if event_log_dir:
         builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
@@ -67,17 +72,48 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}{sep}{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df, name: str = ""):
-    """Cut the lineage of ``df`` with a reliable checkpoint computed a single time.
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder through Spark's own file system client."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+@contextlib.contextmanager
+def released():
+    """Frees, at its end, the broadcasts and scratch tables made inside it.
 
-    An eager checkpoint of an uncached frame computes it twice (once to count, once to write
-    the checkpoint files); persisting first makes the write read the computed partitions.  The
-    cache is dropped once the checkpoint files exist, and the returned frame reads only those
-    files (under ``spark.checkpoint.dir``), so it survives lost executors.
+    Results are lazy, so run the action inside the block too:
+    ``with released(): knn_classify(train, test, 5).write.parquet(path)``.
     """
-    from pyspark import StorageLevel
-    scratch_root(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
+    held: list = []
+    token = _HELD.set(held)
+    try:
+        yield
+    finally:
+        _HELD.reset(token)
+        for free in reversed(held):
+            free()
+
+
+def send(spark: SparkSession, value):
+    """A broadcast variable; destroyed at the end of the enclosing ``released`` block."""
+    out = spark.sparkContext.broadcast(value)
+    held = _HELD.get()
+    if held is not None:
+        held.append(out.destroy)
     return out
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared scratch folder and read back.
+
+    The rows are computed a single time, the lineage is cut, and a lost executor costs nothing.
+    The folder is deleted at the end of the enclosing ``released`` block.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    held = _HELD.get()
+    if held is not None:
+        held.append(lambda: delete_path(spark, path))
+    return spark.read.schema(df.schema).parquet(path)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxima.operators.candidates import spread
+from proxima.session import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,41 +45,26 @@ def feature_array(text: str = "text", n_chars: str = "n_chars"):
 
 
 def document_features(docs: DataFrame) -> DataFrame:
-    """``doc_id, features`` for every document."""
+    """``doc_id, features`` for every document, computed in the scan: whatever join follows moves
+    three numbers per document, never the text."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), feature_array())
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), "n_chars", "text")
-
-
-def _document_feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, features`` computed from the text before any join, so whatever join follows
-    moves three numbers per document, never the text."""
-    docs = _documents(spark, sf_dir)
-    parallelism = 2 * spark.sparkContext.defaultParallelism
-    # a table stored as few row groups is spread first, so the text work uses every core
-    if docs.rdd.getNumPartitions() < parallelism:  # a plain file scan: no job is run
-        docs = spread(docs, parallelism)
-    return docs.select("doc_id", feature_array())
-
-
 def document_vectors(spark: SparkSession, sf_dir: str, target: str = "quality") -> DataFrame:
     """``row_id, features, label, labelled`` for every document, computed in one pass.
 
-    The text is read once; the result (three numbers per document) is checkpointed into the
-    shared checkpoint folder, so the train side, the test side and the size checks all read
-    that small table instead of the text again.
+    The text is read once, where it lies; the result (three numbers per document) is written to the
+    shared scratch folder, so the train side, the test side and the size checks all read that
+    small table instead of the text again.
     """
-    from proxima.session import materialize
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col(target).cast("double").alias("label"),
         F.lit(True).alias("labelled"))
-    out = _document_feature_rows(spark, sf_dir).join(labels, "doc_id", "left").select(
+    features = document_features(table(spark, sf_dir, "documents"))
+    out = features.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("row_id"), "features", "label",
         F.coalesce(F.col("labelled"), F.lit(False)).alias("labelled"))
-    return materialize(out, "document-vectors")
+    return written(out, "document-vectors")
 
 
 def split_labelled(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -87,18 +72,3 @@ def split_labelled(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     train = vectors.where(F.col("labelled")).select("row_id", "features", "label")
     test = vectors.where(~F.col("labelled")).select("row_id", "features")
     return train, test
-
-
-def document_train(spark: SparkSession, sf_dir: str, target: str = "quality") -> DataFrame:
-    """Labelled documents: ``row_id, features, label`` with ``label`` = ``labels.<target>``."""
-    labels = table(spark, sf_dir, "labels").select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col(target).cast("double").alias("label"))
-    return (_document_feature_rows(spark, sf_dir).join(labels, "doc_id", "inner")
-            .select(F.col("doc_id").alias("row_id"), "features", "label"))
-
-
-def document_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without a label row: ``row_id, features`` (an anti-join on the feature rows)."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("bigint").alias("doc_id"))
-    return (_document_feature_rows(spark, sf_dir).join(labels, "doc_id", "left_anti")
-            .select(F.col("doc_id").alias("row_id"), "features"))

@@ -12,22 +12,28 @@ modes: ``FAILFAST`` raises, ``DROPMALFORMED`` drops, ``PERMISSIVE`` keeps the ro
 ``features``/``label`` and the raw line in ``_corrupt_record``.  Rows are never padded.
 
 Row ordinals (``row_id``) are dense and 0-based in file-name order, then line order -- what
-``zipWithIndex`` gave the original programs -- computed without pulling rows into one task:
-each file split counts its lines, the split counts are prefix-summed (one row per split),
-and every line adds its position inside its split.
+``zipWithIndex`` gave the original programs.  The lines are scanned once and written to the
+shared scratch folder with their split and their place in it; the counts of the splits, their
+offsets and the lines that get the offsets all come from that written table, so a change of the
+split plan between two reads cannot drop or misnumber a line.  A line whose split has no offset
+raises.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from proxima.session import written
+
 MODES = ("strict", "lenient")
 ON_ERROR = ("FAILFAST", "DROPMALFORMED", "PERMISSIVE")
 
-# Largest number of file splits whose offsets are broadcast to the line scan
-# (one small row per split: path, start, offset).
-MAX_BROADCAST_SPLITS = 1_000_000
+# Bytes of split offsets (path, start, offset per split) that are broadcast to the lines; a larger
+# table of splits is joined by a shuffle.
+OFFSET_BROADCAST_BYTES = 32 << 20
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -45,26 +51,50 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def with_row_ordinal(lines: DataFrame) -> DataFrame:
-    """Add ``row_id``: 0-based position in (file path, split start, line) order.
+@dataclass(frozen=True)
+class NumberedLines:
+    """Lines with ``row_id``, and what their splits said: the count and the first line's width."""
+    lines: DataFrame
+    rows: int
+    width: int | None
+
+
+def number_lines(lines: DataFrame, mode: str = "strict") -> NumberedLines:
+    """``row_id`` for the lines of ``read_lines``: 0-based in (file path, split start, line) order.
 
-    The per-split offsets (one row per split) are written once as a table in the shared
-    scratch folder, so the count and the join read them instead of rescanning the lines; they
-    are broadcast after checking how many splits there are.
+    One row per split is spread over ranges of (file, split); sums inside a range are windows of
+    that range, and only the ranges' totals (one number per shuffle partition) reach the driver.
     """
-    from proxima.session import materialize
-    splits = (lines.groupBy("_file", "_block")
-              .agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first")))
-    # one row per file split: a global window over this small table is cheap
-    w = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = materialize(splits.withColumn("_offset", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-                         .select("_file", "_block", "_first", "_offset"), "split-offsets")
-    n_splits = splits.count()
-    if n_splits <= MAX_BROADCAST_SPLITS:
-        splits = F.broadcast(splits)
-    return (lines.join(splits, ["_file", "_block"], "inner")
-            .withColumn("row_id", (F.col("_offset") + F.col("_mono") - F.col("_first")).cast("bigint"))
-            .drop("_offset", "_first"))
+    spark = lines.sparkSession
+    lines = written(lines, "lines")
+    splits = lines.groupBy("_file", "_block").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"),
+        F.min_by(F.size(tokens(F.col("value"), mode)), "_mono").alias("_width"))
+    splits = written(splits.repartitionByRange("_file", "_block").withColumn("_range", F.spark_partition_id()), "splits")
+    ranges = splits.groupBy("_range").agg(
+        F.sum("_n").alias("n"), F.sum(F.length("_file") + 32).alias("bytes"),
+        F.min_by("_width", F.struct("_file", "_block")).alias("width")).orderBy("_range").collect()
+    before, total = [], 0
+    for r in ranges:
+        before.append((r["_range"], total))
+        total += int(r["n"])
+    w = Window.partitionBy("_range").orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.broadcast(spark.createDataFrame(before, "_range int, _before bigint"))  # one row per range
+    offsets = (splits.join(starts, "_range")
+               .withColumn("_offset", F.col("_before") + F.coalesce(F.sum("_n").over(w), F.lit(0)))
+               .select("_file", "_block", "_first", "_offset"))
+    if sum(int(r["bytes"]) for r in ranges) <= OFFSET_BROADCAST_BYTES:
+        offsets = F.broadcast(offsets)
+    place = F.col("_offset") + F.col("_mono") - F.col("_first")
+    missing = F.raise_error(F.concat(F.lit("no offset for a split of "), F.col("_file"))).cast("bigint")
+    out = (lines.join(offsets, ["_file", "_block"], "left")
+           .withColumn("row_id", F.coalesce(place, missing).cast("bigint")).drop("_offset", "_first"))
+    return NumberedLines(out, total, int(ranges[0]["width"]) if ranges else None)
+
+
+def with_row_ordinal(lines: DataFrame) -> DataFrame:
+    """The lines of ``read_lines`` with ``row_id``."""
+    return number_lines(lines).lines
 
 
 def tokens(value: Column, mode: str) -> Column:
@@ -130,28 +160,28 @@ def read_vectors(spark: SparkSession, path: str | list[str], *, mode: str = "str
 
     ``uniform`` (default: on for ``lenient``) takes the width of the first line as ``dim`` when
     none is given, as the matrix reader did; ragged lines are then malformed, never padded.
-    ``expected_rows`` replaces the declared row count of the matrix reader: a different count
-    raises instead of padding or overflowing.
+    ``expected_rows`` replaces the declared row count of the matrix reader: a different number of
+    lines raises instead of padding or overflowing.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
     lines = read_lines(spark, path)
     if uniform is None:
         uniform = mode == "lenient"
+    if with_ordinal or expected_rows is not None:
+        numbered = number_lines(lines, mode)       # width and count come with the offsets
+        lines, width = numbered.lines, numbered.width
+        if expected_rows is not None and numbered.rows != expected_rows:
+            raise ValueError(f"{path}: {numbered.rows} rows read, {expected_rows} declared")
+    else:
+        width = first_width(lines, mode) if dim is None and uniform else None
     if dim is None and uniform:
-        dim = first_width(lines, mode)
-    if with_ordinal:
-        lines = with_row_ordinal(lines)
+        dim = width
     out = parse_vectors(lines, mode, on_error, dim, labelled)
     cols = (["row_id"] if with_ordinal else []) + ["features"] + (["label"] if labelled else [])
     if on_error == "PERMISSIVE":
         cols.append("_corrupt_record")
-    out = out.select(*cols)
-    if expected_rows is not None:
-        n = out.count()
-        if n != expected_rows:
-            raise ValueError(f"{path}: {n} rows read, {expected_rows} declared")
-    return out
+    return out.select(*cols)
 
 
 def vector_lines(df: DataFrame, cols: list[str], sep: str = " ") -> DataFrame:

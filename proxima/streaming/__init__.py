@@ -2,10 +2,10 @@
 
 The original programs are batch jobs and define no streaming operator.  A stream of rows to
 classify is handled by applying the same batch plan to every micro-batch with
-``foreachBatch``: the window-based top-k is not a streaming operator, but inside a micro-batch
-it is an ordinary batch plan.  Each batch is written to its own ``batch_id=N`` directory with
-overwrite, so a batch replayed after a failure replaces its earlier output instead of
-duplicating it; the checkpoint location records the progress of the source.
+``foreachBatch``.  The train side is written once, when the stream starts; what a micro-batch
+broadcasts or writes to scratch is freed when its output is written.  Each batch goes to its own
+``batch_id=N`` directory with overwrite, so a batch replayed after a failure replaces its earlier
+output instead of duplicating it; the checkpoint location records the progress of the source.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from proxima.plans.classify import knn_classify
+from proxima.session import released, written
 
 
 def classify_stream(train: DataFrame, test_stream: DataFrame, k: int, output_path: str,
@@ -24,10 +25,12 @@ def classify_stream(train: DataFrame, test_stream: DataFrame, k: int, output_pat
     ``options`` are passed to ``knn_classify`` (``features``, ``vote``, ``strategy``, ...).
     """
     root = output_path.rstrip("/")
+    train = written(train, "stream-train")
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        pred = knn_classify(train, batch, k, **options)
-        pred.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
+        with released():
+            pred = knn_classify(train, batch, k, **options)
+            pred.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
 
     writer = test_stream.writeStream.foreachBatch(each_batch).option(
         "checkpointLocation", checkpoint_location)
