@@ -21,7 +21,7 @@ SHAPES = [
     ("broadcast_test", "sql", None),
     ("block", "sql", None),
     ("block", "sql", 64),
-    ("cartesian", "sql", None),
+    ("pivot", "sql", 64),
 ]
 
 
@@ -51,14 +51,14 @@ TEST_LINES = ["0 0 0", "4 4 1", "0 2 0"]
 def hand(spark, tmp_path_factory):
     """The hand fixture of FIXTURES.md: (train, test) frames read from text files.
 
-    Read once per module and checkpointed, so the many plan shapes tested against it do not
+    Read once per module and written, so the many plan shapes tested against it do not
     re-read the files (the text reader itself is tested in ``test_edges``).
     """
-    from proxima.session import materialize
+    from proxima.session import written
     from proxima.sources.text import read_vectors
     d = tmp_path_factory.mktemp("hand")
-    tr = materialize(read_vectors(spark, write_lines(d / "train.txt", TRAIN_LINES)))
-    te = materialize(read_vectors(spark, write_lines(d / "test.txt", TEST_LINES)).drop("label"))
+    tr = written(read_vectors(spark, write_lines(d / "train.txt", TRAIN_LINES)), "hand-train")
+    te = written(read_vectors(spark, write_lines(d / "test.txt", TEST_LINES)).drop("label"), "hand-test")
     return tr, te
 
 

@@ -180,6 +180,72 @@ def test_src3_ordinals_follow_file_then_line(spark, tmp_path):
     assert all(r.row_id == int(r.x) for r in got)
 
 
+@pytest.mark.parametrize("conf", [{"spark.sql.files.maxPartitionBytes": ("9000", "6000")},
+                                  {"spark.sql.files.openCostInBytes": ("0", "0"),
+                                   "spark.sql.leafNodeDefaultParallelism": ("4", "7")}], ids=["bytes", "parallelism"])
+def test_src3_split_plan_may_change_before_the_action(spark, tmp_path, conf):
+    d = tmp_path / "two"
+    d.mkdir()
+    write_lines(d / "a.txt", [f"{i} {i % 2}" for i in range(4000)])
+    write_lines(d / "b.txt", [f"{4000 + i} {i % 2}" for i in range(2000)])
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, (at_build, _) in conf.items():
+            spark.conf.set(k, at_build)
+        v = read_vectors(spark, str(d))
+        for k, (_, at_action) in conf.items():
+            spark.conf.set(k, at_action)
+        got = v.select("row_id", v.features[0].alias("x")).collect()
+    finally:
+        for k, value in old.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
+    assert len(got) == 6000 and all(r.row_id == int(r.x) for r in got)
+
+
+@pytest.mark.parametrize("shape", SHAPES, ids=shape_id)
+def test_ids_null_large_and_repeated(spark, shape):
+    strategy, kernel, block = shape
+    kw = dict(strategy=strategy, kernel=kernel, block_bytes=block)
+    big = 2**53 + 1
+    tr = frame(spark, [(big, [0.0, 0.0], 1.0), (3, [9.0, 9.0], 0.0)])
+    te = frame(spark, [(big + 2, [0.0, 0.0])], labelled=False)
+    assert [(r.test_id, r.train_id) for r in knn_neighbors(tr, te, 1, **kw).collect()] == [(big + 2, big)]
+    null_te = spark.createDataFrame([(None, [0.0, 0.0]), (big, [1.0, 1.0])], "row_id bigint, features array<double>")
+    with pytest.raises(Exception, match="NULL row_id"):
+        knn_neighbors(tr, null_te, 1, **kw).collect()
+    twice = frame(spark, [(5, [0.0, 0.0]), (5, [1.0, 1.0])], labelled=False)
+    with pytest.raises(ValueError, match="unique"):
+        knn_classify(tr, twice, 1, **kw)
+
+
+def test_null_vector_names_its_row(spark):
+    tr = frame(spark, [(0, [0.0, 0.0], 1.0)])
+    te = spark.createDataFrame([(7, None)], "row_id bigint, features array<double>")
+    with pytest.raises(Exception, match="test vector of row 7 has no values"):
+        knn_classify(tr, te, 1, dim=2).collect()
+
+
+@pytest.mark.parametrize("dim", [128, 129])
+def test_distance_forms_agree_around_the_unroll_limit(spark, dim):
+    from proxima.functions.vectors import euclidean
+    row = spark.createDataFrame([([i * 0.1 for i in range(dim)], [i * 0.3 + 1 for i in range(dim)])],
+                                "a array<double>, b array<double>")
+    r = row.select(euclidean("a", "b", dim).alias("x"), euclidean("a", "b").alias("y")).collect()[0]
+    assert r.x == r.y
+
+
+def test_released_frees_scratch_and_broadcasts(spark, tmp_path):
+    import os
+    from proxima.session import released, scratch_root
+    path = write_lines(tmp_path / "v.txt", ["1 2 0", "3 4 1"])
+    root = scratch_root(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    with released():
+        assert read_vectors(spark, path).count() == 2
+        assert set(os.listdir(root)) != before
+    assert set(os.listdir(root)) == before
+
+
 def test_snk_layouts_and_no_clobber(spark, tmp_path):
     pred = spark.createDataFrame([(0, 1), (1, 0), (2, None)], "test_id bigint, prediction int")
     p1 = write_predictions(pred, str(tmp_path / "pairs"), "pairs")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import duckdb
 import pytest
@@ -10,7 +11,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["embeddings", "documents", "labels", "supplier"]
+TABLES = ["embeddings", "documents", "labels", "supplier", "pages"]
 
 
 def test_entry_runs(spark):
@@ -20,7 +21,10 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    """The training-data operators state in ``tests/llm`` what SQL cannot."""
+    other = {n for n in E.queries() if n == "pipeline" or re.match(r"op\d+_", n)}
+    assert set(E.queries()) - other == set(E.oracle_sql()) - other
+    assert set(E.oracle_sql()) <= set(E.queries())
 
 
 def _digest(rows, cols):
@@ -37,7 +41,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     rows, cols = [tuple(r) for r in df.collect()], df.columns

@@ -72,35 +72,56 @@ def test_predictions_agree_across_shapes(spark, case):
         assert len(results) == 1, vote
 
 
-@pytest.mark.parametrize("blocks", [(1, 1), (2, 3)])
-def test_pair_stats_match_candidate_aggregates(spark, blocks):
+@pytest.mark.parametrize("blocks", [None, (1, 1), (2, 3)])
+def test_pair_stats_match_brute_force(spark, blocks):
     from proxima.operators import candidates as C
     from proxima.operators import vectorized as V
-    from proxima.operators.diagnostics import admissible_counts, candidate_stats, distance_row_stats
 
     train, test = dataset(5, 30, 6, 3)
     train[3] = (train[3][0], [float("nan")] + train[3][1][1:], train[3][2])
     tr = C.prepare_train(frame(spark, train), dim=3)
     te = C.prepare_test(frame(spark, test, labelled=False), dim=3)
-    got = {r.test_id: r for r in V.pair_stats(te, tr, 3, *blocks, max_distance=2.5).collect()}
-    pairs = C.pairs_cartesian(te, tr, 3)
-    stats = {r.test_id: r for r in candidate_stats(pairs).collect()}
-    rows = {r.test_id: r for r in distance_row_stats(pairs).collect()}
-    adm = {r.test_id: r.n_candidates for r in admissible_counts(pairs, te, 2.5).collect()}
-    assert sorted(got) == sorted(stats)
-    for t, g in got.items():
-        assert (g.n, g.min_d, g.first_d, g.n_admissible) == (
-            stats[t].n, stats[t].min_d, rows[t].first_d, adm[t])
-        assert np.isnan(g.max_d) and np.isnan(stats[t].max_d)  # NaN orders above every number
-        assert g.last_d == rows[t].last_d or (np.isnan(g.last_d) and np.isnan(rows[t].last_d))
-
-
-def test_sql_kernel_refuses_k_beyond_group_limit(spark):
+    stats = (V.pair_stats_broadcast_train(te, tr, 3, 2.5) if blocks is None
+             else V.pair_stats(te, tr, 3, *blocks, max_distance=2.5))
+    got = {r.test_id: r for r in stats.collect()}
+    assert sorted(got) == sorted(t for t, _ in test)
+    by_id = sorted(train)
+    for t, tf in test:
+        d = [float(np.sqrt(sum((a - b) * (a - b) for a, b in zip(tf, rf)))) for _, rf, _ in by_id]
+        g = got[t]
+        assert (g.n, g.n_admissible, g.n_finite) == (30, sum(x < 2.5 for x in d), 29)
+        assert np.isclose(g.min_d, np.nanmin(d)) and np.isnan(g.max_d)  # NaN orders above every number
+        for mine, want in ((g.first_d, d[0]), (g.last_d, d[-1])):
+            assert np.isclose(mine, want) or (np.isnan(mine) and np.isnan(want))
+
+
+@pytest.mark.parametrize("kernel", ["numpy", "sql"])
+def test_any_k(spark, kernel):
     tr = frame(spark, [(0, [0.0], 1.0)])
     te = frame(spark, [(0, [0.0])], labelled=False)
-    with pytest.raises(ValueError):
-        knn_neighbors(tr, te, 1001, kernel="sql")
-    assert len(knn_neighbors(tr, te, 1001, kernel="numpy").collect()) == 1
+    assert len(knn_neighbors(tr, te, 1001, kernel=kernel).collect()) == 1
+
+
+def test_far_and_infinite_rows_do_not_widen_the_reach(spark):
+    """One far test row widens its own ring only, an infinite one meets nobody."""
+    from proxima.operators import pivot as PV
+    rng = np.random.default_rng(3)
+    train = [(i, [float(x) for x in rng.normal(size=2) + 20 * (i % 8)], 1.0) for i in range(400)]
+    test = [(i, [float(x) for x in rng.normal(size=2) + 20 * (i % 8)]) for i in range(200)]
+    pivots = np.array([train[i][1] for i in range(40)])
+    near = np.array([t for _, t in test])
+    xs = np.array([t for _, t, _ in train])
+    base = PV.sampled_share(near, xs, pivots, 3, 400, float("inf"))
+    far = np.vstack([near, [[1e6, 1e6]], [[np.inf, 0.0]]])
+    assert PV.sampled_share(far, xs, pivots, 3, 400, float("inf")) < base + 0.02
+    test += [(1000, [1e6, 1e6]), (1001, [float("inf"), 0.0])]
+    got = knn_neighbors(frame(spark, train), frame(spark, test, labelled=False), 3, strategy="pivot",
+                        block_bytes=4096).collect()
+    want = brute_force(train, [t for t in test if t[0] != 1001], 3)
+    by = {}
+    for r in sorted(got, key=lambda r: r.rank):
+        by.setdefault(r.test_id, []).append((r.train_id, r.distance, r.label))
+    assert by == want
 
 
 def test_pivot_falls_back_when_nothing_is_pruned(spark, monkeypatch):
@@ -111,8 +132,7 @@ def test_pivot_falls_back_when_nothing_is_pruned(spark, monkeypatch):
     test = [(100 + i, [float(x) for x in rng.normal(size=16)]) for i in range(10)]
     tr, te = frame(spark, train), frame(spark, test, labelled=False)
     used = []
-    original = PV.FALLBACK_SHARE
-    for share in (original, 10.0):  # 10.0: never fall back
+    for share in (0.0, 10.0):  # always and never fall back
         monkeypatch.setattr(PV, "FALLBACK_SHARE", share)
         rows = knn_neighbors(tr, te, 3, strategy="pivot", block_bytes=256).collect()
         used.append(sorted((r.test_id, r.rank, r.train_id, r.distance) for r in rows))

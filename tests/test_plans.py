@@ -29,35 +29,34 @@ def sides(spark):
     return C.prepare_train(tr, dim=2), C.prepare_test(te, dim=2)
 
 
-def test_broadcast_train_sql_one_exchange_by_test_id(sides):
+def test_sql_kernel_leaves_the_cut_to_the_window(sides):
     tr, te = sides
-    plan = choose_plan(tr, te, 2, "broadcast_train", "sql")
-    text = plan_text(neighbours_for(tr, te, 5, plan))
-    assert "BroadcastNestedLoopJoin" in text
-    exchanges = re.findall(r"(?<!Broadcast)Exchange (\w+)", text)
-    assert exchanges == ["hashpartitioning"], exchanges  # only the test side, by test_id
-    assert "hashpartitioning(test_id" in text
-    # the window sits directly on the join output: no exchange between them
-    window_part = text.split("BroadcastNestedLoopJoin")[0]
-    assert "Exchange hashpartitioning" not in window_part
-
-
-def test_broadcast_test_sql_partial_limit_before_exchange(sides):
-    tr, te = sides
-    plan = choose_plan(tr, te, 2, "broadcast_test", "sql")
-    text = plan_text(neighbours_for(tr, te, 5, plan))
-    lines = text.splitlines()
-    partial = [i for i, ln in enumerate(lines) if "WindowGroupLimit" in ln and "Partial" in ln]
-    exch = [i for i, ln in enumerate(lines) if "Exchange hashpartitioning(test_id" in ln]
-    assert partial and exch and exch[0] < partial[0]  # the partial cut is below the exchange
+    for strategy in ("broadcast_train", "broadcast_test", "block"):
+        plan = choose_plan(tr, te, 2, strategy, "sql", block_bytes=256)
+        text = plan_text(neighbours_for(tr, te, 5, plan))
+        assert "Window" in text
+        assert "NestedLoopJoin" not in text and "CartesianProduct" not in text
 
 
-def test_block_sql_join_on_block_pair(sides):
+def test_block_grid_has_many_groups(sides, spark):
     tr, te = sides
-    plan = choose_plan(tr, te, 2, "block", "sql", block_bytes=256)
-    assert plan.test_blocks * plan.train_blocks > 1
-    text = plan_text(neighbours_for(tr, te, 5, plan))
-    assert "hashpartitioning(tb" in text and "Partial" in text
+    plan = choose_plan(tr, te, 2, "block", block_bytes=256)
+    assert plan.test_blocks * plan.train_blocks >= 4 * spark.sparkContext.defaultParallelism
+    assert plan.block_partitions >= plan.partitions or plan.block_partitions == plan.test_blocks * plan.train_blocks
+
+
+def test_no_query_forms_pairs(spark):
+    from proxima.plans.queries import QUERIES
+    for name in ("pairwise_distance", "knn_topk", "classify_cartesian", "classify_block", "stage_counts",
+                 "classify_broadcast_test", "classify_broadcast_train", "admissible_candidates"):
+        text = plan_text(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "NestedLoopJoin" not in text and "CartesianProduct" not in text, name
+
+
+def test_stage_counts_and_stats_need_no_exchange_of_the_test_side(spark):
+    from proxima.plans.queries import QUERIES
+    text = plan_text(QUERIES["stage_counts"](spark, "/root/testdata/sf0.001"))
+    assert text.count("MapInArrow") == 1 and "CoGroups" not in text
 
 
 def test_numpy_broadcast_train_classify_is_map_only(sides, spark):
@@ -71,23 +70,13 @@ def test_numpy_broadcast_train_classify_is_map_only(sides, spark):
     assert "MapInArrow" in text and "Exchange" not in text
 
 
-def test_sql_broadcast_train_in_place_cuts_before_exchange(sides):
-    tr, te = sides
-    plan = replace(choose_plan(tr, te, 2, "broadcast_train", "sql"), spread_test=False)
-    lines = plan_text(neighbours_for(tr, te, 5, plan)).splitlines()
-    partial = [i for i, ln in enumerate(lines) if "WindowGroupLimit" in ln and "Partial" in ln]
-    exch = [i for i, ln in enumerate(lines) if "Exchange hashpartitioning(test_id" in ln]
-    assert partial and exch and exch[0] < partial[0]
-
-
 def test_auto_respects_broadcast_limit(sides):
     tr, te = sides
     assert choose_plan(tr, te, 2).strategy == "broadcast_train"
     assert choose_plan(tr, te, 2, broadcast_limit=50 * 48).strategy == "broadcast_test"
     p = choose_plan(tr, te, 2, broadcast_limit=100, block_bytes=1024)
     assert p.strategy == "pivot"  # neither side fits: pruned pivot join on the NumPy kernel
-    p = choose_plan(tr, te, 2, kernel="sql", broadcast_limit=100, block_bytes=1024)
-    assert p.strategy == "block" and p.train_blocks > 1
+    assert choose_plan(tr, te, 2, broadcast_limit=0).strategy == "pivot"  # 0 turns broadcasts off
     with pytest.raises(ValueError):
         choose_plan(tr, te, 2, "broadcast_train", broadcast_limit=100)
 

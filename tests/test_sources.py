@@ -13,10 +13,8 @@ def test_document_sides_partition_the_documents(spark):
     n_docs = T.table(spark, SF, "documents").count()
     n_labels = T.table(spark, SF, "labels").count()
     assert train.count() == n_labels and test.count() == n_docs - n_labels
-    direct_train = T.document_train(spark, SF)
-    direct_test = T.document_test(spark, SF)
-    assert sorted(map(tuple, train.collect())) == sorted(map(tuple, direct_train.collect()))
-    assert sorted(map(tuple, test.collect())) == sorted(map(tuple, direct_test.collect()))
+    features = {r.doc_id: list(r.features) for r in T.document_features(T.table(spark, SF, "documents")).collect()}
+    assert all(list(r.features) == features[r.row_id] for r in [*train.collect(), *test.collect()])
 
 
 def test_document_features_definition(spark):
