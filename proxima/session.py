@@ -95,12 +95,17 @@ def released():
             free()
 
 
+def on_release(free) -> None:
+    """Call ``free`` at the end of the enclosing ``released`` block, if there is one."""
+    held = _HELD.get()
+    if held is not None:
+        held.append(free)
+
+
 def send(spark: SparkSession, value):
     """A broadcast variable; destroyed at the end of the enclosing ``released`` block."""
     out = spark.sparkContext.broadcast(value)
-    held = _HELD.get()
-    if held is not None:
-        held.append(out.destroy)
+    on_release(out.destroy)
     return out
 
 
@@ -113,7 +118,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    held = _HELD.get()
-    if held is not None:
-        held.append(lambda: delete_path(spark, path))
+    on_release(lambda: delete_path(spark, path))
     return spark.read.schema(df.schema).parquet(path)
