@@ -14,13 +14,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from proxima.session import scratch_path
+from proxima.session import delete_path, on_release, scratch_path
 
 U64 = np.uint64
 BLOCK_BYTES = 1 << 19
+BROADCAST_ROWS = 1_000_000      # of a key and a few numbers each
 
 
 # ----------------------------------------------------------------- tables and sizes
@@ -36,6 +37,7 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
+    on_release(lambda: delete_path(df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -44,10 +46,20 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def joined_if_small(big: DataFrame, small: DataFrame, on: str, how: str, max_rows: int = 1_000_000) -> DataFrame:
-    """Join a big frame with a written key table: broadcast when the *counted* rows are at most
-    ``max_rows`` (keys and a few numbers each), a shuffle join beyond. Same rows either way."""
-    return big.join(F.broadcast(small) if small.count() <= max_rows else small, on, how)
+def written_and_seen(df: DataFrame, name: str, *cols: str) -> tuple[DataFrame, tuple]:
+    """``written``, with the number of rows and a sum of hashes of ``cols`` taken in the same job."""
+    obs = Observation()
+    out = written(df.observe(obs, F.count(F.lit(1)).alias("n"),
+                             F.sum(F.xxhash64(*cols).cast("decimal(38,0)")).alias("s")), name)
+    got = obs.get
+    return out, (got["n"], got["s"])
+
+
+def joined_if_small(big: DataFrame, small: DataFrame, on: str, how: str, rows: int | None = None) -> DataFrame:
+    """Join a big frame with a written table of keys and a few numbers: broadcast when the *counted*
+    rows are at most BROADCAST_ROWS, a shuffle join beyond.  Same rows either way."""
+    rows = small.count() if rows is None else rows
+    return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
 
 
 def process_cache(key, build: Callable):

@@ -12,7 +12,7 @@ Work is kept linear in hot groups:
 * documents with equal sets form one class (128-bit set hash) and only the smallest id goes on;
 * round 1 compares each class with one centre, the best connected member of the buckets it is in,
   and confirms that single link; components of these links are computed;
-* round 2 takes, inside each bucket, pairs of *different* components only and drops those that cannot
+* round 2 takes, inside each bucket, pairs of *different* trees only and drops those that cannot
   reach the threshold: by their sizes, by 128 one-bit coordinates, or because two sets with the same
   centre share no more than the smaller of what each has in common with it, plus what they share
   besides (bounded by a bitmap of the shingles the centre lacks).  The rest is confirmed.
@@ -28,11 +28,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proxima.llm.common import (U64, binary_array, grams, joined_if_small, mix, process_cache, text_blocks, words,
-                                written)
+                                written, written_and_seen)
 from proxima.llm.components import connected_components
 
 POSITIONS = 1 << 20
@@ -169,10 +169,23 @@ def _with_sets(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     once per pair."""
     pairs = written(pairs, "pairs")
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
-    sets = joined_if_small(docs, ids, "doc_id", "left_semi").mapInArrow(_sets(size), "id bigint, shingles binary")
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
+    sets = written(joined_if_small(docs, ids, "doc_id", "left_semi").mapInArrow(_sets(size), "id bigint, shingles binary"), "sets")
+    both = pairs.join(sets, F.col("b") == F.col("id")).select("a", "b", F.col("shingles").alias("y"))
+    return both.join(sets, F.col("a") == F.col("id")).select("a", "b", F.col("shingles").alias("x"), "y")
+
+
+def _followed(parents: DataFrame, rounds: int = 3) -> DataFrame:
+    """``rep, parent`` with every parent replaced by its own, again and again: chains of up to
+    2 ** rounds links end at their last member (longer ones further up than they began)."""
+    out, seen = written_and_seen(parents, "parents", "rep", "parent")
+    for _ in range(rounds):
+        up = out.select(F.col("rep").alias("parent"), F.col("parent").alias("above"))
+        before = seen
+        out, seen = written_and_seen(joined_if_small(out, up, "parent", "left", seen[0]).select(
+            "rep", F.coalesce("above", "parent").alias("parent")), "parents", "rep", "parent")
+        if seen == before:
+            break
+    return out
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
@@ -190,26 +203,25 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     # the most others over all its buckets, the smallest id among equals
     rows = classes.select("rep", F.explode("bands").alias("key"))
     crowd = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(rows.join(crowd, "key"), "members")
-    met = members.groupBy("rep").agg(F.sum("n").alias("met"))
-    ranked = members.select("key", "rep").join(met, "rep")
-    centres = ranked.groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("c"))).alias("m")).select(
+    met = F.sum("n").over(Window.partitionBy("rep"))            # at most one row per band
+    members = written(rows.join(crowd, "key").select("key", "rep", met.alias("met")), "members")
+    centres = members.groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("c"))).alias("m")).select(
         "key", (-F.col("m.c")).alias("centre"))
 
     # round 1: each class against one centre, the one it shares most buckets with
-    best = (members.join(centres, "key").where("rep <> centre").groupBy("rep", "centre").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("rep").agg(F.max(F.struct("n", (-F.col("centre")).alias("c"))).alias("m"))
-            .select((-F.col("m.c")).alias("a"), F.col("rep").alias("b")))
+    best = (members.join(centres, "key").where("rep <> centre").groupBy("rep")
+            .agg(F.mode("centre", True).alias("a")).select("a", F.col("rep").alias("b")))
     facts = written(_with_sets(best, docs, shingle_words).mapInArrow(_against_centre(percent), _FACTS).groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("n"), F.max("linked").alias("linked"), F.first("common").alias("common"),
         F.first("spare").alias("spare"), F.first("extra").alias("extra")), "facts")
+    # a centre comes before its members in the order of (meetings, id), so the links are trees
     links = facts.where("linked").select("a", "b")
-    comp1 = connected_components(links)
+    trees = _followed(links.select(F.col("b").alias("rep"), F.col("a").alias("parent")))
 
-    # round 2: pairs of different components inside a bucket
+    # round 2: pairs of different trees inside a bucket
     c = F.col
-    placed = (members.select("key", "rep").join(comp1.withColumnRenamed("id", "rep"), "rep", "left")
-              .select("key", "rep", F.coalesce("component_id", "rep").alias("comp")))
+    placed = (joined_if_small(members.select("key", "rep"), trees, "rep", "left")
+              .select("key", "rep", F.coalesce("parent", "rep").alias("comp")))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     # a repeated id has more than one set: no bound is used for it
     told = facts.where("n = 1").select(c("b").alias("rep"), c("a").alias("centre"), "common", "spare",
@@ -237,10 +249,20 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
                     & ~tested & (~one_centre | _linked(most, n, k, percent)))
              .select(c("x.rep").alias("a"), c("y.rep").alias("b")).distinct())
     more = _with_sets(pairs, docs, shingle_words).mapInArrow(_confirm(percent), "a bigint, b bigint")
-    comp = connected_components(links.union(more)).withColumnRenamed("id", "rep")
-
-    by_class = classes.select("h1", "h2", "rep").join(comp, "rep", "left").select(
-        "h1", "h2", F.coalesce("component_id", "rep").alias("component_id"))
+    # the trees stand for the links of round 1: their roots are joined by what is left of both
+    name = trees.select(c("rep").alias("id"), c("parent").alias("root"))
+    edges = links.union(more)
+    for end in ("a", "b"):
+        edges = joined_if_small(edges, name.withColumnRenamed("id", end), end, "left").withColumn(
+            end, F.coalesce("root", end)).drop("root")
+    over = written(connected_components(edges).select(c("id").alias("root"), "component_id"), "components")
+    # a root is not the least of its tree: the least doc_id of all that hang together
+    whole = classes.select("h1", "h2", "rep").join(name.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "h1", "h2", "rep", F.coalesce("root", "rep").alias("root"))
+    whole = joined_if_small(whole, over, "root", "left").select("h1", "h2", "rep", F.coalesce("component_id", "root").alias("comp"))
+    least = whole.groupBy("comp").agg(F.min("rep").alias("component_id"))
+
+    by_class = whole.join(least, "comp").select("h1", "h2", "component_id")
     # rows that repeat a doc_id follow the least component of its rows
     out = sig.select("doc_id", "n_shingles", "h1", "h2").join(
         by_class, (sig["h1"] == by_class["h1"]) & (sig["h2"] == by_class["h2"]) & (sig["n_shingles"] > 0), "left")
