@@ -115,7 +115,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                 close(at)
             continue
         if tag in RAW:
-            m = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos) if not attrs.endswith("/") else None
+            m = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
             pos = m.end() if m else (pos if attrs.endswith("/") else n)
             continue
         if tag == "br":
@@ -130,7 +130,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                     break
                 if open_tag in BLOCK:
                     break
-        if tag in VOID or attrs.endswith("/"):
+        if tag in VOID:
             continue
         furniture, main = stack[-1][1:] if stack else (False, False)
         f, a = _kind(tag, attrs, main)
@@ -168,8 +168,17 @@ SAMPLES = [
     f"<article><header><h1>a title✓</h1></header><p>{_LONG}✓</p><div class='ad banner'>{_MID}</div><p>{_LONG}✓</p><footer>share this with friends</footer><section class=comments><p>{_MID}</p></section></article>",
     f"<table><tr><td><a href=/>home</a></td><td><a href=/m>map</a></td></tr></table><p>{_LONG}✓</p><p>{_LONG}✓</p>",
     "<article><h1>short✓</h1><p>yes✓</p><p>no✓ more✓</p></article><footer>the town paper</footer>",
+    "<article><h1>a short title✓</h1><p>a few words✓</p></article>",
+    "<main><p>one✓</p><p>two words✓</p></main><div>town paper</div>",
+    "<div>town paper</div><article><h2>what we saw✓</h2><p>not much✓</p></article><div>since long ago</div>",
+    "<div>town paper</div><div>daily</div><main><p>nothing new today✓</p></main><div>all rights reserved</div>",
     f"<div class=sidebar><p>{_LONG}</p><p>{_MID}</p></div><div class=article><p>{_MID}✓</p><pre>one two✓</pre><p>{_LONG}✓</p></div><div class=related><a href=/1>{_MID}</a></div>",
     f"{_LONG}✓",
+    f"<p>{_LONG}✓</p>",
+    f"<p>{_MID}✓</p><p>{_LONG}✓</p>",
+    f"<div>{_MID}✓ {_MID}✓</div><div><a href=/>home</a> <a href=/n>news</a></div>",
+    f"<h1>the flood✓</h1><p>{_LONG}✓</p><p>{_MID}✓</p><p>so✓.</p>",
+    f"<table><tr><td>{_MID}✓</td></tr><tr><td>{_LONG}✓</td></tr></table>",
     f"<article><p><a href=/whole>{_MID}✓</a></p><p>{_LONG}✓</p></article><nav><a href=/>{_MID}</a></nav>",
     f"<div><a href=/1>{_MID}</a></div><div><a href=/2>{_MID}</a></div><p>{_MID}✓</p><p>{_LONG}✓</p><div><a href=/3>{_MID}</a></div>",
     f"<section class=newsletter><p>{_MID}</p></section><main><p>{_LONG}✓</p><nav><a href=/s>skip</a></nav><p>ok✓</p></main><div role=contentinfo>{_MID}</div>",

@@ -36,7 +36,7 @@ K, S = 12, 4
 SHORT, SHORT_K, SHORT_S = 64, 4, 2   # texts below SHORT letters have anchors of SHORT_K letters
 ANCHORS = 64
 SEGMENT = 1 << 18
-RANGE_BYTES = 16 << 20           # bytes of the input files that make one range of ids
+RANGE_BYTES = 8 << 20            # bytes of the input files that make one range of ids
 MAX_RANGES = 20_000              # ranges stream from disk, so larger ones cost no memory
 _HASH_BYTES = 4
 
@@ -221,7 +221,7 @@ def _range_of(bounds: list[int]):
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness; see the module's rules."""
     spark = docs.sparkSession
-    ranges = min(MAX_RANGES, max(8, estimated_bytes(docs.select(text_col)) // RANGE_BYTES))
+    ranges = min(MAX_RANGES, max(8, estimated_bytes(docs) // RANGE_BYTES))
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     # descending order: range 0 holds the largest ids, nulls come last; at most one row per range
     # (a bound, a first id) reaches the driver
@@ -237,6 +237,6 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     moved = (keyed.join(F.broadcast(heads), "range")
              .select(F.explode(F.when(F.col("id").eqNullSafe(F.col("first")), F.array(own, ahead)).otherwise(F.array(own))).alias("x"),
                      "id", "text"))
-    return (moved.select("x.r", "id", "text", "x.look").repartition(ranges, "r")
+    return (moved.select("x.r", "id", "text", "x.look").repartitionById(ranges + 1, "r")
             .sortWithinPartitions("r", "look", F.col("id").desc_nulls_last(), F.xxhash64("text"), "text")
             .mapInArrow(_walk_ranges, _PAIR_SCHEMA))

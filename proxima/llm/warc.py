@@ -134,6 +134,8 @@ class _Stream:
             if not head.startswith(b"WARC/"):
                 raise ValueError(f"{self.archive}: no record at {self.base}")
             fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
+            if b"Content-Length" not in fields:
+                raise ValueError(f"{self.archive}: the record at {self.base} has no length")
             size = int(fields[b"Content-Length"])
             stop = cut + len(end) + size
             if len(self.buffer) < stop + len(end):
