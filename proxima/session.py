@@ -10,16 +10,21 @@ path.
 from __future__ import annotations
 
 import contextlib
+import sys
 import tempfile
+import types
 import uuid
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
-# what the innermost ``released`` block has sent or written so far
-_HELD: ContextVar[list | None] = ContextVar("proxima-held", default=None)
+
+def _held() -> list:
+    """What the open ``released`` blocks have sent or written, innermost last.  Kept beside the package,
+    whose modules are pickled by value into task functions."""
+    store = sys.modules.setdefault("_proxima_held", types.ModuleType("_proxima_held")).__dict__
+    return store.setdefault("blocks", [])
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "proxima",
@@ -86,20 +91,19 @@ def released():
     ``with released(): knn_classify(train, test, 5).write.parquet(path)``.
     """
     held: list = []
-    token = _HELD.set(held)
+    _held().append(held)
     try:
         yield
     finally:
-        _HELD.reset(token)
+        _held().remove(held)
         for free in reversed(held):
             free()
 
 
 def on_release(free) -> None:
     """Call ``free`` at the end of the enclosing ``released`` block, if there is one."""
-    held = _HELD.get()
-    if held is not None:
-        held.append(free)
+    if _held():
+        _held()[-1].append(free)
 
 
 def send(spark: SparkSession, value):
