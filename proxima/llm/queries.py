@@ -26,10 +26,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def register(fn, sql: str | None = None):
+def register(fn):
     QUERIES[fn.__name__] = fn
-    if sql:
-        ORACLE_SQL[fn.__name__] = sql
     return fn
 
 
@@ -97,3 +95,56 @@ def op9_token_counts(spark, sf_dir):
 def op10_language_id(spark, sf_dir):
     """Predicted language of every document, trained on four fifths of the labelled ones."""
     return identify_languages(table(spark, sf_dir, "documents"))
+
+
+# --------------------------------------------------------------------------- DuckDB oracle
+
+_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+
+# every document reaches the smallest id that its links lead to
+_REACH = """,
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(id, root) AS (SELECT {id}, {id} FROM {table} UNION
+                    SELECT b, root FROM reach JOIN both_ways ON a = id),
+comp AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)"""
+
+ORACLE_SQL["op1_minhash_near_dedup"] = (
+    "WITH RECURSIVE w AS (SELECT doc_id, " + _WORDS.format(
+        text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')") + """ AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(ws) > 1
+       THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS s FROM w)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b
+          WHERE 100 * c >= 80 * (p.n + q.n - c))""" + _REACH.format(id="doc_id", table="documents") + """
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN size USING (doc_id) JOIN comp ON comp.id = d.doc_id""")
+
+ORACLE_SQL["op2_substring_dedup"] = (
+    "WITH w AS (SELECT doc_id, " + _WORDS.format(text="coalesce(text, '')") + """ AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS k
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+first AS (SELECT k, min(doc_id) AS d FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM win JOIN first USING (k), range(50) t(j) WHERE d < doc_id),
+word AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""")
+
+ORACLE_SQL["op6_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+             max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN last END AS refers_to FROM q"""
+
+ORACLE_SQL["op7_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT vec_id, e, list_dot_product(e, e) AS s FROM v
+         WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.vec_id < y.vec_id
+          WHERE list_dot_product(x.e, y.e) / sqrt(x.s * y.s) >= 0.95)""" + _REACH.format(id="vec_id", table="embeddings") + """,
+n AS (SELECT a AS id, count(*) AS n FROM both_ways GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN comp ON comp.id = vec_id LEFT JOIN n ON n.id = vec_id"""

@@ -305,5 +305,5 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def capture_report(pages: DataFrame) -> DataFrame:
-    return archive_pages(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
-                                       "url_key", "captured", "range", "seq")
+    """The contract's columns of the merged index."""
+    return archive_pages(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -26,7 +26,7 @@ def test_round_trip(spark, monkeypatch):
     monkeypatch.setattr(W, "RANGE_ROWS", 4)
     rows = page_rows()
     pages = spark.createDataFrame(rows, PAGES).repartition(3)
-    got = W.capture_report(pages).collect()
+    got = W.archive_pages(pages).collect()
     best = {}
     for i, _, h, _ in rows:
         b = (h or "").encode()
