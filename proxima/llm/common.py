@@ -41,9 +41,9 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate (for a file scan: the bytes of the files). Layout choices only."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def counted_bytes(df: DataFrame, text_col: str) -> int:
+    """UTF-8 bytes of a text column, by one aggregation.  Used to size ranges and buckets."""
+    return int(df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0)
 
 
 def written_and_seen(df: DataFrame, name: str, *cols: str) -> tuple[DataFrame, tuple]:

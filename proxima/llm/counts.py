@@ -25,10 +25,10 @@ from tokenizers import Tokenizer
 
 from proxima.llm.bpe import BLOCK_BYTES, BlockPieces
 from proxima.llm.chunks import freeze, split_sorted, thaw
-from proxima.llm.common import estimated_bytes, process_cache, text_blocks, written
+from proxima.llm.common import counted_bytes, process_cache, text_blocks, written
 
 CHUNK_BYTES = 16 << 20
-BUCKET_BYTES = 24 << 20          # bytes of the input files whose pre-tokens make one hash range
+BUCKET_BYTES = 40 << 20          # bytes of text whose pre-tokens make one hash range
 _MOVED = "kind int, chunk bigint, bucket int, blob binary"
 
 
@@ -142,7 +142,7 @@ def _sum(batches):
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row."""
-    size = estimated_bytes(docs.select(text_col))
+    size = counted_bytes(docs, text_col)
     bits = max(3, int(np.ceil(np.log2(max(1, size / BUCKET_BYTES)))))
     docs = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"))
     moved = written(docs.mapInArrow(_split(bits), _MOVED), "pre-tokens", partition_by="kind")

@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proxima.llm.common import U64, estimated_bytes, mix
+from proxima.llm.common import U64, counted_bytes, mix
 
 K, S = 12, 4
 SHORT, SHORT_K, SHORT_S = 64, 4, 2   # texts below SHORT letters have anchors of SHORT_K letters
 ANCHORS = 64
 SEGMENT = 1 << 18
-RANGE_BYTES = 8 << 20            # bytes of the input files that make one range of ids
+RANGE_BYTES = 16 << 20           # bytes of text that make one range of ids
 MAX_RANGES = 20_000              # ranges stream from disk, so larger ones cost no memory
 _HASH_BYTES = 4
 
@@ -221,7 +221,7 @@ def _range_of(bounds: list[int]):
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness; see the module's rules."""
     spark = docs.sparkSession
-    ranges = min(MAX_RANGES, max(8, estimated_bytes(docs) // RANGE_BYTES))
+    ranges = min(MAX_RANGES, max(8, counted_bytes(docs, text_col) // RANGE_BYTES))
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     # descending order: range 0 holds the largest ids, nulls come last; at most one row per range
     # (a bound, a first id) reaches the driver
