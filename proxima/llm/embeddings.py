@@ -39,7 +39,7 @@ from proxima.llm.components import connected_components
 TABLES = 16
 PROBES = 3                       # further buckets a vector looks into, per table
 ROWS_PER_BUCKET = 2              # buckets are made for about so many rows each
-MEMBERS = 512                    # vectors of a block of a core
+MEMBERS = 128                    # vectors of a block of a core
 BUCKET_BLOCK = 2048              # cores of a bucket that are compared in one piece
 SLACK = 1e-9
 
