@@ -40,7 +40,9 @@ TABLES = 16
 PROBES = 3                       # further buckets a vector looks into, per table
 ROWS_PER_BUCKET = 2              # buckets are made for about so many rows each
 MEMBERS = 128                    # vectors of a block of a core
-BUCKET_BLOCK = 2048              # cores of a bucket that are compared in one piece
+SMALL_BUCKET = 64                # cores of a bucket up to which many buckets share a group
+SHARD_ROWS = 8192                # rows of such a group, about
+BUCKET_BLOCK = 2048              # cores of a larger bucket that are compared in one piece
 SLACK = 1e-9
 
 
@@ -199,6 +201,32 @@ def _with_vectors(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
 
 
+def _shard_pairs(theta: float):
+    """Pairs of cores that share one of the small buckets of a group and may hold a link."""
+    def run(tbl):
+        out = [np.empty((0, 2), np.int64)]
+        sizes = np.array([len(x.as_buffer()) for x in tbl.column("sketch")])
+        for size in np.unique(sizes):
+            t = tbl.take(pa.array(np.flatnonzero(sizes == size))).sort_by("bucket")
+            bucket, core, own, radius = (t.column(c).to_numpy() for c in ("bucket", "core", "own", "radius"))
+            x = unsketch(t.column("sketch").to_pylist())
+            err = sketch_error(x.shape[1])
+            for step in range(1, SMALL_BUCKET):
+                i = np.flatnonzero(bucket[:-step] == bucket[step:])
+                if not len(i):
+                    break
+                j = i + step
+                ok = (own[i] | own[j]) & (core[i] != core[j])
+                i, j = i[ok], j[ok]
+                reach = np.minimum(np.pi, theta + radius[i] + radius[j])
+                near = np.einsum("ij,ij->i", x[i], x[j]) >= np.cos(reach) - err
+                i, j = i[near], j[near]
+                out.append(np.stack([np.minimum(core[i], core[j]), np.maximum(core[i], core[j])], axis=1))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    return run
+
+
 def _core_pairs(theta: float):
     """Pairs of cores of one piece of a bucket that may hold a link, judged by their leaders."""
     def run(key, tbl):
@@ -291,14 +319,19 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, id_col:
     own_sketch = own.groupBy("rep").agg(F.first("sketch").alias("sketch")).withColumnRenamed("rep", "core")
     facts = cores.select("core", "radius").join(own_sketch, "core")
     full = found.join(sizes, "bucket").join(facts, "core")
+    few = c("m") <= SMALL_BUCKET
+    shards = 1 + (sizes.where(few).agg(F.sum("m")).first()[0] or 0) // SHARD_ROWS
+    small = (full.where(few).select(F.pmod(F.xxhash64("bucket"), F.lit(shards)).alias("shard"), "bucket", "core", "own", "radius", "sketch")
+             .groupBy("shard").applyInArrow(_shard_pairs(theta), "a bigint, b bigint"))
     blocks = F.ceil(c("m") / F.lit(BUCKET_BLOCK)).cast("int")
     mine = F.pmod(F.xxhash64("core"), blocks).cast("int")
     # piece (i, j), i <= j: block i on the left, block j on the right; both on a piece (i, i)
-    full = full.select("bucket", "core", "own", "radius", "sketch", mine.alias("i"),
-                       F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
-    pieces = full.select("bucket", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "core", "own", "radius", "sketch",
-                         F.when(c("i") == c("j"), 1).when(c("i") < c("j"), 0).otherwise(2).alias("side"))
-    pairs = written(pieces.groupBy("bucket", "lo", "hi").applyInArrow(_core_pairs(theta), "a bigint, b bigint").distinct(), "core-pairs")
+    large = full.where(~few).select("bucket", "core", "own", "radius", "sketch", mine.alias("i"),
+                                    F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
+    pieces = large.select("bucket", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "core", "own", "radius", "sketch",
+                          F.when(c("i") == c("j"), 1).when(c("i") < c("j"), 0).otherwise(2).alias("side"))
+    met_in = pieces.groupBy("bucket", "lo", "hi").applyInArrow(_core_pairs(theta), "a bigint, b bigint")
+    pairs = written(small.union(met_in).distinct(), "core-pairs")
 
     # members of the cores on a pair, in blocks; block against block
     on_pair = pairs.select(F.explode(F.array("a", "b")).alias("core")).distinct()

@@ -60,6 +60,8 @@ def brute(rows, threshold=0.95):
 @pytest.mark.parametrize("piece", [2048, 8])
 def test_links_match_all_pairs(spark, monkeypatch, piece):
     monkeypatch.setattr(E, "BUCKET_BLOCK", piece)
+    monkeypatch.setattr(E, "SMALL_BUCKET", 64 if piece > 100 else 3)
+    monkeypatch.setattr(E, "SHARD_ROWS", piece)
     monkeypatch.setattr(E, "MEMBERS", max(4, piece // 4))
     rows = vectors()
     got = E.near_duplicate_vectors(spark.createDataFrame(rows, VECTORS).repartition(4)).collect()
