@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proxima.llm.common import U64, joined_if_small, mix, process_cache, written
+from proxima.llm.common import U64, mix, written
 from proxima.llm.components import connected_components
 
 TABLES = 16
