@@ -92,11 +92,6 @@ def number_lines(lines: DataFrame, mode: str = "strict") -> NumberedLines:
     return NumberedLines(out, total, int(ranges[0]["width"]) if ranges else None)
 
 
-def with_row_ordinal(lines: DataFrame) -> DataFrame:
-    """The lines of ``read_lines`` with ``row_id``."""
-    return number_lines(lines).lines
-
-
 def tokens(value: Column, mode: str) -> Column:
     if mode == "strict":
         return F.split(F.rtrim(value), " ", -1)

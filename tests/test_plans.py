@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import io
-import re
 
 from dataclasses import replace
 

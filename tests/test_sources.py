@@ -1,8 +1,7 @@
-"""Vector frames from the parquet tables, and counts observed without extra jobs."""
+"""Vector frames from the parquet tables."""
 
 from __future__ import annotations
 
-from proxima.operators.diagnostics import observed
 from proxima.sources import tables as T
 
 SF = "/root/testdata/sf0.001"
@@ -29,9 +28,3 @@ def test_embedding_vectors_binary_label(spark):
     assert e.columns == ["row_id", "features", "label", "raw_label"]
     assert {r.label for r in e.select("label").distinct().collect()} <= {0.0, 1.0}
     assert e.where("label != raw_label % 2").count() == 0
-
-
-def test_observed_counts_rows_in_the_same_job(spark):
-    df, obs = observed(T.embedding_vectors(spark, SF), "emb")
-    df.write.format("noop").mode("overwrite").save()
-    assert obs.get["rows"] == 500
