@@ -1,3 +1,5 @@
+"""Documents with edge cases, shared by the tests of this folder (not a conftest: its name is taken)."""
+
 from __future__ import annotations
 
 import random

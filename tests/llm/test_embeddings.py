@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from conftest import close_components
+from llm_fixtures import close_components
 from proxima.llm import embeddings as E
 
 VECTORS = "vec_id bigint, embedding array<float>, label int, core string"

@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from conftest import edge_rows
+from llm_fixtures import edge, edge_rows, empty  # noqa: F401
 from proxima.llm import fingerprints as P
 
 

@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 
-from conftest import edge_rows
+from llm_fixtures import edge, edge_rows, empty  # noqa: F401
 from proxima.llm import langid as L
 
 SF = "/root/testdata/sf0.01"

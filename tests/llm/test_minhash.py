@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from conftest import close_components, edge_rows
+from llm_fixtures import close_components, edge, edge_rows, empty  # noqa: F401
 from proxima.llm import minhash
 from proxima.llm.components import connected_components
 

@@ -9,7 +9,7 @@ from collections import defaultdict
 
 import pytest
 
-from conftest import edge_rows
+from llm_fixtures import edge, edge_rows, empty  # noqa: F401
 from proxima.llm.packing import optimal_bounds, pack, pack_report
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import __spark_entry__ as E
 import corpus_pipeline as P
 
-from conftest import edge_rows
+from llm_fixtures import edge, edge_rows, empty  # noqa: F401
 
 
 def test_stages_are_four_and_registered():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from conftest import edge_rows
+from llm_fixtures import edge, edge_rows, empty  # noqa: F401
 from proxima.llm.substrings import WINDOW, remove_repeats, substring_report
 
 LAST = 2**63 - 1

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from conftest import edge_rows
+from llm_fixtures import edge, edge_rows, empty  # noqa: F401
 from proxima.llm import bpe
 from proxima.llm.common import text_blocks
 from proxima.llm.counts import token_counts
