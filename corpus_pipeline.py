@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from proxima.llm.common import joined_if_small, table, written
 from proxima.llm.langid import UNKNOWN, language_profiles, predict_language
 from proxima.llm.minhash import near_duplicates
-from proxima.llm.packing import pack
+from proxima.llm.packing import pack_tokens
 from proxima.llm.substrings import remove_repeats
 
 SHINGLE_WORDS = 5
@@ -57,8 +57,8 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length bucket and batch of every document that is left."""
-    return pack(docs, keep=["doc_id"])
+    """Length bucket and batch of every document that is left, by its tokens."""
+    return pack_tokens(docs)
 
 
 STAGES = [("language", language), ("near_duplicate", near_duplicate), ("substrings", substrings), ("packing", packing)]

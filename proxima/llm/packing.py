@@ -13,6 +13,9 @@ Rules.  Null and empty texts have length 0 and are packed with the shortest.  A
 budget is a batch of its own without padding (bucket = the number of buckets).  Rows with equal
 length and id are interchangeable.  Null ids come last within a length.  An empty table gives no rows;
 other columns are kept.
+
+``pack_tokens`` measures texts in tokens of a tokenizer file, and so do the query and the pipeline;
+``pack`` takes any ``length`` and counts words without one.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proxima.llm.common import written
+from proxima.llm.common import tokenizer_path, written
+from proxima.llm.counts import token_counts
 
 BUDGET = 8192
 BUCKETS = 16
@@ -117,5 +121,14 @@ def pack(docs: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS, length:
     return out.select(*[F.col("row").getField(c).alias(c) for c in cols if c not in made], *made)
 
 
+def pack_tokens(docs: DataFrame, path: str | None = None, budget: int = BUDGET, buckets: int = BUCKETS,
+                id_col: str = "doc_id") -> DataFrame:
+    """The ids of ``docs``, packed by the tokens of their texts.  Every row is counted by itself, so null
+    and repeated ids have the lengths of their own texts."""
+    counted = token_counts(docs, path or tokenizer_path(), id_col=id_col)
+    rows = counted.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n_tokens").alias("n"))
+    return pack(rows, budget, buckets, F.col("n"), id_col, keep=[id_col])
+
+
 def pack_report(docs: DataFrame) -> DataFrame:
-    return pack(docs, keep=["doc_id"])
+    return pack_tokens(docs)

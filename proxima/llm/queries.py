@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from proxima.llm.bpe import encode_digests
-from proxima.llm.common import table
+from proxima.llm.common import table, tokenizer_path
 from proxima.llm.counts import token_counts
 from proxima.llm.embeddings import near_duplicate_vectors
 from proxima.llm.extract import extract_main_text
@@ -31,12 +31,6 @@ def register(fn):
     return fn
 
 
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    """Place of a public tokenizer file: the only one the queries use; operators take any path."""
-    import public_tokenizers
-    return public_tokenizers.path(name)
-
-
 @register
 def op1_minhash_near_dedup(spark, sf_dir):
     """Components of documents linked at similarity 0.8 on two-word shingles."""

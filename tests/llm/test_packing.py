@@ -10,7 +10,9 @@ from collections import defaultdict
 import pytest
 
 from llm_fixtures import edge, edge_rows, empty  # noqa: F401
-from proxima.llm.packing import optimal_bounds, pack, pack_report
+import corpus_pipeline as P
+from proxima.llm.packing import BUDGET, optimal_bounds, pack, pack_report
+from proxima.llm.queries import tokenizer_path
 
 
 @pytest.mark.parametrize("seed", range(60))
@@ -60,3 +62,21 @@ def test_other_columns_are_kept(edge, empty):
     out = pack(edge)
     assert set(edge.columns) <= set(out.columns) and len(out.columns) == len(set(out.columns))
     assert pack_report(empty).collect() == []
+
+
+def test_query_and_stage_pack_by_tokens(spark, edge):
+    from tokenizers import Tokenizer
+    tk = Tokenizer.from_file(tokenizer_path())
+
+    def tokens(t):
+        return len(tk.encode(t or "", add_special_tokens=False).ids)
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    want = sorted(((i, tokens(t)) for i, t, *_ in edge_rows()), key=key)
+    for out in (pack_report(edge), P.packing(spark, edge, "/nowhere")):
+        assert out.columns == ["doc_id", "n_tokens", "bucket", "bucket_len", "batch", "padding"]
+        assert sorted(((r.doc_id, r.n_tokens) for r in out.collect()), key=key) == want
+    # one word of more tokens than the budget shares its batch with nobody
+    wide = "漢字仮名" * 2500
+    got = pack_report(spark.createDataFrame([(1, wide), (2, "a b"), (3, "c d")], "doc_id bigint, text string")).collect()
+    by = {r.doc_id: r for r in got}
+    assert by[1].n_tokens == tokens(wide) > BUDGET and by[1].batch not in (by[2].batch, by[3].batch)
