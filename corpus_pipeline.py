@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proxima.llm.common import joined_if_small, table, written
-from proxima.llm.langid import UNKNOWN, language_profiles, predict_language
+from proxima.llm.langid import known_language
 from proxima.llm.minhash import near_duplicates
 from proxima.llm.packing import pack_tokens
 from proxima.llm.substrings import remove_repeats
@@ -22,13 +22,12 @@ SIMILARITY_PERCENT = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without any letter (``und``); a null language becomes the predicted one."""
-    names = ("_language", "_score")
+    """Drops documents without any letter (``und``) and those too unlike every labelled language; a null language becomes the predicted one.  Without profiles, texts with letters stay."""
+    names = ("_language", "_score", "_likeness")
     while any(c in names for c in docs.columns):
         names = tuple(f"_{n}" for n in names)
     cols = docs.columns
-    seen = predict_language(docs, language_profiles(docs), out=names)
-    kept = seen.where(F.col(names[0]) != UNKNOWN)
+    kept = known_language(docs, names)
     return kept.select(*[F.coalesce(F.col("lang"), F.col(names[0])).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in cols])
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
+import corpus_pipeline as P
 
 from llm_fixtures import edge, edge_rows, empty  # noqa: F401
 from proxima.llm import langid as L
@@ -47,3 +49,28 @@ def test_bundle_in_slices_and_full_table(monkeypatch):
     t = L._Table()
     for _ in range(2):
         assert np.allclose(t.bundle(codes, times), whole)
+
+
+def test_stage_drops_foreign_texts_and_keeps_clean_ones(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = random.Random(3)
+    letters = ["".join(rng.choice("bcdfghjklmnpqrstvwxz ") for _ in range(500)) for _ in range(20)]
+    foreign = ["今天天气很好我们去公园散步然后回家吃饭看电视睡觉明早还要上班所以不能太晚休息请大家注意安全" * 4, "сегодня хорошая погода, мы пойдём гулять в парк, а потом вернёмся домой " * 2,
+               "dzisiaj jest piękna pogoda i idziemy na spacer do parku, a potem wracamy do domu na kolację z rodziną"]
+    rows = [(10**9 + i, t, lang) for i, t in enumerate(foreign + letters) for lang in (None, "en")] + [(10**9 + 99, "ok", None)]
+    more = docs.unionByName(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), allowMissingColumns=True)
+    kept = [r.doc_id for r in P.language(spark, more, "/nowhere").select("doc_id").collect()]
+    assert sorted(i for i in kept if i < 10**9) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    more = [i - 10**9 for i in kept if i >= 10**9]
+    assert 99 in more and not {0, 1, 2} & set(more)
+    assert len(set(more) - {99}) <= 4                               # random letters may come near a language by chance
+
+
+def test_without_profiles_only_texts_without_letters_go(spark):
+    text = "a text that is long enough to be held against the floor of the language scores, word by word"
+    for langs in ((None, None, None), ("en", "de", None)):          # no label; one bundle in two languages
+        docs = spark.createDataFrame([(1, text, langs[0]), (2, text, langs[1]), (3, "12 !", langs[2])], "doc_id bigint, text string, lang string")
+        assert L.language_profiles(docs) == {}
+        got = {r.doc_id: (r.lang, r.text) for r in P.language(spark, docs, "/nowhere").collect()}
+        assert got == {1: (langs[0], text), 2: (langs[1], text)}
+        assert {r.doc_id: r.lang_pred for r in L.predict_language(docs, {}).collect()} == {1: None, 2: None, 3: "und"}
