@@ -5,6 +5,9 @@ A page is cut into flat blocks at block-level tags.  Each block has its word cou
 page furniture (by tag, role, class or id) or inside an article element.  A small decision tree
 (Gini splits) trained on the labelled blocks of ``SAMPLES`` says which blocks are main text.
 
+An article or main element clears what a wrapper's class or id, or a form around it, says about
+furniture.
+
 Rules.  Scripts, styles, templates, the document head and comments hold no blocks.  Character
 references are decoded once; white space inside a block becomes one space; blocks are trimmed and
 joined in page order by one newline.  A null or empty page has empty text; nothing is capped, and a
@@ -31,13 +34,22 @@ BLOCK = frozenset((
     "ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul").split())
 FURNITURE_TAGS = frozenset("nav footer aside form dialog menu select button label head".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu".split())
-#: A class or id with one of these words marks furniture.
+#: A class or id token that is one of these words marks furniture, and so does a hyphenated one that ends
+#: with such a word (``site-footer``) or begins with one and ends with a PLAIN_WORDS (``ad-slot``), unless it
+#: tells how a page is laid out (``has-sidebar``, ``page-with-header``).
 FURNITURE_WORDS = frozenset((
     "ad ads advert adverts advertisement adverting advertising banner breadcrumb breadcrumbs comment comments "
     "cookie cookies consent disqus footer form gdpr header login masthead menu modal nav navbar navigation "
     "newsletter notice notices notification pager pagination popup promo promotion reader-comments related "
     "replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar "
     "topbar widget").split())
+PLAIN_WORDS = frozenset("area bar block box container group inner item items link links list panel section slot unit wrap wrapper".split())
+LAYOUT_WORDS = frozenset("has have is no not with without".split())
+#: Wrappers of these hold articles that are not the page's own: only a main element clears them.
+HOLDER_WORDS = frozenset((
+    "ad ads advert adverts advertisement comment comments disqus promo promotion reader-comments related replies reply "
+    "respond sidebar sponsor sponsored widget").split())
+SOFT, HOLDER, FIRM = 1, 2, 3     # furniture that an article clears, that a main element clears, that stays
 MAIN_WORDS = frozenset("article articlebody content entry main post story".split())
 
 _TOKEN = re.compile(
@@ -48,32 +60,47 @@ _NAMED = re.compile(r"class|id|role|hidden", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
 
-def _kind(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
-    """(furniture, main) for an element by its tag and its class, id and role."""
-    furniture = tag in FURNITURE_TAGS or (tag == "header" and not in_main)
-    main = tag in ("article", "main")
+def _named(token: str, in_main: bool) -> int:
+    """SOFT or HOLDER for a class or id token that marks furniture, else 0."""
+    parts = [token] if token in FURNITURE_WORDS else _WORDS.findall(token)
+    if not parts or not LAYOUT_WORDS.isdisjoint(parts):
+        return 0
+    word = parts[-1] if parts[-1] in FURNITURE_WORDS else parts[0] if parts[-1] in PLAIN_WORDS else ""
+    if word not in FURNITURE_WORDS or in_main and word == "header":     # an article may have a header of its own
+        return 0
+    return HOLDER if word in HOLDER_WORDS else SOFT
+
+
+def _kind(tag: str, attrs: str, in_main: bool) -> tuple[int, str]:
+    """Furniture (0, SOFT, HOLDER, FIRM) and main (``main``, ``article``, another or no word) for an
+    element by its tag and its class, id and role."""
+    furniture = (SOFT if tag == "form" else FIRM) if tag in FURNITURE_TAGS or (tag == "header" and not in_main) else 0
+    main = tag if tag in ("article", "main") else ""
+    named = 0
     if attrs and _NAMED.search(attrs):
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), (a or b or c).lower()
             if name == "hidden":
-                furniture = True
+                furniture = FIRM
             elif name == "role":
-                furniture |= value in FURNITURE_ROLES
-                main |= value in ("main", "article")
+                if value in FURNITURE_ROLES:
+                    furniture = FIRM
+                elif value in ("main", "article"):
+                    main = value
             elif tag not in ("body", "html", "article", "main"):
-                found = set(_WORDS.findall(value))
-                if in_main:                         # an article may have a header of its own
-                    found.discard("header")
-                furniture |= not found.isdisjoint(FURNITURE_WORDS)
-                main |= not found.isdisjoint(MAIN_WORDS)
-    return furniture, main and not furniture
+                named = max([named, *(_named(t, in_main) for t in value.split())])
+                if not main and not MAIN_WORDS.isdisjoint(_WORDS.findall(value)):
+                    main = "named"
+    if main not in ("article", "main"):             # these are not furniture by class or id
+        furniture = max(furniture, named)
+    return furniture, "" if furniture else main
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     """``(text, words, words in links, furniture, main)`` of every non-empty flat block."""
     out: list[tuple[str, int, int, bool, bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []       # tag, furniture, main: of the element and all around it
+    stack: list[tuple[str, int, bool]] = []       # tag, furniture, main: of the element and all around it
     linked = links = 0
 
     def flush():
@@ -81,8 +108,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                furniture, main = stack[-1][1:] if stack else (False, False)
-                out.append((text, text.count(" ") + 1, linked, furniture, main))
+                furniture, main = stack[-1][1:] if stack else (0, False)
+                out.append((text, text.count(" ") + 1, linked, furniture > 0, main))
             parts, linked = [], 0
 
     def close(at: int):
@@ -132,11 +159,13 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                     break
         if tag in VOID:
             continue
-        furniture, main = stack[-1][1:] if stack else (False, False)
+        furniture, main = stack[-1][1:] if stack else (0, False)
         f, a = _kind(tag, attrs, main)
+        if a == "main" and furniture in (SOFT, HOLDER) or a == "article" and furniture == SOFT:
+            furniture = 0                           # the wrapper was not furniture after all
         if f and tag not in BLOCK:
             flush()                                 # an inline element that is furniture is a block of its own
-        stack.append((tag, furniture or f, main or a))
+        stack.append((tag, max(furniture, f), main or bool(a)))
         links += tag == "a"
     flush()
     return out
@@ -181,6 +210,8 @@ SAMPLES = [
     f"<table><tr><td>{_MID}✓</td></tr><tr><td>{_LONG}✓</td></tr></table>",
     f"<article><p><a href=/whole>{_MID}✓</a></p><p>{_LONG}✓</p></article><nav><a href=/>{_MID}</a></nav>",
     f"<div><a href=/1>{_MID}</a></div><div><a href=/2>{_MID}</a></div><p>{_MID}✓</p><p>{_LONG}✓</p><div><a href=/3>{_MID}</a></div>",
+    f"<div class=has-sidebar><div class=sidebar><p>{_MID}</p></div><article><h1>the flood✓</h1><p>{_LONG}✓</p><p>{_MID}✓</p></article></div>",
+    f"<div id=page-with-header class='social-share-enabled form-page'><div class=site-footer><p>{_MID}</p></div><main><p>{_LONG}✓</p><p>ok✓</p></main></div>",
     f"<section class=newsletter><p>{_MID}</p></section><main><p>{_LONG}✓</p><nav><a href=/s>skip</a></nav><p>ok✓</p></main><div role=contentinfo>{_MID}</div>",
 ]
 

@@ -53,3 +53,16 @@ def test_null_columns_repeats_and_no_rows(spark):
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
     assert sorted(X.extract_main_text(pages).collect(), key=str) == sorted([(None, None, "", 0), (1, "u", "", 0), (1, "u", "", 0)], key=str)
     assert X.extract_main_text(pages.limit(0)).collect() == []
+
+
+def test_wrappers_do_not_hide_the_article():
+    article = f"<h1>Title</h1><p>{PARA}</p><p>Of.</p>"
+    for outer in ("class='has-sidebar'", "class='no-sidebar'", "class='social-share-enabled'", "class='form-page'",
+                  "id='page-with-header'", "class='header'", "class='modal x'"):
+        for inner in ("article", "main", "div role=main"):
+            page = f"<div {outer}><{inner}>{article}<div class=ad>{PARA}</div></{inner[:7].split()[0]}><div class='site-footer'><p>{PARA}</p></div></div>"
+            assert text(page) == f"Title\n{PARA}\nOf.", (outer, inner)
+    assert text(f"<form action=/><main>{article}</main></form>") == f"Title\n{PARA}\nOf."
+    # what is not the page's own stays out
+    assert text(f"<main>{article}</main><div id=comments><article><p>{PARA}</p></article></div>") == f"Title\n{PARA}\nOf."
+    assert text(f"<main>{article}</main><aside><article><p>{PARA}</p></article></aside><div class=ad-slot><p>{PARA}</p></div>") == f"Title\n{PARA}\nOf."
