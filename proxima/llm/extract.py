@@ -6,9 +6,9 @@ page furniture (by tag, role, class or id) or inside an article element.  A smal
 (Gini splits) trained on the labelled blocks of ``SAMPLES`` says which blocks are main text.
 
 An article or main element clears what a wrapper's class or id, or a form around it, says about
-furniture.
+furniture.  An inline element that is furniture is a block of its own; the block around it stays one.
 
-Rules.  Scripts, styles, templates, the document head and comments hold no blocks.  Character
+Rules.  Scripts, styles, templates, drawings (svg), the document head and comments hold no blocks.  Character
 references are decoded once; white space inside a block becomes one space; blocks are trimmed and
 joined in page order by one newline.  A null or empty page has empty text; nothing is capped, and a
 page without any kept block has empty text too.  Repeated rows are extracted alike; a null page_id or
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 # ----------------------------------------------------------------- fixed values: HTML names
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript textarea title iframe noframes xmp svg math object".split())
+RAW = frozenset("script style template noscript textarea title iframe noframes xmp svg".split())
 BLOCK = frozenset((
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav "
@@ -100,22 +100,33 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     """``(text, words, words in links, furniture, main)`` of every non-empty flat block."""
     out: list[tuple[str, int, int, bool, bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, int, bool]] = []       # tag, furniture, main: of the element and all around it
+    # tag, furniture, main: of the element and all around it; what an inline piece of furniture interrupts
+    stack: list[tuple[str, int, bool, tuple | None]] = []
     linked = links = 0
+    place: int | None = None                       # of the interrupted block among the blocks
 
     def flush():
-        nonlocal parts, linked
+        nonlocal parts, linked, place
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                furniture, main = stack[-1][1:] if stack else (0, False)
-                out.append((text, text.count(" ") + 1, linked, furniture > 0, main))
+                furniture, main = stack[-1][1:3] if stack else (0, False)
+                out.insert(len(out) if place is None else place, (text, text.count(" ") + 1, linked, furniture > 0, main))
             parts, linked = [], 0
+        place = None
 
     def close(at: int):
-        nonlocal links
-        links -= sum(x[0] == "a" for x in stack[at:])
-        del stack[at:]
+        nonlocal links, parts, linked, place
+        while len(stack) > at:
+            tag, _, _, held = stack[-1]
+            if held or tag in BLOCK:
+                flush()
+            stack.pop()
+            links -= tag == "a"
+            if held:
+                parts, linked, place = held
+                if parts:
+                    parts.append(" ")
 
     pos, n = 0, len(page)
     while pos < n:
@@ -141,9 +152,17 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                     flush()
                 close(at)
             continue
+        if tag in ("svg", "math") and attrs.endswith("/"):
+            continue
         if tag in RAW:
             m = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
-            pos = m.end() if m else (pos if attrs.endswith("/") else n)
+            if tag == "xmp":                        # its text is shown as it stands
+                flush()
+                t = page[pos: m.start() if m else n]
+                parts.append(t)
+                linked = len(t.split()) if links else 0
+                flush()
+            pos = m.end() if m else (pos if attrs.endswith("/") and tag != "xmp" else n)
             continue
         if tag == "br":
             parts.append(" ")
@@ -159,15 +178,20 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                     break
         if tag in VOID:
             continue
-        furniture, main = stack[-1][1:] if stack else (0, False)
+        furniture, main = stack[-1][1:3] if stack else (0, False)
         f, a = _kind(tag, attrs, main)
         if a == "main" and furniture in (SOFT, HOLDER) or a == "article" and furniture == SOFT:
             furniture = 0                           # the wrapper was not furniture after all
-        if f and tag not in BLOCK:
-            flush()                                 # an inline element that is furniture is a block of its own
-        stack.append((tag, max(furniture, f), main or bool(a)))
+        held = None
+        if f and not furniture and tag not in BLOCK:
+            # an inline element that is furniture is a block of its own, and the block around it goes on after it
+            held = (parts, linked, len(out) if place is None and "".join(parts).strip() else place)
+            parts, linked, place = [], 0, None
+        stack.append((tag, max(furniture, f), main or bool(a), held))
         links += tag == "a"
     flush()
+    close(0)
+    flush()
     return out
 
 
@@ -210,7 +234,7 @@ SAMPLES = [
     f"<table><tr><td>{_MID}✓</td></tr><tr><td>{_LONG}✓</td></tr></table>",
     f"<article><p><a href=/whole>{_MID}✓</a></p><p>{_LONG}✓</p></article><nav><a href=/>{_MID}</a></nav>",
     f"<div><a href=/1>{_MID}</a></div><div><a href=/2>{_MID}</a></div><p>{_MID}✓</p><p>{_LONG}✓</p><div><a href=/3>{_MID}</a></div>",
-    f"<div class=has-sidebar><div class=sidebar><p>{_MID}</p></div><article><h1>the flood✓</h1><p>{_LONG}✓</p><p>{_MID}✓</p></article></div>",
+    f"<div class=has-sidebar><div class=sidebar><p>{_MID}</p></div><article><h1>the flood✓</h1><p>{_LONG}✓</p><p>{_MID}✓ <span class=ad>{_MID}</span> so✓</p></article></div>",
     f"<div id=page-with-header class='social-share-enabled form-page'><div class=site-footer><p>{_MID}</p></div><main><p>{_LONG}✓</p><p>ok✓</p></main></div>",
     f"<section class=newsletter><p>{_MID}</p></section><main><p>{_LONG}✓</p><nav><a href=/s>skip</a></nav><p>ok✓</p></main><div role=contentinfo>{_MID}</div>",
 ]

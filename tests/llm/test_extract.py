@@ -66,3 +66,18 @@ def test_wrappers_do_not_hide_the_article():
     # what is not the page's own stays out
     assert text(f"<main>{article}</main><div id=comments><article><p>{PARA}</p></article></div>") == f"Title\n{PARA}\nOf."
     assert text(f"<main>{article}</main><aside><article><p>{PARA}</p></article></aside><div class=ad-slot><p>{PARA}</p></div>") == f"Title\n{PARA}\nOf."
+
+
+def test_inline_furniture_leaves_its_paragraph_whole():
+    flags = [(b[0], b[3]) for b in X.blocks("<article><p>text <span class=ad>buy now</span> more</p><p>next</p></article>")]
+    assert flags == [("text more", False), ("buy now", True), ("next", False)]
+    assert text(f"<article><p>{PARA} <span class=ad>buy <b>now</b></span> more</p><p>{PARA}</p></article>") == f"{PARA} more\n{PARA}"
+    for end in ("</p><p>next", "<p>next", "</article>next"):       # an inline element that is never closed
+        got = [(b[0], b[3]) for b in X.blocks(f"<article><p>text <i class=ad>buy{end}")]
+        assert got == [("text", False), ("buy", True), ("next", False)], end
+
+
+def test_drawings_formulas_and_plain_text():
+    page = f"<article><p>{PARA} <svg width='1'/> one</p><p>{PARA} <math/> two</p><svg><text>no</text></svg><p>{PARA} <math><mi>x</mi></math></p></article>"
+    assert text(page) == f"{PARA} one\n{PARA} two\n{PARA} x"
+    assert text(f"<article><p>{PARA}</p><xmp>a &lt; <b>c</b></xmp><object data=x><p>{PARA}</p></object></article>") == f"{PARA}\na &lt; <b>c</b>\n{PARA}"
