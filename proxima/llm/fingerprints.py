@@ -2,11 +2,13 @@
 
 A k-mer of code points is a closed syncmer when the least of its inner s-mers lies at its first or
 last place.  Whether it is one depends on its own letters only, so an edit elsewhere changes no
-anchor.  The fingerprint lists anchors as ``hash, position``: those with the smallest hashes, taken
-over the whole text, so two fingerprints hold the same part of whatever the texts share.
+anchor.  The fingerprint lists anchors as ``hash, position``: all whose hash lies below one fixed
+value, an eighth of the hashes, so its length grows with the text and two fingerprints hold the same
+part of whatever the texts share, however long they are.  A text with few of them lists its LEAST
+smallest ones, or all it has.
 
-Likeness.  Both lists are cut at the lower of their two hash bounds, so each holds all its anchors
-below one value.  Anchors with equal hashes vote for the shift between their positions, and an
+Likeness.  Both lists are cut at the lower of their two hash bounds (the fixed value, or the last hash
+of a list of the smallest), so each holds all its anchors below one value.  Anchors with equal hashes vote for the shift between their positions, and an
 anchor counts as matched when its shift has two votes or more (one, if either list has fewer than
 four anchors).  The likeness is the matched share of the longer list: 1 for equal texts, near 0 for
 texts that share only scattered words.
@@ -34,7 +36,8 @@ from proxima.llm.common import U64, counted_bytes, mix
 
 K, S = 12, 4
 SHORT, SHORT_K, SHORT_S = 64, 4, 2   # texts below SHORT letters have anchors of SHORT_K letters
-ANCHORS = 64
+LEAST = 64                       # anchors of a text with few below BELOW
+BELOW = 1 << 29                  # hashes of 32 bits: one anchor in eight, about 28 for 1000 letters
 SEGMENT = 1 << 18
 RANGE_BYTES = 16 << 20           # bytes of text that make one range of ids
 MAX_RANGES = 20_000              # ranges stream from disk, so larger ones cost no memory
@@ -99,7 +102,7 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(h: np.ndarray, at: np.ndarray) -> str:
-    """The ANCHORS smallest anchors by (hash, position), in hexadecimal.  The j-th place of a hash
+    """The anchors below BELOW, or the LEAST smallest if they are more, by (hash, position), in hexadecimal.  The j-th place of a hash
     counts as an anchor of its own, so a text that repeats itself is sampled like any other."""
     order = np.argsort(h, kind="stable")
     sh = h[order]
@@ -110,11 +113,12 @@ def sketch(h: np.ndarray, at: np.ndarray) -> str:
     h = np.empty_like(h)
     h[order] = mix(sh + times.astype(U64) * U64(0x9E3779B97F4A7C15))
     h = (h >> U64(64 - 8 * _HASH_BYTES)).astype(np.int64)
-    if len(h) > ANCHORS:
-        cut = h[np.argpartition(h, ANCHORS)[: ANCHORS]].max()
+    size = max(LEAST, int(np.count_nonzero(h < BELOW)))
+    if len(h) > size:
+        cut = h[np.argpartition(h, size)[:size]].max()
         keep = np.flatnonzero(h <= cut)
         h, at = h[keep], at[keep]
-    order = np.lexsort((at, h))[:ANCHORS]
+    order = np.lexsort((at, h))[:size]
     return np.stack([h[order], at[order]], axis=1).astype(">u4").tobytes().hex()
 
 
@@ -145,12 +149,15 @@ def likeness(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
     (ha, pa_), (hb, pb) = _read(a), _read(b)
-    bound = min(ha[-1] if len(ha) >= ANCHORS else 1 << 32, hb[-1] if len(hb) >= ANCHORS else 1 << 32)
+    bound = min(max(int(x[-1]), BELOW - 1) if len(x) >= LEAST else 1 << 32 for x in (ha, hb))
     na, nb = int(np.searchsorted(ha, bound, "right")), int(np.searchsorted(hb, bound, "right"))
     ha, pa_, hb, pb = ha[:na], pa_[:na], hb[:nb], pb[:nb]
-    i, j = np.nonzero(ha[:, None] == hb[None, :])
+    first = np.searchsorted(hb, ha, "left")
+    times = np.searchsorted(hb, ha, "right") - first
+    i = np.repeat(np.arange(na), times)
     if not len(i):
         return 0.0
+    j = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times) + first[i]
     _, back, votes = np.unique(pa_[i] - pb[j], return_inverse=True, return_counts=True)
     ok = votes[back] >= (2 if min(na, nb) >= 4 else 1)
     return min(len(np.unique(i[ok])), len(np.unique(j[ok]))) / max(na, nb)

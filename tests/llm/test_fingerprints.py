@@ -94,3 +94,17 @@ def test_range_search(spark):
     for b in (bounds, bounds[:1], []):
         for r in df.select("id", P._range_of(b).alias("n")).collect():
             assert r.n == sum(x < r.id for x in b)
+
+
+@pytest.mark.parametrize("n", [20_000, 100_000, 400_000])
+def test_shared_passage_of_long_texts(n):
+    rng = random.Random(n)
+
+    def letters(k):
+        return "".join(rng.choices("abcdefghijklmnop ", k=k))
+    passage = letters(2000)
+    a, b = (letters(at) + passage + letters(n - at - 2000) for at in (n // 5, n // 2))
+    assert 0.6 * 2000 / n < P.likeness(P.fingerprint(a), P.fingerprint(b)) < 1.5 * 2000 / n
+    assert P.likeness(P.fingerprint(letters(n)), P.fingerprint(b)) < 0.2 * 2000 / n
+    # as many anchors for a letter, whatever the length
+    assert len(P.fingerprint(a)) / 16 > 0.8 * n * 2 / 9 / 8
