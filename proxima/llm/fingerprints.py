@@ -19,7 +19,10 @@ gathered and every text moves once.
 
 Rules.  A null text is empty; its fingerprint is the empty string, and two empty ones are alike (1.0).
 A text shorter than
-an anchor is one; texts of fewer than 64 letters have shorter anchors.  Equal texts have equal fingerprints.  Rows with equal doc_id
+an anchor is one.  Texts of fewer than 64 letters have shorter anchors, those of 256 or more longer
+ones, and those between have both, listed one after the other with a slash between; two fingerprints are
+compared by the longest size both have.  Below 64 beside 256 or more letters there is none: likeness 0,
+where no more than a quarter could agree.  Equal texts have equal fingerprints.  Rows with equal doc_id
 are ordered by the rest of the row; rows with a null doc_id come last.  Extra columns are ignored.
 """
 
@@ -35,7 +38,8 @@ from pyspark.sql import functions as F
 from proxima.llm.common import U64, counted_bytes, mix
 
 K, S = 12, 4
-SHORT, SHORT_K, SHORT_S = 64, 4, 2   # texts below SHORT letters have anchors of SHORT_K letters
+SHORT, SHORT_K, SHORT_S = 64, 4, 2   # texts below SHORT letters have anchors of SHORT_K letters only
+BOTH = 4 * SHORT                 # texts below BOTH letters have anchors of SHORT_K letters too
 LEAST = 64                       # anchors of a text with few below BELOW
 BELOW = 1 << 29                  # hashes of 32 bits: one anchor in eight, about 28 for 1000 letters
 SEGMENT = 1 << 18
@@ -83,11 +87,12 @@ def _segment_anchors(x: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndar
     return h, at
 
 
-def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """``(hash, position)`` of every closed syncmer, in order.  Anchors know no context, so a long
+def anchors(text: str, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """``(hash, position)`` of every closed syncmer, in order; of the shorter ones, if ``short`` asks for
+    them or the text has no others.  Anchors know no context, so a long
     text is worked off in segments that overlap by k - 1."""
     n = len(text)
-    k, s = (K, S) if n >= SHORT else (SHORT_K, SHORT_S)
+    k, s = (K, S) if n >= SHORT and not short else (SHORT_K, SHORT_S)
     if n < k:
         if not n:
             return np.empty(0, U64), np.empty(0, np.int64)
@@ -122,8 +127,15 @@ def sketch(h: np.ndarray, at: np.ndarray) -> str:
     return np.stack([h[order], at[order]], axis=1).astype(">u4").tobytes().hex()
 
 
+def listed(text: str, h: np.ndarray, at: np.ndarray) -> str:
+    """The fingerprint of a text from its ``anchors``: the longer ones, a slash, the shorter ones."""
+    if not text or len(text) >= BOTH:
+        return sketch(h, at)
+    return f"{sketch(h, at)}/{sketch(*anchors(text, short=True))}" if len(text) >= SHORT else f"/{sketch(h, at)}"
+
+
 def fingerprint(text: str | None) -> str:
-    return sketch(*anchors(text or ""))
+    return listed(text or "", *anchors(text or ""))
 
 
 def edited_sketch(text: str, h: np.ndarray, at: np.ndarray, edited: str, same: int) -> str:
@@ -134,7 +146,7 @@ def edited_sketch(text: str, h: np.ndarray, at: np.ndarray, edited: str, same: i
         return fingerprint(edited)
     keep = at + K <= same
     th, ta = anchors(edited[start:])
-    return sketch(np.concatenate([h[keep], th]), np.concatenate([at[keep], ta + start]))
+    return listed(edited, np.concatenate([h[keep], th]), np.concatenate([at[keep], ta + start]))
 
 
 def _read(fp: str) -> tuple[np.ndarray, np.ndarray]:
@@ -146,8 +158,14 @@ def likeness(a: str, b: str) -> float:
     """Share of anchors matched at agreeing positions, from two fingerprints (0 to 1)."""
     if a == b:
         return 1.0
+    a, _, short_a = a.partition("/")
+    b, _, short_b = b.partition("/")
+    if not a or not b:
+        a, b = short_a, short_b
     if not a or not b:
         return 0.0
+    if a == b:
+        return 1.0
     (ha, pa_), (hb, pb) = _read(a), _read(b)
     bound = min(max(int(x[-1]), BELOW - 1) if len(x) >= LEAST else 1 << 32 for x in (ha, hb))
     na, nb = int(np.searchsorted(ha, bound, "right")), int(np.searchsorted(hb, bound, "right"))
@@ -199,7 +217,7 @@ def _walk_ranges(batches):
             if look and held is None:
                 continue
             h, at = anchors(text)
-            fp = sketch(h, at)
+            fp = listed(text, h, at)
             if held is not None and held[0] == r:
                 _, doc, own, oh, oat, ofp = held
                 cut = len(own) // 3

@@ -108,3 +108,21 @@ def test_shared_passage_of_long_texts(n):
     assert P.likeness(P.fingerprint(letters(n)), P.fingerprint(b)) < 0.2 * 2000 / n
     # as many anchors for a letter, whatever the length
     assert len(P.fingerprint(a)) / 16 > 0.8 * n * 2 / 9 / 8
+
+
+@pytest.mark.parametrize("short, long", [(62, 66), (63, 64), (50, 70), (60, 120), (40, 100), (63, 250)])
+def test_likeness_on_both_sides_of_the_anchor_sizes(short, long):
+    rng = random.Random(short)
+    for _ in range(5):
+        text, other = ("".join(rng.choice("abcdefghijklmnop ") for _ in range(long)) for _ in range(2))
+        near = P.likeness(P.fingerprint(text[:short]), P.fingerprint(text))
+        assert 0.5 * short / long < near <= 1.0 and near == P.likeness(P.fingerprint(text), P.fingerprint(text[:short]))
+        assert P.likeness(P.fingerprint(other[:short]), P.fingerprint(text)) < 0.3 * short / long
+
+
+def test_edited_text_crosses_the_anchor_sizes(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefghijklmnop ") for _ in range(70))
+    rows = P.edited_pairs(spark.createDataFrame([(2, text), (1, "x y z")], "doc_id bigint, text string")).collect()
+    got = {r.doc_id: r for r in rows}[2]
+    assert got.edited_fingerprint == P.fingerprint(text[:47] + "x y z") and got.near_edited > 0.4
