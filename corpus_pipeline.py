@@ -32,8 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: the one with the smallest doc_id, once.
-    Documents without a doc_id stay."""
+    """Keeps one document of each group of near copies: the one with the smallest doc_id, once; of rows that
+    repeat it, the one whose text sorts first, empty texts last.  Documents without a doc_id stay."""
     found = written(near_duplicates(docs, SHINGLE_WORDS, SIMILARITY_PERCENT), "near-duplicates")
     dropped = written(found.where(~F.col("kept")).select("doc_id").distinct(), "dropped")
     once = joined_if_small(docs, dropped, "doc_id", "left_anti")
@@ -41,8 +41,10 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if repeated.isEmpty():
         return once.select(docs.columns)
     rest = joined_if_small(once, repeated, "doc_id", "left_anti")
-    first = joined_if_small(once, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rest.select(docs.columns).union(first.select(docs.columns))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = joined_if_small(once, repeated, "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min_by(row, F.struct(F.coalesce(F.length("text"), F.lit(0)) == 0, "text", F.to_json(row))).alias("row"))
+    return rest.select(docs.columns).union(first.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

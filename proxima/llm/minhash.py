@@ -260,12 +260,25 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     whole = classes.select("h1", "h2", "rep").join(name.withColumnRenamed("id", "rep"), "rep", "left").select(
         "h1", "h2", "rep", F.coalesce("root", "rep").alias("root"))
     whole = joined_if_small(whole, over, "root", "left").select("h1", "h2", "rep", F.coalesce("component_id", "root").alias("comp"))
+    # the rows of a repeated doc_id belong together, whatever their texts
+    repeated = written(sig.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    n_repeated = repeated.count()
+    if n_repeated:
+        again = joined_if_small(sig.where("n_shingles > 0").select("doc_id", "h1", "h2"), repeated, "doc_id", "left_semi", n_repeated)
+        again = written(again.join(whole, ["h1", "h2"]).select("doc_id", "comp").distinct(), "repeated-classes")
+        first = again.groupBy("doc_id").agg(F.min("comp").alias("a"))
+        joined = written(connected_components(again.join(first, "doc_id").select("a", c("comp").alias("b"))).select(
+            c("id").alias("comp"), c("component_id").alias("one")), "joined-components")
+        whole = joined_if_small(whole, joined, "comp", "left").select("h1", "h2", "rep", F.coalesce("one", "comp").alias("comp"))
+        again = joined_if_small(again, joined, "comp", "left").select("doc_id", F.coalesce("one", "comp").alias("comp")).distinct()
     least = whole.groupBy("comp").agg(F.min("rep").alias("component_id"))
 
     by_class = whole.join(least, "comp").select("h1", "h2", "component_id")
-    # rows that repeat a doc_id follow the least component of its rows
     out = sig.select("doc_id", "n_shingles", "h1", "h2").join(
         by_class, (sig["h1"] == by_class["h1"]) & (sig["h2"] == by_class["h2"]) & (sig["n_shingles"] > 0), "left")
+    if n_repeated:                                      # a row without shingles follows the others of its doc_id
+        by_id = written(again.join(least, "comp").select("doc_id", c("component_id").alias("of_id")), "repeated-components")
+        out = joined_if_small(out, by_id, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "of_id"))
     out = out.select("doc_id", "n_shingles", F.when(c("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.select("doc_id", "n_shingles", "component_id",
                       F.coalesce(c("doc_id") == c("component_id"), F.lit(True)).alias("kept"))

@@ -77,3 +77,19 @@ def test_components_of_paths_stars_and_loops(spark, n):
     real = [(a, b) for a, b in links if a is not None and a != b]
     assert got == close_components({x for l in real for x in l}, real)
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_rows_of_a_repeated_id_hang_together(spark):
+    a, b, d = ("one two three four five six", "seven eight nine ten eleven twelve", "red green blue black white grey")
+    rows = [(3, a), (5, a), (5, b), (5, ""), (8, b), (9, d), (9, ""), (10, d)]
+    for order in (rows, rows[::-1]):
+        got = minhash.near_duplicates(spark.createDataFrame(order, "doc_id bigint, text string"), 2, 80).collect()
+        assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == sorted((i, 9 if i > 8 else 3, i in (3, 9)) for i, _ in rows)
+
+
+def test_stage_keeps_the_same_row_of_a_repeated_id(spark):
+    import corpus_pipeline as P
+    rows = [(5, t, "en") for t in ("pears and plums and figs", "apples and nuts and figs", "", "zebras run on and on")]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        docs = spark.createDataFrame(order, "doc_id bigint, text string, lang string").repartition(3)
+        assert [tuple(r) for r in P.near_duplicate(spark, docs, "/nowhere").collect()] == [rows[1]]
