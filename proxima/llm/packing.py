@@ -6,8 +6,9 @@ bucket are padded to its bound.  The recurrence over bounds is solved with a mon
 which is exact.  Inside a bucket rows stand in order of (length, id) and every ``budget // bound``
 of them make a batch, so no batch holds more than ``budget`` padded tokens.
 
-Positions are found without sorting a bucket in one task: a length's offset comes from the histogram,
-a row's place within its length from blocks of 4096 ids, counted first.
+Positions are found without sorting a bucket in one task: rows are sorted in ranges of (length, id), cut
+at quantiles and counted, so a length that many rows share, or rows without an id, take as many ranges as
+they need.
 
 Rules.  Null and empty texts have length 0 and are packed with the shortest.  A text longer than the
 budget is a batch of its own without padding (bucket = the number of buckets).  Rows with equal
@@ -20,7 +21,7 @@ other columns are kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proxima.llm.common import tokenizer_path, written
@@ -28,7 +29,6 @@ from proxima.llm.counts import token_counts
 
 BUDGET = 8192
 BUCKETS = 16
-ID_BLOCK_BITS = 12
 
 
 def word_count(text: str = "text") -> Column:
@@ -88,30 +88,34 @@ def pack(docs: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS, length:
     spark = docs.sparkSession
     hist = sorted((r["n"], r["c"]) for r in rows.where(F.col("n") <= budget).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect())
     bounds = optimal_bounds([n for n, _ in hist], [c for _, c in hist], buckets)
-    # per length: its bucket, the bucket's bound, and how many shorter rows the bucket holds
-    table, k, seen = [], 0, 0
+    # per length: its bucket, the bucket's bound, and how many rows come before the bucket
+    table, k, seen, start = [], 0, 0, 0
     for n, c in hist:
         while n > bounds[k]:
-            k, seen = k + 1, 0
-        table.append((n, k, bounds[k], seen))
+            k, start = k + 1, seen
+        table.append((n, k, bounds[k], start))
         seen += c
-    lengths = spark.createDataFrame(table, "n bigint, bucket int, bucket_len bigint, shorter bigint")
-
-    # place within a length: blocks of ids counted first, then rows within a block
-    block = F.shiftright(F.col("id"), ID_BLOCK_BITS)
-    rows = rows.withColumn("block", block)
-    per_block = rows.groupBy("n", "block").agg(F.count(F.lit(1)).alias("c"))
-    ahead = per_block.select("n", "block", (F.sum("c").over(
-        Window.partitionBy("n").orderBy(F.col("block").asc_nulls_last())) - F.col("c")).alias("ahead"))
-    in_block = F.row_number().over(Window.partitionBy("n", "block").orderBy(F.col("id")))
-    placed = rows.withColumn("in_block", in_block).alias("r").join(
-        ahead.alias("a"), (F.col("r.n") == F.col("a.n")) & F.col("r.block").eqNullSafe(F.col("a.block"))).select(
-        "r.row", F.col("r.n").alias("n"), (F.col("a.ahead") + F.col("r.in_block") - 1).alias("place"))
-    out = placed.join(F.broadcast(lengths), "n", "left")    # at most budget + 1 rows
+    lengths = spark.createDataFrame(table, "n bigint, bucket int, bucket_len bigint, start bigint")
+
+    # place among all rows in order of length and id: sorted ranges, counted; the salt cuts equal keys
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col("n").asc(), F.col("id").asc_nulls_last(), F.col("salt").asc()]
+    at = F.monotonically_increasing_id()                # range << 33 | place in the range
+    ranked = written(rows.withColumn("salt", at).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+                     .select("row", "n", at.alias("at")), "ranked")
+    part = F.shiftright("at", 33)
+    ahead, total = [], 0
+    for p, c in sorted(tuple(r) for r in ranked.groupBy(part.alias("part")).agg(F.count(F.lit(1))).collect()):
+        ahead.append((p, total))
+        total += c
+    ahead = spark.createDataFrame(ahead, "part bigint, ahead bigint")   # one row per range
+    out = ranked.withColumn("part", part).join(F.broadcast(ahead), "part").select(
+        "row", "n", (F.col("ahead") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))
+    out = out.join(F.broadcast(lengths), "n", "left")    # at most budget + 1 rows
     n = F.col("n")
     long = F.col("bucket").isNull()
     per_batch = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_len"), F.lit(1))))
-    batch = F.floor((F.col("shorter") + F.col("place")) / per_batch)
+    batch = F.floor((F.col("place") - F.col("start")) / per_batch)
     out = out.select(
         "row", n.alias("n_tokens"), F.coalesce("bucket", F.lit(len(bounds))).alias("bucket"),
         F.coalesce("bucket_len", n).alias("bucket_len"),

@@ -80,3 +80,19 @@ def test_query_and_stage_pack_by_tokens(spark, edge):
     got = pack_report(spark.createDataFrame([(1, wide), (2, "a b"), (3, "c d")], "doc_id bigint, text string")).collect()
     by = {r.doc_id: r for r in got}
     assert by[1].n_tokens == tokens(wide) > BUDGET and by[1].batch not in (by[2].batch, by[3].batch)
+
+
+def test_no_window_over_one_length(spark, capsys):
+    rows = [(None if i % 3 == 0 else (i * 0x9E3779B97F4A7C15) % (1 << 62), "") for i in range(3000)] + [(7, "a b")]
+    out = pack(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), budget=100, buckets=2, keep=["doc_id"])
+    out.explain()
+    assert "Window" not in capsys.readouterr().out
+    got = out.collect()
+    empties = [r for r in got if r.n_tokens == 0]
+    assert len(empties) == 3000
+    order = sorted(empties, key=lambda r: int(r.batch.split("-")[1]))
+    per = defaultdict(list)
+    for r in order:
+        per[r.batch].append(r.doc_id)
+    flat = [min((x is None, x or 0) for x in ids) for ids in per.values()]
+    assert all(len(ids) == 100 for ids in per.values()) and flat == sorted(flat)
