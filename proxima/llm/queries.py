@@ -16,11 +16,14 @@ from proxima.llm.counts import token_counts
 from proxima.llm.embeddings import near_duplicate_vectors
 from proxima.llm.extract import extract_main_text
 from proxima.llm.fingerprints import edited_pairs
+from proxima.llm.idfiles import id_file_report
 from proxima.llm.langid import identify_languages
+from proxima.llm.maxsketch import ranked_search
 from proxima.llm.minhash import near_duplicates
 from proxima.llm.packing import pack_report
 from proxima.llm.substrings import substring_report
 from proxima.llm.warc import capture_report
+from proxima.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -91,6 +94,24 @@ def op10_language_id(spark, sf_dir):
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+@register
+def op11_token_id_files(spark, sf_dir):
+    """Bit-packed id files of all documents, read back."""
+    return id_file_report(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@register
+def op12_ranked_search(spark, sf_dir):
+    """The 50 best documents of every benchmark item."""
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op13_embedding_whitening(spark, sf_dir):
+    """Sixteen whitened components of every vector."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 # --------------------------------------------------------------------------- DuckDB oracle
 
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
@@ -142,3 +163,18 @@ links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.vec_i
 n AS (SELECT a AS id, count(*) AS n FROM both_ways GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN comp ON comp.id = vec_id LEFT JOIN n ON n.id = vec_id"""
+
+_TERMS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+ORACLE_SQL["op12_ranked_search"] = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, TERMS AS ts FROM documents),
+tot AS (SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS terms FROM d WHERE len(ts) > 0),
+f AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) GROUP BY r, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, tot GROUP BY t),
+m AS (SELECT r, doc_id, 100 - 50 + ((50 * len(ts) * docs) // terms) AS m FROM d, tot WHERE len(ts) > 0),
+i AS (SELECT item_id, row_number() OVER () AS q, list_distinct(TERMS) AS ts FROM benchmark),
+s AS (SELECT q, item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+      FROM (SELECT q, item_id, unnest(ts) AS t FROM i) JOIN f USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY q, item_id, doc_id, r)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50""".replace("TERMS", _TERMS)
