@@ -13,16 +13,17 @@ A file holds whole documents in order of doc_id, about ``SHARD_IDS`` ids of them
     u64[]     payload; id i of a block lies at its bits i * bits, lowest bit first
     1 byte    line feed
 
-all little-endian.  Texts are encoded where they lie.  The ids, not the texts, are then sorted in ranges of
-doc_id; a range writes its files in order, so all files in order of (range, number) hold the ids of
-the whole table in order of doc_id.  Spark's text writer puts one record in each file.
+all little-endian.  Texts are sorted in ranges of doc_id; a range encodes them and writes its files in
+order, so all files in order of (range, number) hold the ids of the whole table in order of doc_id.  Spark's
+text writer puts one record in each file.
 
-Encoding asks the tokenizer once for each distinct word of a block of texts.  A word here ends at
-ASCII white space, which the tokenizer must drop and never join across, as ``word_bpe_49k.json`` does;
-``whole=True`` hands it the whole texts instead.
+Encoding asks the tokenizer once for each distinct word that a worker meets and remembers up to ``KNOWN_WORDS``
+of them.  A word here ends at ASCII white space, which the tokenizer must drop and never join across, as
+``word_bpe_49k.json`` does, and signs at the end of a word of plain Latin letters are a word of their own, as its
+pattern has it; ``whole=True`` hands it the whole texts instead.
 
 Rules.  A null text is empty and has the end id alone.  Null doc_ids come first.  Rows that repeat a doc_id
-stand in order of their number of ids, then of a hash of them, then as they were written.  A text of any length is one document.  Extra columns are ignored.
+stand in order of their length, then of a hash of their text, then as they are read.  A text of any length is one document.  Extra columns are ignored.
 An empty table writes no file and gives no rows.  An id that does not fit the bits raises.
 """
 
@@ -39,14 +40,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from proxima.llm.common import U64, joined_if_small, process_cache, text_buffers, written
+from proxima.llm.common import U64, counted_bytes, joined_if_small, process_cache, run_hashes, symbol_table, text_buffers, written
 from proxima.session import delete_path, on_release, scratch_path
 
 MAGIC = b"PXIDBIT1"
 BLOCK_IDS = 4096                 # a multiple of 64, so that full blocks end at whole words
 SHARD_IDS = 1 << 22
-RANGE_BYTES = 64 << 20           # of ids that are sorted in one task
+RANGE_BYTES = 64 << 20           # of text that is sorted and encoded in one task
 TEXT_BYTES = 2 << 20             # of text that is encoded at once
+KNOWN_WORDS = 1 << 21            # whose ids a worker remembers: about 120 MB
 END_ID = 1
 
 
@@ -152,70 +154,146 @@ def _tokenizer(path: str) -> Tokenizer:
     return process_cache(("id-tokenizer", path), build)
 
 
+#: Letters that are alone in their normal form and have one lower-case letter, then signs of ASCII.
+_PLAIN = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<rest>[!-/:-@\\[-`{-~]*)$"
+_BETWEEN = "0"                   # a word of its own between the plain words that are encoded together
+
+
+class Words:
+    """Ids of distinct words; ``ids[edge[i]:edge[i + 1]]`` are those of word ``i``.
+
+    Remembered words are found by a 64-bit hash and compared; one that shares a hash with another word is encoded
+    anew each time it is met.
+    """
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer, self.between = tokenizer, tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self):
+        self.known, self.edge, self.ids = pa.array([], pa.large_string()), np.zeros(1, np.int64), np.empty(0, np.uint32)
+        self.hashes, self.at = np.empty(0, U64), np.empty(0, np.int64)
+
+    def encoded(self, words: pa.Array, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, number of ids per word)``.  Plain words are encoded many at a time, the others one by one."""
+        texts, sizes, ids = words.to_pylist(), [], []
+        if len(self.between) == 1 and plain.all() and len(texts):
+            got = np.array(self.tokenizer.encode(f" {_BETWEEN} ".join(texts), add_special_tokens=False).ids, np.uint32)
+            cut = np.flatnonzero(got == self.between[0])
+            if len(cut) == len(texts) - 1:
+                return np.delete(got, cut), np.diff(np.concatenate([[-1], cut, [len(got)]])) - 1
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            sizes.append(len(e.ids))
+            ids.extend(e.ids)
+        return np.array(ids, np.uint32), np.array(sizes, np.int64)
+
+    def of(self, words: pa.Array, plain: np.ndarray) -> np.ndarray:
+        """The places of distinct ``words``; of ``plain`` ones the tokenizer sees nothing but letters."""
+        if len(self.known) > KNOWN_WORDS:
+            self.forget()
+        data, off = text_buffers(words)
+        h = np.full(len(words), 1, U64)
+        full = np.flatnonzero(np.diff(off))
+        h[full] = run_hashes(symbol_table(False)[data], off[:-1][full], np.diff(off)[full])
+        out = np.full(len(words), -1, np.int64)
+        if len(self.at):
+            place = np.minimum(np.searchsorted(self.hashes, h), len(self.at) - 1)
+            hit = np.flatnonzero(self.hashes[place] == h)
+            at = self.at[place[hit]]
+            same = pc.equal(self.known.take(pa.array(at)), words.take(pa.array(hit))).to_numpy(zero_copy_only=False)
+            out[hit[same]] = at[same]
+        new = np.flatnonzero(out < 0)
+        new = new[np.argsort(~plain[new], kind="stable")]           # plain ones first
+        if len(new):
+            sizes, ids = [np.diff(self.edge)], [self.ids]
+            cuts = sorted({*range(0, len(new), 2048), int(plain[new].sum()), len(new)})
+            for s, e in zip(cuts, cuts[1:]):
+                got = self.encoded(words.take(pa.array(new[s:e])), plain[new[s:e]])
+                ids.append(got[0])
+                sizes.append(got[1])
+            out[new] = len(self.known) + np.arange(len(new))
+            self.edge = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+            self.ids = np.concatenate(ids)
+            self.known = pa.concat_arrays([self.known, words.take(pa.array(new))])
+            hashes, at = np.concatenate([self.hashes, h[new]]), np.concatenate([self.at, out[new]])
+            order = np.argsort(hashes, kind="stable")
+            self.hashes, self.at = hashes[order], at[order]
+        return out
+
+
+def _runs(head: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places of runs of ``n`` from ``head`` on, end to end."""
+    edge = np.cumsum(n)
+    return np.repeat(head - (edge - n), n) + np.arange(edge[-1] if len(n) else 0)
+
+
 def encoded_block(texts: pa.Array, path: str, end_id: int | None, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """``(ids, number of ids per text)`` of some texts, end to end."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     pieces = pa.LargeListArray.from_arrays(np.arange(len(texts) + 1), texts) if whole else pc.ascii_split_whitespace(texts)
     coded = pieces.flatten().dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    each = [e.ids for e in _tokenizer(path).encode_batch_fast(distinct, add_special_tokens=False)]
-    size = np.fromiter(map(len, each), np.int64, len(each))
-    flat = np.fromiter((i for e in each for i in e), np.uint32, int(size.sum()))
-    head = np.concatenate([[0], np.cumsum(size)])[:-1]
+    words = process_cache(("id-words", path), lambda: Words(_tokenizer(path)))
+    distinct = coded.dictionary.cast(pa.large_string())
+    # a distinct word is itself, or its letters and then the signs after them
+    cut = pc.extract_regex(distinct, _PLAIN)
+    split = cut.is_valid().to_numpy(zero_copy_only=False) & (not whole)
+    stem = pc.if_else(pa.array(split), cut.field("stem").cast(pa.large_string()), distinct)
+    rest = cut.field("rest").cast(pa.large_string()).filter(pa.array(split))
+    both = pa.concat_arrays([stem, rest]).dictionary_encode()
+    plain = np.zeros(len(both.dictionary), bool)
+    parts_at = both.indices.to_numpy()
+    plain[parts_at[: len(distinct)][split]] = True
+    place = words.of(both.dictionary, plain)[parts_at]
+    size = np.diff(words.edge)
+    part = np.zeros((len(distinct), 2), np.int64)
+    n_part = np.zeros((len(distinct), 2), np.int64)
+    part[:, 0], n_part[:, 0] = words.edge[place[: len(distinct)]], size[place[: len(distinct)]]
+    part[split, 1], n_part[split, 1] = words.edge[place[len(distinct):]], size[place[len(distinct):]]
+    flat = words.ids[_runs(part.reshape(-1), n_part.reshape(-1))]   # of the distinct words, end to end
+    n_word = n_part.sum(axis=1)
     which = coded.indices.to_numpy()
-    n = size[which]                                        # ids of every word
-    edge = np.concatenate([[0], np.cumsum(n)])
-    ids = flat[np.repeat(head[which] - edge[:-1], n) + np.arange(edge[-1])]
-    cut = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
-    ends = edge[cut]
+    n = n_word[which]
+    ids = flat[_runs((np.cumsum(n_word) - n_word)[which], n)]
+    ends = np.concatenate([[0], np.cumsum(n)])[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
     lengths = np.diff(ends)
     if end_id is None:
         return ids, lengths
     return np.insert(ids, ends[1:], end_id), lengths + 1
 
 
-def _ids(path: str, end_id: int | None, whole: bool, kind):
-    def run(batches):
-        for batch in batches:
-            _, off = text_buffers(batch.column(1))
-            a = 0
-            while a < len(batch):
-                b = max(a + 1, int(np.searchsorted(off, off[a] + TEXT_BYTES, "right")) - 1)
-                ids, lengths = encoded_block(batch.column(1).slice(a, b - a), path, end_id, whole)
-                ends = np.concatenate([[0], np.cumsum(lengths)])
-                ids = ids.astype(kind)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(lengths, pa.int64()),
-                     pa.array([ids[s:e].tobytes() for s, e in zip(ends, ends[1:])], pa.binary())], names=["doc_id", "n", "ids"])
-                a = b
-    return run
+def _blocks(batch: pa.RecordBatch):
+    _, off = text_buffers(batch.column(1))
+    a = 0
+    while a < len(batch):
+        b = max(a + 1, int(np.searchsorted(off, off[a] + TEXT_BYTES, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
 
 
 # ----------------------------------------------------------------- writing
-def _shards(width: int, kind):
+def _shards(path: str, end_id: int | None, whole: bool, width: int):
     def run(batches):
         at, seq = TaskContext.get().partitionId(), 0
-        held, size = [], 0
+        held, size = [], 0                              # (doc_ids, lengths, ids) of the file to come
 
         def out():
-            docs = pa.Table.from_batches(held)
-            ids = [np.frombuffer(b.as_buffer(), kind) for b in docs.column("ids")]
-            ids = np.concatenate(ids) if ids else np.empty(0, kind)
-            key = docs.column("doc_id")
-            blob = shard_bytes(pc.fill_null(key, 0).to_numpy(), pc.is_null(key).to_numpy(), docs.column("n").to_numpy(), ids, width, (at, seq))
+            keys = pa.concat_arrays([h[0] for h in held])
+            blob = shard_bytes(pc.fill_null(keys, 0).to_numpy(), pc.is_null(keys).to_numpy(zero_copy_only=False),
+                               np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), width, (at, seq))
             return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["file"])
         for batch in batches:
-            run_of = np.cumsum(batch.column("n").to_numpy())
-            a = 0
-            while a < len(batch):
-                before = int(run_of[a - 1]) if a else 0
-                b = max(a + 1, int(np.searchsorted(run_of, before + SHARD_IDS - size, "right")))
-                held.append(batch.slice(a, b - a))
-                size += int(run_of[b - 1]) - before
-                a = b
-                if size >= SHARD_IDS or a < len(batch):
-                    yield out()
-                    held, size, seq = [], 0, seq + 1
+            for part in _blocks(batch):
+                ids, lengths = encoded_block(part.column(1), path, end_id, whole)
+                edge = np.concatenate([[0], np.cumsum(lengths)])
+                a = 0
+                while a < len(part):
+                    b = max(a + 1, int(np.searchsorted(edge, edge[a] + SHARD_IDS - size, "right")) - 1)
+                    held.append((part.column(0).slice(a, b - a), lengths[a:b], ids[edge[a]: edge[b]]))
+                    size += int(edge[b] - edge[a])
+                    a = b
+                    if size >= SHARD_IDS or a < len(part):
+                        yield out()
+                        held, size, seq = [], 0, seq + 1
         if held:
             yield out()
     return run
@@ -226,15 +304,12 @@ def write_id_files(docs: DataFrame, tokenizer: str, path: str, end_id: int | Non
     """Files of the ids of all texts under ``path``; returns it.  A rerun never overwrites."""
     spark = docs.sparkSession
     width = bits_for(max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), (end_id or 0) + 1))
-    kind = np.dtype("<u2" if width <= 16 else "<u4")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    encoded = written(rows.mapInArrow(_ids(tokenizer, end_id, whole, kind), "doc_id bigint, n bigint, ids binary"), "ids")
-    total = (encoded.agg(F.sum("n")).first()[0] or 0) * kind.itemsize
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counted_bytes(docs, text_col) // RANGE_BYTES))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keys = [F.col("doc_id").asc_nulls_first(), F.col("n").asc(), F.col("h").asc(), F.col("at").asc()]
-    ranged = (encoded.select("*", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("at"))
-              .repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("doc_id", "n", "ids"))
-    (ranged.mapInArrow(_shards(width, kind), "file binary").select(F.col("file").cast("string").alias("value"))
+    ranged = (rows.select("*", F.octet_length("text").alias("n"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("at"))
+              .repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("doc_id", "text"))
+    (ranged.mapInArrow(_shards(tokenizer, end_id, whole, width), "file binary").select(F.col("file").cast("string").alias("value"))
      .write.option("maxRecordsPerFile", 1).option("compression", "none").text(path))
     return path
 
