@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -11,7 +15,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["embeddings", "documents", "labels", "supplier", "pages"]
+TABLES = ["embeddings", "documents", "labels", "supplier", "pages", "benchmark"]
 
 
 def test_entry_runs(spark):
@@ -27,6 +31,21 @@ def test_every_query_has_an_oracle():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
+@pytest.mark.parametrize("lost", ["folders", "library"])
+def test_other_queries_stand_without_the_subpackage(tmp_path, lost):
+    """From a copy without the training-data folders, or where a library that only they need is missing."""
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    gone = {"llm", "corpus_pipeline.py"} if lost == "folders" else set()
+    shutil.copytree(root, tmp_path / "copy", ignore=lambda _, names: [n for n in names if n in gone or n.startswith(".")])
+    code = ("import sys; sys.modules['ahocorasick'] = None; sys.modules['regex'] = None; " if lost == "library" else "") + (
+        "import __spark_entry__ as E; print(sorted(E.queries()) == sorted(E.oracle_sql()), len(E.queries()), "
+        "any(n.startswith('op') or n == 'pipeline' for n in E.queries()))")
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env=os.environ | {"PYTHONPATH": ""},
+                         capture_output=True, text=True, timeout=300)
+    others = [n for n in E.queries() if n != "pipeline" and not re.match(r"op\d+_", n)]
+    assert out.stdout.split() == ["True", str(len(others)), "False"], out.stderr
+
+
 def _digest(rows, cols):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return hashlib.sha256("\n".join(sorted(
