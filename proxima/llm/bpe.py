@@ -164,7 +164,7 @@ class Vocabulary:
 
 
 def vocabulary(path: str) -> Vocabulary:
-    return process_cache(("bpe", path), lambda: Vocabulary(path))
+    return process_cache(("bpe", path), lambda: Vocabulary(path), "bpe")
 
 
 def encode_pieces(v: Vocabulary, distinct: list[str]) -> list[list[int]]:
@@ -200,7 +200,7 @@ class BlockPieces:
 def _encode_run(path: str):
     def run(batches):
         v = vocabulary(path)
-        table = process_cache(("bpe-table", path), dict)
+        table = process_cache(("bpe-table", path), dict, "bpe")
         for batch in batches:
             for a, b, data, off in text_blocks(batch.column(1), BLOCK_BYTES):
                 block = BlockPieces(data, off)

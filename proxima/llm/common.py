@@ -68,13 +68,24 @@ def joined_if_small(big: DataFrame, small: DataFrame, on: str, how: str, rows: i
     return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
 
 
-def process_cache(key, build: Callable):
+def process_cache(key, build: Callable, owner: str | None = None):
     """A value built once per Python process.  The package is pickled by value, so module globals
-    do not outlive a task; this store does (Python workers are reused)."""
+    do not outlive a task; this store does (Python workers are reused).
+
+    Values of an ``owner`` stay until a task of another owner asks for one of its own: a worker that goes from one
+    operator to the next holds the tables of one of them.  Values without an owner are small and shared.
+    """
     store = sys.modules.setdefault("_llm_process_cache", types.ModuleType("_llm_process_cache")).__dict__
-    if key not in store:
-        store[key] = build()
-    return store[key]
+    if owner is not None and store.get("owner") != owner:
+        held = store.setdefault("held", {})
+        if held:
+            held.clear()
+            pa.default_memory_pool().release_unused()
+        store["owner"] = owner
+    kept = store.setdefault("shared" if owner is None else "held", {})
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]
 
 
 # ----------------------------------------------------------------- hashing

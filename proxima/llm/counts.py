@@ -33,7 +33,7 @@ _MOVED = "kind int, chunk bigint, bucket int, blob binary"
 
 
 def _tokenizer(path: str) -> Tokenizer:
-    return process_cache(("tokenizer", path), lambda: Tokenizer.from_file(path))
+    return process_cache(("tokenizer", path), lambda: Tokenizer.from_file(path), "counts")
 
 
 class _Chunk:

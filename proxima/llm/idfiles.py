@@ -151,7 +151,7 @@ def _tokenizer(path: str) -> Tokenizer:
         tk.no_truncation()
         tk.no_padding()
         return tk
-    return process_cache(("id-tokenizer", path), build)
+    return process_cache(("id-tokenizer", path), build, "idfiles")
 
 
 #: Letters that are alone in their normal form and have one lower-case letter, then signs of ASCII.
@@ -232,7 +232,7 @@ def encoded_block(texts: pa.Array, path: str, end_id: int | None, whole: bool =
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     pieces = pa.LargeListArray.from_arrays(np.arange(len(texts) + 1), texts) if whole else pc.ascii_split_whitespace(texts)
     coded = pieces.flatten().dictionary_encode()
-    words = process_cache(("id-words", path), lambda: Words(_tokenizer(path)))
+    words = process_cache(("id-words", path), lambda: Words(_tokenizer(path)), "idfiles")
     distinct = coded.dictionary.cast(pa.large_string())
     # a distinct word is itself, or its letters and then the signs after them
     cut = pc.extract_regex(distinct, _PLAIN)

@@ -44,17 +44,17 @@ LEAST_TRIGRAMS = 32              # texts of fewer different ones are not held ag
 def _letters() -> np.ndarray:
     """Code point to its lower-case letter, 0 for everything else."""
     def build():
-        t = np.where(letter_classes() == LETTER, np.arange(0x110000), 0).astype(np.int64)
+        t = np.where(letter_classes() == LETTER, np.arange(0x110000, dtype=np.int32), np.int32(0))
         for c in np.flatnonzero(t):
             low = chr(c).lower()
             t[c] = ord(low) if len(low) == 1 else c
         return t
-    return process_cache("lower-letters", build)
+    return process_cache("lower-letters", build, "langid")
 
 
 def _letter_vectors(cps: np.ndarray) -> np.ndarray:
     """Vectors of the given letters, made from the letter's number alone."""
-    kept = process_cache("letter-vectors", dict)
+    kept = process_cache("letter-vectors", dict, "langid")
     if len(kept) > 20_000:
         kept.clear()
     for c in cps.tolist():
@@ -137,7 +137,7 @@ def _texts(data: np.ndarray, off: np.ndarray):
 
 
 def _table() -> _Table:
-    return process_cache("trigram-table", _Table)
+    return process_cache("trigram-table", _Table, "langid")
 
 
 def _train(batches):
@@ -199,8 +199,8 @@ def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], text_col:
 
     def run(batches):
         for batch in batches:
-            preds, scores, likes = [], [], []
-            for _, _, data, off in text_blocks(batch.column(at)):
+            for a, b, data, off in text_blocks(batch.column(at)):      # rows go on block by block
+                preds, scores, likes = [], [], []
                 for codes in _texts(data, off):
                     best, score, like = UNKNOWN, 0.0, None
                     if codes is not None and not names:
@@ -217,8 +217,8 @@ def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], text_col:
                     preds.append(best)
                     scores.append(score)
                     likes.append(like)
-            made = [pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(likes, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made[: len(out)]], names=columns)
+                made = [pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(likes, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *made[: len(out)]], names=columns)
     types = (T.StringType(), T.DoubleType(), T.DoubleType())
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(out, types))])
     return docs.mapInArrow(run, schema)

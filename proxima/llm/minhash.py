@@ -53,7 +53,7 @@ def _permutations():
         pi = rng.permutation(POSITIONS).astype(np.uint32)
         turned = np.concatenate([pi, pi[: BANDS * ROWS]])
         return sigma, np.lib.stride_tricks.sliding_window_view(turned, BANDS * ROWS)
-    return process_cache("circulant", build)
+    return process_cache("circulant", build, "minhash")
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
