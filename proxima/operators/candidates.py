@@ -3,6 +3,7 @@
 Frames flowing between operators use fixed column names:
 
 * train      ``train_id BIGINT, train_features ARRAY<DOUBLE>, label DOUBLE``
+* entries    the same with ``rows ARRAY<STRUCT<train_id, label>>`` for ``label``: the train rows of one vector
 * test       ``test_id BIGINT, test_features ARRAY<DOUBLE>``
 * candidates ``test_id, train_id, distance DOUBLE, label``: at most k winners per test row and task
 
@@ -18,6 +19,12 @@ from proxima.functions.vectors import checked_dim
 
 TEST_ID, TRAIN_ID = "test_id", "train_id"
 TEST_F, TRAIN_F = "test_features", "train_features"
+ROWS = "rows"
+
+
+def tail_of(train: DataFrame) -> str:
+    """The last train column: ``label``, or ``rows`` of entries."""
+    return ROWS if ROWS in train.columns else "label"
 
 
 def checked_id(row_id: str, what: str) -> Column:

@@ -1,44 +1,48 @@
-"""Exact kNN join with pivot partitioning and triangle-inequality pruning.
+"""Exact kNN join with a tree of pivots and triangle-inequality pruning.
 
 For two sides too large to broadcast, the block join compares every test block with every
 train block.  Here the work follows the data instead (the pivot-based kNN join for MapReduce,
-Lu, Shen, Chen, Ooi, VLDB 2012):
-
-1. ``P`` pivots are taken from the train side (the rows with the smallest id hashes; a bounded
-   ``orderBy().limit()``, planned as a per-partition top-P).
-2. Every test row goes to the part of its nearest pivot, and inside the part to a *ring* of distances
-   to it.  The distances are computed once and written; rings are cut at quantiles of the part,
-   so a few far rows widen only their own ring.
-3. The k train rows nearest to each pivot bound the answer: for a test row q of part i,
-   ``d(q, r) <= d(q, p_i) + d(p_i, r)``, so every q of a ring with distances in [lo, hi] has k train
-   rows within ``theta = hi + kth_i``.
-4. A train row r is sent to a ring only if it may beat that bound: ``d(q, r)`` is at least
-   ``|d(r, p_i) - d(q, p_i)|``, so r is needed only when ``lo - theta <= d(r, p_i) <= hi + theta``.  A
-   small relative slack covers rounding (it can only add candidates).  The rows sent are written
-   once.  Rows without a finite distance are never neighbours and are dropped; a test row that is
-   not finite meets none.
+Lu, Shen, Chen, Ooi, VLDB 2012, with two levels of pivots):
+
+1. About ``P = 2 sqrt(n)`` pivots are taken from the train side: rows below a hash threshold that leaves a few more than
+   P, and of those the P of least hash.  The first ``sqrt(P)`` are centres, and each pivot belongs to its nearest one.
+2. Every row is compared with the centres and with the pivots of the nearest one, ``2 sqrt(P)`` distances, and belongs
+   to the *part* of the nearest of these.  Any part would do: results rest on the distance to the pivot alone.  Test rows
+   are written with it, and the test rows of a part are cut at quantiles of the distance into *rings*, so a few far rows widen
+   only their own ring.
+3. The k least distances of train rows to their own pivot, part by part, bound the k-th neighbour of every pivot: a row at
+   distance x from pivot j is within ``d(i, j) + x`` of pivot i.  The bound takes these over the parts of the same centre,
+   and over all parts by way of the centres.
+4. For a test row q of part i, ``d(q, r) <= d(q, p_i) + d(p_i, r)``, so every q of a ring with distances in [lo, hi] has k train
+   rows within ``theta = hi + bound_i``; and ``d(q, r) >= |d(r, p_i) - d(q, p_i)|``, so a train row r is sent to the ring
+   only if ``lo - theta <= d(r, p_i) <= hi + theta``.  A centre whose pivots, by its distance and radius, all fail that
+   is skipped without looking at them.  A small relative slack covers rounding (it can only add candidates).  Rows without a
+   finite distance are never neighbours and are dropped; a test row that is not finite meets none.
 5. Each ring is split into test sub-blocks x train sub-blocks of bounded size (a ring holding a
    third of the rows is split like any other), the block kernel keeps k per test row and
    sub-block, and a window merges the train sub-blocks.
 
-Only the pivots, one row of statistics per ring and ``P x k`` bounds reach the driver; their number is
-bounded by ``PIVOT_BYTES``.  Whether pruning pays is judged beforehand on two bounded samples, and
-the block join takes over if not: that decides the plan, never the rows.
+A task holds the tree and one chunk of distances, whatever n is; distances to pivots are used chunk by chunk and never
+kept.  Only the pivots, one row of statistics per ring and ``P x k`` distances reach the driver; their number is
+bounded by ``PIVOT_BYTES``.  Whether pruning pays is judged on a bounded sample of train rows, with the true
+bounds, and the block join takes over if not: that decides the plan, never the rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from proxima.operators.candidates import TEST_F, TEST_ID, TRAIN_F, TRAIN_ID
+from proxima.operators.candidates import TEST_F, TEST_ID, TRAIN_F, TRAIN_ID, tail_of
 from proxima.operators.topk import check_k, top_k
-from proxima.operators.vectorized import (CHUNK_CELLS, NEIGHBOUR_SCHEMA, block_kernel,
-                                          distance_block, matrix, neighbours_broadcast_test)
+from proxima.operators.vectorized import CHUNK_CELLS, NEIGHBOUR_SCHEMA, block_kernel, distance_block, matrix
 from proxima.session import send, written
 
 SLACK = 1e-9  # relative widening of the pruning bounds, far above double rounding error
@@ -47,53 +51,146 @@ SLACK = 1e-9  # relative widening of the pruning bounds, far above double roundi
 # than this share of all pairs (high-dimensional data separates poorly around pivots).
 FALLBACK_SHARE = 0.5
 SAMPLE_ROWS = 2000
-PIVOT_BYTES = 8 << 20                # of pivot vectors that are broadcast
+PIVOT_BYTES = 8 << 20                # of pivot vectors, or of their k distances
 RING_QUANTILES = (0.5, 0.9, 0.99)    # a part's rings: near half, and three shells around it
 RINGS = len(RING_QUANTILES) + 1
+SENT_ROWS = 1 << 15                  # train rows that one Arrow batch sends
 
 
-def pivot_count(n_train: int, dim: int = 1) -> int:
-    """About 2 sqrt(n) pivots, at least 2, as long as their vectors stay within PIVOT_BYTES."""
-    room = max(2, PIVOT_BYTES // (8 * max(dim, 1)))
+def pivot_count(n_train: int, dim: int = 1, k: int = 1) -> int:
+    """About 2 sqrt(n) pivots, at least 2, as long as what the driver gets of each stays within PIVOT_BYTES."""
+    room = max(2, PIVOT_BYTES // (8 * max(dim, k, 1)))
     return int(min(n_train, max(2, min(room, math.ceil(2 * math.sqrt(max(n_train, 1)))))))
 
 
-def _first_by_hash(df: DataFrame, id_col: str, feat_col: str, dim: int, count: int) -> np.ndarray:
-    """``count`` finite vectors, chosen by the smallest hash of their id."""
+def hashed_sample(df: DataFrame, id_col: str, feat_col: str, dim: int, count: int, n: int) -> np.ndarray:
+    """``count`` finite vectors of the ``n`` rows, those of least id hash (fewer if there are not so many).
+
+    A threshold that passes about twice as many leaves little to sort; it is widened while too few pass.
+    """
     finite = ~F.exists(F.col(feat_col), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = (df.where(F.col(feat_col).isNotNull() & finite)
-            .orderBy(F.xxhash64(id_col), id_col).limit(count).select(feat_col).toArrow())
-    return matrix(rows.column(feat_col), dim)
-
-
-def pivot_distances(x: np.ndarray, pivots_t: np.ndarray) -> np.ndarray:
-    """(n, P) distances of rows to pivots, in bounded chunks."""
-    n, p = x.shape[0], pivots_t.shape[1]
-    out = np.empty((n, p))
-    step = max(1, CHUNK_CELLS // max(p, 1))
-    buf, tmp = np.empty((min(step, n), p)), np.empty((min(step, n), p))
-    for s in range(0, n, step):
-        e = min(n, s + step)
-        out[s:e] = distance_block(x[s:e], pivots_t, buf[: e - s], tmp[: e - s])
-    return out
-
-
-def _nearest(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest pivot of every row and the distance; part -1 for a row without a finite one."""
-    if not d.size:
-        return np.empty(0, np.int32), np.empty(0)
-    part = np.argmin(np.where(np.isnan(d), np.inf, d), axis=1)
-    dq = d[np.arange(len(part)), part]
-    bad = ~np.isfinite(dq) | np.isnan(d).any(axis=1)
-    return np.where(bad, -1, part).astype(np.int32), np.where(bad, 0.0, dq)
-
-
-def assign_test(test: DataFrame, pivots_bc, dim: int) -> DataFrame:
-    """``test_id, test_features, part, dq``: nearest pivot and the distance to it."""
+    rows = df.where(F.col(feat_col).isNotNull() & finite).select(F.xxhash64(id_col).alias("_h"), id_col, feat_col)
+    share = (2 * count + 64) / max(n, 1)
+    while True:
+        some = rows if share >= 1 else rows.where(F.col("_h") < F.lit(int(-(1 << 63) + share * (1 << 64))))
+        got = some.orderBy("_h", id_col).limit(count).select(feat_col).toArrow()
+        if got.num_rows >= count or share >= 1:
+            return matrix(got.column(0), dim)
+        share *= 8
+
+
+# ----------------------------------------------------------------- the tree
+def chunked_distances(x: np.ndarray, points: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """``(first row, end row, distances to all points)`` in chunks of bounded size; the array is used again."""
+    p, points_t = len(points), np.ascontiguousarray(points.T)
+    step = max(1, min(len(x), CHUNK_CELLS // max(p, 1)))
+    out, tmp = np.empty((step, p)), np.empty((step, p))
+    for s in range(0, len(x), step):
+        e = min(len(x), s + step)
+        yield s, e, distance_block(x[s:e], points_t, out[: e - s], tmp[: e - s])
+
+
+def nearest_point(x: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest of ``points`` for every row and its distance (NaN, or infinite, for rows that are not finite)."""
+    at, d = np.zeros(len(x), np.int64), np.full(len(x), np.nan)
+    for s, e, dist in chunked_distances(x, points):
+        at[s:e] = np.argmin(dist, axis=1)                      # of NaN the first
+        d[s:e] = dist[np.arange(e - s), at[s:e]]
+    return at, d
+
+
+@dataclass(frozen=True)
+class PivotTree:
+    """Pivots in order of their centre: centre g has ``pivots[starts[g]:starts[g + 1]]``, all within ``radius[g]``."""
+    pivots: np.ndarray
+    centres: np.ndarray
+    starts: np.ndarray
+    radius: np.ndarray
+
+    @classmethod
+    def of(cls, pivots: np.ndarray) -> PivotTree:
+        pivots = pivots[np.sort(np.unique(pivots, axis=0, return_index=True)[1])]      # copies would fill one centre
+        centres = pivots[: max(1, math.isqrt(len(pivots)))]
+        group, d = nearest_point(pivots, centres)
+        order = np.argsort(group, kind="stable")
+        starts = np.searchsorted(group[order], np.arange(len(centres) + 1))
+        radius = np.zeros(len(centres))
+        np.maximum.at(radius, group, d)
+        return cls(pivots[order], centres, starts, radius)
+
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(part, distance to its pivot)`` of every row; part -1 and 0 for a row that is not finite."""
+        part, dist = np.full(len(x), -1, np.int32), np.zeros(len(x))
+        group, near = nearest_point(x, self.centres)
+        fine = np.flatnonzero(np.isfinite(near))
+        fine = fine[np.argsort(group[fine], kind="stable")]
+        cut = np.searchsorted(group[fine], np.arange(len(self.centres) + 1))
+        for g in np.flatnonzero(np.diff(cut)):
+            rows = fine[cut[g]: cut[g + 1]]
+            if self.starts[g] == self.starts[g + 1]:           # a copy of an earlier centre
+                continue
+            at, d = nearest_point(x[rows], self.pivots[self.starts[g]: self.starts[g + 1]])
+            ok = np.isfinite(d)
+            part[rows[ok]], dist[rows[ok]] = (at + self.starts[g])[ok], d[ok]
+        return part, dist
+
+    def bounds(self, parts: np.ndarray, dist: np.ndarray, k: int) -> np.ndarray:
+        """Per pivot a distance within which k train rows lie, infinite if fewer are given: ``dist`` are the least
+        distances of the train rows of the parts ``parts`` to their pivots."""
+        order = np.lexsort((dist, parts))
+        parts, dist = parts[order], dist[order]
+        edge = np.searchsorted(parts, self.starts)             # rows of every centre's pivots
+        out, tops = np.full(len(self.pivots), np.inf), []
+        for g, centre in enumerate(self.centres):
+            a, b = self.starts[g], self.starts[g + 1]
+            rows = slice(edge[g], edge[g + 1])
+            if edge[g + 1] > edge[g]:
+                from_centre = _distances(centre[None, :], self.pivots[a:b])[0]
+                tops.append((g, np.sort(from_centre[parts[rows] - a] + dist[rows])[:k]))
+                if edge[g + 1] - edge[g] >= k:
+                    for s, e, d in chunked_distances(self.pivots[a:b], self.pivots[a:b]):
+                        step = max(1, CHUNK_CELLS // (edge[g + 1] - edge[g]))
+                        for i in range(s, e, step):
+                            reach = d[i - s: min(i + step, e) - s][:, parts[rows] - a] + dist[rows]
+                            out[a + i: a + min(i + step, e)] = np.partition(reach, k - 1, axis=1)[:, k - 1]
+        owner = np.concatenate([np.full(len(v), g) for g, v in tops]) if tops else np.empty(0, np.int64)
+        value = np.concatenate([v for _, v in tops]) if tops else np.empty(0)
+        if len(value) >= k:                                    # by way of the centres
+            for g, centre in enumerate(self.centres):
+                a, b = self.starts[g], self.starts[g + 1]
+                if b > a:
+                    top = np.partition(_distances(centre[None, :], self.centres)[0][owner] + value, k - 1)[k - 1]
+                    out[a:b] = np.minimum(out[a:b], _distances(centre[None, :], self.pivots[a:b])[0] + top)
+        return out
+
+    def cells(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``(row, cell)`` of every ring that may need a row: ``lo[ring, pivot] <= distance <= hi[ring, pivot]``."""
+        least = np.array([lo[:, a:b].min(initial=np.inf) for a, b in zip(self.starts, self.starts[1:])])
+        most = np.array([hi[:, a:b].max(initial=-np.inf) for a, b in zip(self.starts, self.starts[1:])])
+        for s, e, near in chunked_distances(x, self.centres):
+            wide = (near + self.radius) * (1 + SLACK) + SLACK >= least
+            wide &= (near - self.radius) * (1 - SLACK) - SLACK <= most          # False for NaN
+            for g in np.flatnonzero(wide.any(axis=0)):
+                rows = np.flatnonzero(wide[:, g]) + s
+                a, b = self.starts[g], self.starts[g + 1]
+                for p, q, d in chunked_distances(x[rows], self.pivots[a:b]):
+                    for ring in range(RINGS):
+                        i, j = np.nonzero((d >= lo[ring, a:b]) & (d <= hi[ring, a:b]))
+                        if len(i):
+                            yield rows[p + i], (j + a) * RINGS + ring
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return distance_block(a, np.ascontiguousarray(b.T), np.empty((len(a), len(b))), np.empty((len(a), len(b))))
+
+
+# ----------------------------------------------------------------- Spark
+def assign_test(test: DataFrame, tree_bc, dim: int) -> DataFrame:
+    """``test_id, test_features, part, dq``: the part and the distance to its pivot."""
     def run(batches):
-        pt = np.ascontiguousarray(pivots_bc.value.T)
+        tree = tree_bc.value
         for batch in batches:
-            part, dq = _nearest(pivot_distances(matrix(batch.column(1), dim), pt))
+            part, dq = tree.assign(matrix(batch.column(1), dim))
             yield pa.record_batch({TEST_ID: batch.column(0), TEST_F: batch.column(1),
                                    "part": pa.array(part, pa.int32()), "dq": pa.array(dq, pa.float64())})
 
@@ -101,63 +198,74 @@ def assign_test(test: DataFrame, pivots_bc, dim: int) -> DataFrame:
         run, f"{TEST_ID} bigint, {TEST_F} array<double>, part int, dq double")
 
 
-def send_train(train: DataFrame, pivots_bc, reach_bc, dim: int) -> DataFrame:
-    """``train_id, train_features, label, cell`` once per ring the row may serve.
+def nearest_of_parts(train: DataFrame, tree_bc, dim: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(part, distance)``: the k least distances of train rows to their pivot, for every part."""
+    def run(batches):
+        tree = tree_bc.value
+        for batch in batches:
+            part, d = tree.assign(matrix(batch.column(0), dim))
+            ok = np.flatnonzero(part >= 0)
+            order = ok[np.lexsort((d[ok], part[ok]))]
+            part, d = part[order], d[order]
+            starts = np.searchsorted(part, part)                # of the run that a row is in
+            keep = np.arange(len(part)) - starts < k
+            yield pa.record_batch({"part": pa.array(part[keep], pa.int32()), "d": pa.array(d[keep], pa.float64())})
+
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("d"))
+    got = (train.select(TRAIN_F).mapInArrow(run, "part int, d double")
+           .withColumn("_n", rank).where(F.col("_n") <= k).select("part", "d").toArrow())
+    return got.column(0).to_numpy().astype(np.int64), got.column(1).to_numpy()
+
+
+def send_train(train: DataFrame, tree_bc, reach_bc, dim: int) -> DataFrame:
+    """``train_id, train_features, label (or rows), cell`` once per ring the row may serve.
 
     ``reach``: per ring (row) and pivot (column), the least and the largest distance to the pivot
     that may matter; an empty interval for a ring without test rows.
     """
+    tail = tail_of(train)
+
     def run(batches):
-        pt = np.ascontiguousarray(pivots_bc.value.T)
-        lo, hi = reach_bc.value
+        tree, (lo, hi) = tree_bc.value, reach_bc.value
         for batch in batches:
-            d = pivot_distances(matrix(batch.column(1), dim), pt)
-            found = [np.nonzero((d >= lo[ring]) & (d <= hi[ring])) for ring in range(RINGS)]  # False for NaN
-            idx = pa.array(np.concatenate([f[0] for f in found]), pa.int64())
-            cell = np.concatenate([f[1] * RINGS + ring for ring, f in enumerate(found)])
-            yield pa.record_batch({
-                TRAIN_ID: batch.column(0).take(idx), TRAIN_F: batch.column(1).take(idx),
-                "label": batch.column(2).take(idx), "cell": pa.array(cell, pa.int32())})
-
-    return train.select(TRAIN_ID, TRAIN_F, "label").mapInArrow(
-        run, f"{TRAIN_ID} bigint, {TRAIN_F} array<double>, label double, cell int")
-
-
-def _bounds(stats: dict[int, tuple[float, float]], kth: dict[int, float], n_piv: int, limit: float):
-    """Least and largest useful distance of a train row to each pivot, per ring."""
-    lo, hi = np.full((RINGS, n_piv), np.inf), np.full((RINGS, n_piv), -np.inf)
-    for cell, (near, far) in stats.items():
-        part, ring = divmod(cell, RINGS)
-        theta = min(far + kth.get(part, float("inf")), limit)
-        lo[ring, part] = (near - theta) * (1 - math.copysign(SLACK, near - theta)) - SLACK
-        hi[ring, part] = (far + theta) * (1 + SLACK) + SLACK
+            held, size = [], 0
+
+            def out():
+                row = pa.array(np.concatenate([h[0] for h in held]), pa.int64())
+                cell = np.concatenate([h[1] for h in held])
+                return pa.RecordBatch.from_arrays([*(c.take(row) for c in batch.columns), pa.array(cell, pa.int32())],
+                                                  names=[TRAIN_ID, TRAIN_F, tail, "cell"])
+            for row, cell in tree.cells(matrix(batch.column(1), dim), lo, hi):
+                for s in range(0, len(row), SENT_ROWS):
+                    held.append((row[s: s + SENT_ROWS], cell[s: s + SENT_ROWS]))
+                    size += len(held[-1][0])
+                    if size >= SENT_ROWS:
+                        yield out()
+                        held, size = [], 0
+            if held:
+                yield out()
+
+    schema = train.select(TRAIN_ID, TRAIN_F, tail).schema
+    return train.select(TRAIN_ID, TRAIN_F, tail).mapInArrow(run, schema.add("cell", IntegerType()))
+
+
+def reach_of(near: np.ndarray, far: np.ndarray, bound: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest useful distance of a train row to each pivot, per ring.  ``near`` and ``far``
+    (ring x pivot) are the least and largest test distance of a ring, NaN without test rows."""
+    theta = np.minimum(far + bound, limit)
+    some = ~np.isnan(near)
+    with np.errstate(invalid="ignore"):                        # infinite bounds stay infinite
+        lo = near - theta
+        lo = np.where(some, lo - SLACK * np.abs(lo) - SLACK, np.inf)
+        hi = np.where(some, (far + theta) * (1 + SLACK) + SLACK, -np.inf)
     return lo, hi
 
 
-def _ring_of(dq: np.ndarray, part: np.ndarray) -> np.ndarray:
-    ring = np.zeros(len(dq), np.int64)
-    for p in np.unique(part):
-        at = part == p
-        ring[at] = np.searchsorted(np.quantile(dq[at], RING_QUANTILES), dq[at], "left")
-    return ring
-
-
-def sampled_share(test_x: np.ndarray, train_x: np.ndarray, pivots: np.ndarray, k: int,
-                  n_train: int, limit: float) -> float:
-    """Estimated share of all pairs that the pruned plan would compare, from two samples."""
-    if not len(test_x) or not len(train_x):
-        return 0.0
-    pt = np.ascontiguousarray(pivots.T)
-    part, dq = _nearest(pivot_distances(test_x, pt))
-    d = pivot_distances(train_x, pt)
-    rank = min(len(train_x) - 1, max(0, math.ceil(k * len(train_x) / max(n_train, 1)) - 1))
-    kth = {p: float(v) for p, v in enumerate(np.partition(d, rank, axis=0)[rank])}
-    cell = part * RINGS + _ring_of(dq, part)
-    stats = {int(c): (float(dq[cell == c].min()), float(dq[cell == c].max())) for c in np.unique(cell[part >= 0])}
-    lo, hi = _bounds(stats, kth, len(pivots), limit)
-    pairs = sum(int((cell == c).sum()) * int(((d[:, c // RINGS] >= lo[c % RINGS, c // RINGS])
-                                              & (d[:, c // RINGS] <= hi[c % RINGS, c // RINGS])).sum()) for c in stats)
-    return pairs / (len(test_x) * len(train_x))
+def sampled_share(tree: PivotTree, sample: np.ndarray, lo: np.ndarray, hi: np.ndarray, count: np.ndarray) -> float:
+    """Estimated share of all pairs that the pruned plan compares: ``count`` test rows per cell against the
+    cells that a sample of train rows is sent to."""
+    pairs = sum(int(count[cell].sum()) for _, cell in tree.cells(sample, lo, hi))
+    return pairs / max(1, int(count.sum()) * len(sample))
 
 
 def neighbours_pivot(test: DataFrame, train: DataFrame, k: int, dim: int, n_train: int, n_test: int,
@@ -165,60 +273,62 @@ def neighbours_pivot(test: DataFrame, train: DataFrame, k: int, dim: int, n_trai
                      max_distance: float | None = None, fallback=None) -> DataFrame:
     """Neighbours of every test row (``test_id, rank, train_id, distance, label``), exactly.
 
-    ``fallback`` (a function returning the block-join plan) is used instead when two samples say that
+    ``fallback`` (a function returning the block-join plan) is used instead when a sample says that
     the pruned plan would compare more than ``FALLBACK_SHARE`` of all pairs.
     """
     check_k(k)
     spark = test.sparkSession
     row_bytes = 8 * dim + 32
     limit = float("inf") if max_distance is None else float(max_distance)
-    pivots = _first_by_hash(train, TRAIN_ID, TRAIN_F, dim, pivot_count(n_train, dim))
+    pivots = hashed_sample(train, TRAIN_ID, TRAIN_F, dim, pivot_count(n_train, dim, k), n_train)
     if pivots.shape[0] == 0:  # no finite train row: nobody has a neighbour
         return spark.createDataFrame([], NEIGHBOUR_SCHEMA)
-    n_piv = pivots.shape[0]
-    if fallback is not None:
-        share = sampled_share(_first_by_hash(test, TEST_ID, TEST_F, dim, SAMPLE_ROWS),
-                              _first_by_hash(train, TRAIN_ID, TRAIN_F, dim, SAMPLE_ROWS), pivots, k, n_train, limit)
-        if share > FALLBACK_SHARE:
-            return fallback()
-    pivots_bc = send(spark, pivots)
+    tree = PivotTree.of(pivots)
+    n_piv = len(tree.pivots)
+    tree_bc = send(spark, tree)
 
     # one row per part (its ring bounds), joined back to cut the rings
-    assigned = written(assign_test(test, pivots_bc, dim), "pivot-test").where("part >= 0")
+    assigned = written(assign_test(test, tree_bc, dim), "pivot-test").where("part >= 0")
     quantiles = assigned.groupBy("part").agg(F.percentile_approx("dq", list(RING_QUANTILES), 10_000).alias("q"))
     ringed = (assigned.join(F.broadcast(quantiles), "part")  # at most P rows
               .withColumn("cell", (F.col("part") * RINGS + F.size(F.filter("q", lambda b: b < F.col("dq")))).cast("int")))
-    stats = {r["cell"]: (int(r["n"]), float(r["lo"]), float(r["hi"])) for r in ringed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("dq").alias("lo"), F.max("dq").alias("hi")).collect()}
-
-    # k-th nearest train distance of every pivot (the pivots are a size-bounded test side)
-    piv_df = spark.createDataFrame(
-        [(i, [float(v) for v in pivots[i]]) for i in range(n_piv)], f"{TEST_ID} bigint, {TEST_F} array<double>")
-    kth = {r[TEST_ID]: float(r["distance"]) for r in neighbours_broadcast_test(
-        piv_df, train, k, dim).where(F.col("rank") == k).collect()}
-
-    reach_bc = send(spark, _bounds({c: v[1:] for c, v in stats.items()}, kth, n_piv, limit))
-    sent = written(send_train(train, pivots_bc, reach_bc, dim), "pivot-train")
-    counts = {r["cell"]: int(r["n"]) for r in sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    stats = ringed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("dq").alias("lo"), F.max("dq").alias("hi")).toArrow()
+    cells = n_piv * RINGS
+    count, near, far = np.zeros(cells, np.int64), np.full(cells, np.nan), np.full(cells, np.nan)
+    at = stats.column("cell").to_numpy()
+    for into, name in ((count, "n"), (near, "lo"), (far, "hi")):
+        into[at] = stats.column(name).to_numpy()
+
+    bound = tree.bounds(*nearest_of_parts(train, tree_bc, dim, k), k)
+    by_ring = [v.reshape(-1, RINGS).T for v in (near, far)]
+    lo, hi = reach_of(*by_ring, bound, limit)
+    if fallback is not None:
+        sample = hashed_sample(train, TRAIN_ID, TRAIN_F, dim, SAMPLE_ROWS, n_train)
+        if sampled_share(tree, sample, lo, hi, count) > FALLBACK_SHARE:
+            return fallback()
+    sent = written(send_train(train, tree_bc, send(spark, (lo, hi)), dim), "pivot-train")
+    got = sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    arrived = np.zeros(cells, np.int64)
+    arrived[got.column("cell").to_numpy()] = got.column("n").to_numpy()
 
     # split every ring into bounded sub-blocks on both sides
-    def blocks(n):
-        return max(1, math.ceil(n * row_bytes / block_bytes))
-    grid = [(c, blocks(n), blocks(counts.get(c, 0))) for c, (n, _, _) in stats.items()]
-    sizes = F.broadcast(spark.createDataFrame(grid, "cell int, _s bigint, _r bigint"))  # one row per ring
+    used = np.flatnonzero(count)
+    s_blocks, r_blocks = (np.maximum(1, -(-v[used] * row_bytes // block_bytes)) for v in (count, arrived))
+    sizes = F.broadcast(spark.createDataFrame(pa.table({"cell": pa.array(used, pa.int32()), "_s": pa.array(s_blocks, pa.int64()),
+                                                        "_r": pa.array(r_blocks, pa.int64())})))     # one row per ring
     t = (ringed.join(sizes, "cell")
          .select(TEST_ID, TEST_F, "cell", F.pmod(F.xxhash64(TEST_ID), F.col("_s")).alias("sb"),
                  F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_r") - 1)).alias("rb")))
     r = (sent.join(sizes, "cell")
-         .select(TRAIN_ID, TRAIN_F, "label", "cell", F.pmod(F.xxhash64(TRAIN_ID), F.col("_r")).alias("rb"),
+         .select(TRAIN_ID, TRAIN_F, tail_of(train), "cell", F.pmod(F.xxhash64(TRAIN_ID), F.col("_r")).alias("rb"),
                  F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_s") - 1)).alias("sb")))
     keys = ["cell", "sb", "rb"]
     # bytes that move decide the number of tasks: about two blocks each
-    moved = row_bytes * sum(stats[c][0] * rb + counts.get(c, 0) * sb for c, sb, rb in grid)
-    n = max(1, min(sum(sb * rb for _, sb, rb in grid), max(partitions, math.ceil(moved / (2 * block_bytes)))))
+    moved = row_bytes * int((count[used] * r_blocks + arrived[used] * s_blocks).sum())
+    n = max(1, min(int((s_blocks * r_blocks).sum()), max(partitions, math.ceil(moved / (2 * block_bytes)))))
     per_block = (t.repartition(n, *keys).groupBy(*keys)
                  .cogroup(r.repartition(n, *keys).groupBy(*keys))
                  .applyInArrow(block_kernel(k, dim, limit), NEIGHBOUR_SCHEMA))
-    if all(rb == 1 for _, _, rb in grid):
+    if (r_blocks == 1).all():
         return per_block  # every test row met all its candidates in one group
     return top_k(per_block.drop("rank"), k)

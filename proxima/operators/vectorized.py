@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proxima.operators.candidates import TEST_F, TEST_ID, TRAIN_F, TRAIN_ID, block_rows, spread
+from proxima.operators.candidates import (ROWS, TEST_F, TEST_ID, TRAIN_F, TRAIN_ID, block_rows, spread,
+                                          tail_of)
 from proxima.operators.topk import check_k, top_k
 from proxima.session import send
 
@@ -35,6 +36,13 @@ PREDICTION_SCHEMA = "test_id bigint, prediction int"
 # Cells of one distance chunk (rows x columns); 2^22 doubles = 32 MiB per buffer.
 CHUNK_CELLS = 1 << 22
 
+# From this width on a matrix product says first which pairs cannot matter (``near_squares``).
+FILTER_DIM = 16
+GROUPS_PER_NEIGHBOUR = 16        # minima of so many groups of columns for each of the k bound the k-th
+DENSE_SHARE = 0.125              # of a chunk's pairs left: beyond, the whole chunk is computed exactly
+UNIT = 2.0 ** -53                # rounding unit of a double
+LARGEST_SQUARE = 1e300           # vectors with a larger norm are left to the plain kernel
+
 
 # --------------------------------------------------------------------------- numpy kernels
 
@@ -73,6 +81,63 @@ def distance_block(q: np.ndarray, r_t: np.ndarray, out: np.ndarray, tmp: np.ndar
     return out
 
 
+def pair_distances(q: np.ndarray, r_t: np.ndarray, qi: np.ndarray, ri: np.ndarray) -> np.ndarray:
+    """Distances of single pairs, with the operations and the order of ``distance_block``."""
+    out = np.empty(qi.size)
+    step = max(1, CHUNK_CELLS // max(1, q.shape[1]))
+    for s in range(0, qi.size, step):
+        a, b = qi[s:s + step], ri[s:s + step]
+        total = np.zeros(a.size)
+        for j in range(q.shape[1]):
+            diff = q[a, j] - r_t[j, b]
+            total += diff * diff
+        out[s:s + step] = np.sqrt(total)
+    return out
+
+
+def near_squares(q: np.ndarray, qn: np.ndarray, r_t: np.ndarray, rn: np.ndarray, out: np.ndarray):
+    """Squared distances by ``|q|^2 + |r|^2 - 2 q.r`` into ``out``, and per row of ``q`` a bound of their error.
+
+    The bound covers the rounding of this formula and of the left-to-right sum of squares.  With u the
+    rounding unit and N = |q|^2 + |r|^2: a dot product of d terms, in any order, is off by at most
+    d u |q||r| (1 + d u), a norm by d u of itself, the two additions by 2 u of at most 2 N: in all less than
+    (2 d + 5) u N.  The sum of squares is off by (d + 2) u of at most 2 N.  Eight times d and 32 more units is
+    over both together.  It also exceeds what underflow can lose.
+    """
+    np.matmul(q, r_t, out=out)
+    out *= -2.0
+    out += rn
+    out += qn[:, None]
+    return out, (8 * q.shape[1] + 32) * UNIT * (qn + rn.max()) + 1e-290
+
+
+def filterable(q: np.ndarray, r: np.ndarray):
+    """Norms of both sides if the filter may be used: wide vectors, all finite and none huge."""
+    if q.shape[1] < FILTER_DIM or not q.size or not r.size:
+        return None
+    with np.errstate(over="ignore", invalid="ignore"):
+        qn, rn = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", r, r)
+    return (qn, rn) if max(qn.max(), rn.max()) < LARGEST_SQUARE else None     # False for NaN
+
+
+def kth_bound(s: np.ndarray, k: int) -> np.ndarray:
+    """Per row a number that at least ``k`` of its entries do not exceed: the k-th least of the minima of
+    equal groups of columns, or of all columns where they are few."""
+    n = s.shape[1]
+    groups = GROUPS_PER_NEIGHBOUR * k
+    size = n // groups
+    if size >= 4:
+        s = s[:, :groups * size].reshape(len(s), groups, size).min(axis=2)
+    return np.partition(s, k - 1, axis=1)[:, k - 1]
+
+
+def filtered_pairs(s: np.ndarray, err: np.ndarray, k: int, bound: float):
+    """Which pairs of a chunk may be among the ``k`` nearest below ``bound``, ties of the rounded root included."""
+    top = (kth_bound(s, k) + err if s.shape[1] > k else np.full(len(s), np.inf))
+    top = np.minimum(top, bound * bound) if bound < 1e150 else top
+    return s <= (top * (1 + 16 * UNIT) + err)[:, None]
+
+
 def rank_cut(qi: np.ndarray, d: np.ndarray, rid: np.ndarray, k: int):
     """Order candidates by (query, distance, train id), rank them within each query, keep <= k.
 
@@ -103,6 +168,9 @@ def block_topk(q: np.ndarray, r: np.ndarray, r_ids: np.ndarray, k: int, bound: f
     needed to reach k (the block is scanned in id order).  A block where a third of the rows
     are copies of one vector therefore still yields k entries per row, not a third of the
     block.
+
+    Wide vectors go through ``near_squares`` first: only pairs that a proven bound cannot rule out get their
+    exact distance.  The result is the same, bit by bit.
     """
     m, n = q.shape[0], r.shape[0]
     qs, rs, ds = [], [], []
@@ -114,8 +182,21 @@ def block_topk(q: np.ndarray, r: np.ndarray, r_ids: np.ndarray, k: int, bound: f
     step = max(1, min(m, CHUNK_CELLS // n))
     out = np.empty((step, n))
     tmp = np.empty((step, n))
+    norms = filterable(q, r)
     for s in range(0, m, step):
         e = min(m, s + step)
+        if norms:
+            near, err = near_squares(q[s:e], norms[0][s:e], r_t, norms[1][by_id], out[: e - s])
+            left = filtered_pairs(near, err, k, bound)
+            if np.count_nonzero(left) <= DENSE_SHARE * left.size:
+                qi, ri = np.nonzero(left)
+                d = pair_distances(q[s:e], r_t, qi, ri)
+                ok = np.flatnonzero(d < bound)
+                keep = ok[rank_cut(qi[ok], d[ok], r_ids[by_id[ri[ok]]], k)[0]]
+                qs.append(qi[keep] + s)
+                rs.append(by_id[ri[keep]])
+                ds.append(d[keep])
+                continue
         dist = distance_block(q[s:e], r_t, out[: e - s], tmp[: e - s])
         ok = dist < bound  # False for NaN
         dist = np.where(ok, dist, np.inf)
@@ -143,16 +224,61 @@ def label_arrays(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return values, valid
 
 
-def neighbours_table(q_ids, r_ids, r_labels, qi, ri, d, k, r_valid=None) -> pa.Table:
-    order, rank = rank_cut(qi, d, r_ids[ri], k)
-    qi, ri = qi[order], ri[order]
+def train_block(ids: pa.Array, features: pa.Array, tail: pa.Array, dim: int) -> dict:
+    """Arrays of train rows, or of the entries of ``operators/entries.py``: ``tail`` is the label column,
+    or the rows (id, label) that share the vector, in order of id."""
+    out = {"x": matrix(features, dim), "ids": int_ids(ids)}
+    if isinstance(tail, pa.ChunkedArray):
+        tail = tail.combine_chunks()
+    if pa.types.is_list(tail.type):
+        out["starts"] = np.concatenate([[0], np.cumsum(tail.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        rows = tail.flatten()
+        out["row_ids"] = int_ids(rows.field(0))
+        out["labels"], out["valid"] = label_arrays(rows.field(1))
+    else:
+        out["labels"], out["valid"] = label_arrays(tail)
+    return out
+
+
+def winners(q: np.ndarray, tr: dict, k: int, bound: float):
+    """``(query index, train id, distance, label, label valid)`` of the k nearest train rows of every query, in
+    order of (query, distance, id).
+
+    The k nearest entries hold the k nearest rows: an entry left out has k before it, each with a row that
+    comes before all of its own.  Queries with equal vectors are searched once.
+    """
+    one, back = q, None
+    if len(q) > 1 and q.shape[1]:
+        _, first, same = np.unique(np.ascontiguousarray(q).view(np.dtype((np.void, 8 * q.shape[1]))).reshape(-1),
+                                   return_index=True, return_inverse=True)
+        if len(first) <= 0.9 * len(q):
+            one, back = q[first], same.reshape(-1)
+    qi, ri, d = block_topk(one, tr["x"], tr["ids"], k, bound)
+    if "starts" in tr:
+        n = tr["starts"][ri + 1] - tr["starts"][ri]
+        row = np.repeat(tr["starts"][ri] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        qi, d, ids = np.repeat(qi, n), np.repeat(d, n), tr["row_ids"][row]
+    else:
+        row, ids = ri, tr["ids"][ri]
+    order, _ = rank_cut(qi, d, ids, k)
+    qi, ids, d, row = qi[order], ids[order], d[order], row[order]
+    if back is not None:                              # every copy of a query gets its winners
+        edge = np.searchsorted(qi, np.arange(len(one) + 1))
+        n = (edge[1:] - edge[:-1])[back]
+        at = np.repeat(edge[:-1][back] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        qi, ids, d, row = np.repeat(np.arange(len(q)), n), ids[at], d[at], row[at]
+    return qi, ids, d, tr["labels"][row], tr["valid"][row]
+
+
+def neighbours_table(q_ids, qi, ids, d, labels, valid) -> pa.Table:
+    """The rows of ``winners`` with their rank."""
+    starts = np.searchsorted(qi, np.arange(len(q_ids)))
     return pa.table({
         "test_id": pa.array(q_ids[qi], pa.int64()),
-        "rank": pa.array(rank, pa.int32()),
-        "train_id": pa.array(r_ids[ri], pa.int64()),
-        "distance": pa.array(d[order], pa.float64()),
-        "label": pa.array(r_labels[ri], pa.float64(),
-                          mask=None if r_valid is None else ~r_valid[ri]),
+        "rank": pa.array((np.arange(len(qi)) - starts[qi] + 1).astype(np.int32), pa.int32()),
+        "train_id": pa.array(ids, pa.int64()),
+        "distance": pa.array(d, pa.float64()),
+        "label": pa.array(labels, pa.float64(), mask=~valid),
     })
 
 
@@ -181,16 +307,12 @@ def vote_arrays(q_ids: np.ndarray, qi: np.ndarray, labels: np.ndarray, vote: str
 
 # --------------------------------------------------------------------------- Spark plans
 
-def collect_side(df: DataFrame, id_col: str, feat_col: str, dim: int, label: str | None = None):
+def collect_side(df: DataFrame, id_col: str, feat_col: str, dim: int, tail: str | None = None):
     """Arrays of a side that the caller has size-checked, for a broadcast variable."""
-    cols = [id_col, feat_col] + ([label] if label else [])
-    tbl = df.select(*cols).toArrow()
-    ids = int_ids(tbl.column(id_col))
-    x = matrix(tbl.column(feat_col), dim)
-    out = {"ids": ids, "x": x}
-    if label:
-        out["labels"], out["valid"] = label_arrays(tbl.column(label))
-    return out
+    tbl = df.select(*([id_col, feat_col] + ([tail] if tail else []))).toArrow()
+    if tail:
+        return train_block(tbl.column(0), tbl.column(1), tbl.column(2), dim)
+    return {"ids": int_ids(tbl.column(0)), "x": matrix(tbl.column(1), dim)}
 
 
 def neighbours_broadcast_train(test: DataFrame, train: DataFrame, k: int, dim: int,
@@ -203,7 +325,7 @@ def neighbours_broadcast_train(test: DataFrame, train: DataFrame, k: int, dim: i
     """
     check_k(k)
     spark = test.sparkSession
-    side = collect_side(train, TRAIN_ID, TRAIN_F, dim, "label")
+    side = collect_side(train, TRAIN_ID, TRAIN_F, dim, tail_of(train))
     bc = send(spark, side)
     bound = float("inf") if max_distance is None else float(max_distance)
     t = spread(test.select(TEST_ID, TEST_F), partitions)
@@ -213,13 +335,9 @@ def neighbours_broadcast_train(test: DataFrame, train: DataFrame, k: int, dim: i
         for batch in batches:
             q_ids = int_ids(batch.column(0))
             q = matrix(batch.column(1), dim)
-            qi, ri, d = block_topk(q, tr["x"], tr["ids"], k, bound)
-            if vote is None:
-                tbl = neighbours_table(q_ids, tr["ids"], tr["labels"], qi, ri, d, k, tr["valid"])
-            else:
-                order, _ = rank_cut(qi, d, tr["ids"][ri], k)
-                tbl = vote_arrays(q_ids, qi[order], tr["labels"][ri[order]], vote,
-                                  tr["valid"][ri[order]])
+            qi, ids, d, labels, valid = winners(q, tr, k, bound)
+            tbl = (neighbours_table(q_ids, qi, ids, d, labels, valid) if vote is None
+                   else vote_arrays(q_ids, qi, labels, vote, valid))
             yield from tbl.to_batches()
 
     return t.mapInArrow(run, PREDICTION_SCHEMA if vote else NEIGHBOUR_SCHEMA)
@@ -235,18 +353,14 @@ def neighbours_broadcast_test(test: DataFrame, train: DataFrame, k: int, dim: in
     side = collect_side(test, TEST_ID, TEST_F, dim)
     bc = send(spark, side)
     bound = float("inf") if max_distance is None else float(max_distance)
-    r = spread(train.select(TRAIN_ID, TRAIN_F, "label"), partitions)
+    r = spread(train.select(TRAIN_ID, TRAIN_F, tail_of(train)), partitions)
 
     def run(batches):
         ts = bc.value
         q_ids, q = ts["ids"], ts["x"]
         best = None  # (qi, train ids, distances, labels, label valid) of the running top-k
         for batch in batches:
-            r_ids = int_ids(batch.column(0))
-            x = matrix(batch.column(1), dim)
-            labels, valid = label_arrays(batch.column(2))
-            qi, ri, d = block_topk(q, x, r_ids, k, bound)
-            cand = (qi, r_ids[ri], d, labels[ri], valid[ri])
+            cand = winners(q, train_block(batch.column(0), batch.column(1), batch.column(2), dim), k, bound)
             if best is not None:
                 cand = tuple(np.concatenate([a, b]) for a, b in zip(best, cand))
             order, _ = rank_cut(cand[0], cand[2], cand[1], k)
@@ -279,7 +393,7 @@ def neighbours_blocks(test: DataFrame, train: DataFrame, k: int, dim: int,
     # adaptive execution cannot fold the CPU-bound groups into a few tasks
     t = (block_rows(test.select(TEST_ID, TEST_F), TEST_ID, test_blocks, train_blocks, "tb", "rb")
          .repartition(n, "tb", "rb"))
-    r = (block_rows(train.select(TRAIN_ID, TRAIN_F, "label"), TRAIN_ID, train_blocks, test_blocks,
+    r = (block_rows(train.select(TRAIN_ID, TRAIN_F, tail_of(train)), TRAIN_ID, train_blocks, test_blocks,
                     "rb", "tb").repartition(n, "tb", "rb"))
 
     per_block = (t.groupBy("tb", "rb").cogroup(r.groupBy("tb", "rb"))
@@ -293,14 +407,11 @@ def block_kernel(k: int, dim: int, bound: float):
     """The per-group function of a cogrouped block pair: test block x train block -> top-k."""
     def run(left, right):
         q_ids = int_ids(left.column(TEST_ID))
-        r_ids = int_ids(right.column(TRAIN_ID))
-        if q_ids.size == 0 or r_ids.size == 0:
+        if q_ids.size == 0 or right.num_rows == 0:
             return pa.Table.from_batches([], schema=_NEIGHBOUR_ARROW)
-        q = matrix(left.column(TEST_F), dim)
-        x = matrix(right.column(TRAIN_F), dim)
-        labels, valid = label_arrays(right.column("label"))
-        qi, ri, d = block_topk(q, x, r_ids, k, bound)
-        return neighbours_table(q_ids, r_ids, labels, qi, ri, d, k, valid)
+        tail = right.column(ROWS if ROWS in right.column_names else "label")
+        tr = train_block(right.column(TRAIN_ID), right.column(TRAIN_F), tail, dim)
+        return neighbours_table(q_ids, *winners(matrix(left.column(TEST_F), dim), tr, k, bound))
 
     return run
 
@@ -331,8 +442,16 @@ def block_stats(q_ids: np.ndarray, q: np.ndarray, r_ids: np.ndarray, r: np.ndarr
     step = max(1, min(m, CHUNK_CELLS // max(n, 1)))
     out, tmp = np.empty((step, n)), np.empty((step, n))
     mins, maxs, firsts, lasts, adm, fin = [], [], [], [], [], []
+    norms = filterable(q, r)
     for s in range(0, m, step):
         e = min(m, s + step)
+        if norms:
+            some = filtered_stats(q[s:e], norms[0][s:e], r_t, norms[1], lo, hi, bound, out[: e - s])
+            if some is not None:
+                for part, values in zip((mins, maxs, firsts, lasts, adm), some):
+                    part.append(values)
+                fin.append(np.full(e - s, n))
+                continue
         dist = distance_block(q[s:e], r_t, out[: e - s], tmp[: e - s])
         nan = np.isnan(dist)
         mins.append(np.where(nan.all(axis=1), np.nan, np.nanmin(np.where(nan, np.inf, dist), axis=1)))
@@ -356,6 +475,37 @@ def block_stats(q_ids: np.ndarray, q: np.ndarray, r_ids: np.ndarray, r: np.ndarr
     })
 
 
+def filtered_stats(q, qn, r_t, rn, lo: int, hi: int, bound: float, out: np.ndarray):
+    """Least, largest, first, last distance and the number below ``bound`` of every row, exact distances only where
+    the error bound leaves a doubt; None when it leaves it about too many pairs."""
+    near, err = near_squares(q, qn, r_t, rn, out)
+    err = err[:, None]
+    room = 1 + 16 * UNIT
+    low = near <= (near.min(axis=1, keepdims=True) + err) * room + err
+    high = near >= (near.max(axis=1, keepdims=True) - err) / room - err
+    if bound < 1e150:
+        edge = bound * bound if bound > 0 else -np.inf
+        sure = near < edge / room - err
+        doubt = ~sure & (near <= edge * room + err)
+    else:
+        sure, doubt = np.ones_like(low), np.zeros_like(low)
+    if sum(map(np.count_nonzero, (low, high, doubt))) > DENSE_SHARE * low.size:
+        return None
+    m = len(q)
+
+    def of(mask):
+        qi, ri = np.nonzero(mask)                    # every row has one at least, in order
+        return qi, pair_distances(q, r_t, qi, ri)
+    qi, d = of(low)
+    least = np.minimum.reduceat(d, np.searchsorted(qi, np.arange(m)))
+    qi, d = of(high)
+    most = np.maximum.reduceat(d, np.searchsorted(qi, np.arange(m)))
+    qi, d = of(doubt)
+    count = np.count_nonzero(sure, axis=1) + np.bincount(qi[d < bound], minlength=m)
+    each = np.arange(m)
+    return (least, most, pair_distances(q, r_t, each, np.full(m, lo)), pair_distances(q, r_t, each, np.full(m, hi)), count)
+
+
 def pair_stats(test: DataFrame, train: DataFrame, dim: int, test_blocks: int, train_blocks: int,
                max_distance: float | None = None, partitions: int | None = None) -> DataFrame:
     """``test_id, n, min_d, max_d, first_d, last_d, n_admissible, n_finite`` over all pairs of a row.

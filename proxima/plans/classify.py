@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from proxima.operators import candidates as C
 from proxima.operators import vectorized as V
+from proxima.operators.entries import GROUP_LIMIT, entries, entry_counts
 from proxima.operators.pivot import neighbours_pivot
 from proxima.operators.topk import check_k, top_k
 from proxima.operators.vote import check_vote, vote as vote_op
@@ -40,6 +41,9 @@ KERNELS = ("numpy", "sql")
 DEFAULT_BROADCAST_LIMIT = 128 << 20  # bytes of feature data a broadcast side may hold
 DEFAULT_BLOCK_BYTES = 64 << 20       # bytes of feature data per block of the block join
 ROW_OVERHEAD = 32                    # id, label and array header per row, in bytes
+MEMBER_BYTES = 24                    # id, label and place of a row that shares its vector with others
+REPEAT_DIM = 16                      # up to this width the count job also estimates the distinct vectors
+REPEAT_SHARE = 0.5                   # of the train rows: with fewer distinct vectors the search runs over entries
 
 
 @dataclass(frozen=True)
@@ -57,6 +61,7 @@ class Plan:
     spread_train: bool = False
     block_bytes: int = DEFAULT_BLOCK_BYTES
     cores: int = 1
+    member_bytes: int = 0     # of the rows that entries of equal vectors hold
 
     @property
     def test_spread(self) -> int | None:
@@ -81,7 +86,7 @@ class Plan:
 
     @property
     def train_bytes(self) -> int:
-        return side_bytes(self.train_rows, self.dim)
+        return side_bytes(self.train_rows, self.dim) + self.member_bytes
 
     @property
     def test_bytes(self) -> int:
@@ -125,25 +130,58 @@ def partial_rows(n_test: int, train_bytes: int, block: int, k: int) -> int:
     return max(1, math.ceil(train_bytes / block)) * n_test * k
 
 
-def count_sides(train: DataFrame, test: DataFrame) -> tuple[int, int]:
-    """Row counts of both sides in one job that reads only the ids.
+@dataclass(frozen=True)
+class Sides:
+    """Rows of both sides, and roughly how many distinct vectors the train side has (None: not asked)."""
+    train: int
+    test: int
+    vectors: int | None = None
+    member_bytes: int = 0
+
+
+def count_sides(train: DataFrame, test: DataFrame, unique_ids: bool = False, vectors: bool = False) -> Sides:
+    """Both sides counted in one job that reads only the ids (and with ``vectors`` the train vectors).
 
     An id that is NULL or repeated on its side raises, whatever shape follows: ids break distance
-    ties and key the vote, so the shapes would disagree about repeated ones.
+    ties and key the vote, so the shapes would disagree about repeated ones.  With ``unique_ids`` the caller
+    vouches for them (ordinals of ``read_vectors``), and no id is shuffled.
     """
-    def ids(df, side, col):
-        return df.groupBy(col).agg(F.count(F.lit(1)).alias("c")).agg(
-            F.lit(side).alias("side"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("d"))
-    rows = {r["side"]: r for r in ids(train, "train", C.TRAIN_ID).unionByName(ids(test, "test", C.TEST_ID)).collect()}
+    def ids(df, side, col, feat):
+        h = F.xxhash64(feat) if feat else F.lit(0).cast("bigint")
+        rows = df.select(F.col(col).alias("id"), h.alias("h"), F.lit(1).cast("bigint").alias("c"))
+        if not unique_ids:
+            rows = rows.groupBy("id").agg(F.sum("c").alias("c"), F.min("h").alias("h"))
+        distinct = F.approx_count_distinct("h", 0.02) if feat else F.lit(0).cast("bigint")
+        return rows.agg(F.lit(side).alias("side"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
+                        F.count("id").alias("d"), distinct.alias("v"))
+    both = ids(train, "train", C.TRAIN_ID, C.TRAIN_F if vectors else None).unionByName(ids(test, "test", C.TEST_ID, None))
+    rows = {r["side"]: r for r in both.collect()}
     for side, r in rows.items():
         if r["n"] != r["d"]:
             raise ValueError(f"{r['n'] - r['d']} {side} rows repeat a row id; row ids must be unique")
-    return int(rows["train"]["n"]), int(rows["test"]["n"])
+    return Sides(int(rows["train"]["n"]), int(rows["test"]["n"]), int(rows["train"]["v"]) if vectors else None)
+
+
+def planned(train: DataFrame, test: DataFrame, dim: int, k: int, strategy: str = "auto", kernel: str = "numpy",
+            broadcast_limit: int | None = None, block_bytes: int | None = None,
+            collapse: bool | None = None, unique_ids: bool = False) -> tuple[DataFrame, Plan]:
+    """The train side to search, and the plan.
+
+    ``collapse`` turns train rows of equal vectors into entries first (``operators/entries.py``); None does so where
+    the vectors are narrow and the estimate says that at least half of the rows repeat one.
+    """
+    ask = collapse is None and dim <= REPEAT_DIM and k <= GROUP_LIMIT
+    sides = count_sides(train, test, unique_ids, ask)
+    if collapse or (ask and sides.vectors <= REPEAT_SHARE * sides.train and sides.train):
+        train = entries(train, k)
+        n, rows = entry_counts(train)
+        sides = Sides(n, sides.test, n, rows * MEMBER_BYTES)
+    return train, choose_plan(train, test, dim, strategy, kernel, broadcast_limit, block_bytes, k, sides)
 
 
 def choose_plan(train: DataFrame, test: DataFrame, dim: int, strategy: str = "auto",
                 kernel: str = "numpy", broadcast_limit: int | None = None,
-                block_bytes: int | None = None, k: int | None = None) -> Plan:
+                block_bytes: int | None = None, k: int | None = None, sides: Sides | None = None) -> Plan:
     """Count both sides (prepared frames) and pick the plan shape and its partitioning.
 
     With ``k``, a test broadcast is only chosen while its partial output -- up to k rows per
@@ -160,8 +198,9 @@ def choose_plan(train: DataFrame, test: DataFrame, dim: int, strategy: str = "au
     block = _conf_int(spark, "proxima.blockBytes", DEFAULT_BLOCK_BYTES) if block_bytes is None else block_bytes
     if limit < 0 or block < 1:
         raise ValueError(f"broadcast_limit must be at least 0 and block_bytes at least 1, got {limit} and {block}")
-    n_train, n_test = count_sides(train, test)
-    b_train, b_test = side_bytes(n_train, dim), side_bytes(n_test, dim)
+    sides = sides or count_sides(train, test)
+    n_train, n_test = sides.train, sides.test
+    b_train, b_test = side_bytes(n_train, dim) + sides.member_bytes, side_bytes(n_test, dim)
     parallelism = spark.sparkContext.defaultParallelism
     if strategy == "auto":
         if limit and b_train <= limit:
@@ -184,7 +223,7 @@ def choose_plan(train: DataFrame, test: DataFrame, dim: int, strategy: str = "au
     spread_test = math.ceil(b_test / split) < 2 * parallelism
     spread_train = math.ceil(b_train / split) < 2 * parallelism
     plan = Plan(strategy, kernel, dim, n_train, n_test, partitions, 1, 1,
-                spread_test, spread_train, block, parallelism)
+                spread_test, spread_train, block, parallelism, sides.member_bytes)
     return block_grid(plan) if strategy == "block" else plan
 
 
@@ -247,7 +286,8 @@ def knn_neighbors(train: DataFrame, test: DataFrame, k: int, *, features: str =
                   test_features: str | None = None, dim: int | None = None,
                   strategy: str = "auto", kernel: str = "numpy",
                   max_distance: float | None = None, broadcast_limit: int | None = None,
-                  block_bytes: int | None = None) -> DataFrame:
+                  block_bytes: int | None = None, collapse: bool | None = None,
+                  unique_ids: bool = False) -> DataFrame:
     """The k nearest train rows of every test row, nearest first, ties to the lower train id.
 
     Returns ``test_id, rank, train_id, distance, label``; a test row without an admissible
@@ -255,7 +295,7 @@ def knn_neighbors(train: DataFrame, test: DataFrame, k: int, *, features: str =
     """
     check_k(k)
     tr, te, dim = _prepare(train, test, features, label, train_id, test_id, test_features, dim)
-    plan = choose_plan(tr, te, dim, strategy, kernel, broadcast_limit, block_bytes, k)
+    tr, plan = planned(tr, te, dim, k, strategy, kernel, broadcast_limit, block_bytes, collapse, unique_ids)
     return neighbours_for(tr, te, k, plan, max_distance)
 
 
@@ -264,7 +304,8 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int, *, features: str = "
                  test_features: str | None = None, dim: int | None = None,
                  strategy: str = "auto", kernel: str = "numpy",
                  vote: str = "nonzero_majority", max_distance: float | None = None,
-                 broadcast_limit: int | None = None, block_bytes: int | None = None) -> DataFrame:
+                 broadcast_limit: int | None = None, block_bytes: int | None = None,
+                 collapse: bool | None = None, unique_ids: bool = False) -> DataFrame:
     """``test_id, prediction`` for every test row (NULL when it has no admissible neighbour).
 
     ``vote='nonzero_majority'`` predicts 1 when non-zero labels are at least half (ties -> 1);
@@ -274,7 +315,7 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int, *, features: str = "
     check_k(k)
     check_vote(vote)
     tr, te, dim = _prepare(train, test, features, label, train_id, test_id, test_features, dim)
-    plan = choose_plan(tr, te, dim, strategy, kernel, broadcast_limit, block_bytes, k)
+    tr, plan = planned(tr, te, dim, k, strategy, kernel, broadcast_limit, block_bytes, collapse, unique_ids)
     return classify_for(tr, te, k, plan, vote, max_distance)
 
 

@@ -257,7 +257,7 @@ def q_text_to_text(spark, sf_dir):
     s = T.table(spark, sf_dir, "supplier").select(
         "s_suppkey", "s_nationkey", "s_acctbal", (F.col("s_suppkey") % 2).alias("label")).orderBy("s_suppkey")
     train = vectors(s, "train")
-    pred = knn_classify(train, train.drop("label"), K, dim=3, vote="nonzero_majority")
+    pred = knn_classify(train, train.drop("label"), K, dim=3, vote="nonzero_majority", unique_ids=True)
     root = write_predictions(pred, scratch_path(spark, "text-to-text"), "rows", params={"k": K, "dim": 3})
     return spark.read.text(root).select(F.col("value").alias("line"), "k", "dim")
 
@@ -286,7 +286,7 @@ def q_classify_documents_quality(spark, sf_dir):
 
 def q_classify_documents_toxic(spark, sf_dir):
     tr, te = _docs(spark, sf_dir, "toxic")
-    return knn_classify(tr, te, K, dim=3, vote="label_sum", strategy="pivot")
+    return knn_classify(tr, te, K, dim=3, vote="label_sum", strategy="pivot", collapse=True)
 
 
 def q_knn_documents(spark, sf_dir):

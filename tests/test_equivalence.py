@@ -108,12 +108,22 @@ def test_far_and_infinite_rows_do_not_widen_the_reach(spark):
     rng = np.random.default_rng(3)
     train = [(i, [float(x) for x in rng.normal(size=2) + 20 * (i % 8)], 1.0) for i in range(400)]
     test = [(i, [float(x) for x in rng.normal(size=2) + 20 * (i % 8)]) for i in range(200)]
-    pivots = np.array([train[i][1] for i in range(40)])
+    tree = PV.PivotTree.of(np.array([train[i][1] for i in range(40)]))
     near = np.array([t for _, t in test])
     xs = np.array([t for _, t, _ in train])
-    base = PV.sampled_share(near, xs, pivots, 3, 400, float("inf"))
+
+    def share(points):
+        part, d = tree.assign(points)
+        cell = part[part >= 0] * PV.RINGS + [sum(v > q for q in np.quantile(d[part == p], PV.RING_QUANTILES)) for p, v in zip(part, d) if p >= 0]
+        count = np.bincount(cell, minlength=len(tree.pivots) * PV.RINGS)
+        ends = np.full((2, len(count)), np.nan)
+        for c in np.unique(cell):
+            ends[:, c] = d[part >= 0][cell == c].min(), d[part >= 0][cell == c].max()
+        reach = PV.reach_of(*(e.reshape(-1, PV.RINGS).T for e in ends), tree.bounds(*tree.assign(xs), 3), float("inf"))
+        return PV.sampled_share(tree, xs, *reach, count)
+    base = share(near)
     far = np.vstack([near, [[1e6, 1e6]], [[np.inf, 0.0]]])
-    assert PV.sampled_share(far, xs, pivots, 3, 400, float("inf")) < base + 0.02
+    assert base < 0.3 and share(far) < base + 0.02
     test += [(1000, [1e6, 1e6]), (1001, [float("inf"), 0.0])]
     got = knn_neighbors(frame(spark, train), frame(spark, test, labelled=False), 3, strategy="pivot",
                         block_bytes=4096).collect()
