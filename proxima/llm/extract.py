@@ -6,7 +6,11 @@ page furniture (by tag, role, class or id) or inside an article element.  A smal
 (Gini splits) trained on the labelled blocks of ``SAMPLES`` says which blocks are main text.
 
 An article or main element clears what a wrapper's class or id, or a form around it, says about
-furniture.  An inline element that is furniture is a block of its own; the block around it stays one.
+furniture, and so does a wrapper or form that holds most of the page's words while next to none lie free
+elsewhere.  An inline element that is furniture is a block of its own; the block around it stays one.
+
+Tags are read in one pass over the page.  A quote counts only as the start of an attribute's value.  A tag that never
+ends by that rule ends at the next ``>``, and so do all after it; without any ``>`` the rest is text.
 
 Rules.  Scripts, styles, templates, drawings (svg), the document head and comments hold no blocks.  Character
 references are decoded once; white space inside a block becomes one space; blocks are trimmed and
@@ -25,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proxima.llm.layouts import LAYOUTS
+
 # ----------------------------------------------------------------- fixed values: HTML names
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript textarea title iframe noframes xmp svg".split())
@@ -43,20 +49,24 @@ FURNITURE_WORDS = frozenset((
     "newsletter notice notices notification pager pagination popup promo promotion reader-comments related "
     "replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar "
     "topbar widget").split())
-PLAIN_WORDS = frozenset("area bar block box container group inner item items link links list panel section slot unit wrap wrapper".split())
+PLAIN_WORDS = frozenset("area bar block box container form group inner item items link links list panel section slot unit widget widgets wrap wrapper".split())
+#: Furniture only as a whole token: page builders end the names of every wrapper with them.
+WHOLE_WORDS = frozenset("form notice widget".split())
 LAYOUT_WORDS = frozenset("has have is no not with without".split())
 #: Wrappers of these hold articles that are not the page's own: only a main element clears them.
 HOLDER_WORDS = frozenset((
     "ad ads advert adverts advertisement comment comments disqus promo promotion reader-comments related replies reply "
     "respond sidebar sponsor sponsored widget").split())
+DEPTH = 6                        # nested pieces of furniture that are told apart
 SOFT, HOLDER, FIRM = 1, 2, 3     # furniture that an article clears, that a main element clears, that stays
 MAIN_WORDS = frozenset("article articlebody content entry main post story".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_NAMED = re.compile(r"class|id|role|hidden", re.I)
+_TAG = re.compile(r"<(?:(/?)([A-Za-z][^\s/>]*)|(!--)|(!\[CDATA\[)|[!?])")
+#: The next attribute of a tag, or its end; a value in quotes, or up to white space.
+_ATTR = re.compile(r"[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:(?P<q>[\"'])|([^\s>]*)))?)")
+_SLASH = re.compile(r"/\s*>\Z")
+MOST = 0.5                       # share of a page's words that makes a wrapper the page itself
+FREE = 0.2                       # of the wrapper's words, that may lie outside of all furniture
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -65,44 +75,93 @@ def _named(token: str, in_main: bool) -> int:
     parts = [token] if token in FURNITURE_WORDS else _WORDS.findall(token)
     if not parts or not LAYOUT_WORDS.isdisjoint(parts):
         return 0
-    word = parts[-1] if parts[-1] in FURNITURE_WORDS else parts[0] if parts[-1] in PLAIN_WORDS else ""
+    last = parts[-1] if parts[-1] in FURNITURE_WORDS and (len(parts) == 1 or parts[-1] not in WHOLE_WORDS) else ""
+    word = last or (parts[0] if parts[-1] in PLAIN_WORDS and parts[0] not in WHOLE_WORDS else "")
     if word not in FURNITURE_WORDS or in_main and word == "header":     # an article may have a header of its own
         return 0
     return HOLDER if word in HOLDER_WORDS else SOFT
 
 
-def _kind(tag: str, attrs: str, in_main: bool) -> tuple[int, str]:
+def _kind(tag: str, attrs: dict[str, str], in_main: bool) -> tuple[int, str]:
     """Furniture (0, SOFT, HOLDER, FIRM) and main (``main``, ``article``, another or no word) for an
-    element by its tag and its class, id and role."""
+    element by its tag and its class, id, role and hidden attributes."""
     furniture = (SOFT if tag == "form" else FIRM) if tag in FURNITURE_TAGS or (tag == "header" and not in_main) else 0
     main = tag if tag in ("article", "main") else ""
     named = 0
-    if attrs and _NAMED.search(attrs):
-        for name, a, b, c in _ATTR.findall(attrs):
-            name, value = name.lower(), (a or b or c).lower()
-            if name == "hidden":
-                furniture = FIRM
-            elif name == "role":
-                if value in FURNITURE_ROLES:
-                    furniture = FIRM
-                elif value in ("main", "article"):
-                    main = value
-            elif tag not in ("body", "html", "article", "main"):
-                named = max([named, *(_named(t, in_main) for t in value.split())])
-                if not main and not MAIN_WORDS.isdisjoint(_WORDS.findall(value)):
-                    main = "named"
+    if "hidden" in attrs:
+        furniture = FIRM
+    role = attrs.get("role", "").strip()
+    if role in FURNITURE_ROLES:
+        furniture = FIRM
+    elif role in ("main", "article"):
+        main = role
+    if tag not in ("body", "html", "article", "main"):
+        for value in (attrs.get("class", ""), attrs.get("id", "")):
+            named = max([named, *(_named(t, in_main) for t in value.split())])
+            if not main and not MAIN_WORDS.isdisjoint(_WORDS.findall(value)):
+                main = "named"
     if main not in ("article", "main"):             # these are not furniture by class or id
         furniture = max(furniture, named)
     return furniture, "" if furniture else main
 
 
+class _Tags:
+    """The tags of a page, in one pass."""
+
+    def __init__(self, page: str):
+        self.page, self.broken = page, False
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+
+    def next(self, pos: int):
+        """``(start, end, tag, closing, attributes)`` of the next piece of markup from ``pos``; None at the end of the
+        markup.  The tag is None for comments and the like."""
+        page, n = self.page, len(self.page)
+        m = _TAG.search(page, pos)
+        if not m:
+            return None
+        start = m.start()
+        if m[3] or m[4]:
+            end = page.find("-->" if m[3] else "]]>", m.end() - (2 if m[3] else 0))
+            return start, n if end < 0 else end + 3, None, False, {}
+        if m[2] is None:
+            end = page.find(">", m.end())
+            return start, n if end < 0 else end + 1, None, False, {}
+        if start > self.last[">"]:
+            return None                             # it never ends, and nor does any after it
+        end, attrs = (None, {}) if self.broken else self.attributes(m.end())
+        if end is None:
+            self.broken = True
+            end, attrs = page.find(">", m.end()) + 1, {}
+        if _SLASH.search(page, max(m.end(), end - 80), end):
+            attrs["/"] = ""
+        return start, end, m[2].lower(), bool(m[1]), attrs
+
+    def attributes(self, pos: int) -> tuple[int | None, dict[str, str]]:
+        """The end of a tag whose name ends at ``pos``, None if it never ends; and its attributes, the first of each name."""
+        page, attrs = self.page, {}
+        while m := _ATTR.match(page, pos):
+            if m[1]:
+                return m.end(), attrs
+            pos, value = m.end(), m[4] or ""
+            if m["q"]:
+                end = page.find(m["q"], pos) if pos <= self.last[m["q"]] else -1
+                if end < 0:
+                    break
+                value, pos = page[pos:end], end + 1
+            attrs.setdefault(m[2].lower(), html.unescape(value).lower() if value else "")
+        return None, attrs
+
+
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     """``(text, words, words in links, furniture, main)`` of every non-empty flat block."""
-    out: list[tuple[str, int, int, bool, bool]] = []
+    out: list[tuple[str, int, int, tuple, bool]] = []
     parts: list[str] = []
-    # tag, furniture, main: of the element and all around it; what an inline piece of furniture interrupts
-    stack: list[tuple[str, int, bool, tuple | None]] = []
-    linked = links = 0
+    # tag, furniture marks (element, level) and main: of the element and all around it; what an inline piece of
+    # furniture interrupts
+    stack: list[tuple[str, tuple, bool, tuple | None]] = []
+    open_tags: dict[str, int] = {}                  # how many of each are open
+    open_blocks: list[int] = []                     # places of block elements in the stack
+    linked = links = element = 0
     place: int | None = None                       # of the interrupted block among the blocks
 
     def flush():
@@ -110,8 +169,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                furniture, main = stack[-1][1:3] if stack else (0, False)
-                out.insert(len(out) if place is None else place, (text, text.count(" ") + 1, linked, furniture > 0, main))
+                marks, main = stack[-1][1:3] if stack else ((), False)
+                out.insert(len(out) if place is None else place, (text, text.count(" ") + 1, linked, marks, main))
             parts, linked = [], 0
         place = None
 
@@ -122,37 +181,39 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             if held or tag in BLOCK:
                 flush()
             stack.pop()
+            open_tags[tag] -= 1
+            if tag in BLOCK:
+                open_blocks.pop()
             links -= tag == "a"
             if held:
                 parts, linked, place = held
                 if parts:
                     parts.append(" ")
 
-    pos, n = 0, len(page)
+    pos, n, tags = 0, len(page), _Tags(page)
     while pos < n:
-        m = _TOKEN.search(page, pos)
-        end = m.start() if m else n
+        found = tags.next(pos)
+        end = found[0] if found else n
         if end > pos:
             t = html.unescape(page[pos:end])
             parts.append(t)
             if links:
                 linked += len(t.split())
-        if not m:
+        if not found:
             break
-        pos = m.end()
-        if m[2] is None:
+        _, pos, tag, closing, attrs = found
+        if tag is None:
             continue
-        tag, attrs = m[2].lower(), m[3]
-        if m[1]:
+        if closing:
             if tag in BLOCK:
                 flush()
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None:
-                if any(x[0] in BLOCK for x in stack[at:]):
+            if open_tags.get(tag):
+                at = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
+                if open_blocks and open_blocks[-1] >= at:
                     flush()
                 close(at)
             continue
-        if tag in ("svg", "math") and attrs.endswith("/"):
+        if tag in ("svg", "math") and "/" in attrs:
             continue
         if tag in RAW:
             m = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
@@ -162,37 +223,58 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                 parts.append(t)
                 linked = len(t.split()) if links else 0
                 flush()
-            pos = m.end() if m else (pos if attrs.endswith("/") and tag != "xmp" else n)
+            pos = m.end() if m else (pos if "/" in attrs and tag != "xmp" else n)
             continue
         if tag == "br":
             parts.append(" ")
             continue
         if tag in BLOCK:
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                open_tag = stack[i][0]
-                if open_tag == "p" or open_tag == tag and tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-                    close(i)
-                    break
-                if open_tag in BLOCK:
-                    break
+            inner = stack[open_blocks[-1]][0] if open_blocks else ""
+            if inner == "p" or inner == tag and tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
+                close(open_blocks[-1])
         if tag in VOID:
             continue
-        furniture, main = stack[-1][1:3] if stack else (0, False)
+        marks, main = stack[-1][1:3] if stack else ((), False)
         f, a = _kind(tag, attrs, main)
-        if a == "main" and furniture in (SOFT, HOLDER) or a == "article" and furniture == SOFT:
-            furniture = 0                           # the wrapper was not furniture after all
+        if a in ("main", "article"):                # a wrapper was not furniture after all
+            clears = HOLDER if a == "main" else SOFT
+            if all(level <= clears for _, level in marks):
+                marks = ()
         held = None
-        if f and not furniture and tag not in BLOCK:
+        if f and not marks and tag not in BLOCK:
             # an inline element that is furniture is a block of its own, and the block around it goes on after it
             held = (parts, linked, len(out) if place is None and "".join(parts).strip() else place)
             parts, linked, place = [], 0, None
-        stack.append((tag, max(furniture, f), main or bool(a), held))
+        element += 1
+        if tag in BLOCK:
+            open_blocks.append(len(stack))
+        stack.append((tag, (*marks, (element, f)) if f and len(marks) < DEPTH else marks, main or bool(a), held))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
         links += tag == "a"
     flush()
     close(0)
     flush()
-    return out
+    cleared = _pages_themselves(out)
+    return [(text, w, k, any(e not in cleared for e, _ in marks), main) for text, w, k, marks, main in out]
+
+
+def _pages_themselves(found: list[tuple[str, int, int, tuple, bool]]) -> set[int]:
+    """Furniture by form, class or id that holds most words of the page while next to none lie free elsewhere."""
+    cleared: set[int] = set()
+    total = sum(b[1] for b in found)
+    for _ in range(DEPTH):
+        held, free = {}, 0
+        for _, w, _, marks, _ in found:
+            marks = [m for m in marks if m[0] not in cleared]
+            free += w if not marks else 0
+            if marks:
+                held[marks[0]] = held.get(marks[0], 0) + w
+        big = [e for (e, level), w in held.items() if level == SOFT and w > MOST * total and free <= FREE * w]
+        if not big:
+            break
+        cleared.update(big)
+    return cleared
 
 
 def features(found: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
@@ -240,9 +322,9 @@ SAMPLES = [
 ]
 
 
-def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
-    """The training table: features and label of every block of ``SAMPLES``."""
-    found = [blocks(s) for s in SAMPLES]
+def labelled_blocks(pages: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The training table: features and label of every block of ``SAMPLES`` and every other page of ``LAYOUTS``."""
+    found = [blocks(s) for s in (SAMPLES + LAYOUTS[::2] if pages is None else pages)]
     return (np.concatenate([features(f) for f in found]),
             np.array(["✓" in b[0] for f in found for b in f], float))
 

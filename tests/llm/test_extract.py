@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import html
 import re
+import time
+
+import numpy as np
+import pytest
 
 from proxima.llm import extract as X
 
@@ -81,3 +85,74 @@ def test_drawings_formulas_and_plain_text():
     page = f"<article><p>{PARA} <svg width='1'/> one</p><p>{PARA} <math/> two</p><svg><text>no</text></svg><p>{PARA} <math><mi>x</mi></math></p></article>"
     assert text(page) == f"{PARA} one\n{PARA} two\n{PARA} x"
     assert text(f"<article><p>{PARA}</p><xmp>a &lt; <b>c</b></xmp><object data=x><p>{PARA}</p></object></article>") == f"{PARA}\na &lt; <b>c</b>\n{PARA}"
+
+
+_FLOOD = "the river rose after two days of rain and the bridge was closed to all traffic until friday"
+_ARTICLE = f"<article><h1>the flood</h1><p>{_FLOOD}</p><p>so it was.</p></article>"
+_BODY = f"<h1>the flood</h1><p>{_FLOOD}</p><p>{_FLOOD} and after it most shops opened again</p>"
+
+
+@pytest.mark.parametrize("wrap", [
+    '<div style="overflow:hidden">{}</div>', '<div aria-hidden="false">{}</div>', '<div data-role="dialog">{}</div>',
+    "<div title='the hidden town'>{}</div>", "<div data-class=sidebar data-x='id=footer'>{}</div>", "<form action=/x>{}</form>",
+    "<div class='page form-wrapper'>{}</div>", "<div class='elementor-widget'>{}</div>"])
+def test_wrappers_do_not_hide_the_article(wrap):
+    page = "<nav><a href=/>home</a></nav>" + wrap.format(_ARTICLE) + "<footer>bye now</footer>"
+    assert X.main_text(page, TREE) == f"the flood\n{_FLOOD}\nso it was."
+
+
+@pytest.mark.parametrize("wrap", [
+    "<form id=aspnetForm>{}</form>", "<form><div class=form-body>{}</div></form>", "<div class=site-form>{}</div>",
+    "<div class='elementor-widget elementor-widget-text-editor'><div class=elementor-widget-container>{}</div></div>"])
+def test_a_wrapper_of_the_whole_page_is_the_page(wrap):
+    page = "<nav><a href=/>home</a></nav>" + wrap.format(_BODY) + "<footer>bye now</footer>"
+    assert X.main_text(page, TREE).split("\n")[1] == _FLOOD and "home" not in X.main_text(page, TREE)
+
+
+def test_a_form_beside_the_text_stays_furniture():
+    page = f"<div>{_BODY}</div><form><p>{_FLOOD} please tell us your name</p></form><div hidden><p>{_FLOOD} unseen</p></div>"
+    assert "your name" not in X.main_text(page, TREE) and "unseen" not in X.main_text(page, TREE)
+    comments = f"<p>{_FLOOD}</p><div class=comments>" + f"<p>{_FLOOD} said one</p>" * 9 + "</div>"
+    assert "said one" not in X.main_text(comments, TREE)
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', '<a x="', '<a x="><a " ', "<a x='>", "<!-- ", "<![CDATA[", "<p", "</p", "<div>",
+                                   '<a href=">" ', "<b>", "<b><hr>", "</i>", "<li>", "<svg>", "&", "<textarea"])
+def test_broken_pages_take_linear_time(piece):
+    """A mebibyte of tags that never end."""
+    page = piece * ((1 << 20) // len(piece))
+    start = time.perf_counter()
+    X.main_text(page, TREE)
+    assert time.perf_counter() - start < 8          # under a second on a quiet machine; quadratic time is minutes
+
+
+def test_attributes():
+    tags = X._Tags('<P CLASS="a&amp;B" id = x hidden data-role=\'main\' id=y a"b=1/>t<br/><a href=/x/>')
+    assert tags.next(0)[2:] == ("p", False, {"class": "a&b", "id": "x", "hidden": "", "data-role": "main", 'a"b': "1/"} | {"/": ""})
+    start, end, tag, _, attrs = tags.next(tags.next(0)[1])
+    assert (tag, attrs) == ("br", {"/": ""})
+
+
+def quality(tree, pages, blank):
+    right = kept = main = 0
+    for page in pages:
+        found = X.blocks(page)
+        x = X.features(found)
+        if blank:
+            x[:, 6:] = 0
+        keep = X.predict(tree, x) >= 0.5
+        truth = np.array(["✓" in b[0] for b in found])
+        right, kept, main = right + (keep & truth).sum(), kept + keep.sum(), main + truth.sum()
+    return right / kept, right / main
+
+
+def test_held_out_layouts():
+    """Precision and recall of blocks on layouts that were not trained on, with all features and with those of words and
+    link density alone."""
+    held = X.LAYOUTS[1::2]
+    precision, recall = quality(TREE, held, False)
+    assert precision >= 0.95 and recall >= 0.95
+    x, y = X.labelled_blocks()
+    x[:, 6:] = 0
+    precision, recall = quality(X.fit_tree(x, y), held, True)
+    assert precision >= 0.85 and recall >= 0.9
