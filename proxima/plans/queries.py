@@ -28,6 +28,7 @@ from proxima.operators.topk import neighbor_list
 from proxima.operators.vote import vote as vote_op
 from proxima.plans.classify import (choose_plan, classify_for, knn_classify, knn_neighbors,
                                     neighbours_for, pair_stats_for)
+from proxima.plans.programs import classify_files
 from proxima.operators import candidates as C
 from proxima.session import scratch_path
 from proxima.sources import tables as T
@@ -262,6 +263,40 @@ def q_text_to_text(spark, sf_dir):
     return spark.read.text(root).select(F.col("value").alias("line"), "k", "dim")
 
 
+def _program(spark, sf_dir, name, loose):
+    """A program on two files: all suppliers are train rows, all customers test rows; ``loose`` names the side
+    whose file has tabs, runs of blanks and blanks at both ends."""
+    def written(side, table, key, *cols):
+        rows = T.table(spark, sf_dir, table).select(*cols, (F.col(key) % 2).alias("label")).orderBy(key)
+        lines = vector_lines(rows, [*cols, "label"])
+        if side == loose:
+            lines = lines.select(F.concat(F.lit(" \t"), F.replace("value", F.lit(" "), F.lit("\t  ")), F.lit("  ")).alias("value"))
+        path = scratch_path(spark, f"program-{side}")
+        lines.write.text(path)
+        return path
+    train = written("train", "supplier", "s_suppkey", "s_suppkey", "s_nationkey", "s_acctbal")
+    test = written("test", "customer", "c_custkey", "c_custkey", "c_nationkey", "c_acctbal")
+    table = {"train": "supplier", "test": "customer"}.get(loose)
+    root = classify_files(spark, name, train, test, scratch_path(spark, name), dim=4, k=K_VOTE,
+                          rows=T.table(spark, sf_dir, table).count() if table else None)
+    return spark.read.text(root).select(F.col("value").alias("line"), "k", "dim")
+
+
+def q_program_train_broadcast(spark, sf_dir):
+    """Test read strictly, train by the matrix reader with its declared rows, label sums, ``(label,row)`` lines."""
+    return _program(spark, sf_dir, "train_broadcast", "train")
+
+
+def q_program_test_broadcast(spark, sf_dir):
+    """Train read strictly, test by the matrix reader with its declared rows, majorities, ``row label`` lines."""
+    return _program(spark, sf_dir, "test_broadcast", "test")
+
+
+def q_program_neither_broadcast(spark, sf_dir):
+    """Both files read strictly, the pivot join, majorities, ``row label`` lines."""
+    return _program(spark, sf_dir, "neither_broadcast", None)
+
+
 def q_sink_refuses_overwrite(spark, sf_dir):
     """SNK-3: parameters name the output; a second write to it is refused and changes nothing."""
     pred = _emb_classify(spark, sf_dir, K, "nonzero_majority", "auto", "numpy")
@@ -331,6 +366,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prediction_sink_pairs": q_prediction_sink_pairs,
     "prediction_sink_rows": q_prediction_sink_rows,
     "sink_refuses_overwrite": q_sink_refuses_overwrite,
+    "program_train_broadcast": q_program_train_broadcast,
+    "program_test_broadcast": q_program_test_broadcast,
+    "program_neither_broadcast": q_program_neither_broadcast,
     "text_to_text": q_text_to_text,
     "stage_counts": q_stage_counts,
     "classify_documents_quality": q_classify_documents_quality,
@@ -363,6 +401,17 @@ def _vote_sql(k: int, rule: str) -> str:
             f"WHERE rank <= {k} GROUP BY test_id")
 
 
+def _program_sql(rule: str, line: str) -> str:
+    def side(name, table, key, *cols):
+        values = ", ".join(f"CAST({c} AS DOUBLE)" for c in cols)
+        return (f"{name} AS (SELECT CAST(row_number() OVER (ORDER BY {key}) - 1 AS BIGINT) AS row_id, [{values}] AS f, "
+                f"CAST({key} % 2 AS DOUBLE) AS label, 0.0 AS raw_label FROM {table})")
+    return (f"WITH {side('r', 'supplier', 's_suppkey', 's_suppkey', 's_nationkey', 's_acctbal')}, "
+            f"{side('t', 'customer', 'c_custkey', 'c_custkey', 'c_nationkey', 'c_acctbal')}, "
+            f"{_PAIRS.replace('FROM e t, e r', 'FROM t, r')}, {_RANKED}, v AS (SELECT test_id, {rule} AS prediction FROM ranked "
+            f"WHERE rank <= {K_VOTE} GROUP BY test_id) SELECT {line} AS line, CAST({K_VOTE} AS INTEGER) AS k, CAST(4 AS INTEGER) AS dim FROM v")
+
+
 _SUPPLIER_LONG = (
     "WITH s AS (SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS BIGINT) AS row_id, "
     "CAST(s_suppkey AS DOUBLE) AS a, CAST(s_nationkey AS DOUBLE) AS b, CAST(s_acctbal AS DOUBLE) AS c "
@@ -450,6 +499,9 @@ ORACLE_SQL: dict[str, str] = {
         f"{_PAIRS}, {_RANKED}, v AS (SELECT test_id, {_NONZERO} AS prediction FROM ranked "
         f"WHERE rank <= {K} GROUP BY test_id) SELECT CAST(test_id AS VARCHAR) || ' ' || "
         f"CAST(prediction AS VARCHAR) AS line, CAST({K} AS INTEGER) AS k, CAST(3 AS INTEGER) AS dim FROM v"),
+    "program_train_broadcast": _program_sql(_LABEL_SUM, "'(' || CAST(prediction AS VARCHAR) || ',' || CAST(test_id AS VARCHAR) || ')'"),
+    "program_test_broadcast": _program_sql(_NONZERO, "CAST(test_id AS VARCHAR) || ' ' || CAST(prediction AS VARCHAR)"),
+    "program_neither_broadcast": _program_sql(_NONZERO, "CAST(test_id AS VARCHAR) || ' ' || CAST(prediction AS VARCHAR)"),
     "stage_counts": (
         f"{_EMB_KNN} SELECT 'train' AS stage, CAST(count(*) AS BIGINT) AS rows FROM e "
         "UNION ALL SELECT 'test', CAST(count(*) AS BIGINT) FROM e "

@@ -15,7 +15,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["embeddings", "documents", "labels", "supplier", "pages", "benchmark"]
+TABLES = ["embeddings", "documents", "labels", "supplier", "customer", "pages", "benchmark"]
 
 
 def test_entry_runs(spark):
