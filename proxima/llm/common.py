@@ -7,6 +7,8 @@ never cut, so a block grows to the longest single text at most.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -22,10 +24,19 @@ from proxima.session import delete_path, on_release, scratch_path
 U64 = np.uint64
 BLOCK_BYTES = 1 << 19
 BROADCAST_ROWS = 1_000_000      # of a key and a few numbers each
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 # ----------------------------------------------------------------- tables and sizes
+def small_batches(spark: SparkSession) -> None:
+    """Cuts the session's Arrow batches to ``BATCH_BYTES`` where it has Spark's default of 64 MiB, which each running task
+    would hold up to four times: in the JVM and in its Python worker, coming and going.  No result depends on it."""
+    if spark.conf.get(BATCH_CONF, None) in (f"{64 << 20}b", f"{64 << 20}"):
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -81,6 +92,8 @@ def process_cache(key, build: Callable, owner: str | None = None):
         if held:
             held.clear()
             pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):      # give freed memory back, where the C library can
+                ctypes.CDLL(None).malloc_trim(0)
         store["owner"] = owner
     kept = store.setdefault("shared" if owner is None else "held", {})
     if key not in kept:

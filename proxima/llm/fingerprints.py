@@ -246,22 +246,29 @@ def _range_of(bounds: list[int]):
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness; see the module's rules."""
     spark = docs.sparkSession
-    ranges = min(MAX_RANGES, max(8, counted_bytes(docs, text_col) // RANGE_BYTES))
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    ranges, null_ranges = (min(MAX_RANGES, max(least, counted_bytes(rows, "text") // RANGE_BYTES))
+                           for least, rows in ((8, docs), (1, docs.where("id is null"))))
+    docs = docs.withColumn("h", F.xxhash64("text"))
     # descending order: range 0 holds the largest ids, nulls come last; at most one row per range
     # (a bound, a first id) reaches the driver
     cuts = [i / ranges for i in range(1, ranges)]
     bounds = [int(x) for x in sorted(set(docs.where("id is not null").approxQuantile("id", cuts, 0.2 / ranges)))]
-    at = F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(len(bounds) - _range_of(bounds))
-    keyed = docs.select(at.cast("int").alias("range"), "id", "text")
-    firsts = sorted((r["range"], r["first"]) for r in keyed.groupBy("range").agg(F.max("id").alias("first")).collect())
-    before = {r: firsts[i - 1][0] for i, (r, _) in enumerate(firsts)}   # the very first row closes the last range
-    heads = spark.createDataFrame([(r, f, before[r]) for r, f in firsts], "range int, first bigint, before int")
+    # rows without an id stand in order of the hash of their text, and are cut by it
+    by_hash = F.floor((F.col("h") / float(1 << 63) + 1) / 2 * null_ranges)
+    by_hash = F.least(F.lit(null_ranges - 1), by_hash) + (len(bounds) + 1)
+    at = F.when(F.col("id").isNull(), by_hash).otherwise(len(bounds) - _range_of(bounds))
+    keyed = docs.select(at.cast("int").alias("range"), "id", "h", "text")
+    # the first row of a range: the largest id, and of its rows the least hash
+    first = F.max(F.struct("id", F.bitwise_not("h").alias("h")))
+    firsts = sorted((r["range"], r["first"]["id"], ~r["first"]["h"]) for r in keyed.groupBy("range").agg(first.alias("first")).collect())
+    heads = spark.createDataFrame([(r, i, h, firsts[k - 1][0]) for k, (r, i, h) in enumerate(firsts)],   # the very first closes the last range
+                                  "range int, first bigint, first_h bigint, before int")
     own = F.struct(F.col("range").alias("r"), F.lit(0).alias("look"))
     ahead = F.struct(F.col("before").alias("r"), F.lit(1).alias("look"))
     moved = (keyed.join(F.broadcast(heads), "range")
-             .select(F.explode(F.when(F.col("id").eqNullSafe(F.col("first")), F.array(own, ahead)).otherwise(F.array(own))).alias("x"),
-                     "id", "text"))
-    return (moved.select("x.r", "id", "text", "x.look").repartitionById(ranges + 1, "r")
-            .sortWithinPartitions("r", "look", F.col("id").desc_nulls_last(), F.xxhash64("text"), "text")
+             .select(F.explode(F.when(F.col("id").eqNullSafe(F.col("first")) & (F.col("h") == F.col("first_h")), F.array(own, ahead)).otherwise(F.array(own))).alias("x"),
+                     "id", "h", "text"))
+    return (moved.select("x.r", "id", "text", "x.look", "h").repartitionById(len(bounds) + 1 + null_ranges, "r")
+            .sortWithinPartitions("r", "look", F.col("id").desc_nulls_last(), "h", "text").drop("h")
             .mapInArrow(_walk_ranges, _PAIR_SCHEMA))

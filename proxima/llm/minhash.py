@@ -271,13 +271,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
             c("id").alias("comp"), c("component_id").alias("one")), "joined-components")
         whole = joined_if_small(whole, joined, "comp", "left").select("h1", "h2", "rep", F.coalesce("one", "comp").alias("comp"))
         again = joined_if_small(again, joined, "comp", "left").select("doc_id", F.coalesce("one", "comp").alias("comp")).distinct()
-    least = whole.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    # most components are named by their least doc_id already
+    least = written(whole.groupBy("comp").agg(F.min("rep").alias("least")).where("least <> comp"), "least")
 
-    by_class = whole.join(least, "comp").select("h1", "h2", "component_id")
+    def named(rows):
+        return joined_if_small(rows, least, "comp", "left").withColumn("component_id", F.coalesce("least", "comp"))
+    by_class = named(whole).select("h1", "h2", "component_id")
     out = sig.select("doc_id", "n_shingles", "h1", "h2").join(
         by_class, (sig["h1"] == by_class["h1"]) & (sig["h2"] == by_class["h2"]) & (sig["n_shingles"] > 0), "left")
     if n_repeated:                                      # a row without shingles follows the others of its doc_id
-        by_id = written(again.join(least, "comp").select("doc_id", c("component_id").alias("of_id")), "repeated-components")
+        by_id = written(named(again).select("doc_id", c("component_id").alias("of_id")), "repeated-components")
         out = joined_if_small(out, by_id, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "of_id"))
     out = out.select("doc_id", "n_shingles", F.when(c("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.select("doc_id", "n_shingles", "component_id",

@@ -13,7 +13,7 @@ they need.
 Rules.  Null and empty texts have length 0 and are packed with the shortest.  A text longer than the
 budget is a batch of its own without padding (bucket = the number of buckets).  Rows with equal
 length and id are interchangeable.  Null ids come last within a length.  An empty table gives no rows;
-other columns are kept.
+other columns are kept, but for input columns of the names that ``pack`` makes, which its own replace.
 
 ``pack_tokens`` measures texts in tokens of a tokenizer file, and so do the query and the pipeline;
 ``pack`` takes any ``length`` and counts words without one.

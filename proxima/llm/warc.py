@@ -12,7 +12,7 @@ every response is checked against its payload.
 Index.  Each file's captures are sorted locally by (URL key, time, page_id): a run.  Runs are cut at
 range bounds; the pieces of a range are merged by a loser tree, giving captures in global order
 (``range``, then ``seq`` from 0 inside it).  A hot URL is cut by time and page_id like any other
-place of the order, and a range holds about RANGE_ROWS captures.
+place of the order, and a range holds about RANGE_ROWS captures (more beyond three billion).
 
 Rules.  A null html is an empty payload, a null url an empty one.  Rows that repeat a page_id and payload
 are the same kind of record; null page_ids are written as such and are revisits only if their payload has a
@@ -39,6 +39,7 @@ RECORDS_PER_FILE = 20_000
 RUN_ROWS = 50_000
 RANGE_ROWS = 100_000
 SAMPLES_PER_RANGE = 64           # bounds only balance the ranges; they change no result
+MAX_SAMPLES = 1 << 17            # keys that reach the driver; with more captures the ranges grow
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)   # pages carry no time: page_id seconds after this
 
 _FIELDS = ["url_key", "captured", "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to",
@@ -285,8 +286,8 @@ def merged_index(captures: DataFrame) -> DataFrame:
     """Captures in global order: ``range, seq`` and the capture's fields."""
     captures = written(captures, "captures")
     n = captures.count()
-    ranges = max(1, n // RANGE_ROWS)
-    share = max(1, n // (ranges * SAMPLES_PER_RANGE))
+    ranges = min(MAX_SAMPLES // 4, max(1, n // RANGE_ROWS))
+    share = max(1, n // min(MAX_SAMPLES, ranges * SAMPLES_PER_RANGE))
     bounds = []
     if ranges > 1:
         keys = captures.where(F.pmod(F.xxhash64("archive", "offset"), F.lit(share)) == 0).select("url_key", "captured", "page_id")
