@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxima.llm.common import joined_if_small, table, written
+from proxima.llm.common import joined_if_small, small_batches, table, written
 from proxima.llm.langid import known_language
 from proxima.llm.minhash import near_duplicates
 from proxima.llm.packing import pack_tokens
@@ -23,6 +23,7 @@ SIMILARITY_PERCENT = 80
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without any letter (``und``) and those too unlike every labelled language; a null language becomes the predicted one.  Without profiles, texts with letters stay."""
+    small_batches(spark)
     names = ("_language", "_score", "_likeness")
     while any(c in names for c in docs.columns):
         names = tuple(f"_{n}" for n in names)
@@ -34,6 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: the one with the smallest doc_id, once; of rows that
     repeat it, the one whose text sorts first, empty texts last.  Documents without a doc_id stay."""
+    small_batches(spark)
     found = written(near_duplicates(docs, SHINGLE_WORDS, SIMILARITY_PERCENT), "near-duplicates")
     dropped = written(found.where(~F.col("kept")).select("doc_id").distinct(), "dropped")
     once = joined_if_small(docs, dropped, "doc_id", "left_anti")
@@ -50,6 +52,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated passages of 50 words or more; a changed text is its kept words joined by one
     space.  A document left without words goes."""
+    small_batches(spark)
     out = remove_repeats(docs).where("n_words = 0 or n_removed < n_words")
     changed = F.col("kept").isNotNull()
     new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast(dict(docs.dtypes).get("n_chars", "bigint"))}
@@ -59,6 +62,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Length bucket and batch of every document that is left, by its tokens."""
+    small_batches(spark)
     return pack_tokens(docs)
 
 
