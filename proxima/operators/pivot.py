@@ -185,17 +185,32 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 # ----------------------------------------------------------------- Spark
-def assign_test(test: DataFrame, tree_bc, dim: int) -> DataFrame:
-    """``test_id, test_features, part, dq``: the part and the distance to its pivot."""
+def assign_rows(rows: DataFrame, id_col: str, feat_col: str, tree_bc, dim: int) -> DataFrame:
+    """``id, features, part, dq``: the part and the distance to its pivot."""
     def run(batches):
         tree = tree_bc.value
         for batch in batches:
             part, dq = tree.assign(matrix(batch.column(1), dim))
-            yield pa.record_batch({TEST_ID: batch.column(0), TEST_F: batch.column(1),
+            yield pa.record_batch({id_col: batch.column(0), feat_col: batch.column(1),
                                    "part": pa.array(part, pa.int32()), "dq": pa.array(dq, pa.float64())})
 
-    return test.select(TEST_ID, TEST_F).mapInArrow(
-        run, f"{TEST_ID} bigint, {TEST_F} array<double>, part int, dq double")
+    return rows.select(id_col, feat_col).mapInArrow(
+        run, f"{id_col} bigint, {feat_col} array<double>, part int, dq double")
+
+
+def in_rings(assigned: DataFrame, n_piv: int) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """``assigned`` with the ``cell`` (part and ring) of each row; and per cell the rows, and their least and largest
+    distance to the pivot (NaN where there are none)."""
+    # one row per part (its ring bounds), joined back to cut the rings
+    quantiles = assigned.groupBy("part").agg(F.percentile_approx("dq", list(RING_QUANTILES), 10_000).alias("q"))
+    ringed = (assigned.join(F.broadcast(quantiles), "part")  # at most P rows
+              .withColumn("cell", (F.col("part") * RINGS + F.size(F.filter("q", lambda b: b < F.col("dq")))).cast("int")))
+    stats = ringed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("dq").alias("lo"), F.max("dq").alias("hi")).toArrow()
+    count, near, far = np.zeros(n_piv * RINGS, np.int64), np.full(n_piv * RINGS, np.nan), np.full(n_piv * RINGS, np.nan)
+    at = stats.column("cell").to_numpy()
+    for into, name in ((count, "n"), (near, "lo"), (far, "hi")):
+        into[at] = stats.column(name).to_numpy()
+    return ringed, count, near, far
 
 
 def nearest_of_parts(train: DataFrame, tree_bc, dim: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -287,18 +302,8 @@ def neighbours_pivot(test: DataFrame, train: DataFrame, k: int, dim: int, n_trai
     n_piv = len(tree.pivots)
     tree_bc = send(spark, tree)
 
-    # one row per part (its ring bounds), joined back to cut the rings
-    assigned = written(assign_test(test, tree_bc, dim), "pivot-test").where("part >= 0")
-    quantiles = assigned.groupBy("part").agg(F.percentile_approx("dq", list(RING_QUANTILES), 10_000).alias("q"))
-    ringed = (assigned.join(F.broadcast(quantiles), "part")  # at most P rows
-              .withColumn("cell", (F.col("part") * RINGS + F.size(F.filter("q", lambda b: b < F.col("dq")))).cast("int")))
-    stats = ringed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("dq").alias("lo"), F.max("dq").alias("hi")).toArrow()
+    ringed, count, near, far = in_rings(written(assign_rows(test, TEST_ID, TEST_F, tree_bc, dim), "pivot-test").where("part >= 0"), n_piv)
     cells = n_piv * RINGS
-    count, near, far = np.zeros(cells, np.int64), np.full(cells, np.nan), np.full(cells, np.nan)
-    at = stats.column("cell").to_numpy()
-    for into, name in ((count, "n"), (near, "lo"), (far, "hi")):
-        into[at] = stats.column(name).to_numpy()
-
     bound = tree.bounds(*nearest_of_parts(train, tree_bc, dim, k), k)
     by_ring = [v.reshape(-1, RINGS).T for v in (near, far)]
     lo, hi = reach_of(*by_ring, bound, limit)
@@ -311,24 +316,31 @@ def neighbours_pivot(test: DataFrame, train: DataFrame, k: int, dim: int, n_trai
     arrived = np.zeros(cells, np.int64)
     arrived[got.column("cell").to_numpy()] = got.column("n").to_numpy()
 
-    # split every ring into bounded sub-blocks on both sides
-    used = np.flatnonzero(count)
-    s_blocks, r_blocks = (np.maximum(1, -(-v[used] * row_bytes // block_bytes)) for v in (count, arrived))
-    sizes = F.broadcast(spark.createDataFrame(pa.table({"cell": pa.array(used, pa.int32()), "_s": pa.array(s_blocks, pa.int64()),
-                                                        "_r": pa.array(r_blocks, pa.int64())})))     # one row per ring
-    t = (ringed.join(sizes, "cell")
-         .select(TEST_ID, TEST_F, "cell", F.pmod(F.xxhash64(TEST_ID), F.col("_s")).alias("sb"),
+    per_block, one = by_cells(ringed, sent, count, arrived, [TRAIN_ID, TRAIN_F, tail_of(train)], row_bytes, block_bytes, partitions,
+                              block_kernel(k, dim, limit), NEIGHBOUR_SCHEMA)
+    if one:
+        return per_block  # every test row met all its candidates in one group
+    return top_k(per_block.drop("rank"), k)
+
+
+def by_cells(test: DataFrame, train: DataFrame, tests: np.ndarray, trains: np.ndarray, train_cols: list[str], row_bytes: int,
+             block_bytes: int, partitions: int, kernel, schema: str, test_cols: tuple[str, ...] = (TEST_ID, TEST_F)) -> tuple[DataFrame, bool]:
+    """``kernel`` over the test and train rows of each ``cell``, split into sub-blocks of bounded size on both sides;
+    and whether every cell's train rows are one sub-block.  ``tests`` and ``trains`` count the rows of each cell."""
+    used = np.flatnonzero(tests)
+    s_blocks, r_blocks = (np.maximum(1, -(-v[used] * row_bytes // block_bytes)) for v in (tests, trains))
+    sizes = F.broadcast(test.sparkSession.createDataFrame(pa.table({
+        "cell": pa.array(used, pa.int32()), "_s": pa.array(s_blocks, pa.int64()), "_r": pa.array(r_blocks, pa.int64())})))   # one row per cell
+    t = (test.join(sizes, "cell")
+         .select(*test_cols, "cell", F.pmod(F.xxhash64(TEST_ID), F.col("_s")).alias("sb"),
                  F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_r") - 1)).alias("rb")))
-    r = (sent.join(sizes, "cell")
-         .select(TRAIN_ID, TRAIN_F, tail_of(train), "cell", F.pmod(F.xxhash64(TRAIN_ID), F.col("_r")).alias("rb"),
+    r = (train.join(sizes, "cell")
+         .select(*train_cols, "cell", F.pmod(F.xxhash64(TRAIN_ID), F.col("_r")).alias("rb"),
                  F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_s") - 1)).alias("sb")))
     keys = ["cell", "sb", "rb"]
     # bytes that move decide the number of tasks: about two blocks each
-    moved = row_bytes * int((count[used] * r_blocks + arrived[used] * s_blocks).sum())
+    moved = row_bytes * int((tests[used] * r_blocks + trains[used] * s_blocks).sum())
     n = max(1, min(int((s_blocks * r_blocks).sum()), max(partitions, math.ceil(moved / (2 * block_bytes)))))
-    per_block = (t.repartition(n, *keys).groupBy(*keys)
-                 .cogroup(r.repartition(n, *keys).groupBy(*keys))
-                 .applyInArrow(block_kernel(k, dim, limit), NEIGHBOUR_SCHEMA))
-    if (r_blocks == 1).all():
-        return per_block  # every test row met all its candidates in one group
-    return top_k(per_block.drop("rank"), k)
+    out = (t.repartition(n, *keys).groupBy(*keys)
+           .cogroup(r.repartition(n, *keys).groupBy(*keys)).applyInArrow(kernel, schema))
+    return out, bool((r_blocks == 1).all())

@@ -514,6 +514,12 @@ def pair_stats(test: DataFrame, train: DataFrame, dim: int, test_blocks: int, tr
     grid as ``neighbours_blocks``): each block pair emits one row per test row, and one
     partial-then-final aggregation merges the train blocks.  No pair is ever a row.
     """
+    return merged_stats(pair_stats_parts(test, train, dim, test_blocks, train_blocks, max_distance, partitions))
+
+
+def pair_stats_parts(test: DataFrame, train: DataFrame, dim: int, test_blocks: int, train_blocks: int,
+                     max_distance: float | None = None, partitions: int | None = None) -> DataFrame:
+    """The statistics of every test row over each train block."""
     bound = float("inf") if max_distance is None else float(max_distance)
     n = partitions or test_blocks * train_blocks
     t = (block_rows(test.select(TEST_ID, TEST_F), TEST_ID, test_blocks, train_blocks, "tb", "rb")
@@ -528,13 +534,7 @@ def pair_stats(test: DataFrame, train: DataFrame, dim: int, test_blocks: int, tr
         return block_stats(q_ids, matrix(left.column(TEST_F), dim), r_ids,
                            matrix(right.column(TRAIN_F), dim), bound)
 
-    per_block = (t.groupBy("tb", "rb").cogroup(r.groupBy("tb", "rb"))
-                 .applyInArrow(run, STATS_SCHEMA))
-    return per_block.groupBy("test_id").agg(
-        F.sum("n").alias("n"), F.min("min_d").alias("min_d"), F.max("max_d").alias("max_d"),
-        F.min_by("first_d", "first_id").alias("first_d"),
-        F.max_by("last_d", "last_id").alias("last_d"),
-        F.sum("n_admissible").alias("n_admissible"), F.sum("n_finite").alias("n_finite"))
+    return t.groupBy("tb", "rb").cogroup(r.groupBy("tb", "rb")).applyInArrow(run, STATS_SCHEMA)
 
 
 def pair_stats_broadcast_train(test: DataFrame, train: DataFrame, dim: int,
@@ -556,6 +556,54 @@ def pair_stats_broadcast_train(test: DataFrame, train: DataFrame, dim: int,
     return out.drop("first_id", "last_id")
 
 
+def merge_stats(a: pa.Table | None, b: pa.Table) -> pa.Table:
+    """The statistics of two sets of train rows as those of both; the test rows of ``a`` and ``b`` are the same."""
+    if a is None:
+        return b
+    x, y = ({c: t.column(c).to_numpy() for c in t.column_names} for t in (a, b))
+    low, high = y["first_id"] < x["first_id"], y["last_id"] > x["last_id"]
+    out = {"test_id": x["test_id"], "n": x["n"] + y["n"], "min_d": np.fmin(x["min_d"], y["min_d"]),
+           "max_d": np.maximum(x["max_d"], y["max_d"])}           # NaN is above all, and below nothing
+    for c in ("first_id", "first_d"):
+        out[c] = np.where(low, y[c], x[c])
+    for c in ("last_id", "last_d"):
+        out[c] = np.where(high, y[c], x[c])
+    for c in ("n_admissible", "n_finite"):
+        out[c] = x[c] + y[c]
+    return pa.table({f.name: pa.array(out[f.name], f.type) for f in _STATS_ARROW})
+
+
+def merged_stats(rows: DataFrame) -> DataFrame:
+    """One row of statistics per test row from those over parts of the train side."""
+    return rows.groupBy("test_id").agg(
+        F.sum("n").alias("n"), F.min("min_d").alias("min_d"), F.max("max_d").alias("max_d"),
+        F.min_by("first_d", "first_id").alias("first_d"),
+        F.max_by("last_d", "last_id").alias("last_d"),
+        F.sum("n_admissible").alias("n_admissible"), F.sum("n_finite").alias("n_finite"))
+
+
+def pair_stats_broadcast_test(test: DataFrame, train: DataFrame, dim: int,
+                              max_distance: float | None = None,
+                              partitions: int | None = None) -> DataFrame:
+    """``pair_stats`` with the size-checked test side broadcast: train rows stay in place, a task keeps one running
+    row of statistics per test row, and one partial-then-final aggregation merges the tasks."""
+    side = collect_side(test, TEST_ID, TEST_F, dim)
+    bc = send(test.sparkSession, side)
+    bound = float("inf") if max_distance is None else float(max_distance)
+
+    def run(batches):
+        ts, found = bc.value, None
+        for batch in batches:
+            if ts["ids"].size and batch.num_rows:
+                found = merge_stats(found, block_stats(ts["ids"], ts["x"], int_ids(batch.column(0)),
+                                                       matrix(batch.column(1), dim), bound))
+        if found is not None:
+            yield from found.to_batches()
+
+    rows = spread(train.select(TRAIN_ID, TRAIN_F), partitions).mapInArrow(run, STATS_SCHEMA)
+    return merged_stats(rows)
+
+
 _STATS_ARROW = pa.schema([("test_id", pa.int64()), ("n", pa.int64()), ("min_d", pa.float64()),
                           ("max_d", pa.float64()), ("first_id", pa.int64()),
                           ("first_d", pa.float64()), ("last_id", pa.int64()),

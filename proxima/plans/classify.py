@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proxima.operators import candidates as C
+from proxima.operators.annuli import pair_stats_annuli
 from proxima.operators import vectorized as V
 from proxima.operators.entries import GROUP_LIMIT, entries, entry_counts
 from proxima.operators.pivot import neighbours_pivot
@@ -274,9 +275,15 @@ def neighbours_for(tr: DataFrame, te: DataFrame, k: int, plan: Plan,
 
 
 def pair_stats_for(tr: DataFrame, te: DataFrame, plan: Plan, max_distance: float | None = None) -> DataFrame:
-    """Statistics of every test row's distances: train broadcast if it fits, else block by block."""
+    """Statistics of every test row's distances: train broadcast if it fits, else test if it fits (the plan says
+    so only while the tasks' partial rows stay below the train side), else by rings around pivots, or block by
+    block where a sample says that the rings leave most pairs over."""
     if plan.strategy == "broadcast_train":
         return V.pair_stats_broadcast_train(te, tr, plan.dim, max_distance, plan.test_spread)
+    if plan.strategy == "broadcast_test":
+        return V.pair_stats_broadcast_test(te, tr, plan.dim, max_distance, plan.train_spread)
+    if plan.strategy == "pivot":
+        return pair_stats_annuli(te, tr, plan.dim, plan.train_rows, plan.block_bytes, plan.partitions, max_distance, fallback=True)
     grid = block_grid(plan)
     return V.pair_stats(te, tr, plan.dim, grid.test_blocks, grid.train_blocks, max_distance, grid.block_partitions)
 

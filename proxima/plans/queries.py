@@ -37,6 +37,7 @@ from proxima.sources.text import read_vectors, vector_lines
 
 K = 5          # neighbours for the search and classification queries
 K_VOTE = 4     # an even k, so that vote ties occur
+DOCUMENT_DISTANCE = 25.0  # admissibility bound on the three text features
 MAX_DISTANCE = 1.25  # admissibility bound for the embedding self-join (about the 5th percentile)
 
 # --------------------------------------------------------------------------- Spark side
@@ -143,10 +144,10 @@ def q_pairwise_distance_hof(spark, sf_dir):
     return _neighbour_distances(spark, sf_dir, None)
 
 
-def _emb_pair_stats(spark, sf_dir, max_distance=None):
+def _emb_pair_stats(spark, sf_dir, max_distance=None, strategy="auto"):
     """Statistics of every test row's distances to all train rows, without pair rows."""
     tr, te = _emb_prepared(spark, sf_dir)
-    return pair_stats_for(tr, te, choose_plan(tr, te, 64), max_distance)
+    return pair_stats_for(tr, te, choose_plan(tr, te, 64, strategy, k=1), max_distance)
 
 
 def q_admissible_candidates(spark, sf_dir):
@@ -155,7 +156,7 @@ def q_admissible_candidates(spark, sf_dir):
 
 
 def q_candidate_group_stats(spark, sf_dir):
-    return _emb_pair_stats(spark, sf_dir).select("test_id", "n", "min_d", "max_d")
+    return _emb_pair_stats(spark, sf_dir, strategy="broadcast_test").select("test_id", "n", "min_d", "max_d")
 
 
 def q_distance_row(spark, sf_dir):
@@ -337,6 +338,14 @@ def q_knn_documents_pivot(spark, sf_dir):
         "test_id", "rank", "train_id", "distance", "label")
 
 
+def q_document_range_stats(spark, sf_dir):
+    """For every unlabelled document the labelled ones within a distance, the nearest and the farthest, by rings."""
+    tr, te = _docs(spark, sf_dir)
+    tr, te = C.prepare_train(tr, dim=3), C.prepare_test(te, dim=3)
+    stats = pair_stats_for(tr, te, choose_plan(tr, te, 3, "pivot"), DOCUMENT_DISTANCE)
+    return stats.select("test_id", "n", "min_d", "max_d", "first_d", "last_d", F.col("n_admissible").alias("n_candidates"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vector_parse_strict": q_vector_parse_strict,
     "vector_parse_lenient": q_vector_parse_lenient,
@@ -375,6 +384,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "classify_documents_toxic": q_classify_documents_toxic,
     "knn_documents": q_knn_documents,
     "knn_documents_pivot": q_knn_documents_pivot,
+    "document_range_stats": q_document_range_stats,
 }
 
 # --------------------------------------------------------------------------- DuckDB oracle
@@ -515,3 +525,7 @@ ORACLE_SQL: dict[str, str] = {
                       f"distance, label FROM ranked WHERE rank <= {K}"),
 }
 ORACLE_SQL["knn_documents_pivot"] = ORACLE_SQL["knn_documents"]
+ORACLE_SQL["document_range_stats"] = (
+    f"WITH {_DOCS.format(target='quality')} SELECT test_id, CAST(count(*) AS BIGINT) AS n, min(distance) AS min_d, max(distance) AS max_d, "
+    "arg_min(distance, train_id) AS first_d, arg_max(distance, train_id) AS last_d, "
+    f"CAST(count(*) FILTER (WHERE distance < {DOCUMENT_DISTANCE}) AS BIGINT) AS n_candidates FROM pairs GROUP BY test_id")

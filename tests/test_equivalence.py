@@ -72,7 +72,7 @@ def test_predictions_agree_across_shapes(spark, case):
         assert len(results) == 1, vote
 
 
-@pytest.mark.parametrize("blocks", [None, (1, 1), (2, 3)])
+@pytest.mark.parametrize("blocks", [None, "test", "annuli", (1, 1), (2, 3)])
 def test_pair_stats_match_brute_force(spark, blocks):
     from proxima.operators import candidates as C
     from proxima.operators import vectorized as V
@@ -81,8 +81,12 @@ def test_pair_stats_match_brute_force(spark, blocks):
     train[3] = (train[3][0], [float("nan")] + train[3][1][1:], train[3][2])
     tr = C.prepare_train(frame(spark, train), dim=3)
     te = C.prepare_test(frame(spark, test, labelled=False), dim=3)
-    stats = (V.pair_stats_broadcast_train(te, tr, 3, 2.5) if blocks is None
-             else V.pair_stats(te, tr, 3, *blocks, max_distance=2.5))
+    if blocks == "annuli":
+        from proxima.operators.annuli import pair_stats_annuli
+        stats = pair_stats_annuli(te, tr, 3, 30, 512, 8, 2.5)
+    else:
+        stats = (V.pair_stats_broadcast_train(te, tr, 3, 2.5) if blocks is None else V.pair_stats_broadcast_test(te, tr, 3, 2.5, 4)
+                 if blocks == "test" else V.pair_stats(te, tr, 3, *blocks, max_distance=2.5))
     got = {r.test_id: r for r in stats.collect()}
     assert sorted(got) == sorted(t for t, _ in test)
     by_id = sorted(train)
