@@ -29,6 +29,7 @@ from proxima.operators.vote import vote as vote_op
 from proxima.plans.classify import (choose_plan, classify_for, knn_classify, knn_neighbors,
                                     neighbours_for, pair_stats_for)
 from proxima.plans.programs import classify_files
+from proxima.plans.sql import register_nearest
 from proxima.operators import candidates as C
 from proxima.session import scratch_path
 from proxima.sources import tables as T
@@ -173,6 +174,13 @@ def q_knn_topk_vectorized(spark, sf_dir):
     return _emb_neighbours(spark, sf_dir, K, "numpy").select("test_id", "rank", "train_id", "distance")
 
 
+def q_knn_sql_function(spark, sf_dir):
+    """The search as a table function, called from SQL over all rows of the table."""
+    register_nearest(spark, "nearest_embeddings", T.embedding_vectors(spark, sf_dir), K, label="raw_label", dim=64)
+    return spark.sql("SELECT test_id, rank, train_id, distance, label FROM nearest_embeddings(TABLE("
+                     f"SELECT CAST(vec_id AS BIGINT), CAST(embedding AS ARRAY<DOUBLE>) FROM parquet.`{sf_dir.rstrip('/')}/embeddings.parquet`))")
+
+
 def q_neighbor_list(spark, sf_dir):
     n = neighbor_list(_emb_neighbours(spark, sf_dir, K, "numpy", "block"))
     return n.select("test_id", F.array_join(F.col("neighbors").cast("array<string>"), ",")
@@ -360,6 +368,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "distance_row": q_distance_row,
     "knn_topk": q_knn_topk,
     "knn_topk_vectorized": q_knn_topk_vectorized,
+    "knn_sql_function": q_knn_sql_function,
     "neighbor_list": q_neighbor_list,
     "neighbor_labels": q_neighbor_labels,
     "vote_nonzero_majority": q_vote_nonzero_majority,
@@ -476,6 +485,7 @@ ORACLE_SQL: dict[str, str] = {
         "arg_min(distance, train_id) AS first_d, arg_max(distance, train_id) AS last_d, "
         "min(distance) AS min_d FROM pairs GROUP BY test_id"),
     "knn_topk": f"{_EMB_KNN} SELECT test_id, rank, train_id, distance FROM ranked WHERE rank <= {K}",
+    "knn_sql_function": f"{_EMB_KNN} SELECT test_id, rank, train_id, distance, raw_label AS label FROM ranked WHERE rank <= {K}",
     "knn_topk_vectorized": (f"{_EMB_KNN} SELECT test_id, rank, train_id, distance FROM ranked "
                             f"WHERE rank <= {K}"),
     "neighbor_list": (
