@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -74,3 +76,62 @@ def test_without_profiles_only_texts_without_letters_go(spark):
         got = {r.doc_id: (r.lang, r.text) for r in P.language(spark, docs, "/nowhere").collect()}
         assert got == {1: (langs[0], text), 2: (langs[1], text)}
         assert {r.doc_id: r.lang_pred for r in L.predict_language(docs, {}).collect()} == {1: None, 2: None, 3: "und"}
+
+
+# ----------------------------------------------------------------- a second implementation, letter by letter
+
+def plain_bundle(text):
+    """The bundle of a text from its definition; None without letters."""
+    folded = []
+    for c in text or "":
+        letter = unicodedata.category(c).startswith("L")
+        low = c.lower() if len(c.lower()) == 1 else c
+        folded.append(low if letter else " ")
+    runs = re.sub(" +", " ", " " + "".join(folded) + " ")
+    if not runs.strip():
+        return None
+
+    def vector(c):
+        code = 0 if c == " " else ord(c)
+        return (np.random.default_rng(code).integers(0, 2, L.DIM, dtype=np.int8) * 2 - 1).astype(float)
+    out = np.zeros(L.DIM)
+    for a, b, c in zip(runs, runs[1:], runs[2:]):
+        out += np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
+    return out
+
+
+def plain_languages(rows):
+    """``(doc_id, language, score)`` of every row, trained on the labelled rows that are not held out."""
+    sums = {}
+    for i, text, lang in rows:
+        v = plain_bundle(text)
+        if lang is not None and v is not None and zlib.crc32(str(i).encode()) % 5:
+            sums[lang] = sums.get(lang, 0) + v
+    unit = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    shared = sum(unit.values()) / len(unit)
+    profiles = {k: (v - shared) / np.linalg.norm(v - shared) for k, v in sorted(unit.items())}
+    out = []
+    for i, text, _ in rows:
+        v = plain_bundle(text)
+        if v is None:
+            out.append((i, "und", 0.0))
+            continue
+        cos = {k: p @ v / np.linalg.norm(v) for k, p in profiles.items()}
+        best = max(cos, key=lambda k: (cos[k], [-ord(x) for x in k]))
+        out.append((i, best, min(1.0, max(0.0, cos[best]))))
+    return out
+
+
+def test_predictions_and_scores_match_the_definition(spark):
+    rng = random.Random(11)
+    words = {"aa": ["house", "water", "The", "garden's"], "bb": ["maison", "ÉCOLE", "l'eau", "forêt"], "cc": ["Haus", "Straße", "über", "Wasser"]}
+    rows = []
+    for i in range(60):
+        lang = rng.choice(list(words))
+        text = rng.choice([" ", ", ", " 12 "]).join(rng.choice(words[lang]) for _ in range(rng.randrange(1, 15)))
+        rows.append((i, text, lang if rng.random() < 0.8 else None))
+    rows += [(100, None, "aa"), (101, "", None), (102, "7 !", "bb"), (103, "İstanbul ﬁ ǅ x", None), (104, "漢字", "cc")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.identify_languages(docs).collect()}
+    for i, lang, score in plain_languages(rows):
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-5
