@@ -79,6 +79,13 @@ def joined_if_small(big: DataFrame, small: DataFrame, on: str, how: str, rows: i
     return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers are reused, and what one keeps for later another may need now."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):              # where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def process_cache(key, build: Callable, owner: str | None = None):
     """A value built once per Python process.  The package is pickled by value, so module globals
     do not outlive a task; this store does (Python workers are reused).
@@ -91,9 +98,7 @@ def process_cache(key, build: Callable, owner: str | None = None):
         held = store.setdefault("held", {})
         if held:
             held.clear()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):      # give freed memory back, where the C library can
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
         store["owner"] = owner
     kept = store.setdefault("shared" if owner is None else "held", {})
     if key not in kept:
@@ -194,6 +199,8 @@ def text_blocks(col: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
         yield a, b, data[off[a]: off[b]], off[a: b + 1] - off[a]
         a = b
+    if len(data) > limit:
+        give_back()
 
 
 def binary_array(parts: list[bytes]) -> pa.Array:

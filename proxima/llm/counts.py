@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 
 from proxima.llm.bpe import BLOCK_BYTES, BlockPieces
 from proxima.llm.chunks import freeze, split_sorted, thaw
-from proxima.llm.common import counted_bytes, process_cache, text_blocks, written
+from proxima.llm.common import counted_bytes, give_back, process_cache, text_blocks, written
 
 CHUNK_BYTES = 16 << 20
 BUCKET_BYTES = 40 << 20          # bytes of text whose pre-tokens make one hash range
@@ -48,22 +48,24 @@ class _Chunk:
         n = len(off) - 1
         per_doc = np.repeat(np.arange(n), np.diff(block.edge))
         key, times = np.unique(per_doc.astype(np.int64) << 32 | block.which, return_counts=True)
+        texts = pa.array(block.distinct, pa.string())
         self.docs.append(ids)
         self.bytes.append(np.diff(off))
         self.hashes.append(block.hashes)
-        self.texts.extend(block.distinct)
-        self.uses.append((np.bincount(key >> 32, minlength=n), (key & 0xFFFFFFFF) + base, times))
+        self.texts.append(texts)
+        self.uses.append((np.bincount(key >> 32, minlength=n), ((key & 0xFFFFFFFF) + base).astype(np.uint32), times.astype(np.uint32)))
         self.size += len(data)
 
     def rows(self, chunk: int, bits: int):
         """The row of uses, and one row of distinct pre-tokens per hash range."""
         every = np.concatenate(self.hashes)
         keys, first, place = np.unique(every, return_index=True, return_inverse=True)
+        place = place.astype(np.int32)
         per_doc = np.concatenate([u[0] for u in self.uses])
-        which = place[np.concatenate([u[1] for u in self.uses])] if len(every) else np.empty(0, np.int64)
+        which = place[np.concatenate([u[1] for u in self.uses])] if len(every) else np.empty(0, np.int32)
         times = np.concatenate([u[2] for u in self.uses])
         # sorted within a document, so that steps are small and pack well
-        doc = np.repeat(np.arange(len(per_doc)), per_doc)
+        doc = np.repeat(np.arange(len(per_doc), dtype=np.int32), per_doc)
         order = np.lexsort((which, doc))
         which, times = which[order], times[order]
         step = np.diff(which, prepend=0)
@@ -76,8 +78,9 @@ class _Chunk:
                  [pa.array((step & 0xFFFF).astype(np.uint16)), pa.array((step >> 16).astype(np.uint16)), pa.array(times.astype(np.uint32))],
                  names=["low", "high", "times"]))])], names=["v", "docs", "uses"])
         yield (0, chunk, -1, freeze(uses))
+        distinct = pa.concat_arrays(self.texts)
         for b, s, e in split_sorted(keys, 64 - bits):
-            texts = pa.array([self.texts[i] for i in first[s:e].tolist()], pa.string())
+            texts = distinct.take(pa.array(first[s:e]))
             yield (1, chunk, b, freeze(pa.RecordBatch.from_arrays([texts], names=["piece"])))
 
 
@@ -96,6 +99,7 @@ def _split(bits: int):
                 if chunk.size >= CHUNK_BYTES:
                     yield out(chunk.rows(seq, bits))
                     chunk, seq = _Chunk(), seq + 1
+                    give_back()
         if chunk.docs:
             yield out(chunk.rows(seq, bits))
     return run
