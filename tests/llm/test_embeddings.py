@@ -84,12 +84,13 @@ def test_empty_table(spark):
     assert E.near_duplicate_vectors(spark.createDataFrame([], VECTORS)).collect() == []
 
 
-@pytest.mark.parametrize("bits", [4, 9, 13, 17])
-def test_pairs_at_the_threshold_meet(bits):
+@pytest.mark.parametrize("bits", [4, 9, 13, 17, 25, 33])
+@pytest.mark.parametrize("width", [64, 256, 768])
+def test_pairs_at_the_threshold_meet(bits, width):
     rng = np.random.default_rng(bits)
-    a = rng.normal(size=(500, 64))
+    a = rng.normal(size=(500, width))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
-    b = rng.normal(size=(500, 64))
+    b = rng.normal(size=(500, width))
     b -= (b * a).sum(1, keepdims=True) * a
     b = 0.95 * a + np.sqrt(1 - 0.95**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
     met = np.zeros(500, bool)
