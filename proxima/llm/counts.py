@@ -116,6 +116,8 @@ def _count(path: str):
         n = np.array(counts, np.uint32)[coded.indices.to_numpy()]
         ends = np.cumsum([len(p) for p in parts])
         blobs = [n[e - len(p): e].tobytes() for p, e in zip(parts, ends)]
+        del coded, distinct
+        give_back()                                     # the worker may idle beside those of the next stage
         return pa.table([tbl.column("chunk"), tbl.column("bucket"), pa.array(blobs, pa.binary())],
                         names=["chunk", "bucket", "counts"])
     return run
@@ -142,6 +144,7 @@ def _sum(batches):
                 n_tokens[used] = np.add.reduceat(weight, heads[:-1][used])
             yield pa.RecordBatch.from_arrays([docs.column("id"), docs.column("bytes").cast(pa.int64()), pa.array(n_tokens)],
                                              names=["doc_id", "n_bytes", "n_tokens"])
+        give_back()
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
