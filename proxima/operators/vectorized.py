@@ -24,7 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from proxima.operators.boxes import GROUP, TREE_DIM, BoxTree, close_runs, least_copies
 from proxima.operators.candidates import (ROWS, TEST_F, TEST_ID, TRAIN_F, TRAIN_ID, block_rows, spread,
                                           tail_of)
 from proxima.operators.topk import check_k, top_k
@@ -43,6 +45,14 @@ DENSE_SHARE = 0.125              # of a chunk's pairs left: beyond, the whole ch
 UNIT = 2.0 ** -53                # rounding unit of a double
 LARGEST_SQUARE = 1e300           # vectors with a larger norm are left to the plain kernel
 
+# Narrow vectors (up to ``TREE_DIM``) are searched by boxes (``operators/boxes.py``).
+TREE_ROWS = 1024                 # fewer train rows are compared one by one
+TREE_PAIRS = 1 << 20             # as are fewer pairs
+HELD_QUERIES = 1 << 16           # queries of a task searched together: the more, the closer they lie
+HELD_WINNERS = 1 << 20           # winners of those, at most
+HELD_TRAIN = 1 << 18             # train rows of a task searched together
+BOUND_ROWS = 1 << 16             # train rows in a sample that bounds the k-th distance of every test row
+
 
 # --------------------------------------------------------------------------- numpy kernels
 
@@ -157,7 +167,18 @@ def rank_cut(qi: np.ndarray, d: np.ndarray, rid: np.ndarray, k: int):
     return order[keep], rank[keep].astype(np.int32)
 
 
-def block_topk(q: np.ndarray, r: np.ndarray, r_ids: np.ndarray, k: int, bound: float):
+def tree_topk(q: np.ndarray, tree: BoxTree, k: int, bound: float):
+    """``block_topk`` by boxes."""
+    rows = np.flatnonzero(np.isfinite(q).all(axis=1))
+    rows = rows[close_runs(q[rows], GROUP)]
+    found = [(rows[qi], tree.rows[at], d) for qi, at, d in tree.search(q[rows], k, bound)]
+    if not found:
+        e = np.empty(0, dtype=np.int64)
+        return e, e.copy(), np.empty(0)
+    return tuple(np.concatenate(v) for v in zip(*found))
+
+
+def block_topk(q: np.ndarray, r: np.ndarray, r_ids: np.ndarray, k: int, bound: float, tree: BoxTree | None = None):
     """Per row of ``q``, its k nearest rows of ``r`` by (distance, train id).
 
     Returns (query index, train index, distance), at most k entries per query row, unordered.
@@ -170,23 +191,30 @@ def block_topk(q: np.ndarray, r: np.ndarray, r_ids: np.ndarray, k: int, bound: f
     block.
 
     Wide vectors go through ``near_squares`` first: only pairs that a proven bound cannot rule out get their
-    exact distance.  The result is the same, bit by bit.
+    exact distance.  The result is the same, bit by bit.  So it is by boxes, for narrow vectors: ``tree`` holds the rows of
+    ``r``, or is made here if there are many pairs.
     """
     m, n = q.shape[0], r.shape[0]
+    if tree is None and 0 < q.shape[1] <= TREE_DIM and n >= TREE_ROWS and m * n >= TREE_PAIRS:
+        tree = BoxTree.of(r, r_ids, k)
+    if tree is not None:
+        return tree_topk(q, tree, k, bound)
     qs, rs, ds = [], [], []
     if m == 0 or n == 0:
         e = np.empty(0, dtype=np.int64)
         return e, e.copy(), np.empty(0)
     by_id = np.argsort(r_ids, kind="stable")
-    r_t = np.ascontiguousarray(r[by_id].T)
+    if (by_id[1:] < by_id[:-1]).any():
+        r = r[by_id]
+    norms = filterable(q, r)
+    r_t, whole = r.T, None           # the filter reads the rows where they lie; only whole chunks need a copy by dimension
     step = max(1, min(m, CHUNK_CELLS // n))
     out = np.empty((step, n))
-    tmp = np.empty((step, n))
-    norms = filterable(q, r)
+    tmp = None
     for s in range(0, m, step):
         e = min(m, s + step)
         if norms:
-            near, err = near_squares(q[s:e], norms[0][s:e], r_t, norms[1][by_id], out[: e - s])
+            near, err = near_squares(q[s:e], norms[0][s:e], r_t, norms[1], out[: e - s])
             left = filtered_pairs(near, err, k, bound)
             if np.count_nonzero(left) <= DENSE_SHARE * left.size:
                 qi, ri = np.nonzero(left)
@@ -197,7 +225,9 @@ def block_topk(q: np.ndarray, r: np.ndarray, r_ids: np.ndarray, k: int, bound: f
                 rs.append(by_id[ri[keep]])
                 ds.append(d[keep])
                 continue
-        dist = distance_block(q[s:e], r_t, out[: e - s], tmp[: e - s])
+        if whole is None:
+            whole, tmp = np.ascontiguousarray(r_t), np.empty((step, n))
+        dist = distance_block(q[s:e], whole, out[: e - s], tmp[: e - s])
         ok = dist < bound  # False for NaN
         dist = np.where(ok, dist, np.inf)
         if n > k:
@@ -240,6 +270,18 @@ def train_block(ids: pa.Array, features: pa.Array, tail: pa.Array, dim: int) ->
     return out
 
 
+def train_rows(tr: dict, qi: np.ndarray, ri: np.ndarray, d: np.ndarray, k: int):
+    """``(query, train id, distance, row of the labels)``: entries as their rows, cut to the ``k`` nearest, in order."""
+    if "starts" in tr:
+        n = tr["starts"][ri + 1] - tr["starts"][ri]
+        row = np.repeat(tr["starts"][ri] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        qi, d, ids = np.repeat(qi, n), np.repeat(d, n), tr["row_ids"][row]
+    else:
+        row, ids = ri, tr["ids"][ri]
+    order, _ = rank_cut(qi, d, ids, k)
+    return qi[order], ids[order], d[order], row[order]
+
+
 def winners(q: np.ndarray, tr: dict, k: int, bound: float):
     """``(query index, train id, distance, label, label valid)`` of the k nearest train rows of every query, in
     order of (query, distance, id).
@@ -253,15 +295,7 @@ def winners(q: np.ndarray, tr: dict, k: int, bound: float):
                                    return_index=True, return_inverse=True)
         if len(first) <= 0.9 * len(q):
             one, back = q[first], same.reshape(-1)
-    qi, ri, d = block_topk(one, tr["x"], tr["ids"], k, bound)
-    if "starts" in tr:
-        n = tr["starts"][ri + 1] - tr["starts"][ri]
-        row = np.repeat(tr["starts"][ri] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        qi, d, ids = np.repeat(qi, n), np.repeat(d, n), tr["row_ids"][row]
-    else:
-        row, ids = ri, tr["ids"][ri]
-    order, _ = rank_cut(qi, d, ids, k)
-    qi, ids, d, row = qi[order], ids[order], d[order], row[order]
+    qi, ids, d, row = train_rows(tr, *block_topk(one, tr["x"], tr["ids"], k, bound, tr.get("tree")), k)
     if back is not None:                              # every copy of a query gets its winners
         edge = np.searchsorted(qi, np.arange(len(one) + 1))
         n = (edge[1:] - edge[:-1])[back]
@@ -307,14 +341,50 @@ def vote_arrays(q_ids: np.ndarray, qi: np.ndarray, labels: np.ndarray, vote: str
 
 # --------------------------------------------------------------------------- Spark plans
 
-def collect_side(df: DataFrame, id_col: str, feat_col: str, dim: int, tail: str | None = None):
-    """Arrays of a side that the caller has size-checked, for a broadcast variable."""
+def collect_side(df: DataFrame, id_col: str, feat_col: str, dim: int, tail: str | None = None, k: int | None = None):
+    """Arrays of a side that the caller has size-checked, for a broadcast variable; with ``k`` a train side of narrow
+    vectors comes as a tree of boxes."""
     tbl = df.select(*([id_col, feat_col] + ([tail] if tail else []))).toArrow()
     if tail:
-        return train_block(tbl.column(0), tbl.column(1), tbl.column(2), dim)
+        side = train_block(tbl.column(0), tbl.column(1), tbl.column(2), dim)
+        if k and 0 < dim <= TREE_DIM and len(side["ids"]) >= TREE_ROWS:
+            side |= {"tree": BoxTree.of(side["x"], side["ids"], k), "x": side["x"][:0]}
+        elif "starts" not in side and (side["ids"][1:] < side["ids"][:-1]).any():
+            order = np.argsort(side["ids"], kind="stable")       # once here, so that no task sorts a copy of its own
+            side = {name: v[order] for name, v in side.items()}
+        return side
     return {"ids": int_ids(tbl.column(0)), "x": matrix(tbl.column(1), dim)}
 
 
+def hashed_sample(df: DataFrame, id_col: str, feat_col: str, dim: int, count: int, n: int) -> np.ndarray:
+    """``count`` finite vectors of the ``n`` rows, those of least id hash (fewer if there are not so many).
+
+    A threshold that passes about twice as many leaves little to sort; it is widened while too few pass.
+    """
+    finite = ~F.exists(F.col(feat_col), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = df.where(F.col(feat_col).isNotNull() & finite).select(F.xxhash64(id_col).alias("_h"), id_col, feat_col)
+    share = (2 * count + 64) / max(n, 1)
+    while True:
+        some = rows if share >= 1 else rows.where(F.col("_h") < F.lit(int(-(1 << 63) + share * (1 << 64))))
+        got = some.orderBy("_h", id_col).limit(count).select(feat_col).toArrow()
+        if got.num_rows >= count or share >= 1:
+            return matrix(got.column(0), dim)
+        share *= 8
+
+
+def gathered(batches, rows: int):
+    """Arrow batches joined to tables of at least ``rows`` rows, but for the last."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def neighbours_broadcast_train(test: DataFrame, train: DataFrame, k: int, dim: int,
                                max_distance: float | None = None, vote: str | None = None,
                                partitions: int | None = None) -> DataFrame:
@@ -325,13 +395,15 @@ def neighbours_broadcast_train(test: DataFrame, train: DataFrame, k: int, dim: i
     """
     check_k(k)
     spark = test.sparkSession
-    side = collect_side(train, TRAIN_ID, TRAIN_F, dim, tail_of(train))
+    side = collect_side(train, TRAIN_ID, TRAIN_F, dim, tail_of(train), k)
     bc = send(spark, side)
     bound = float("inf") if max_distance is None else float(max_distance)
     t = spread(test.select(TEST_ID, TEST_F), partitions)
 
     def run(batches):
         tr = bc.value
+        if "tree" in tr:
+            batches = gathered(batches, max(1, min(HELD_QUERIES, HELD_WINNERS // k)))
         for batch in batches:
             q_ids = int_ids(batch.column(0))
             q = matrix(batch.column(1), dim)
@@ -345,15 +417,34 @@ def neighbours_broadcast_train(test: DataFrame, train: DataFrame, k: int, dim: i
 
 def neighbours_broadcast_test(test: DataFrame, train: DataFrame, k: int, dim: int,
                               max_distance: float | None = None,
-                              partitions: int | None = None) -> DataFrame:
+                              partitions: int | None = None, slices: int = 1, n_train: int | None = None) -> DataFrame:
     """The size-checked test matrix is broadcast; each train task keeps a running top-k per
-    test row, and a window then merges at most k rows per test row and task."""
+    test row, and a window then merges at most k rows per test row and task.
+
+    A side over the limit is broadcast in ``slices``, by hash of the id.  Narrow vectors go by boxes if ``n_train``
+    train rows are many: the k nearest of a bounded sample bound each test row's k-th distance, train rows are dealt by the
+    nearest of the sample's regions, and a task answers only for test rows that it can serve.
+    """
     check_k(k)
-    spark = test.sparkSession
-    side = collect_side(test, TEST_ID, TEST_F, dim)
-    bc = send(spark, side)
     bound = float("inf") if max_distance is None else float(max_distance)
-    r = spread(train.select(TRAIN_ID, TRAIN_F, tail_of(train)), partitions)
+    parts = [test if slices == 1 else test.where(F.pmod(F.xxhash64(TEST_ID), F.lit(slices).cast("bigint")) == i) for i in range(slices)]
+    if 0 < dim <= TREE_DIM and (n_train or 0) >= TREE_ROWS:
+        partials = _test_boxes(parts, train, k, dim, bound, partitions, n_train)
+    else:
+        r = spread(train.select(TRAIN_ID, TRAIN_F, tail_of(train)), partitions)
+        partials = [_test_partial(part, r, k, dim, bound) for part in parts]
+    out = partials[0]
+    for more in partials[1:]:
+        out = out.unionByName(more)
+    return top_k(out, k)
+
+
+PARTIAL_SCHEMA = "test_id bigint, train_id bigint, distance double, label double"
+
+
+def _test_partial(test: DataFrame, r: DataFrame, k: int, dim: int, bound: float) -> DataFrame:
+    side = collect_side(test, TEST_ID, TEST_F, dim)
+    bc = send(test.sparkSession, side)
 
     def run(batches):
         ts = bc.value
@@ -374,8 +465,73 @@ def neighbours_broadcast_test(test: DataFrame, train: DataFrame, k: int, dim: in
                 "label": pa.array(best[3][order], pa.float64(), mask=~best[4][order]),
             })
 
-    partial = r.mapInArrow(run, "test_id bigint, train_id bigint, distance double, label double")
-    return top_k(partial, k)
+    return r.mapInArrow(run, PARTIAL_SCHEMA)
+
+
+def _test_boxes(tests: list[DataFrame], train: DataFrame, k: int, dim: int, bound: float, partitions: int | None,
+                n_train: int) -> list[DataFrame]:
+    """The winners of every train task for the test rows within its reach, per slice of the test side."""
+    spark, tail = train.sparkSession, tail_of(train)
+    tasks = partitions or 2 * spark.sparkContext.defaultParallelism
+    sample = hashed_sample(train, TRAIN_ID, TRAIN_F, dim, min(n_train, BOUND_ROWS), n_train)
+    if not len(sample):                                  # no finite train row
+        return [spark.createDataFrame([], PARTIAL_SCHEMA)]
+    known_bc = send(spark, BoxTree.of(sample, np.arange(len(sample)), k))
+    run_rows = -(-len(sample) // (4 * tasks))
+    near = sample[close_runs(sample, run_rows)]
+    centres = np.array([near[s: s + run_rows].mean(axis=0) for s in range(0, len(near), run_rows)])
+
+    def deal(batches):
+        points, out, tmp = np.ascontiguousarray(centres.T), None, None
+        for batch in batches:
+            x = matrix(batch.column(1), dim)
+            rows = least_copies(x, int_ids(batch.column(0)), k)
+            at = np.empty(len(rows), np.int32)
+            step = max(1, CHUNK_CELLS // len(centres))
+            for s in range(0, len(rows), step):
+                q = x[rows[s: s + step]]
+                if out is None or len(out) < len(q):
+                    out, tmp = np.empty((len(q), len(centres))), np.empty((len(q), len(centres)))
+                at[s: s + step] = np.argmin(distance_block(q, points, out[: len(q)], tmp[: len(q)]), axis=1)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows, pa.int64())) for c in batch.columns), pa.array(at, pa.int32())],
+                                             names=[TRAIN_ID, TRAIN_F, tail, "_region"])
+
+    def reach(batches):
+        known = known_bc.value
+        for table in gathered(batches, HELD_QUERIES):
+            x = matrix(table.column(1), dim)
+            rows = np.flatnonzero(np.isfinite(x).all(axis=1))
+            rows = rows[close_runs(x[rows], GROUP)]
+            yield from pa.table({TEST_ID: table.column(0).take(pa.array(rows, pa.int64())), TEST_F: table.column(1).take(pa.array(rows, pa.int64())),
+                                 "_reach": pa.array(known.kth_reach(x[rows], k, bound), pa.float64())}).to_batches()
+
+    r = spread(train.select(TRAIN_ID, TRAIN_F, tail), partitions)
+    r = r.mapInArrow(deal, StructType([*r.schema.fields, StructField("_region", IntegerType())])).repartition(tasks, "_region").drop("_region")
+    return [_boxes_partial(t.select(TEST_ID, TEST_F).repartition(tasks).mapInArrow(
+        reach, f"{TEST_ID} bigint, {TEST_F} array<double>, _reach double"), r, k, dim, bound) for t in tests]
+
+
+def _boxes_partial(test: DataFrame, r: DataFrame, k: int, dim: int, bound: float) -> DataFrame:
+    tbl = test.toArrow()
+    side = {"ids": int_ids(tbl.column(0)), "x": matrix(tbl.column(1), dim), "reach": tbl.column(2).to_numpy()}
+    order = close_runs(side["x"], GROUP)
+    bc = send(r.sparkSession, {name: v[order] for name, v in side.items()})
+
+    def run(batches):
+        ts = bc.value
+        for table in gathered(batches, HELD_TRAIN):
+            tr = train_block(table.column(0), table.column(1), table.column(2), dim)
+            tree = BoxTree.of(tr["x"], tr["ids"], k)
+            for qi, at, d in tree.search(ts["x"], k, bound, ts["reach"]):
+                qi, ids, d, row = train_rows(tr, qi, tree.rows[at], d, k)
+                yield from pa.table({
+                    "test_id": pa.array(ts["ids"][qi], pa.int64()),
+                    "train_id": pa.array(ids, pa.int64()),
+                    "distance": pa.array(d, pa.float64()),
+                    "label": pa.array(tr["labels"][row], pa.float64(), mask=~tr["valid"][row]),
+                }).to_batches()
+
+    return r.mapInArrow(run, PARTIAL_SCHEMA)
 
 
 def neighbours_blocks(test: DataFrame, train: DataFrame, k: int, dim: int,

@@ -63,6 +63,7 @@ class Plan:
     block_bytes: int = DEFAULT_BLOCK_BYTES
     cores: int = 1
     member_bytes: int = 0     # of the rows that entries of equal vectors hold
+    test_slices: int = 1      # broadcasts of the test side, each within the limit
 
     @property
     def test_spread(self) -> int | None:
@@ -212,8 +213,8 @@ def choose_plan(train: DataFrame, test: DataFrame, dim: int, strategy: str = "au
             strategy = "pivot"
     if strategy == "broadcast_train" and b_train > limit:
         raise ValueError(f"train side is about {b_train} bytes, over the broadcast limit {limit}")
-    if strategy == "broadcast_test" and b_test > limit:
-        raise ValueError(f"test side is about {b_test} bytes, over the broadcast limit {limit}")
+    if strategy == "broadcast_test" and not limit and b_test:
+        raise ValueError(f"test side is about {b_test} bytes, and broadcasts are off")
     # one task per block of test data, at least two per core
     partitions = max(2 * parallelism, math.ceil(b_test / block))
     # kNN is CPU-bound: a side read in place should bring at least two input splits per core.
@@ -224,7 +225,8 @@ def choose_plan(train: DataFrame, test: DataFrame, dim: int, strategy: str = "au
     spread_test = math.ceil(b_test / split) < 2 * parallelism
     spread_train = math.ceil(b_train / split) < 2 * parallelism
     plan = Plan(strategy, kernel, dim, n_train, n_test, partitions, 1, 1,
-                spread_test, spread_train, block, parallelism, sides.member_bytes)
+                spread_test, spread_train, block, parallelism, sides.member_bytes,
+                max(1, math.ceil(b_test / limit)) if strategy == "broadcast_test" else 1)
     return block_grid(plan) if strategy == "block" else plan
 
 
@@ -259,7 +261,7 @@ def neighbours_for(tr: DataFrame, te: DataFrame, k: int, plan: Plan,
     if plan.strategy == "broadcast_train":
         out = V.neighbours_broadcast_train(te, tr, k, dim, max_distance, partitions=plan.test_spread)
     elif plan.strategy == "broadcast_test":
-        return V.neighbours_broadcast_test(te, tr, k, dim, max_distance, partitions=plan.train_spread)
+        return V.neighbours_broadcast_test(te, tr, k, dim, max_distance, plan.train_spread, plan.test_slices, plan.train_rows)
     else:
         blocks = block_grid(plan)
 
