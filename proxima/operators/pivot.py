@@ -22,9 +22,14 @@ Lu, Shen, Chen, Ooi, VLDB 2012, with two levels of pivots):
    third of the rows is split like any other), the block kernel keeps k per test row and
    sub-block, and a window merges the train sub-blocks.
 
+For narrow vectors (``TREE_DIM``) far test rows would make steps 3 and 4 send them everything: distance to one pivot says nothing
+of direction.  There train rows are written once with their part, the box around each part is known, and the k nearest rows of a
+bounded sample of the train side bound every test row's k-th neighbour.  A test row travels to the parts whose box is within
+that bound, which on average hold few rows; step 5 follows, and a window merges the parts.
+
 A task holds the tree and one chunk of distances, whatever n is; distances to pivots are used chunk by chunk and never
 kept.  Only the pivots, one row of statistics per ring and ``P x k`` distances reach the driver; their number is
-bounded by ``PIVOT_BYTES``.  Whether pruning pays is judged on a bounded sample of train rows, with the true
+bounded by ``PIVOT_BYTES``.  Whether pruning pays is judged on a bounded sample of train (by boxes: of test) rows, with the true
 bounds, and the block join takes over if not: that decides the plan, never the rows.
 """
 
@@ -38,11 +43,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from proxima.operators.candidates import TEST_F, TEST_ID, TRAIN_F, TRAIN_ID, tail_of
 from proxima.operators.topk import check_k, top_k
-from proxima.operators.vectorized import CHUNK_CELLS, NEIGHBOUR_SCHEMA, block_kernel, distance_block, matrix
+from proxima.operators.boxes import FAN, GROUP, TREE_DIM, BoxTree, close_runs, gaps, least_copies
+from proxima.operators.vectorized import (BOUND_ROWS, CHUNK_CELLS, HELD_QUERIES, NEIGHBOUR_SCHEMA, block_kernel, distance_block, gathered,
+                                          hashed_sample, int_ids, matrix)
 from proxima.session import send, written
 
 SLACK = 1e-9  # relative widening of the pruning bounds, far above double rounding error
@@ -63,22 +70,6 @@ def pivot_count(n_train: int, dim: int = 1, k: int = 1) -> int:
     return int(min(n_train, max(2, min(room, math.ceil(2 * math.sqrt(max(n_train, 1)))))))
 
 
-def hashed_sample(df: DataFrame, id_col: str, feat_col: str, dim: int, count: int, n: int) -> np.ndarray:
-    """``count`` finite vectors of the ``n`` rows, those of least id hash (fewer if there are not so many).
-
-    A threshold that passes about twice as many leaves little to sort; it is widened while too few pass.
-    """
-    finite = ~F.exists(F.col(feat_col), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = df.where(F.col(feat_col).isNotNull() & finite).select(F.xxhash64(id_col).alias("_h"), id_col, feat_col)
-    share = (2 * count + 64) / max(n, 1)
-    while True:
-        some = rows if share >= 1 else rows.where(F.col("_h") < F.lit(int(-(1 << 63) + share * (1 << 64))))
-        got = some.orderBy("_h", id_col).limit(count).select(feat_col).toArrow()
-        if got.num_rows >= count or share >= 1:
-            return matrix(got.column(0), dim)
-        share *= 8
-
-
 # ----------------------------------------------------------------- the tree
 def chunked_distances(x: np.ndarray, points: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     """``(first row, end row, distances to all points)`` in chunks of bounded size; the array is used again."""
@@ -301,6 +292,8 @@ def neighbours_pivot(test: DataFrame, train: DataFrame, k: int, dim: int, n_trai
     tree = PivotTree.of(pivots)
     n_piv = len(tree.pivots)
     tree_bc = send(spark, tree)
+    if 0 < dim <= TREE_DIM:
+        return _by_boxes(test, train, k, dim, n_train, n_test, block_bytes, partitions, limit, tree_bc, n_piv, fallback)
 
     ringed, count, near, far = in_rings(written(assign_rows(test, TEST_ID, TEST_F, tree_bc, dim), "pivot-test").where("part >= 0"), n_piv)
     cells = n_piv * RINGS
@@ -323,6 +316,95 @@ def neighbours_pivot(test: DataFrame, train: DataFrame, k: int, dim: int, n_trai
     return top_k(per_block.drop("rank"), k)
 
 
+def part_rows(train: DataFrame, tree_bc, dim: int, k: int) -> DataFrame:
+    """``train_id, train_features, label (or rows), cell``: train rows with their part; of equal vectors in a batch the ``k`` of
+    least id, and no row that is not finite."""
+    tail = tail_of(train)
+
+    def run(batches):
+        tree = tree_bc.value
+        for batch in batches:
+            x = matrix(batch.column(1), dim)
+            rows = least_copies(x, int_ids(batch.column(0)), k)
+            part, _ = tree.assign(x[rows])
+            rows, part = rows[part >= 0], part[part >= 0]
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows, pa.int64())) for c in batch.columns), pa.array(part, pa.int32())],
+                                             names=[TRAIN_ID, TRAIN_F, tail, "cell"])
+
+    rows = train.select(TRAIN_ID, TRAIN_F, tail)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("cell", IntegerType())]))
+
+
+def needed_boxes(x: np.ndarray, boxes: BoxTree, reach: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(row, box)``: the boxes within ``reach`` (squared) of finite rows in the order of ``close_runs``."""
+    for s in range(0, len(x), GROUP):
+        g = x[s: s + GROUP]
+        at = boxes.within(g.min(axis=0), g.max(axis=0), reach[s: s + GROUP].max())
+        for i in range(0, len(at), SENT_ROWS // GROUP):
+            some = at[i: i + SENT_ROWS // GROUP]
+            near = gaps(g.T[:, :, None], g.T[:, :, None], boxes.low[:, None, some], boxes.high[:, None, some]) <= reach[s: s + GROUP, None]
+            row, box = np.nonzero(near)
+            yield row + s, some[box]
+
+
+def _by_boxes(test: DataFrame, train: DataFrame, k: int, dim: int, n_train: int, n_test: int, block_bytes: int, partitions: int,
+              limit: float, tree_bc, n_piv: int, fallback) -> DataFrame:
+    """The pivot join of narrow vectors: train rows stay in their part, of which the box is known, and test rows travel."""
+    spark = test.sparkSession
+    sent = written(part_rows(train, tree_bc, dim, k), "pivot-train")
+    ends = [f(F.col(TRAIN_F)[j]).alias(f"{name}{j}") for name, f in (("low", F.min), ("high", F.max)) for j in range(dim)]
+    got = sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *ends).toArrow()      # one row per part
+    part = got.column("cell").to_numpy()
+    low, high = (np.array([got.column(f"{name}{j}").to_numpy() for j in range(dim)]) for name in ("low", "high"))
+    arrived = np.zeros(n_piv, np.int64)
+    arrived[part] = got.column("n").to_numpy()
+    order = close_runs((low / 2 + high / 2).T, FAN)
+    part, boxes = part[order], BoxTree.of_boxes(low[:, order], high[:, order])
+    sample = hashed_sample(train, TRAIN_ID, TRAIN_F, dim, min(n_train, BOUND_ROWS), n_train)
+    known = BoxTree.of(sample, np.arange(len(sample)), k)
+    if fallback is not None:
+        some = hashed_sample(test, TEST_ID, TEST_F, dim, SAMPLE_ROWS, n_test)
+        some = some[close_runs(some, GROUP)]
+        pairs = sum(int(arrived[part[box]].sum()) for _, box in needed_boxes(some, boxes, known.kth_reach(some, k, limit)))
+        if pairs > FALLBACK_SHARE * max(1, len(some)) * max(1, int(arrived.sum())):
+            return fallback()
+    told = send(spark, (known, boxes, part))
+
+    def run(batches):
+        known, boxes, part = told.value
+        for table in gathered(batches, HELD_QUERIES):
+            batch = table.combine_chunks()
+            x = matrix(batch.column(1), dim)
+            rows = np.flatnonzero(np.isfinite(x).all(axis=1))
+            rows = rows[close_runs(x[rows], GROUP)]
+            x = x[rows]
+            held, size = [], 0
+
+            def out():
+                row, cell = (np.concatenate(v) for v in zip(*held))
+                return pa.table([*(c.take(pa.array(rows[row], pa.int64())) for c in batch.columns), pa.array(part[cell], pa.int32())],
+                                names=[TEST_ID, TEST_F, "cell"]).to_batches()
+            for row, cell in needed_boxes(x, boxes, known.kth_reach(x, k, limit)):
+                held.append((row, cell))
+                size += len(row)
+                if size >= SENT_ROWS:
+                    yield from out()
+                    held, size = [], 0
+            if held:
+                yield from out()
+
+    rows = test.select(TEST_ID, TEST_F)
+    if rows.rdd.getNumPartitions() < partitions:                 # the search is the work, not the rows
+        rows = rows.repartition(partitions)
+    asked = written(rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("cell", IntegerType())])), "pivot-test")
+    got = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    count = np.zeros(n_piv, np.int64)
+    count[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    per_block, _ = by_cells(asked, sent, count, arrived, [TRAIN_ID, TRAIN_F, tail_of(train)], 8 * dim + 32, block_bytes, partitions,
+                            block_kernel(k, dim, limit), NEIGHBOUR_SCHEMA)
+    return top_k(per_block.drop("rank"), k)
+
+
 def by_cells(test: DataFrame, train: DataFrame, tests: np.ndarray, trains: np.ndarray, train_cols: list[str], row_bytes: int,
              block_bytes: int, partitions: int, kernel, schema: str, test_cols: tuple[str, ...] = (TEST_ID, TEST_F)) -> tuple[DataFrame, bool]:
     """``kernel`` over the test and train rows of each ``cell``, split into sub-blocks of bounded size on both sides;
