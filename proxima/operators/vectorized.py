@@ -40,6 +40,7 @@ CHUNK_CELLS = 1 << 22
 
 # From this width on a matrix product says first which pairs cannot matter (``near_squares``).
 FILTER_DIM = 16
+QUERY_ROWS = 1 << 13             # wide test rows of a block searched at a time
 GROUPS_PER_NEIGHBOUR = 16        # minima of so many groups of columns for each of the k bound the k-th
 DENSE_SHARE = 0.125              # of a chunk's pairs left: beyond, the whole chunk is computed exactly
 UNIT = 2.0 ** -53                # rounding unit of a double
@@ -270,6 +271,14 @@ def train_block(ids: pa.Array, features: pa.Array, tail: pa.Array, dim: int) ->
     return out
 
 
+def in_id_order(tr: dict) -> dict:
+    """A ``train_block`` in order of id (entries as they are)."""
+    if "starts" in tr or not (tr["ids"][1:] < tr["ids"][:-1]).any():
+        return tr
+    order = np.argsort(tr["ids"], kind="stable")
+    return {name: v[order] for name, v in tr.items()}
+
+
 def train_rows(tr: dict, qi: np.ndarray, ri: np.ndarray, d: np.ndarray, k: int):
     """``(query, train id, distance, row of the labels)``: entries as their rows, cut to the ``k`` nearest, in order."""
     if "starts" in tr:
@@ -349,10 +358,8 @@ def collect_side(df: DataFrame, id_col: str, feat_col: str, dim: int, tail: str
         side = train_block(tbl.column(0), tbl.column(1), tbl.column(2), dim)
         if k and 0 < dim <= TREE_DIM and len(side["ids"]) >= TREE_ROWS:
             side |= {"tree": BoxTree.of(side["x"], side["ids"], k), "x": side["x"][:0]}
-        elif "starts" not in side and (side["ids"][1:] < side["ids"][:-1]).any():
-            order = np.argsort(side["ids"], kind="stable")       # once here, so that no task sorts a copy of its own
-            side = {name: v[order] for name, v in side.items()}
-        return side
+            return side
+        return in_id_order(side)                                 # once here, so that no task sorts a copy of its own
     return {"ids": int_ids(tbl.column(0)), "x": matrix(tbl.column(1), dim)}
 
 
@@ -566,8 +573,12 @@ def block_kernel(k: int, dim: int, bound: float):
         if q_ids.size == 0 or right.num_rows == 0:
             return pa.Table.from_batches([], schema=_NEIGHBOUR_ARROW)
         tail = right.column(ROWS if ROWS in right.column_names else "label")
-        tr = train_block(right.column(TRAIN_ID), right.column(TRAIN_F), tail, dim)
-        return neighbours_table(q_ids, *winners(matrix(left.column(TEST_F), dim), tr, k, bound))
+        tr, q = train_block(right.column(TRAIN_ID), right.column(TRAIN_F), tail, dim), matrix(left.column(TEST_F), dim)
+        if dim <= TREE_DIM:
+            return neighbours_table(q_ids, *winners(q, tr, k, bound))
+        tr = in_id_order(tr)                                     # wide rows: no further copy of either side
+        return pa.concat_tables([neighbours_table(q_ids[s: s + QUERY_ROWS], *winners(q[s: s + QUERY_ROWS], tr, k, bound))
+                                 for s in range(0, len(q), QUERY_ROWS)])
 
     return run
 

@@ -120,3 +120,18 @@ def test_far_rows_travel_to_few_parts(spark, tmp_path, monkeypatch):
     te = prepare_test(frame(spark, list(enumerate(test.tolist())), labelled=False), dim=3)
     K.neighbours_for(tr, te, 4, K.choose_plan(tr, te, 3, "pivot", k=4)).count()
     assert seen and seen[0] < 0.2 * 3000 * 1500
+
+
+def test_wide_blocks_are_searched_piece_by_piece(monkeypatch):
+    """Sorting out equal queries copies them: a block's test rows go in pieces, with the same rows in the end."""
+    import pyarrow as pa
+    rng = np.random.default_rng(6)
+    x, ids = rng.normal(size=(300, 20)), rng.permutation(300)
+    left = pa.table({"test_id": np.arange(300), "test_features": pa.array(x.tolist())})
+    right = pa.table({"train_id": ids, "train_features": pa.array(x.tolist()), "label": np.zeros(300)})
+    want = V.neighbours_table(np.arange(300), *V.winners(x, V.train_block(right.column(0), right.column(1), right.column(2), 20), 3, np.inf))
+    monkeypatch.setattr(V, "QUERY_ROWS", 64)
+    sizes, whole = [], V.winners
+    monkeypatch.setattr(V, "winners", lambda q, *a: sizes.append(len(q)) or whole(q, *a))
+    assert V.block_kernel(3, 20, np.inf)(left, right).to_pydict() == want.to_pydict()
+    assert max(sizes) == 64 and sum(sizes) == 300
