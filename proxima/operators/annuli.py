@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from proxima.operators import vectorized as V
 from proxima.operators.candidates import TEST_F, TEST_ID, TRAIN_F, TRAIN_ID
+from proxima.operators.boxes import arrays
 from proxima.operators.pivot import (FALLBACK_SHARE, RINGS, SAMPLE_ROWS, SLACK, PivotTree, assign_rows, by_cells, chunked_distances,
                                      hashed_sample, in_rings, pivot_count)
 from proxima.session import send, written
@@ -87,7 +88,7 @@ def pair_stats_annuli(test: DataFrame, train: DataFrame, dim: int, n_train: int,
     if not len(pivots):
         return V.merged_stats(by_blocks(test, train))
     tree = PivotTree.of(pivots)
-    tree_bc = send(spark, tree)
+    tree_bc = send(spark, arrays(tree))
     placed = written(assign_rows(train, TRAIN_ID, TRAIN_F, tree_bc, dim), "annuli-train")
     ringed, count, lo, hi = in_rings(placed.where("part >= 0"), len(tree.pivots))
     if fallback:
@@ -98,10 +99,11 @@ def pair_stats_annuli(test: DataFrame, train: DataFrame, dim: int, n_train: int,
 
     # what every test row needs: its base statistics, and a copy for each ring that is left
     ends = placed.where("part >= 0").agg(*(f(F.struct(TRAIN_ID, TRAIN_F)) for f in (F.min, F.max))).first()
-    known = send(spark, (tree, count, lo, hi, [(r[TRAIN_ID], np.array(r[TRAIN_F], float)) for r in ends]))
+    known = send(spark, (arrays(tree), count, lo, hi, [(r[TRAIN_ID], np.array(r[TRAIN_F], float)) for r in ends]))
 
     def needs(batches):
         tree, count, lo, hi, ((first, fx), (last, lx)) = known.value
+        tree = PivotTree(*tree)
         total = int(count.sum())
         for batch in batches:
             x = V.matrix(batch.column(1), dim)

@@ -83,6 +83,11 @@ def reach_squared(d: np.ndarray | float) -> np.ndarray | float:
         return d * d * ROOM + 1e-300
 
 
+def arrays(tree) -> tuple:
+    """The fields of a tree.  Broadcasts carry these: unlike task functions they name a class by its module, which a worker need not find."""
+    return tuple(vars(tree).values())
+
+
 @dataclass(frozen=True)
 class BoxTree:
     """``values[dimension, leaf, place]`` (NaN where a leaf has no row), the ``rows`` they came from and their ``ids``, and the boxes of

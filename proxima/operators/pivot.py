@@ -47,7 +47,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from proxima.operators.candidates import TEST_F, TEST_ID, TRAIN_F, TRAIN_ID, tail_of
 from proxima.operators.topk import check_k, top_k
-from proxima.operators.boxes import FAN, GROUP, TREE_DIM, BoxTree, close_runs, gaps, least_copies
+from proxima.operators.boxes import FAN, GROUP, TREE_DIM, BoxTree, arrays, close_runs, gaps, least_copies
 from proxima.operators.vectorized import (BOUND_ROWS, CHUNK_CELLS, HELD_QUERIES, NEIGHBOUR_SCHEMA, block_kernel, distance_block, gathered,
                                           hashed_sample, int_ids, matrix)
 from proxima.session import send, written
@@ -179,7 +179,7 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def assign_rows(rows: DataFrame, id_col: str, feat_col: str, tree_bc, dim: int) -> DataFrame:
     """``id, features, part, dq``: the part and the distance to its pivot."""
     def run(batches):
-        tree = tree_bc.value
+        tree = PivotTree(*tree_bc.value)
         for batch in batches:
             part, dq = tree.assign(matrix(batch.column(1), dim))
             yield pa.record_batch({id_col: batch.column(0), feat_col: batch.column(1),
@@ -207,7 +207,7 @@ def in_rings(assigned: DataFrame, n_piv: int) -> tuple[DataFrame, np.ndarray, np
 def nearest_of_parts(train: DataFrame, tree_bc, dim: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """``(part, distance)``: the k least distances of train rows to their pivot, for every part."""
     def run(batches):
-        tree = tree_bc.value
+        tree = PivotTree(*tree_bc.value)
         for batch in batches:
             part, d = tree.assign(matrix(batch.column(0), dim))
             ok = np.flatnonzero(part >= 0)
@@ -232,7 +232,7 @@ def send_train(train: DataFrame, tree_bc, reach_bc, dim: int) -> DataFrame:
     tail = tail_of(train)
 
     def run(batches):
-        tree, (lo, hi) = tree_bc.value, reach_bc.value
+        tree, (lo, hi) = PivotTree(*tree_bc.value), reach_bc.value
         for batch in batches:
             held, size = [], 0
 
@@ -291,7 +291,7 @@ def neighbours_pivot(test: DataFrame, train: DataFrame, k: int, dim: int, n_trai
         return spark.createDataFrame([], NEIGHBOUR_SCHEMA)
     tree = PivotTree.of(pivots)
     n_piv = len(tree.pivots)
-    tree_bc = send(spark, tree)
+    tree_bc = send(spark, arrays(tree))
     if 0 < dim <= TREE_DIM:
         return _by_boxes(test, train, k, dim, n_train, n_test, block_bytes, partitions, limit, tree_bc, n_piv, fallback)
 
@@ -322,7 +322,7 @@ def part_rows(train: DataFrame, tree_bc, dim: int, k: int) -> DataFrame:
     tail = tail_of(train)
 
     def run(batches):
-        tree = tree_bc.value
+        tree = PivotTree(*tree_bc.value)
         for batch in batches:
             x = matrix(batch.column(1), dim)
             rows = least_copies(x, int_ids(batch.column(0)), k)
@@ -368,10 +368,10 @@ def _by_boxes(test: DataFrame, train: DataFrame, k: int, dim: int, n_train: int,
         pairs = sum(int(arrived[part[box]].sum()) for _, box in needed_boxes(some, boxes, known.kth_reach(some, k, limit)))
         if pairs > FALLBACK_SHARE * max(1, len(some)) * max(1, int(arrived.sum())):
             return fallback()
-    told = send(spark, (known, boxes, part))
+    told = send(spark, (arrays(known), arrays(boxes), part))
 
     def run(batches):
-        known, boxes, part = told.value
+        known, boxes, part = BoxTree(*told.value[0]), BoxTree(*told.value[1]), told.value[2]
         for table in gathered(batches, HELD_QUERIES):
             batch = table.combine_chunks()
             x = matrix(batch.column(1), dim)

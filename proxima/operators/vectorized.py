@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from proxima.operators.boxes import GROUP, TREE_DIM, BoxTree, close_runs, least_copies
+from proxima.operators.boxes import GROUP, TREE_DIM, BoxTree, arrays, close_runs, least_copies
 from proxima.operators.candidates import (ROWS, TEST_F, TEST_ID, TRAIN_F, TRAIN_ID, block_rows, spread,
                                           tail_of)
 from proxima.operators.topk import check_k, top_k
@@ -357,7 +357,7 @@ def collect_side(df: DataFrame, id_col: str, feat_col: str, dim: int, tail: str
     if tail:
         side = train_block(tbl.column(0), tbl.column(1), tbl.column(2), dim)
         if k and 0 < dim <= TREE_DIM and len(side["ids"]) >= TREE_ROWS:
-            side |= {"tree": BoxTree.of(side["x"], side["ids"], k), "x": side["x"][:0]}
+            side |= {"tree": arrays(BoxTree.of(side["x"], side["ids"], k)), "x": side["x"][:0]}
             return side
         return in_id_order(side)                                 # once here, so that no task sorts a copy of its own
     return {"ids": int_ids(tbl.column(0)), "x": matrix(tbl.column(1), dim)}
@@ -410,6 +410,7 @@ def neighbours_broadcast_train(test: DataFrame, train: DataFrame, k: int, dim: i
     def run(batches):
         tr = bc.value
         if "tree" in tr:
+            tr = tr | {"tree": BoxTree(*tr["tree"])}
             batches = gathered(batches, max(1, min(HELD_QUERIES, HELD_WINNERS // k)))
         for batch in batches:
             q_ids = int_ids(batch.column(0))
@@ -483,7 +484,7 @@ def _test_boxes(tests: list[DataFrame], train: DataFrame, k: int, dim: int, boun
     sample = hashed_sample(train, TRAIN_ID, TRAIN_F, dim, min(n_train, BOUND_ROWS), n_train)
     if not len(sample):                                  # no finite train row
         return [spark.createDataFrame([], PARTIAL_SCHEMA)]
-    known_bc = send(spark, BoxTree.of(sample, np.arange(len(sample)), k))
+    known_bc = send(spark, arrays(BoxTree.of(sample, np.arange(len(sample)), k)))
     run_rows = -(-len(sample) // (4 * tasks))
     near = sample[close_runs(sample, run_rows)]
     centres = np.array([near[s: s + run_rows].mean(axis=0) for s in range(0, len(near), run_rows)])
@@ -504,7 +505,7 @@ def _test_boxes(tests: list[DataFrame], train: DataFrame, k: int, dim: int, boun
                                              names=[TRAIN_ID, TRAIN_F, tail, "_region"])
 
     def reach(batches):
-        known = known_bc.value
+        known = BoxTree(*known_bc.value)
         for table in gathered(batches, HELD_QUERIES):
             x = matrix(table.column(1), dim)
             rows = np.flatnonzero(np.isfinite(x).all(axis=1))
