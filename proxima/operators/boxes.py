@@ -24,6 +24,7 @@ GROUP_ROWS = 2048                # a group that meets more rows is halved
 CHUNK_CELLS = 1 << 22            # most distances of a group that can be halved
 HELD = 1 << 20                   # pairs kept before they are cut and handed on
 ROOM = 1 + 2.0 ** -48
+CUT_LEVELS = 12                  # a sample is halved so often where rows are dealt to tasks
 
 
 def close_runs(x: np.ndarray, run: int) -> np.ndarray:
@@ -45,6 +46,32 @@ def close_runs(x: np.ndarray, run: int) -> np.ndarray:
     return order
 
 
+def median_cuts(sample: np.ndarray, levels: int = CUT_LEVELS) -> tuple[np.ndarray, np.ndarray]:
+    """Per node of a binary tree (the root is 1, the halves of i are 2 i and 2 i + 1) the dimension and the value at which a finite
+    sample is halved: at the median of the dimension in which its rows there lie widest."""
+    axis, cut = np.zeros(1 << levels, np.int64), np.full(1 << levels, np.inf)
+    todo = [(1, sample)]
+    while todo:
+        node, v = todo.pop()
+        if node >= len(cut) or len(v) < 2:
+            continue
+        with np.errstate(over="ignore"):
+            j = int(np.argmax(v.max(axis=0) - v.min(axis=0)))
+        axis[node], cut[node] = j, np.partition(v[:, j], (len(v) - 1) // 2)[(len(v) - 1) // 2]
+        above = v[:, j] > cut[node]
+        todo += [(2 * node, v[~above]), (2 * node + 1, v[above])]
+    return axis, cut
+
+
+def cell_of(x: np.ndarray, cuts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The cell of every row, in an order in which cells that follow each other lie close together."""
+    axis, cut = cuts
+    node = np.ones(len(x), np.int64)
+    for _ in range(len(cut).bit_length() - 1):
+        node = 2 * node + (x[np.arange(len(x)), axis[node]] > cut[node])         # False for NaN
+    return (node - len(cut)).astype(np.int32)
+
+
 def least_copies(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """The finite rows that may be among the ``k`` nearest of any query: of equal vectors the ``k`` of least id."""
     rows = np.flatnonzero(np.isfinite(x).all(axis=1))

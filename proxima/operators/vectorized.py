@@ -6,7 +6,7 @@ side as matrices, computes the distance block chunk by chunk, and emits at most
 test row.  Three shapes:
 
 * ``neighbours_broadcast_train`` -- ``mapInArrow`` over the test side with the (size-checked)
-  train matrix in a broadcast variable: map-only, no shuffle at all.
+  train matrix in a broadcast variable: map-only, no shuffle at all (but many narrow test rows are first dealt by where they lie).
 * ``neighbours_broadcast_test``  -- ``mapInArrow`` over the train side with the (size-checked)
   test matrix broadcast; each task keeps a running top-k per test row, then one window merges
   the per-task winners.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from proxima.operators.boxes import GROUP, TREE_DIM, BoxTree, arrays, close_runs, least_copies
+from proxima.operators.boxes import GROUP, TREE_DIM, BoxTree, arrays, cell_of, close_runs, least_copies, median_cuts
 from proxima.operators.candidates import (ROWS, TEST_F, TEST_ID, TRAIN_F, TRAIN_ID, block_rows, spread,
                                           tail_of)
 from proxima.operators.topk import check_k, top_k
@@ -392,20 +392,43 @@ def gathered(batches, rows: int):
         yield pa.Table.from_batches(held)
 
 
+def close_together(test: DataFrame, dim: int, n_test: int, partitions: int) -> DataFrame:
+    """Narrow test rows over ``partitions`` tasks, such that rows which follow each other in a task lie close together.
+
+    A task searches ``HELD_QUERIES`` rows at a time.  Of rows in any order these lie everywhere, however many there are, and a
+    group of them meets train rows in proportion to the train side; of rows dealt like this a group meets a bounded number.
+    Rows are cut by cell and id, so that any number of copies is spread.
+    """
+    cuts = send(test.sparkSession, median_cuts(hashed_sample(test, TEST_ID, TEST_F, dim, min(n_test, BOUND_ROWS), n_test)))
+
+    def run(batches):
+        for batch in batches:
+            cell = cell_of(matrix(batch.column(1), dim), cuts.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=[TEST_ID, TEST_F, "_cell"])
+
+    rows = test.select(TEST_ID, TEST_F)
+    celled = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("_cell", IntegerType())]))
+    return celled.repartitionByRange(partitions, "_cell", TEST_ID).sortWithinPartitions("_cell").drop("_cell")
+
+
 def neighbours_broadcast_train(test: DataFrame, train: DataFrame, k: int, dim: int,
                                max_distance: float | None = None, vote: str | None = None,
-                               partitions: int | None = None) -> DataFrame:
+                               partitions: int | None = None, n_test: int | None = None) -> DataFrame:
     """Map-only kNN: the size-checked train matrix is broadcast, test rows stay in place.
 
     With ``vote`` the task also votes, returning ``test_id, prediction`` for every test row
-    (NULL when none is admissible); otherwise neighbours.
+    (NULL when none is admissible); otherwise neighbours.  Narrow test rows, if ``n_test`` says that they are more than one
+    task searches at a time, are first dealt by where they lie (``close_together``).
     """
     check_k(k)
     spark = test.sparkSession
     side = collect_side(train, TRAIN_ID, TRAIN_F, dim, tail_of(train), k)
     bc = send(spark, side)
     bound = float("inf") if max_distance is None else float(max_distance)
-    t = spread(test.select(TEST_ID, TEST_F), partitions)
+    if "tree" in side and (n_test or 0) > HELD_QUERIES:
+        t = close_together(test, dim, n_test, partitions or max(2 * spark.sparkContext.defaultParallelism, -(-n_test // HELD_QUERIES)))
+    else:
+        t = spread(test.select(TEST_ID, TEST_F), partitions)
 
     def run(batches):
         tr = bc.value

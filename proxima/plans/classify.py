@@ -259,7 +259,7 @@ def neighbours_for(tr: DataFrame, te: DataFrame, k: int, plan: Plan,
     """Neighbours (``test_id, rank, train_id, distance, label``) of prepared frames under a plan."""
     dim = plan.dim
     if plan.strategy == "broadcast_train":
-        out = V.neighbours_broadcast_train(te, tr, k, dim, max_distance, partitions=plan.test_spread)
+        out = V.neighbours_broadcast_train(te, tr, k, dim, max_distance, partitions=plan.test_spread, n_test=plan.test_rows)
     elif plan.strategy == "broadcast_test":
         return V.neighbours_broadcast_test(te, tr, k, dim, max_distance, plan.train_spread, plan.test_slices, plan.train_rows)
     else:
@@ -333,6 +333,6 @@ def classify_for(tr: DataFrame, te: DataFrame, k: int, plan: Plan, vote: str,
     if plan.kernel == "numpy" and plan.strategy == "broadcast_train":
         # map-only: the task that finds a row's neighbours also votes
         return V.neighbours_broadcast_train(te, tr, k, plan.dim, max_distance, vote=vote,
-                                            partitions=plan.test_spread)
+                                            partitions=plan.test_spread, n_test=plan.test_rows)
     neigh = neighbours_for(tr, te, k, plan, max_distance)
     return vote_op(neigh, vote, te.select("test_id"))

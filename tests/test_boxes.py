@@ -135,3 +135,37 @@ def test_wide_blocks_are_searched_piece_by_piece(monkeypatch):
     monkeypatch.setattr(V, "winners", lambda q, *a: sizes.append(len(q)) or whole(q, *a))
     assert V.block_kernel(3, 20, np.inf)(left, right).to_pydict() == want.to_pydict()
     assert max(sizes) == 64 and sum(sizes) == 300
+
+
+def test_cells_follow_each_other_closely():
+    """Copies, rows that are not finite and an empty sample all have a cell."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(4000, 3)), np.zeros((500, 3)), [[np.nan, 0, 0], [np.inf, -np.inf, 1]]])
+    cell = B.cell_of(x, B.median_cuts(x[:4500], 6))
+    assert 0 <= cell.min() and cell.max() < 64 and len(np.unique(cell)) > 50
+    assert len(np.unique(cell[4000:4500])) == 1
+    assert not B.cell_of(x, B.median_cuts(x[:0])).any()
+
+
+@pytest.mark.parametrize("vote", [None, "nonzero_majority"])
+def test_many_test_rows_are_searched_near_each_other(spark, monkeypatch, vote):
+    """With train broadcast: a group of test rows meets train rows near it, not a share of them all, however many there are."""
+    rng = np.random.default_rng(8)
+    train, test = rng.random((2000, 2)), rng.random((6000, 2))
+    test[:40] = test[0]
+    test[50] = np.nan
+    monkeypatch.setattr(V, "HELD_QUERIES", 256)
+    tr = prepare_train(frame(spark, [(i, x, float(i % 2)) for i, x in enumerate(train.tolist())]), dim=2)
+    te = prepare_test(frame(spark, list(enumerate(test.tolist())), labelled=False), dim=2)
+    plan = K.choose_plan(tr, te, 2, "broadcast_train", k=3)
+    got = (K.neighbours_for(tr, te, 3, plan) if vote is None else K.classify_for(tr, te, 3, plan, vote)).collect()
+    qi, ri, d = V.block_topk(test, train, np.arange(2000), 3, np.inf)
+    if vote is None:
+        assert sorted((r.test_id, r.train_id, r.distance) for r in got) == sorted(zip(qi.tolist(), ri.tolist(), d.tolist()))
+    else:
+        ones = np.bincount(qi, weights=ri % 2, minlength=6000)
+        want = [None if i == 50 else int(ones[i] >= 2) for i in range(6000)]
+        assert [r.prediction for r in sorted(got)] == want
+    at = test[list(dict.fromkeys(r.test_id for r in got if r.test_id != 50))]
+    area = [np.prod(np.ptp(at[s: s + 128], axis=0)) for s in range(0, len(at), 128)]
+    assert np.mean(area) < 0.25
