@@ -24,14 +24,14 @@ from proxima.session import delete_path, on_release, scratch_path
 U64 = np.uint64
 BLOCK_BYTES = 1 << 19
 BROADCAST_ROWS = 1_000_000      # of a key and a few numbers each
-BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 # ----------------------------------------------------------------- tables and sizes
 def small_batches(spark: SparkSession) -> None:
     """Cuts the session's Arrow batches to ``BATCH_BYTES`` where it has Spark's default of 64 MiB, which each running task
     would hold up to four times: in the JVM and in its Python worker, coming and going.  No result depends on it."""
-    if spark.conf.get(BATCH_CONF, None) in (f"{64 << 20}b", f"{64 << 20}"):
+    if spark.conf.get(BATCH_CONF) in (f"{64 << 20}b", f"{64 << 20}"):     # a default of None would hide Spark's own
         spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
 
 
@@ -58,6 +58,13 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], **columns: pa.DataType) -> DataFrame:
+    """A frame of the driver's few ``rows``, sent as Arrow: given as tuples they would pass through Python on the executors,
+    in a second daemon with workers of its own that stay beside the others for a minute."""
+    cols = list(zip(*rows)) or [()] * len(columns)
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(cols, columns.values())], names=list(columns)))
+
+
 def counted_bytes(df: DataFrame, text_col: str) -> int:
     """UTF-8 bytes of a text column, by one aggregation.  Used to size ranges and buckets."""
     return int(df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0)
@@ -86,6 +93,14 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def let_go() -> None:
+    """Drops the values kept for an owner (see ``process_cache``) and gives their memory back: for an operator's last step."""
+    store = sys.modules.get("_llm_process_cache")
+    if store is not None:
+        store.__dict__.setdefault("held", {}).clear()
+    give_back()
+
+
 def process_cache(key, build: Callable, owner: str | None = None):
     """A value built once per Python process.  The package is pickled by value, so module globals
     do not outlive a task; this store does (Python workers are reused).

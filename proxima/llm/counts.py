@@ -16,6 +16,8 @@ extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -25,14 +27,16 @@ from tokenizers import Tokenizer
 
 from proxima.llm.bpe import BLOCK_BYTES, BlockPieces
 from proxima.llm.chunks import freeze, split_sorted, thaw
-from proxima.llm.common import counted_bytes, give_back, process_cache, text_blocks, written
+from proxima.llm.common import counted_bytes, give_back, let_go, process_cache, text_blocks, written
 
 CHUNK_BYTES = 16 << 20
 BUCKET_BYTES = 40 << 20          # bytes of text whose pre-tokens make one hash range
+SORTED_USES = 1 << 17            # uses that are sorted at once
 _MOVED = "kind int, chunk bigint, bucket int, blob binary"
 
 
 def _tokenizer(path: str) -> Tokenizer:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")    # a task has one core, and the library's threads keep memory
     return process_cache(("tokenizer", path), lambda: Tokenizer.from_file(path), "counts")
 
 
@@ -64,18 +68,25 @@ class _Chunk:
         per_doc = np.concatenate([u[0] for u in self.uses])
         which = place[np.concatenate([u[1] for u in self.uses])] if len(every) else np.empty(0, np.int32)
         times = np.concatenate([u[2] for u in self.uses])
-        # sorted within a document, so that steps are small and pack well
-        doc = np.repeat(np.arange(len(per_doc), dtype=np.int32), per_doc)
-        order = np.lexsort((which, doc))
-        which, times = which[order], times[order]
+        self.uses = self.hashes = every = place = None
+        # sorted within a document, so that steps are small and pack well; some documents at a time, for memory
+        edge = np.concatenate([[0], np.cumsum(per_doc)])
+        a = 0
+        while a < len(per_doc):
+            b = max(a + 1, int(np.searchsorted(edge, edge[a] + SORTED_USES, "right")) - 1)
+            part = slice(edge[a], edge[b])
+            order = np.lexsort((which[part], np.repeat(np.arange(b - a, dtype=np.int32), per_doc[a:b])))
+            which[part], times[part] = which[part][order], times[part][order]
+            a = b
         step = np.diff(which, prepend=0)
-        heads = np.concatenate([[0], np.cumsum(per_doc)[:-1]])[per_doc > 0]
+        heads = edge[:-1][per_doc > 0]
         step[heads] = which[heads]
+        del which
         uses = pa.RecordBatch.from_arrays(
             [pa.array([0], pa.int32()),
              pa.array([freeze(pa.RecordBatch.from_arrays([pa.concat_arrays(self.docs), pa.array(np.concatenate(self.bytes)), pa.array(per_doc)], names=["id", "bytes", "n"]))]),
              pa.array([freeze(pa.RecordBatch.from_arrays(
-                 [pa.array((step & 0xFFFF).astype(np.uint16)), pa.array((step >> 16).astype(np.uint16)), pa.array(times.astype(np.uint32))],
+                 [pa.array((step & 0xFFFF).astype(np.uint16)), pa.array((step >> 16).astype(np.uint16)), pa.array(times)],
                  names=["low", "high", "times"]))])], names=["v", "docs", "uses"])
         yield (0, chunk, -1, freeze(uses))
         distinct = pa.concat_arrays(self.texts)
@@ -144,7 +155,7 @@ def _sum(batches):
                 n_tokens[used] = np.add.reduceat(weight, heads[:-1][used])
             yield pa.RecordBatch.from_arrays([docs.column("id"), docs.column("bytes").cast(pa.int64()), pa.array(n_tokens)],
                                              names=["doc_id", "n_bytes", "n_tokens"])
-        give_back()
+        let_go()                                        # the tokenizer too: the worker may idle beside the next operator's
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

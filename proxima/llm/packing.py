@@ -21,10 +21,11 @@ other columns are kept, but for input columns of the names that ``pack`` makes,
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proxima.llm.common import tokenizer_path, written
+from proxima.llm.common import small_table, tokenizer_path, written
 from proxima.llm.counts import token_counts
 
 BUDGET = 8192
@@ -95,7 +96,7 @@ def pack(docs: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS, length:
             k, start = k + 1, seen
         table.append((n, k, bounds[k], start))
         seen += c
-    lengths = spark.createDataFrame(table, "n bigint, bucket int, bucket_len bigint, start bigint")
+    lengths = small_table(spark, table, n=pa.int64(), bucket=pa.int32(), bucket_len=pa.int64(), start=pa.int64())
 
     # place among all rows in order of length and id: sorted ranges, counted; the salt cuts equal keys
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -108,7 +109,7 @@ def pack(docs: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS, length:
     for p, c in sorted(tuple(r) for r in ranked.groupBy(part.alias("part")).agg(F.count(F.lit(1))).collect()):
         ahead.append((p, total))
         total += c
-    ahead = spark.createDataFrame(ahead, "part bigint, ahead bigint")   # one row per range
+    ahead = small_table(spark, ahead, part=pa.int64(), ahead=pa.int64())    # one row per range
     out = ranked.withColumn("part", part).join(F.broadcast(ahead), "part").select(
         "row", "n", (F.col("ahead") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))
     out = out.join(F.broadcast(lengths), "n", "left")    # at most budget + 1 rows

@@ -7,10 +7,13 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
+from pyspark import SparkContext
 
 from llm_fixtures import edge, edge_rows, empty  # noqa: F401
 import corpus_pipeline as P
+from proxima.llm.common import small_table
 from proxima.llm.packing import BUDGET, optimal_bounds, pack, pack_report
 from proxima.llm.queries import tokenizer_path
 
@@ -96,3 +99,21 @@ def test_no_window_over_one_length(spark, capsys):
         per[r.batch].append(r.doc_id)
     flat = [min((x is None, x or 0) for x in ids) for ids in per.values()]
     assert all(len(ids) == 100 for ids in per.values()) and flat == sorted(flat)
+
+
+def test_small_tables_pass_through_no_python_rdd(spark, edge, monkeypatch):
+    """Rows given as tuples go through ``parallelize`` and, on the executors, through a second Python daemon."""
+    def refused(*_args, **_kwargs):
+        raise AssertionError("rows of the driver pass through a Python RDD")
+    want = sorted(map(str, pack_report(edge).collect()))
+    none = spark.range(0).selectExpr("id as doc_id", "cast(null as string) as text")
+    monkeypatch.setattr(SparkContext, "parallelize", refused)
+    assert sorted(map(str, pack_report(edge).collect())) == want and want
+    assert pack_report(none).collect() == []
+
+
+def test_small_table(spark):
+    out = small_table(spark, [(1, None), (1 << 40, 7)], a=pa.int64(), b=pa.int32())
+    assert out.dtypes == [("a", "bigint"), ("b", "int")]
+    assert sorted(map(tuple, out.collect())) == [(1, None), (1 << 40, 7)]
+    assert small_table(spark, [], a=pa.int64(), b=pa.int32()).dtypes == out.dtypes

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
+import sys
 
 import public_tokenizers
 import pyarrow as pa
@@ -11,8 +13,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from llm_fixtures import edge, edge_rows, empty  # noqa: F401
-from proxima.llm import bpe
-from proxima.llm.common import text_blocks
+from proxima.llm import bpe, counts
+from proxima.llm.common import small_batches, text_blocks
 from proxima.llm.counts import token_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -80,3 +82,44 @@ def test_counts_are_the_library_s(edge, lib, monkeypatch):
 def test_empty_table(empty):
     assert token_counts(empty, PATH).collect() == []
     assert bpe.encode_digests(empty, PATH).collect() == []
+
+
+def _chunk_rows(texts, bits=3):
+    col = pa.array(texts, pa.string())
+    chunk = counts._Chunk()
+    for a, b, data, off in text_blocks(col, 400):
+        chunk.add(pa.array(range(a, b), pa.int64()), data, off)
+    return list(chunk.rows(0, bits))
+
+
+def test_uses_sorted_in_parts_are_the_same(monkeypatch):
+    rng = random.Random(3)
+    texts = ["", None, *(" ".join(rng.choices(["ab", "c", "dé", "12", "!"], k=rng.randrange(60))) for _ in range(80)), "", "x" * 900]
+    want = _chunk_rows(texts)
+    monkeypatch.setattr(counts, "SORTED_USES", 5)
+    assert _chunk_rows(texts) == want
+
+
+def test_a_worker_holds_no_tokenizer_after_the_sums(monkeypatch):
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    path = PATH
+    texts = ["one two one", "", None, "tres tres tres été", "one <|endoftext|> two"]
+    uses, *sent = _chunk_rows(texts)
+    answers = []
+    for _, chunk, bucket, blob in sent:
+        got = counts._count(path)((pa.scalar(bucket),), pa.table({"chunk": [chunk], "bucket": [bucket], "blob": pa.array([blob], pa.binary())}))
+        answers += [{"bucket": r["bucket"], "counts": r["counts"]} for r in got.to_pylist()]
+    held = sys.modules["_llm_process_cache"].__dict__["held"]
+    assert ("tokenizer", path) in held and os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    batch = pa.RecordBatch.from_arrays([pa.array([uses[3]], pa.binary()), pa.array([answers])], names=["blob", "answers"])
+    out = pa.Table.from_batches(list(counts._sum([batch])))
+    tk = Tokenizer.from_file(path)
+    assert out.column("n_tokens").to_pylist() == [len(tk.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert not held
+
+
+def test_batches_of_text_are_small(spark):
+    docs = spark.range(40).coalesce(1).selectExpr("id", "repeat('word ', 50000) as text")     # 10 MB
+    small_batches(spark)
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"]) for b in batches), "n bigint").collect()
+    assert sum(r.n for r in sizes) >= 10_000_000 and max(r.n for r in sizes) <= 5 << 20
